@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,61 +17,70 @@ def csv_entries(text: str) -> list[str]:
     return list(dict.fromkeys(part.strip() for part in text.split(",") if part.strip()))
 
 
-def json_string(text: Column) -> Column:
-    """Quoted JSON string; control characters as short escapes or lower-case ``\\u00xx``."""
-    escaped = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    short = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}
-    controls = escaped
-    for code in range(32):
-        controls = F.replace(controls, F.lit(chr(code)), F.lit(short.get(code, f"\\u{code:04x}")))
-    body = (
-        F.when(text.rlike(r"[\x00-\x1f]"), controls)
-        .when(text.rlike(r'["\\]'), escaped)
-        .otherwise(text)
+def with_number_text(df: DataFrame, numbers: dict[str, str]) -> DataFrame:
+    """Add texts of doubles as JavaScript writes them, ``{column: output}``; not finite -> ``null``.
+
+    The runtime's own double text has the right digits when it has at most 15 of them; longer
+    ones are replaced by a 16-digit text if that reads back as the same double. The steps are
+    separate columns so that none is computed, or compiled, more than once.
+    """
+    def simple(name: str) -> Column:
+        """Plain notation with at most 15 digits: nothing to repair."""
+        size = F.abs(F.col(name))
+        return (size >= 1e-3) & (size < 1e7) & (F.length(f"_raw_{name}") <= 16)
+
+    def digits(name: str) -> Column:
+        sixteen = F.when(~simple(name), F.format_string("%.15e", name))
+        return F.when(sixteen.try_cast("double") == F.col(name), sixteen).otherwise(F.col(f"_raw_{name}"))
+
+    def final(name: str) -> Column:
+        value, text = F.col(name), F.col(f"_digits_{name}")
+        size = F.abs(value)
+        # The type of the detour decides how many decimals survive: 30 below one, 17 above.
+        plain = F.when(size < 1, text.try_cast("decimal(38,30)").cast("string")).otherwise(
+            text.try_cast("decimal(38,17)").cast("string")
+        )
+        scientific = F.regexp_replace(text, r"\.?0*[eE]\+?(-?)0*", "e$1")
+        return (
+            F.when(simple(name), F.when(
+                F.endswith(F.col(f"_raw_{name}"), F.lit(".0")),
+                F.col(f"_raw_{name}").substr(F.lit(1), F.length(f"_raw_{name}") - 2),
+            ).otherwise(F.col(f"_raw_{name}")))
+            .when(value == 0, "0")
+            .when((size >= 1e-6) & (size < 1e21), F.regexp_replace(plain, r"\.?0+$", ""))
+            .when(size < float("inf"), F.regexp_replace(scientific, "e(?=[0-9])", "e+"))
+            .when(value.isNotNull(), "null")
+        )
+
+    return (
+        df.withColumns({f"_raw_{name}": F.col(name).cast("string") for name in numbers})
+        .withColumns({f"_digits_{name}": digits(name) for name in numbers})
+        .withColumns({output: final(name) for name, output in numbers.items()})
+        .drop(*[f"_raw_{name}" for name in numbers], *[f"_digits_{name}" for name in numbers])
     )
-    return F.concat(F.lit('"'), body, F.lit('"'))
 
 
-def json_number(value: Column) -> Column:
-    """Shortest decimal text of a double in JavaScript notation; not finite -> ``null``.
+# Number members of a transaction.
+NUMBER_MEMBERS = ("latitude", "longitude", "riskScore")
 
-    The runtime's own double text has the right digits when it has at most 15 of them; longer
-    ones are replaced by a 16-digit text if that reads back as the same double.
+
+def with_json_text(df: DataFrame, output: str, members: Column) -> DataFrame:
+    """Add the JSON text of a struct as a JavaScript producer writes it; nulls are left out.
+
+    Members named in ``NUMBER_MEMBERS`` must be given as text; their quotes are taken off here.
+    That pattern cannot match inside a string, where quotes are escaped.
     """
-    magnitude = F.abs(value)
-    raw = magnitude.cast("string")
-    sixteen = F.format_string("%.15e", magnitude)
-    long_text = F.length(F.regexp_replace(F.regexp_replace(raw, r"E.*$", ""), r"^0\.0*|\.", "")) > 15
-    text = F.when(long_text & (sixteen.cast("double") == magnitude), sixteen).otherwise(raw)
-
-    mantissa = F.regexp_extract(text, r"^([^eE]*)", 1)
-    exponent = F.when(
-        text.rlike("[eE]"), F.regexp_extract(text, r"[eE]\+?(-?\d+)$", 1).try_cast("int")
-    ).otherwise(0)
-    whole = F.regexp_extract(mantissa, r"^(\d*)", 1)
-    fraction = F.regexp_extract(mantissa, r"\.(\d*)$", 1)
-    all_digits = F.concat(whole, fraction)
-    leading = F.length(all_digits) - F.length(F.regexp_replace(all_digits, "^0+", ""))
-    digits = F.regexp_replace(F.regexp_replace(all_digits, "^0+", ""), "0+$", "")
-    point = F.length(whole) + exponent - leading
-    count = F.length(digits)
-
-    def zeros(n: Column) -> Column:
-        return F.repeat(F.lit("0"), n.cast("int"))
-
-    scientific = F.concat(
-        F.substring(digits, 1, 1),
-        F.when(count > 1, F.concat(F.lit("."), digits.substr(F.lit(2), count))).otherwise(""),
-        F.when(point > 0, "e+").otherwise("e-"),
-        F.abs(point - 1).cast("string"),
-    )
-    plain = (
-        F.when((point >= count) & (point <= 21), F.concat(digits, zeros(point - count)))
-        .when((point > 0) & (point <= 21), F.concat(
-            digits.substr(F.lit(1), point), F.lit("."), digits.substr(point + 1, count)))
-        .when((point > -6) & (point <= 0), F.concat(F.lit("0."), zeros(-point), digits))
-        .otherwise(scientific)
+    pattern = rf'"({"|".join(NUMBER_MEMBERS)})":"([^"]*)"'
+    text = F.col("_text")
+    # Control characters: the writer uses upper-case hex, JavaScript lower-case. Escaped
+    # backslashes are set aside meanwhile (as NUL, which cannot occur in the text), so that
+    # text which only looks like an escape is left alone.
+    lowered = F.replace(text, F.lit("\\\\"), F.lit("\0"))
+    for code in (0x0B, 0x0E, 0x0F, 0x1A, 0x1B, 0x1C, 0x1D, 0x1E, 0x1F):
+        lowered = F.replace(lowered, F.lit(f"\\u{code:04X}"), F.lit(f"\\u{code:04x}"))
+    lowered = F.replace(lowered, F.lit("\0"), F.lit("\\\\"))
+    return (
+        df.withColumn("_text", F.regexp_replace(F.to_json(members), pattern, '"$1":$2'))
+        .withColumn(output, F.when(F.contains(text, F.lit("\\u00")), lowered).otherwise(text))
+        .drop("_text")
     )
-    signed = F.when(value < 0, F.concat(F.lit("-"), plain)).otherwise(plain)
-    finite = F.coalesce(magnitude < F.lit(float("inf")), F.lit(False))
-    return F.when(~finite, "null").when(value == 0, "0").otherwise(signed)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tollgate.functions.numeric import clamp01
 from tollgate.operators import state
 from tollgate.operators.rules import Outcome, RuleSet, default_rules
-from tollgate.params import Params
+from tollgate.params import UNLISTED_WEIGHT, Params
 
 VALIDATED = "TransactionValidated"
 APPROVED, FLAGGED, ERROR = "APPROVED", "FLAGGED", "ERROR"
@@ -123,3 +123,33 @@ def evaluate_all(prepared: DataFrame, rules: RuleSet, params: Params) -> DataFra
         "is_suspicious": critical | (score >= params.fraud_threshold),
         "results": results,
     })
+
+
+def weighted_risk_long(results: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
+    """Weighted mean over long-form results with weights from a (rule_id, weight) table.
+
+    The table has one row per rule and is joined by broadcast; unlisted rules weigh 1.
+    """
+    weighted = results.select(*keys, "result.rule_id", "result.score", "result.error").join(
+        F.broadcast(weights), "rule_id", "left"
+    )
+    weight = F.coalesce("weight", F.lit(UNLISTED_WEIGHT))
+    ok = F.col("error").isNull()
+    total_weight = F.sum(F.when(ok, weight))
+    mean = F.sum(F.when(ok, clamp01(F.col("score")) * weight)) / F.nullif(total_weight, F.lit(0.0))
+    return weighted.groupBy(*keys).agg(clamp01(F.coalesce(mean, F.lit(0.0))).alias("risk_score"))
+
+
+def errors_of(decisions: DataFrame) -> DataFrame:
+    """(rule_id, error_type) of every failed rule and every failed transaction."""
+    failed = F.transform(
+        F.filter(F.split("failed_rules", ","), lambda rule: rule != ""),
+        lambda rule: F.struct(rule.alias("rule_id"), F.lit("RULE_EXECUTION_FAILURE").alias("error_type")),
+    )
+    whole = F.struct(F.lit(None).cast("string").alias("rule_id"), F.lit("INTERNAL_SYSTEM_ERROR").alias("error_type"))
+    guarded = F.col("type") != VALIDATED
+    return decisions.select(F.inline(F.concat(
+        F.when(guarded, F.array().cast("array<struct<rule_id:string,error_type:string>>")).otherwise(failed),
+        F.when(F.col("error").isNotNull(), F.array(whole)).otherwise(
+            F.array().cast("array<struct<rule_id:string,error_type:string>>")),
+    )))

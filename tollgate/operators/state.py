@@ -61,14 +61,12 @@ def with_first_seen(df: DataFrame, split: Split, window_s: int) -> DataFrame:
 def with_balance(df: DataFrame, split: Split, per_currency: bool = False) -> DataFrame:
     """Add ``balance``: sum of the amounts of new transactions so far, in minor units.
 
-    Like the state it models, the sum ignores the currency; ``per_currency`` adds it to the key
-    (only for users that are not cut, and for cut users through the same pieces).
+    Like the state it models, the sum ignores the currency unless ``per_currency`` is set.
     """
     if per_currency:
-        split = Split((*split.keys, "currency"), split.cuts) if split.cuts is None else find_split(
-            df.drop(PIECE), (*USER, "currency"), "proc_ms"
-        )
         df = df.drop(PIECE)
+        keys = (*USER, "currency")
+        split = Split(keys) if split.cuts is None else find_split(df, keys, "proc_ms")
     counted = F.when(F.col("is_new"), F.col("amount")).otherwise(F.lit(0))
     return running(df, split, ["seq"], {"balance": Running("sum", counted)}, at=F.col("proc_ms"))
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tollgate.operators.signing import with_wire_envelope, with_wire_payload, wrap
 from tollgate.params import Params
+from tollgate.session import computed_once
 
 # Parameters under which the test data has both flagged and approved rows.
 FIXTURE_PARAMS = Params(
@@ -91,3 +93,76 @@ all_txn AS (
   FROM m),
 txn AS (SELECT * EXCLUDE (event_id, event_type) FROM all_txn WHERE event_type <> 'error')
 """
+
+
+# --- raw messages ------------------------------------------------------------------------
+
+def complete_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as transaction rows with the remaining declared fields filled in."""
+    event_id = F.col("event_id")
+    return as_transactions(messages(spark, sf_dir)).withColumns({
+        "device_fingerprint": F.concat(F.lit("fp-"), (event_id % 97).cast("string")),
+        "ip_address": F.when(event_id % 7 == 0, "2001:db8::17").otherwise("10.1.2.3"),
+        "user_agent": F.when(event_id % 11 == 0, 'agent "x" \\ 1').otherwise("agent/1.0"),
+        "validator_id": F.when(F.col("type") == "TransactionValidated", "validator-1"),
+        "reason": F.lit(None).cast("string"),
+        "risk_score": F.lit(None).cast("double"),
+    })
+
+
+def raw_messages(spark: SparkSession, sf_dir: str, key: str = FIXTURE_PARAMS.signing_key) -> DataFrame:
+    """Messages as a broker delivers them, good and bad.
+
+    Even events come as signed envelopes, odd ones bare. ``error`` events are broken by
+    ``event_id % 6``: cut off, short currency, bad address, empty merchant, fractional amount,
+    null value. One even event in fifty has its amount changed after signing.
+    """
+    event_id = F.col("event_id")
+    fault = F.when(F.col("event_type") == "error", event_id % 6)
+    tampered = fault.isNull() & (event_id % 50 == 4)
+    # The test table is one small file; spread the signing over the cores.
+    spread = complete_transactions(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
+    rows = spread.withColumns({
+        "currency": F.when(fault == 1, "US").otherwise(F.col("currency")),
+        "ip_address": F.when(fault == 2, "not-an-ip").otherwise(F.col("ip_address")),
+        "merchant_id": F.when(fault == 3, "").otherwise(F.col("merchant_id")),
+    })
+    signed = wrap(rows, key, F.col("proc_ms") * 1_000_000, "proc:1").withColumn(
+        "amount", F.when(tampered, F.col("amount") + 1).otherwise(F.col("amount"))
+    )
+    is_envelope = event_id % 2 == 0
+    wired = with_wire_envelope(with_wire_payload(signed, "_bare", is_envelope), "_envelope", "_bare")
+    wired = wired.withColumn("_text", F.when(is_envelope, F.col("_envelope")).otherwise(F.col("_bare")))
+    text = F.col("_text")
+    value = (
+        F.when(fault == 0, text.substr(F.lit(1), F.length(text) - 5))
+        .when(fault == 4, F.regexp_replace(text, '"value":"[0-9]+"', '"value":"1.5"'))
+        .when(fault == 5, F.lit(None))
+        .otherwise(text)
+    )
+    return computed_once(wired.select(
+        F.when(event_id % 40 != 1, F.col("transaction_id")).alias("key"),
+        value.alias("value"),
+        F.lit("transactions-validated").alias("topic"),
+        (event_id % 4).cast("int").alias("partition"),
+        F.col("seq").alias("offset"),
+        F.timestamp_millis("proc_ms").alias("timestamp"),
+    ))
+
+
+# The rows of the raw view with the error class each message must get.
+RAW_SQL = TXN_SQL + """,
+raw AS (
+  SELECT CASE WHEN event_id % 40 <> 1 THEN transaction_id END AS key, seq AS offset_,
+    CAST(event_id % 4 AS INTEGER) AS partition_,
+    event_id % 2 = 0 AS is_envelope,
+    CASE WHEN event_type = 'error' THEN CASE event_id % 6
+        WHEN 0 THEN 'SyntaxError' WHEN 2 THEN 'EnvelopeValidationError'
+        WHEN 4 THEN 'EnvelopeValidationError' WHEN 5 THEN NULL ELSE 'SchemaValidationError' END
+      WHEN event_id % 50 = 4 THEN 'SecurityViolationError' END AS error_type,
+    event_type = 'error' AND event_id % 6 = 5 AS is_tombstone,
+    CASE WHEN event_type = 'error' THEN event_id % 6 END AS fault,
+    event_type <> 'error' AND event_id % 50 = 4 AS is_tampered,
+    all_txn.* EXCLUDE (event_type)
+  FROM all_txn)
+"""
