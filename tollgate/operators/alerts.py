@@ -28,6 +28,9 @@ def with_suppression(alerts: DataFrame, ttl_s: int, fold_rows: int = FOLD_ROWS)
     reduced to the earliest before anything is grouped.
     """
     ttl_ms = ttl_s * 1000
+    # The alerts are read three times below; they are few, what they were computed from is not.
+    use_checkpoints(alerts.sparkSession)
+    alerts = alerts.checkpoint()
     times = alerts.groupBy(KEY, "proc_ms").agg(F.min("seq").alias("seq"))
     per_id = times.groupBy(KEY).agg(
         F.count(F.lit(1)).alias("_times"),
@@ -70,7 +73,6 @@ def _follow(times: DataFrame, ttl_ms: int, longest_ms: int) -> DataFrame:
     from an id's first time. Each round doubles the length of the pointers and of the part of
     the chain that is known, so the rounds grow with the logarithm of history / TTL.
     """
-    use_checkpoints(times.sparkSession)
     # Searching the pointer target is a running maximum over descending time.
     search = times.select(KEY, "proc_ms", F.explode(F.array(
         F.struct((-F.col("proc_ms")).alias("back"), F.lit(0).alias("is_query")),

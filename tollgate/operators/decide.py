@@ -11,6 +11,7 @@ from tollgate.functions.numeric import clamp01
 from tollgate.operators import state
 from tollgate.operators.rules import Outcome, RuleSet, default_rules
 from tollgate.params import UNLISTED_WEIGHT, Params
+from tollgate.session import computed_once
 
 VALIDATED = "TransactionValidated"
 APPROVED, FLAGGED, ERROR = "APPROVED", "FLAGGED", "ERROR"
@@ -62,7 +63,7 @@ def decide(df: DataFrame, rules: RuleSet, params: Params) -> DataFrame:
     Rows that are not validated transactions, and rows with a rule score outside [0, 1], get
     the decision ``ERROR`` and an ``error`` text.
     """
-    outcomes = [(rule, rule.outcome()) for rule in rules]
+    df, outcomes = with_outcomes(df, rules)
     only = [o for _, o in outcomes]
     critical = any_of([o.failed for rule, o in outcomes if params.is_critical(rule.rule_id)])
     outside = any_of([
@@ -70,21 +71,37 @@ def decide(df: DataFrame, rules: RuleSet, params: Params) -> DataFrame:
         for o in only
     ])
     mean = weighted_mean([(o, params.weight(rule.rule_id)) for rule, o in outcomes])
-    return (
+    decided = (
         df.withColumns({
             "error": F.when(F.col("type") != VALIDATED, "Only validated transactions can be orchestrated")
             .when(outside, "RiskScore must be in the range [0.0, 1.0]."),
             "fail_closed": critical,
-            "risk_score": F.when(critical, 1.0).otherwise(mean),
+            "_score": F.when(critical, 1.0).otherwise(mean),
             "reason": reasons(only),
             "failed_rules": F.concat_ws(",", *[F.when(o.failed, rule.rule_id) for rule, o in outcomes]),
         })
-        .withColumn("decision", F.when(F.col("error").isNotNull(), ERROR)
-                    .when(F.col("fail_closed") | (F.col("risk_score") >= params.fraud_threshold), FLAGGED)
-                    .otherwise(APPROVED))
-        .withColumn("risk_score", F.when(F.col("decision") != ERROR, F.col("risk_score")))
-        .withColumn("orchestration_version", F.lit(params.orchestration_version))
+        .withColumns({
+            "decision": F.when(F.col("error").isNotNull(), ERROR)
+            .when(F.col("fail_closed") | (F.col("_score") >= params.fraud_threshold), FLAGGED)
+            .otherwise(APPROVED),
+            "risk_score": F.when(F.col("error").isNull(), F.col("_score")),
+            "orchestration_version": F.lit(params.orchestration_version),
+        })
+        .drop("_score", *[c for c in df.columns if c.startswith("_rule")])
     )
+    return computed_once(decided, ["error", "fail_closed", "risk_score", "decision"])
+
+
+def with_outcomes(df: DataFrame, rules: RuleSet) -> tuple[DataFrame, list]:
+    """Compute each rule's outcome as columns; returns the outcomes as references to them."""
+    columns, named = {}, []
+    for i, rule in enumerate(rules):
+        outcome = rule.outcome()
+        parts = {"score": outcome.score, "is_suspicious": outcome.is_suspicious,
+                 "findings": outcome.findings, "error": outcome.error}
+        columns.update({f"_rule{i}_{part}": value for part, value in parts.items()})
+        named.append((rule, Outcome(**{part: F.col(f"_rule{i}_{part}") for part in parts})))
+    return df.withColumns(columns), named
 
 
 def score_transactions(
@@ -104,7 +121,7 @@ def score_transactions(
 
 def evaluate_all(prepared: DataFrame, rules: RuleSet, params: Params) -> DataFrame:
     """The other aggregation: plain mean over all rules, with every rule's result kept."""
-    outcomes = [(rule, rule.outcome()) for rule in rules]
+    prepared, outcomes = with_outcomes(prepared, rules)
     critical = any_of([o.failed for rule, o in outcomes if params.is_critical(rule.rule_id)])
     score = F.when(critical, 1.0).otherwise(plain_mean([o for _, o in outcomes]))
     # A failed rule is kept as a harmless result that says why it failed.
@@ -122,7 +139,7 @@ def evaluate_all(prepared: DataFrame, rules: RuleSet, params: Params) -> DataFra
         "aggregate_score": score,
         "is_suspicious": critical | (score >= params.fraud_threshold),
         "results": results,
-    })
+    }).drop(*[c for c in prepared.columns if c.startswith("_rule")])
 
 
 def weighted_risk_long(results: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:

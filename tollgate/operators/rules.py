@@ -72,6 +72,8 @@ class VelocityRule:
         self.params = params
 
     def prepare(self, df: DataFrame, split: Split) -> DataFrame:
+        if "velocity_count" in df.columns:  # a stream brings the state along
+            return df
         return state.with_velocity(df, split, self.params.velocity_window_s)
 
     def outcome(self) -> Outcome:
@@ -107,54 +109,57 @@ class TravelRule:
         self.params = params
 
     def prepare(self, df: DataFrame, split: Split) -> DataFrame:
-        return state.with_previous_telemetry(df, split, self.params.telemetry_max_age_s)
-
-    @staticmethod
-    def distance_km() -> Column:
-        return haversine_km(
+        """Add ``prev`` and, where they are defined, ``travel_km`` and ``travel_kmh``."""
+        if "prev" not in df.columns:  # a stream brings the state along
+            df = state.with_previous_telemetry(df, split, self.params.telemetry_max_age_s)
+        usable = F.col("prev").isNotNull()
+        for name in ("prev.latitude", "prev.longitude", "latitude", "longitude"):
+            usable = usable & is_finite(F.col(name))
+        distance = haversine_km(
             F.col("prev.latitude"), F.col("prev.longitude"), F.col("latitude"), F.col("longitude")
         )
+        hours = hours_between(F.col("prev.timestamp_ns"), F.col("timestamp_ns"))
+        return df.withColumn("travel_km", F.when(usable, distance)).withColumn(
+            "travel_kmh", F.when(~self.out_of_order(), F.col("travel_km") / hours)
+        )
 
     @staticmethod
     def out_of_order() -> Column:
         return F.col("timestamp_ns") <= F.col("prev.timestamp_ns")
 
-    @classmethod
-    def speed_kmh(cls) -> Column:
-        """Null where no speed is defined."""
-        usable = F.col("prev").isNotNull() & ~cls.out_of_order()
-        for name in ("prev.latitude", "prev.longitude", "latitude", "longitude"):
-            usable = usable & is_finite(F.col(name))
-        hours = hours_between(F.col("prev.timestamp_ns"), F.col("timestamp_ns"))
-        return F.when(usable, cls.distance_km() / hours)
-
     def outcome(self) -> Outcome:
         known = F.col("prev").isNotNull()
         stored_ok = is_finite(F.col("prev.latitude")) & is_finite(F.col("prev.longitude"))
-        current_ok = is_finite(F.col("latitude")) & is_finite(F.col("longitude"))
-        speed = self.speed_kmh()
-        too_fast = speed > F.lit(float(self.params.speed_limit_kmh))
-        fired = F.coalesce(~F.isnan(speed) & too_fast, F.lit(False))
+        speed = F.col("travel_kmh")
+        too_fast = ~F.isnan(speed) & (speed > F.lit(float(self.params.speed_limit_kmh)))
+        fired = F.coalesce(too_fast, F.lit(False))
+
+        def place(prefix: str, lat: str, lon: str) -> Column:
+            return F.concat(
+                F.lit(f"{prefix} {lat}="), F.coalesce(F.col(self._column(lat)).cast("string"), F.lit("null")),
+                F.lit(f", {lon}="), F.coalesce(F.col(self._column(lon)).cast("string"), F.lit("null")),
+            )
+
         return Outcome(
             score=F.when(fired, TRAVEL_SCORE).otherwise(0.0),
             is_suspicious=fired,
             findings=F.when(~known, "No previous telemetry found (warm-up phase).")
             .when(self.out_of_order(),
                   "Transaction is older than or same age as last recorded state (out-of-order).")
-            .when(fired, F.format_string(
-                "Impossible travel: %.2f km/h over %.2f km.", speed, self.distance_km()))
+            .when(fired, F.format_string("Impossible travel: %.2f km/h over %.2f km.", speed, "travel_km"))
             .otherwise("Geospatial velocity within normal bounds."),
-            error=F.when(known & ~stored_ok, F.concat(
-                F.lit("Inconsistent telemetry data stored: lat1="),
-                F.coalesce(F.col("prev.latitude").cast("string"), F.lit("null")), F.lit(", lon1="),
-                F.coalesce(F.col("prev.longitude").cast("string"), F.lit("null")),
-            )).when(known & ~current_ok, F.concat(
-                F.lit("Invalid transaction telemetry coordinates: lat2="),
-                F.coalesce(F.col("latitude").cast("string"), F.lit("null")), F.lit(", lon2="),
-                F.coalesce(F.col("longitude").cast("string"), F.lit("null")),
-            )),
+            error=F.when(
+                known & F.col("travel_km").isNull(),
+                F.when(~stored_ok, place("Inconsistent telemetry data stored:", "lat1", "lon1"))
+                .otherwise(place("Invalid transaction telemetry coordinates:", "lat2", "lon2")),
+            ),
         )
 
+    @staticmethod
+    def _column(label: str) -> str:
+        name = {"lat": "latitude", "lon": "longitude"}[label[:3]]
+        return f"prev.{name}" if label.endswith("1") else name
+
 
 class MerchantRule:
     """Merchant is on the blacklist: exact, case-sensitive.

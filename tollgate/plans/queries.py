@@ -332,15 +332,15 @@ def q_blacklist_hits_by_merchant(spark, sf_dir):
 @query(FULL + "SELECT seq, transaction_id, round(km, 6) AS km FROM speed WHERE prev IS NOT NULL")
 def q_haversine(spark, sf_dir):
     df, split = with_states(spark, sf_dir)
-    seen = state.with_previous_telemetry(df, split).where(F.col("prev").isNotNull())
-    return seen.select("seq", "transaction_id", rounded(rules.TravelRule.distance_km()).alias("km"))
+    travelled = rules.TravelRule(P).prepare(df, split).select("seq", "transaction_id", rounded("travel_km").alias("km"))
+    return travelled.where(F.col("km").isNotNull())
 
 
 @query(FULL + "SELECT seq, transaction_id, round(kmh, 3) AS kmh FROM speed WHERE kmh IS NOT NULL")
 def q_travel_speed(spark, sf_dir):
     df, split = with_states(spark, sf_dir)
-    speeds = state.with_previous_telemetry(df, split).select(
-        "seq", "transaction_id", rounded(rules.TravelRule.speed_kmh(), 3).alias("kmh"))
+    speeds = rules.TravelRule(P).prepare(df, split).select(
+        "seq", "transaction_id", rounded("travel_kmh", 3).alias("kmh"))
     return speeds.where(F.col("kmh").isNotNull())
 
 
@@ -1006,14 +1006,14 @@ def seconds() -> Column:
 BOUNDS = rollups.BUCKETS["operation"]
 HISTOGRAM_SQL = TXN_SQL + ", d AS (SELECT type AS operation, amount / 100000.0::DOUBLE AS s FROM txn), hist AS (" + " UNION ALL ".join(
     f"SELECT operation, '{b}' AS le, {b}::DOUBLE AS bound, count(*) FILTER (s <= {b}::DOUBLE) AS cumulative, count(*) AS total, "
-    "round(sum(s), 4) AS sum_seconds FROM d GROUP BY operation" for b in BOUNDS
-) + " UNION ALL SELECT operation, '+Inf', NULL, count(*), count(*), round(sum(s), 4) FROM d GROUP BY operation)"
+    "round(sum(s), 5) AS sum_seconds FROM d GROUP BY operation" for b in BOUNDS
+) + " UNION ALL SELECT operation, '+Inf', NULL, count(*), count(*), round(sum(s), 5) FROM d GROUP BY operation)"
 
 
 @query(HISTOGRAM_SQL + "SELECT operation, le, cumulative, total, sum_seconds FROM hist")
 def q_latency_histogram(spark, sf_dir):
     return rollups.latency_histogram(operations(spark, sf_dir), ["operation"], seconds(), BOUNDS).select(
-        "operation", "le", "cumulative", "total", rounded("sum_seconds", 4).alias("sum_seconds"))
+        "operation", "le", "cumulative", "total", rounded("sum_seconds", 5).alias("sum_seconds"))
 
 
 @query(TXN_SQL + """SELECT type AS operation, round(quantile_cont(amount, 0.95), 6) AS p95,

@@ -28,14 +28,16 @@ def use_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
-def computed_once(df: DataFrame) -> DataFrame:
-    """Keep later filters above the expensive columns of ``df``.
+def computed_once(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Keep later filters on the given (default: all) columns above their computation.
 
     A filter on a computed column is otherwise pushed down by repeating the column's whole
-    expression, which for parsing and signing doubles the work. Rows pass through a one-row
-    ``inline``, below which such filters are not pushed.
+    expression, which for parsing, signing and scoring doubles the work. The columns pass through
+    a one-row ``inline``, below which such filters are not pushed; the others stay prunable.
     """
-    return df.select(F.inline(F.array(F.struct("*"))))
+    columns = df.columns if columns is None else columns
+    others = [c for c in df.columns if c not in columns]
+    return df.select(*others, F.inline(F.array(F.struct(*columns))))
 
 
 def tune(spark: SparkSession) -> SparkSession:
