@@ -120,19 +120,23 @@ class Pipeline:
 
     # --- alerts ---
 
-    def alert_events(self, decisions: DataFrame) -> DataFrame:
+    def alert_events(self, decisions: DataFrame, forget_after_s: int | None = None) -> DataFrame:
+        """Alerts that go out. With ``forget_after_s`` the query runs until it is stopped: expiry
+        keeps triggering micro-batches, so it cannot be used with ``availableNow``.
+        """
         events = alerts.flagged_events(decisions).select(
             "seq", "proc_ms", "transaction_id", "user_id", "merchant_id", "amount", "currency", "type",
             "timestamp_ns", "latitude", "longitude", "device_fingerprint", "ip_address", "user_agent",
             "validator_id", "reason", "risk_score",
         )
         return events.groupBy("transaction_id").transformWithStateInPandas(
-            statefulProcessor=AlertSuppression(self.params.alert_ttl_s),
-            outputStructType=events.schema, outputMode="append", timeMode="ProcessingTime",
+            statefulProcessor=AlertSuppression(self.params.alert_ttl_s, forget_after_s),
+            outputStructType=events.schema, outputMode="append",
+            timeMode="none" if forget_after_s is None else "ProcessingTime",
         )
 
-    def write_alerts(self, schema: StructType):
-        sent = self.alert_events(self._follow("decisions", schema))
+    def write_alerts(self, schema: StructType, forget_after_s: int | None = None):
+        sent = self.alert_events(self._follow("decisions", schema), forget_after_s)
         return stream_records(
             alerts.alert_records(sent, self.params), self.path("alerts"), self.checkpoint("alerts")
         )

@@ -83,14 +83,18 @@ class UserState(StatefulProcessor):
 
 
 class AlertSuppression(StatefulProcessor):
-    """Passes the first alert of an id and the first one a full TTL after the last passed."""
+    """Passes the first alert of an id and the first one a full TTL after the last passed.
 
-    def __init__(self, ttl_s: int):
+    ``forget_after_s`` lets ids expire by the processing clock, to bound the state of a job that
+    runs for ever; such a job needs the time mode ``ProcessingTime``.
+    """
+
+    def __init__(self, ttl_s: int, forget_after_s: int | None = None):
         self.ttl_ms = ttl_s * 1000
+        self.forget_after_ms = None if forget_after_s is None else forget_after_s * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        # Forgotten by the processing clock long after it can matter, to bound the state.
-        self.sent = handle.getValueState("sent", ARRIVAL, ttlDurationMs=24 * self.ttl_ms)
+        self.sent = handle.getValueState("sent", ARRIVAL, ttlDurationMs=self.forget_after_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(rows, ignore_index=True).sort_values(["proc_ms", "seq"], ignore_index=True)
