@@ -21,7 +21,8 @@ def with_number_text(df: DataFrame, numbers: dict[str, str]) -> DataFrame:
     """Add texts of doubles as JavaScript writes them, ``{column: output}``; not finite -> ``null``.
 
     The runtime's own double text has the right digits when it has at most 15 of them; longer
-    ones are replaced by a 16-digit text if that reads back as the same double. The steps are
+    ones are replaced by a 16- or 17-digit text if that reads back as the same double. From 1e17
+    on (no coordinate or score) the last of 17 digits may still differ by one. The steps are
     separate columns so that none is computed, or compiled, more than once.
     """
     def simple(name: str) -> Column:
@@ -30,8 +31,14 @@ def with_number_text(df: DataFrame, numbers: dict[str, str]) -> DataFrame:
         return (size >= 1e-3) & (size < 1e7) & (F.length(f"_raw_{name}") <= 16)
 
     def digits(name: str) -> Column:
-        sixteen = F.when(~simple(name), F.format_string("%.15e", name))
-        return F.when(sixteen.try_cast("double") == F.col(name), sixteen).otherwise(F.col(f"_raw_{name}"))
+        rare, value = ~simple(name), F.col(name)
+        sixteen = F.when(rare, F.format_string("%.15e", name))
+        seventeen = F.when(rare, F.format_string("%.16e", name))
+        return (
+            F.when(sixteen.try_cast("double") == value, sixteen)
+            .when(seventeen.try_cast("double") == value, seventeen)
+            .otherwise(F.col(f"_raw_{name}"))
+        )
 
     def final(name: str) -> Column:
         value, text = F.col(name), F.col(f"_digits_{name}")
