@@ -208,10 +208,10 @@ def test_dead_letters(spark):
     letter = deadletter.dead_letters(df).first()
     assert letter.key == "k" and json.loads(letter.value) == {
         "originalPayload": "{", "error": "bad", "timestamp": 1_700_000_000_000}
-    traced = deadletter.dead_letters_with_provenance(df).first()
+    traced = deadletter.dead_letters_with_provenance(df, "ingest-7").first()
     assert traced.key == "17:SyntaxError"
     assert json.loads(traced.value) == {
-        "metadata": {"timestamp": 1_700_000_000_000, "sourceComponent": "fraud-detection-engine",
+        "metadata": {"timestamp": 1_700_000_000_000, "sourceComponent": "ingest-7",
                      "errorType": "SyntaxError", "originalTopic": "t", "originalPartition": 3, "originalOffset": "17"},
         "payload": "{", "signature": None}
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed value: component named in records with provenance.
-SOURCE_COMPONENT = "fraud-detection-engine"
 UNKNOWN_ERROR = "UnknownError"
 
 
@@ -25,13 +23,15 @@ def dead_letters(rejected: DataFrame, now_ms: Column | None = None) -> DataFrame
     )
 
 
-def dead_letters_with_provenance(rejected: DataFrame, now_ms: Column | None = None) -> DataFrame:
+def dead_letters_with_provenance(
+    rejected: DataFrame, source_component: str = "tollgate", now_ms: Column | None = None
+) -> DataFrame:
     """Records that say where the message came from; key is ``offset:errorType``."""
     at = F.unix_millis("timestamp") if now_ms is None else now_ms
     kind = F.coalesce("error_type", F.lit(UNKNOWN_ERROR))
     origin = F.struct(
         at.alias("timestamp"),
-        F.lit(SOURCE_COMPONENT).alias("sourceComponent"),
+        F.lit(source_component).alias("sourceComponent"),
         kind.alias("errorType"),
         F.col("topic").alias("originalTopic"),
         F.col("partition").alias("originalPartition"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tollgate.functions.text import csv_set
 from tollgate.operators.rules import VELOCITY_SCORE, MerchantRule, Outcome, RuleSet, TravelRule, VelocityRule
@@ -23,13 +24,16 @@ def with_params_in_force(
     """
     fields = ["effective_from", *[c for c in history.columns if c != "effective_from"]]
     ordered = history.select(F.struct(*fields).alias("_p"))
-    if history.count() <= literal_rows:
-        table = ordered.agg(F.array_sort(F.collect_list("_p")).alias("_all"))
-        valid = F.filter("_all", lambda p: p["effective_from"] <= F.col("proc_ms"))
-        # One row holding at most literal_rows structs.
-        return df.join(F.broadcast(table)).withColumn(
+    entry = ordered.schema["_p"].dataType
+    rows = history.select(*fields).limit(literal_rows + 1).collect()
+    if len(rows) <= literal_rows:
+        entries = [F.struct(*map(F.lit, row)).cast(entry) for row in sorted(rows)]
+        valid = F.filter(
+            F.array(*entries).cast(T.ArrayType(entry)), lambda p: p["effective_from"] <= F.col("proc_ms")
+        )
+        return df.withColumn(
             "in_force", F.when(F.size(valid) > 0, F.element_at(valid, F.greatest(F.size(valid), F.lit(1))))
-        ).drop("_all")
+        )
 
     # Any size: changes and transactions in one time order, the last change runs along.
     all_rows = df.select(
