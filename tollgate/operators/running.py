@@ -30,10 +30,15 @@ MAX_PIECES = 16_384
 
 @dataclass(frozen=True)
 class Split:
-    """Keys to group by and, for oversized keys, where their rows are cut along the order."""
+    """Keys to group by and, for oversized keys, where their rows are cut along the order.
+
+    ``large`` holds the rows of the oversized keys, ``finer`` a split of those rows by more keys.
+    """
 
     keys: tuple[str, ...]
     cuts: DataFrame | None = None
+    large: DataFrame | None = None
+    finer: Split | None = None
 
     def place(self, df: DataFrame, at: Column) -> DataFrame:
         """Add the piece number of each row; null for keys that are not cut."""
@@ -51,10 +56,6 @@ class Split:
             .drop("_heads", "_runs")
         )
 
-    def only_large(self, df: DataFrame) -> DataFrame:
-        """The rows of the keys that are cut."""
-        return df.join(F.broadcast(self.cuts.select(*self.keys)), list(self.keys), "left_semi")
-
 
 def find_split(
     df: DataFrame, keys: Sequence[str], order: str, group_rows: int | None = None
@@ -104,7 +105,8 @@ def find_split(
         .select(*keys, F.transform("_runs", lambda run: run[0]).alias("_heads"), "_runs")
     )
     # Bounded by MAX_PIECES, see above. Held as rows so that every use sees the same cuts.
-    return Split(tuple(keys), df.sparkSession.createDataFrame(located.collect(), located.schema))
+    cuts = df.sparkSession.createDataFrame(located.collect(), located.schema)
+    return Split(tuple(keys), cuts, df.join(F.broadcast(cuts.select(*keys)), list(keys), "left_semi"))
 
 
 @dataclass(frozen=True)
@@ -130,11 +132,16 @@ def running(
     order: Sequence[Column | str],
     aggregates: dict[str, Running],
     at: Column | None = None,
+    totals_of: DataFrame | None = None,
 ) -> DataFrame:
     """Add running aggregates over the rows of each key in ``order``.
 
     A running sum over no rows is 0, a running max over no rows is null. ``at`` is the order
     value by which rows are put into pieces; a frame that already carries pieces keeps them.
+
+    The totals of the pieces are a second pass over the rows. ``totals_of`` names an equal but
+    cheaper table of the oversized keys' rows for it, so that the other keys, and what was
+    computed for ``df`` before, do not run twice.
     """
     keys = list(split.keys)
     if split.cuts is None:
@@ -148,8 +155,9 @@ def running(
     earlier_pieces = (
         Window.partitionBy(*keys).orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
     )
+    counted = placed if totals_of is None else split.place(totals_of, at)
     carried = (
-        placed.where(F.col(PIECE).isNotNull())
+        counted.where(F.col(PIECE).isNotNull())
         .groupBy(*keys, PIECE)
         .agg(*[a.aggregate(a.value).alias(f"_carry_{name}") for name, a in aggregates.items()])
         .withColumns({

@@ -4,21 +4,31 @@ Input columns: ``user_id, transaction_id, seq, proc_ms`` and, where needed, ``am
 ``timestamp_ns, latitude, longitude``. ``seq`` is the total arrival order; ``proc_ms`` is the
 processing clock and must not decrease along ``seq`` within a user. ``timestamp_ns`` is the
 event clock and may be in any order.
+
+The operators keep every row, so they can be chained on one table with one split: get it from
+``user_split(df)``, start with ``by_user(df, split)``, and do not filter in between.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tollgate.operators.running import PIECE, Running, Split, find_split, running
 
 USER = ("user_id",)
+OCCURRENCE = ("user_id", "transaction_id")
 
 
 def user_split(df: DataFrame, group_rows: int | None = None) -> Split:
     """Find users with too many rows for one task; share the result between the operators."""
-    return find_split(df, USER, "proc_ms", group_rows)
+    split = find_split(df, USER, "proc_ms", group_rows)
+    if split.cuts is None:
+        return split
+    # Ids of a large user spread by (user, id); a single id may again be large.
+    return replace(split, finer=find_split(split.large, OCCURRENCE, "proc_ms"))
 
 
 def by_user(df: DataFrame, split: Split) -> DataFrame:
@@ -30,17 +40,17 @@ def by_user(df: DataFrame, split: Split) -> DataFrame:
 
 def with_previous_occurrence(df: DataFrame, split: Split) -> DataFrame:
     """Add ``prev_ms``: clock of the same transaction id's previous arrival for the user."""
-    pair = (*USER, "transaction_id")
     if split.cuts is None:
-        window = Window.partitionBy(*pair).orderBy("seq")
+        window = Window.partitionBy(*OCCURRENCE).orderBy("seq")
         return df.withColumn("prev_ms", F.lag("proc_ms").over(window))
-    # Ids of a large user spread by (user, id); a single id may again be large.
-    pair_split = find_split(split.only_large(df), pair, "proc_ms")
+    found = _previous_occurrence(df.drop(PIECE), split)
+    return split.place(found, F.col("proc_ms"))
+
+
+def _previous_occurrence(df: DataFrame, split: Split) -> DataFrame:
     last = Running("max", F.struct("seq", "proc_ms"), inclusive=False)
-    found = running(
-        df.drop(PIECE), pair_split, ["seq"], {"_last": last}, at=F.col("proc_ms")
-    ).withColumn("prev_ms", F.col("_last.proc_ms"))
-    return split.place(found.drop(PIECE, "_last"), F.col("proc_ms"))
+    found = running(df, split.finer, ["seq"], {"_last": last}, at=F.col("proc_ms"))
+    return found.withColumn("prev_ms", F.col("_last.proc_ms")).drop(PIECE, "_last")
 
 
 def with_first_seen(df: DataFrame, split: Split, window_s: int) -> DataFrame:
@@ -53,7 +63,7 @@ def with_first_seen(df: DataFrame, split: Split, window_s: int) -> DataFrame:
     if "prev_ms" not in df.columns:
         df = with_previous_occurrence(df, split)
     call = Running("max", F.struct("seq", "proc_ms"), inclusive=False)
-    df = running(df, split, ["seq"], {"_call": call}, at=F.col("proc_ms"))
+    df = running(df, split, ["seq"], {"_call": call}, at=F.col("proc_ms"), totals_of=split.large)
     forgotten = F.col("_call.proc_ms") >= F.col("prev_ms") + F.lit(window_s * 1000)
     return df.withColumn("is_new", F.col("prev_ms").isNull() | forgotten).drop("_call")
 
@@ -85,28 +95,45 @@ def with_velocity(
         df = with_previous_occurrence(df, split)
     window_ms = F.lit(window_s * 1000)
     alive = F.col("prev_ms").isNotNull() & (F.col("prev_ms") > F.col("proc_ms") - window_ms)
-    row = [c for c in df.columns if c not in (*USER, PIECE)]
-
-    def step(clock: Column, kind: int, change: Column, payload: Column) -> Column:
-        return F.struct(
-            clock.alias("clock"), F.lit(kind).alias("kind"), change.alias("change"),
-            payload.alias("row"),
-        )
-
-    payload = F.struct(*row)
-    no_payload = F.when(F.lit(False), payload)
-    arrival = step(F.col("proc_ms"), 1, F.when(alive, 0).otherwise(1), payload)
-    removal = step(F.col("proc_ms") + window_ms, 0, F.lit(-1), no_payload)
-    cancel = step(F.col("prev_ms") + window_ms, 0, F.lit(1), no_payload)
-    steps = F.when(alive, F.array(arrival, removal, cancel)).otherwise(F.array(arrival, removal))
-
-    swept = df.select(*USER, F.explode(steps).alias("_step"))
+    fresh = F.when(alive, 0).otherwise(1)
+    cancelled = F.when(alive, F.col("prev_ms") + window_ms)
+    totals = None
+    if split.cuts is not None:
+        slim = split.large.select(*OCCURRENCE, "seq", "proc_ms")
+        totals = _steps(_previous_occurrence(slim, split), window_ms, fresh, F.lit(-1), cancelled)
     swept = running(
-        swept, split,
-        [F.col("_step.clock"), F.col("_step.kind"), F.col("_step.row.seq")],
+        _steps(df, window_ms, fresh, F.lit(-1), cancelled), split, STEP_ORDER,
         {output: Running("sum", F.col("_step.change"))},
-        at=F.col("_step.clock"),
+        at=F.col("_step.clock"), totals_of=totals,
     )
+    return _arrivals(swept, df, split, output)
+
+
+STEP_ORDER = ["_step.clock", "_step.kind", "_step.row.seq"]
+
+
+def _steps(df: DataFrame, window_ms: Column, enter: Column, leave: Column, cancelled: Column | None = None) -> DataFrame:
+    """Rows -> steps of a sweep: entering (with the row), leaving a window later, cancelling.
+
+    Leaving sorts before entering at the same time.
+    """
+    payload = F.struct(*[c for c in df.columns if c not in (*USER, PIECE)])
+
+    def step(clock: Column, kind: int, change: Column, row: Column) -> Column:
+        return F.struct(clock.alias("clock"), F.lit(kind).alias("kind"), change.alias("change"), row.alias("row"))
+
+    nothing = F.when(F.lit(False), payload)
+    usual = [step(F.col("proc_ms"), 1, enter, payload), step(F.col("proc_ms") + window_ms, 0, leave, nothing)]
+    steps = F.array(*usual)
+    if cancelled is not None:
+        extra = step(cancelled, 0, F.lit(1), nothing)
+        steps = F.when(cancelled.isNotNull(), F.array(*usual, extra)).otherwise(steps)
+    return df.select(*USER, F.explode(steps).alias("_step"))
+
+
+def _arrivals(swept: DataFrame, df: DataFrame, split: Split, output: str) -> DataFrame:
+    """The rows of a finished sweep."""
+    row = [c for c in df.columns if c not in (*USER, PIECE)]
     kept = [PIECE] if split.cuts is not None else []
     return swept.where(F.col("_step.kind") == 1).select(
         *USER, *[F.col(f"_step.row.{c}").alias(c) for c in row], *kept, output
@@ -130,7 +157,7 @@ def with_previous_telemetry(
     )
     df = running(
         df, split, ["seq"], {"prev": Running("max", telemetry, inclusive=False)},
-        at=F.col("proc_ms"),
+        at=F.col("proc_ms"), totals_of=split.large,
     )
     if max_age_s is None:
         return df
@@ -140,26 +167,15 @@ def with_previous_telemetry(
 
 def with_spend(df: DataFrame, split: Split, window_s: int) -> DataFrame:
     """Add ``spend``: amount of new transactions in ``(now - window, now]``, as a sweep."""
-    window_ms = F.lit(window_s * 1000)
-    row = [c for c in df.columns if c not in (*USER, PIECE)]
-    counted = F.when(F.col("is_new"), F.col("amount")).otherwise(F.lit(0).cast(df.schema["amount"].dataType))
-    payload = F.struct(*row)
-    steps = F.array(
-        F.struct(F.col("proc_ms").alias("clock"), F.lit(1).alias("kind"),
-                 counted.alias("change"), payload.alias("row")),
-        F.struct((F.col("proc_ms") + window_ms).alias("clock"), F.lit(0).alias("kind"),
-                 (-counted).alias("change"), F.when(F.lit(False), payload).alias("row")),
+    counted = F.when(F.col("is_new"), F.col("amount")).otherwise(
+        F.lit(0).cast(df.schema["amount"].dataType)
     )
     swept = running(
-        df.select(*USER, F.explode(steps).alias("_step")), split,
-        [F.col("_step.clock"), F.col("_step.kind"), F.col("_step.row.seq")],
+        _steps(df, F.lit(window_s * 1000), counted, -counted), split, STEP_ORDER,
         {"spend": Running("sum", F.col("_step.change"))},
         at=F.col("_step.clock"),
     )
-    kept = [PIECE] if split.cuts is not None else []
-    return swept.where(F.col("_step.kind") == 1).select(
-        *USER, *[F.col(f"_step.row.{c}").alias(c) for c in row], *kept, "spend"
-    )
+    return _arrivals(swept, df, split, "spend")
 
 
 def user_balances(df: DataFrame) -> DataFrame:
