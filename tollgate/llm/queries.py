@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollgate.llm import langid, mixing, packing, quality, simhash
+from tollgate.llm import langid, licenses, mixing, packing, pages, quality, simhash, sketches, tokens, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 PACKING_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+COUNTING_TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
@@ -54,6 +55,19 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+# --- 3: fingerprints -------------------------------------------------------------------------
+
+
+@query()
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sketches.edited(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        sketches.digest(F.col("sketch")).alias("fingerprint"), sketches.digest(F.col("edited_sketch")).alias("edited_fingerprint"),
+        "near_edited", "near_next",
+    )
+
+
 # --- 4: quality ------------------------------------------------------------------------------
 
 SQL_WORD = r"[^\x20\x09-\x0D]+"
@@ -93,6 +107,18 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- 5: licenses -----------------------------------------------------------------------------
+
+
+@query()
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree: source, then the id's thousands, then the id."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 1000).cast("string"), F.col("doc_id").cast("string"))
+    found = licenses.licenses(docs.select("doc_id", path.alias("path"), "text"))
+    return found.select("doc_id", "path", "license", "license_line", "is_license_file", "license_source", F.round("cosine", 6).alias("cosine"))
+
+
 # --- 6: near-duplicates ----------------------------------------------------------------------
 
 
@@ -102,6 +128,22 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+# --- 7: pages --------------------------------------------------------------------------------
+
+
+@query()
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
+# --- 8: token counts -------------------------------------------------------------------------
+
+
+@query()
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents"), COUNTING_TOKENIZER, limit=4096)
+
+
 # --- 9: mixing -------------------------------------------------------------------------------
 
 MIXING_SQL = rf"""
@@ -136,6 +178,19 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- 10: URLs --------------------------------------------------------------------------------
+
+RULES = [
+    urls.Rule("block", "net", "/"), urls.Rule("allow", "example.net", "/en/"),
+    urls.Rule("block", "example.com", "/de/"), urls.Rule("allow", "org", "/fr/"),
+]
+
+
+@query()
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict", "template")
+
+
 # --- the pipeline ----------------------------------------------------------------------------
 
 
