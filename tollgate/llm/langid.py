@@ -76,8 +76,9 @@ class Model:
     """The automata as one table of 32-bit steps.
 
     ``symbols`` maps bytes to columns (0: in no sample). A step is the place of the next state's
-    row; the top bit is set if the phrase ends before this byte, and the row is then the one that
-    the byte leads to from the start.
+    row; the top bit is set if a phrase begins with this byte, and the row is then the one that the
+    byte leads to from the start. Each automaton's last row, at ``roots``, is where a text begins
+    and where a byte leads that is not in the sample: the next byte always begins a phrase.
     """
 
     languages: tuple[str, ...]
@@ -102,14 +103,15 @@ def build(samples: dict[str, bytes]) -> Model:
     tables, roots, start = [], [], 0
     for language in languages:
         goes = transitions(samples[language])
-        rows = np.full((len(goes), width), -1, np.int64)
+        rows = np.full((len(goes) + 1, width), -1, np.int64)
         for state, edges in enumerate(goes):
             for byte, target in edges.items():
                 rows[state, symbols[byte]] = start + target * width
-        first = np.where(rows[0] < 0, start, rows[0])
+        nowhere = start + len(goes) * width
+        first = np.where(rows[0] < 0, nowhere, rows[0])
         steps = np.where(rows < 0, first | int(ENDS), rows).astype(np.uint32)
         tables.append(steps.ravel())
-        roots.append(start)
+        roots.append(nowhere)
         start += steps.size
     sizes = np.array([max(2, len(samples[x])) for x in languages], float)
     return Model(languages, symbols, np.concatenate(tables) if tables else np.zeros(0, np.uint32), np.array(roots, np.uint32), np.log2(sizes))
@@ -163,15 +165,12 @@ def phrases(model: Model, text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out = np.zeros((len(lengths), len(model.languages)), np.int64)
     for k, root in enumerate(model.roots):
         state = np.full(len(owner), root, np.uint32)
-        count = np.ones(len(owner), np.int32)
+        count = np.zeros(len(owner), np.int32)
         for step in range(int(sizes[0]) if len(sizes) else 0):
             n = active[step]
             seen = model.table[state[:n] + symbols[starts[:n] + step]]
             count[:n] += seen >> np.uint32(31)
             state[:n] = seen & ~ENDS
-        # The step that ends a phrase at a piece's very beginning ends an empty one.
-        if len(owner):
-            count -= (model.table[root + symbols[starts]] >> np.uint32(31)).astype(np.int32)
         np.add.at(out[:, k], owner, count)
     return out
 
