@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tollgate.operators import alerts, decide, ingest
+from tollgate.operators import alerts, decide, eventlog, ingest, state
 from tollgate.plans.fixtures import FIXTURE_PARAMS, raw_messages
 from tollgate.sources import messages as sources
 from tollgate.streaming.pipeline import Pipeline, counts_per_minute
@@ -17,26 +17,25 @@ def finished(spark, tmp_path_factory):
     stored = f"{root}/all"
     raw_messages(spark, SF).write.parquet(stored)
     everything = sources.stored_messages(spark, stored)
-    low, high = everything.approxQuantile("offset", [0.4, 0.7], 0.01)
-    parts = [everything.where(F.col("offset") <= low),
-             everything.where((F.col("offset") > low) & (F.col("offset") <= high)),
-             everything.where(F.col("offset") > high)]
-    # Two files before the first run, one before the second; one file per micro-batch.
+    low, high = everything.select(F.unix_millis("timestamp").alias("ms")).approxQuantile("ms", [0.4, 0.7], 0.01)
+    clock = F.unix_millis("timestamp")
+    parts = [everything.where(clock <= low), everything.where((clock > low) & (clock <= high)), everything.where(clock > high)]
+    # Two parts before the first run, one before the second; each in files that are in no order.
     for part in parts[:2]:
-        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
-    pipeline = Pipeline(spark, root, FIXTURE_PARAMS, max_files=1)
-    pipeline.run_available(sources.file_messages(spark, f"{root}/in", 1))
-    parts[2].coalesce(1).write.mode("append").parquet(f"{root}/in")
+        part.repartition(3).write.mode("append").parquet(f"{root}/in")
+    pipeline = Pipeline(spark, root, FIXTURE_PARAMS)
+    pipeline.run_available(sources.file_messages(spark, f"{root}/in"))
+    parts[2].repartition(2).write.mode("append").parquet(f"{root}/in")
     restarted = Pipeline(spark, root, FIXTURE_PARAMS)
-    restarted.run_available(sources.file_messages(spark, f"{root}/in", 1))
+    restarted.run_available(sources.file_messages(spark, f"{root}/in"))
     return everything, restarted
 
 
-def batch_decisions(everything):
-    good = ingest.accepted(ingest.ingest(everything, FIXTURE_PARAMS.signing_key))
+def batch_decisions(everything, params=FIXTURE_PARAMS):
+    good = ingest.accepted(ingest.ingest(everything, params.signing_key))
     rows = good.drop("reason", "risk_score").withColumns(
-        {"seq": F.col("offset"), "proc_ms": F.unix_millis("timestamp")})
-    return decide.score_transactions(rows, FIXTURE_PARAMS)
+        {"seq": state.arrival_seq(), "proc_ms": F.unix_millis("timestamp")})
+    return decide.score_transactions(rows, params)
 
 
 def test_decisions_equal_batch(spark, finished):
@@ -47,6 +46,48 @@ def test_decisions_equal_batch(spark, finished):
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
 
 
+@pytest.mark.parametrize("max_files", [1, 3, 100])
+def test_the_number_of_files_in_a_trigger_changes_nothing(spark, tmp_path, max_files):
+    """The source is throttled; what it brings is in arrival order, its files are not sorted inside."""
+    params = FIXTURE_PARAMS.with_(spend_limit=20_000, spend_window_s=43_200, telemetry_max_age_s=3600)
+    raw_messages(spark, SF).write.parquet(f"{tmp_path}/all")
+    everything = sources.stored_messages(spark, f"{tmp_path}/all")
+    clock = F.unix_millis("timestamp")
+    marks = everything.select(clock.alias("ms")).approxQuantile("ms", [0.25, 0.5, 0.75], 0.01)
+    for low, high in zip([0, *marks], [*marks, 2**60]):
+        part = everything.where((clock > low) & (clock <= high))
+        part.orderBy(F.rand(3)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    pipeline = Pipeline(spark, str(tmp_path), params)
+    messages = sources.file_messages(spark, f"{tmp_path}/in", max_files)
+    schema = pipeline.ingested(messages).schema
+    pipeline.write_ingested(messages).trigger(availableNow=True).start().awaitTermination()
+    pipeline.write_decisions(schema).trigger(availableNow=True).start().awaitTermination()
+    columns = ["seq", "transaction_id", "velocity_count", "spend", "risk_score", "decision", "reason"]
+    streamed = spark.read.parquet(pipeline.path("decisions")).selectExpr(*columns)
+    batch = batch_decisions(everything, params).selectExpr(*columns)
+    found = sorted(map(tuple, streamed.collect()))
+    assert found == sorted(map(tuple, batch.collect()))
+    assert any(row[-1].count("spent") for row in found)
+
+
+def test_a_new_checkpoint_keeps_the_old_log(spark, tmp_path):
+    batch = spark.createDataFrame([("e1", "u", "T", "{}", "{}", "s", 1)], "event_id string, aggregate_id string, event_type string, metadata string, payload string, signature string, seq bigint")
+    batch = batch.withColumn("created_at", F.timestamp_millis(F.lit(5))).withColumn("created_date", F.to_date("created_at"))
+    path = f"{tmp_path}/log"
+    eventlog.append(batch, path, None, 0, "first")
+    eventlog.append(batch.withColumn("event_id", F.lit("e2")), path, spark.read.parquet(path), 0, "second")
+    eventlog.append(batch.withColumn("event_id", F.lit("e2")), path, spark.read.parquet(path).where("writer <> 'second'"), 0, "second")
+    assert sorted((r.event_id, r.version) for r in spark.read.parquet(path).collect()) == [("e1", 1), ("e2", 2)]
+
+
+def test_an_unreadable_log_is_an_error(spark, tmp_path):
+    pipeline = Pipeline(spark, str(tmp_path), FIXTURE_PARAMS)
+    assert pipeline.log() is None
+    (tmp_path / "log").mkdir()
+    with pytest.raises(Exception, match="(?i)infer schema"):
+        pipeline.log()
+
+
 def test_alerts_equal_batch(spark, finished):
     everything, pipeline = finished
     sent = alerts.with_suppression(alerts.flagged(batch_decisions(everything)), FIXTURE_PARAMS.alert_ttl_s)

@@ -41,6 +41,17 @@ def kafka_messages(spark: SparkSession, options: dict[str, str]) -> DataFrame:
     )
 
 
+def write_kafka(records: DataFrame, options: dict[str, str]) -> None:
+    """Batch write of key/value records to a topic; needs the Kafka connector on the class path."""
+    records.selectExpr("CAST(key AS STRING) AS key", "CAST(value AS STRING) AS value").write.format("kafka").options(**options).save()
+
+
+def stream_kafka(records: DataFrame, options: dict[str, str], checkpoint: str):
+    """Streaming write of the same; at least once, so consumers go by the records' keys."""
+    rows = records.selectExpr("CAST(key AS STRING) AS key", "CAST(value AS STRING) AS value")
+    return rows.writeStream.format("kafka").options(**options).option("checkpointLocation", checkpoint)
+
+
 def file_messages(spark: SparkSession, path: str, max_files: int = 1_000) -> DataFrame:
     """Stream from Parquet files with the same columns."""
     return (

@@ -10,14 +10,16 @@ harmless; the log overwrites the directory of its batch. No watermark: late even
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from tollgate.operators import alerts, deadletter, decide, eventlog, ingest
-from tollgate.operators.rules import RuleSet, default_rules
+from tollgate.operators.rules import RuleSet, SpendRule, default_rules
+from tollgate.operators.state import arrival_seq
 from tollgate.params import Params
 from tollgate.session import tune
 from tollgate.sources.messages import stream_records
@@ -29,11 +31,10 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 class Pipeline:
     """All tables and checkpoints under one folder that every executor can reach."""
 
-    def __init__(self, spark: SparkSession, folder: str, params: Params, max_files: int = 1_000):
+    def __init__(self, spark: SparkSession, folder: str, params: Params):
         self.spark = tune(spark)
         self.folder = folder
         self.params = params
-        self.max_files = max_files
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
     def path(self, table: str) -> str:
@@ -49,10 +50,9 @@ class Pipeline:
         return writer.option("checkpointLocation", self.checkpoint(table))
 
     def _follow(self, table: str, schema: StructType) -> DataFrame:
-        return (
-            self.spark.readStream.schema(schema).option("maxFilesPerTrigger", self.max_files)
-            .parquet(self.path(table))
-        )
+        # No cap: what an ingest batch has committed is taken whole, so that its rows meet the state
+        # in arrival order however many files they are in.
+        return self.spark.readStream.schema(schema).parquet(self.path(table))
 
     # --- ingest ---
 
@@ -81,36 +81,63 @@ class Pipeline:
         rows = eventlog.log_rows(self._accepted(schema))
 
         def append(batch: DataFrame, batch_id: int) -> None:
-            eventlog.append(batch, self.path("log"), self.log(before=batch_id), batch_id)
+            writer = self.writer("log")
+            batch = batch.persist()
+            try:
+                eventlog.append(batch, self.path("log"), self.log(writer, batch_id), batch_id, writer)
+            finally:
+                batch.unpersist()
 
         return rows.writeStream.foreachBatch(append).option("checkpointLocation", self.checkpoint("log"))
 
-    def log(self, before: int | None = None) -> DataFrame | None:
-        """The event log, or what it was before a batch; None while there is nothing."""
-        try:
-            log = self.spark.read.parquet(self.path("log"))
-        except AnalysisException:
+    def writer(self, name: str) -> str:
+        """The id of the query that has this checkpoint; a new checkpoint gives a new one."""
+        stored = self.spark.read.text(f"{self.checkpoint(name)}/metadata").first()[0]
+        return json.loads(stored)["id"]
+
+    def _exists(self, path: str) -> bool:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+
+    def log(self, writer: str | None = None, before: int | None = None) -> DataFrame | None:
+        """The event log, or what it was before a writer's batch; None while there is nothing.
+
+        Only a missing folder means that there is no log yet; a log that can't be read is an error.
+        """
+        if not self._exists(self.path("log")):
             return None
-        return (log if before is None else log.where(F.col("batch_id") < before)).drop("batch_id")
+        log = self.spark.read.parquet(self.path("log"))
+        if before is not None:
+            log = log.where((F.col("writer") != writer) | (F.col("batch_id") < before))
+        return log.drop("writer", "batch_id")
 
     # --- scoring ---
 
     def scored(self, accepted: DataFrame, rules: RuleSet | None = None) -> DataFrame:
-        """Decisions of a stream of accepted messages."""
+        """Decisions of a stream of accepted messages.
+
+        Rows meet the state micro-batch by micro-batch, and in one in the order of clock,
+        partition and offset. That is the batch job's order if no micro-batch brings a message
+        older than what came before.
+        """
+        rules = rules or default_rules(self.params)
+        spends = any(isinstance(rule, SpendRule) for rule in rules)
         rows = accepted.select(
-            F.col("offset").alias("seq"), F.unix_millis("timestamp").alias("proc_ms"),
+            arrival_seq().alias("seq"), F.unix_millis("timestamp").alias("proc_ms"),
             "transaction_id", "user_id", "merchant_id", "amount", "currency", "type", "timestamp_ns",
             "latitude", "longitude", "device_fingerprint", "ip_address", "user_agent", "validator_id",
         )
         layout = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
         prepared = rows.groupBy("user_id").transformWithStateInPandas(
-            statefulProcessor=UserState(self.params.velocity_window_s),
+            statefulProcessor=UserState(
+                self.params.velocity_window_s, self.params.spend_window_s if spends else None),
             outputStructType=f"{layout}, {STATE_COLUMNS}", outputMode="append", timeMode="none",
         ).withColumn("prev", F.when(F.col("prev_timestamp_ns").isNotNull(), F.struct(
             F.col("prev_timestamp_ns").alias("timestamp_ns"),
             F.col("prev_latitude").alias("latitude"), F.col("prev_longitude").alias("longitude"),
         ))).drop("prev_timestamp_ns", "prev_latitude", "prev_longitude")
-        rules = rules or default_rules(self.params)
+        if not spends:
+            prepared = prepared.drop("spend")
         for rule in rules:
             prepared = rule.prepare(prepared, None)
         return decide.decide(prepared.where(F.col("type") == decide.VALIDATED), rules, self.params)

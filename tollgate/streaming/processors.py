@@ -1,7 +1,7 @@
 """Keyed state of the streaming jobs.
 
-Each handler call gets the rows of one key in one micro-batch (the source bounds its size),
-sorts them by arrival and replays them against the stored state.
+Each handler call gets the rows of one key in one micro-batch, sorts them by arrival and replays
+them against the stored state.
 """
 
 from __future__ import annotations
@@ -20,38 +20,46 @@ TELEMETRY = T.StructType([
     T.StructField("longitude", T.DoubleType()),
 ])
 TRANSACTION = T.StructType([T.StructField("transaction_id", T.StringType())])
+SEQ = T.StructType([T.StructField("seq", T.LongType())])
+PAYMENT = T.StructType([T.StructField("proc_ms", T.LongType()), T.StructField("amount", T.DecimalType(38, 0))])
 ARRIVAL = T.StructType([T.StructField("proc_ms", T.LongType())])
 STATE_COLUMNS = (
-    "is_new boolean, balance decimal(38,0), velocity_count bigint, "
+    "is_new boolean, balance decimal(38,0), velocity_count bigint, spend decimal(38,0), "
     "prev_timestamp_ns bigint, prev_latitude double, prev_longitude double"
 )
 
 
 class UserState(StatefulProcessor):
-    """Balance, recent transactions and last telemetry of a user.
+    """Balance, recent transactions, what was spent lately and last telemetry of a user.
 
     Adds the columns of ``STATE_COLUMNS`` to each row, with the meaning of the batch operators.
     """
 
-    def __init__(self, window_s: int):
+    def __init__(self, window_s: int, spend_window_s: int | None = None):
         self.window_ms = window_s * 1000
+        self.spend_ms = None if spend_window_s is None else spend_window_s * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.account = handle.getValueState("account", ACCOUNT)
         self.telemetry = handle.getValueState("telemetry", TELEMETRY)
         self.recent = handle.getMapState("recent", TRANSACTION, ARRIVAL)
+        self.spent = handle.getMapState("spent", SEQ, PAYMENT)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(rows, ignore_index=True).sort_values("seq", ignore_index=True)
+        batch = pd.concat(rows, ignore_index=True).sort_values(["proc_ms", "seq"], ignore_index=True)
         balance = self.account.get()[0] if self.account.exists() else 0
         last = tuple(self.telemetry.get()) if self.telemetry.exists() else None
         stored = {k[0]: v[0] for k, v in self.recent.iterator()}
         # Oldest arrival first, so that the expired ones are always at the front.
         recent = OrderedDict(sorted(stored.items(), key=lambda item: item[1]))
 
+        paid = sorted((v[0], k[0], v[1]) for k, v in self.spent.iterator()) if self.spend_ms else []
+        known, begin = {seq for _, seq, _ in paid}, 0
+        spend = sum(amount for _, _, amount in paid)
+
         found = []
-        columns = ("transaction_id", "proc_ms", "amount", "timestamp_ns", "latitude", "longitude")
-        for tx, now, amount, at, lat, lon in zip(*(batch[c] for c in columns)):
+        columns = ("seq", "transaction_id", "proc_ms", "amount", "timestamp_ns", "latitude", "longitude")
+        for seq, tx, now, amount, at, lat, lon in zip(*(batch[c] for c in columns)):
             is_new = tx not in recent
             recent[tx] = now
             recent.move_to_end(tx)
@@ -59,7 +67,13 @@ class UserState(StatefulProcessor):
                 balance += amount
             while recent and next(iter(recent.values())) <= now - self.window_ms:
                 recent.popitem(last=False)
-            found.append((is_new, balance, len(recent), *(last or (None, None, None))))
+            if self.spend_ms and is_new:
+                paid.append((int(now), int(seq), amount))
+                spend += amount
+            while begin < len(paid) and paid[begin][0] <= now - self.spend_ms:
+                spend -= paid[begin][2]
+                begin += 1
+            found.append((is_new, balance, len(recent), spend if self.spend_ms else None, *(last or (None, None, None))))
             if at > (last[0] if last else 0):
                 last = (int(at), float(lat), float(lon))
 
@@ -72,10 +86,17 @@ class UserState(StatefulProcessor):
             if stored.get(tx) != now:
                 self.recent.updateValue((tx,), (int(now),))
 
+        for _, seq, _ in paid[:begin]:
+            if seq in known:
+                self.spent.removeKey((seq,))
+        for now, seq, amount in paid[begin:]:
+            if seq not in known:
+                self.spent.updateValue((seq,), (now, amount))
+
         names = [field.split()[0] for field in STATE_COLUMNS.split(", ")]
         state = pd.DataFrame(found, columns=names)
         # A plain float column would round nanoseconds.
-        state["prev_timestamp_ns"] = pd.array([row[3] for row in found], dtype="Int64")
+        state["prev_timestamp_ns"] = pd.array([row[4] for row in found], dtype="Int64")
         yield pd.concat([batch, state], axis=1)
 
     def close(self) -> None:
