@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tollgate.operators import alerts, history, rollups
+from tollgate.operators import alerts, history, rollups, state
 
 
 def greedy(rows, ttl_ms):
@@ -33,6 +33,27 @@ def test_repeats_do_not_extend_the_silence(spark):
     assert sorted(r.seq for r in got.where("is_sent").collect()) == [1, 3, 5]
 
 
+@pytest.mark.parametrize("ttl_s", [0, -5])
+@pytest.mark.parametrize("fold_rows", [10_000, 1])
+def test_without_a_ttl_all_are_sent(spark, ttl_s, fold_rows):
+    df = spark.createDataFrame([(1, 0, "t"), (2, 0, "t"), (3, 5, "t"), (4, 5, None)], "seq long, proc_ms long, transaction_id string")
+    assert alerts.with_suppression(df, ttl_s, fold_rows).where("is_sent").count() == 4
+
+
+def test_one_alert_for_one_instant_on_two_partitions(spark):
+    rows = [(state.arrival_seq(F.lit(p), F.lit(7)), p) for p in (0, 3)]
+    df = spark.range(1).select(F.explode(F.array(*[r for r, _ in rows])).alias("seq"), F.lit(9).cast("long").alias("proc_ms"), F.lit("t").alias("transaction_id"))
+    assert alerts.with_suppression(df, 60).where("is_sent").count() == 1
+
+
+@pytest.mark.parametrize("literal_rows", [1000, 0])
+@pytest.mark.parametrize("changes", [[(None, "a"), (5, "b")], [(5, "a"), (5, "b")]])
+def test_unusable_histories_are_refused(spark, literal_rows, changes):
+    df = spark.range(3).selectExpr("id AS seq", "id AS proc_ms")
+    with pytest.raises(ValueError):
+        history.with_params_in_force(df, spark.createDataFrame(changes, "effective_from long, p string"), literal_rows)
+
+
 @pytest.mark.parametrize("literal_rows", [1000, 0])
 def test_params_in_force(spark, literal_rows):
     df = spark.range(100).selectExpr("id AS seq", "id * 10 AS proc_ms")

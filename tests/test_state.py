@@ -60,6 +60,45 @@ def test_state_matches_the_sequential_model(spark, window_s, group_rows):
     assert got == expected
 
 
+@pytest.mark.parametrize("group_rows", [None, 20])
+def test_rows_arrive_by_clock_whatever_their_numbers(spark, group_rows):
+    rng = random.Random(11)
+    rows = arrivals(7)
+    numbers = rng.sample(range(10**6), len(rows))
+    rows = [(n, *row[1:]) for n, row in zip(numbers, rows)]
+    df = spark.createDataFrame(
+        rows, "seq long, proc_ms long, user_id string, transaction_id string, amount long, "
+        "timestamp_ns long, latitude double, longitude double")
+    split = state.user_split(df, group_rows)
+    df = state.with_balance(state.with_first_seen(state.by_user(df, split), split, 5), split)
+    df = state.with_previous_telemetry(state.with_velocity(df, split, 5), split)
+    expected = model(sorted(rows, key=lambda r: (r[1], r[0])), 5)
+    got = {r.seq: (r.is_new, r.balance, r.velocity_count,
+                   r.prev and (r.prev.timestamp_ns, r.prev.latitude, r.prev.longitude)) for r in df.collect()}
+    assert got == expected
+
+
+def test_a_user_with_all_rows_at_one_instant_is_cut(spark):
+    df = spark.range(100_000).selectExpr(
+        "id AS seq", "5L AS proc_ms", "'hot' AS user_id", "concat('t', id % 1000) AS transaction_id", "1L AS amount", "true AS is_new")
+    split = state.user_split(df, 1000)
+    placed = state.by_user(df, split)
+    sizes = [r["count"] for r in placed.groupBy("_piece").count().collect()]
+    assert sum(sizes) == 100_000 and max(sizes) <= 4000
+    balances = state.with_balance(placed, split)
+    assert balances.where("balance = seq + 1").count() == 100_000
+    assert state.with_velocity(state.by_user(df, split), split, 60).where("velocity_count = least(seq + 1, 1000)").count() == 100_000
+
+
+def test_arrival_numbers(spark):
+    df = spark.createDataFrame([(0, 5), (1, 5), (2047, 2**52 - 1), (None, 7), (1, None)], "partition int, offset bigint")
+    got = [r[0] for r in df.select(state.arrival_seq()).collect()]
+    assert got == [5, 2**52 + 5, 2**63 - 1, 7, None]
+    for bad in ((2048, 0), (0, 2**52), (-1, 0)):
+        with pytest.raises(Exception, match="no arrival number"):
+            spark.createDataFrame([bad], "partition int, offset bigint").select(state.arrival_seq()).collect()
+
+
 def test_a_user_with_a_third_of_the_rows_is_cut(spark):
     df = spark.range(300_000).selectExpr(
         "id AS seq", "id AS proc_ms", "IF(id % 3 = 0, 'hot', concat('u', id % 5000)) AS user_id",

@@ -25,4 +25,4 @@ IPV6 = _ipv6()
 
 
 def is_ip(text: Column) -> Column:
-    return text.rlike(f"^(?:{IPV4})$") | text.rlike(f"^(?:{IPV6})$")
+    return text.rlike(rf"\A(?:{IPV4})\z") | text.rlike(rf"\A(?:{IPV6})\z")

@@ -5,14 +5,14 @@ from pyspark.sql import functions as F
 
 
 def clamp01(value: Column) -> Column:
-    """Limit to [0, 1]; NaN stays NaN."""
+    """Limit to [0, 1]; NaN stays NaN and null stays null."""
     limited = F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
-    return F.when(F.isnan(value), value).otherwise(limited)
+    return F.when(value.isNull() | F.isnan(value), value).otherwise(limited)
 
 
-def ms_to_ns(ms: Column) -> Column:
-    return ms.cast("long") * F.lit(1_000_000)
-
+def at_least(score: Column, threshold: Column | float) -> Column:
+    """Whether a score reaches a threshold; NaN never does."""
+    return ~F.isnan(score) & (score >= threshold)
 
 
 # Characters that JavaScript trims.

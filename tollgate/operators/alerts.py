@@ -18,16 +18,19 @@ IDEMPOTENCY_PREFIX = "fraud:alert:processed:"
 
 KEY = "transaction_id"
 # Ids with at most this many distinct alert times are folded as one array per id.
-FOLD_ROWS = 10_000
+FOLD_ROWS = 1_000
 
 
 def with_suppression(alerts: DataFrame, ttl_s: int, fold_rows: int = FOLD_ROWS) -> DataFrame:
     """Add ``is_sent``: the first alert of an id, then the first one a full TTL after the last sent.
 
     Suppressed repeats do not extend the silence. Alerts of one id at the same millisecond are
-    reduced to the earliest before anything is grouped.
+    reduced to the earliest (by ``seq``, which is unique) before anything is grouped. Without a TTL
+    (zero or less) all are sent.
     """
     ttl_ms = ttl_s * 1000
+    if ttl_ms <= 0:
+        return alerts.withColumn("is_sent", F.lit(True))
     # The alerts are read three times below; they are few, what they were computed from is not.
     use_checkpoints(alerts.sparkSession)
     alerts = alerts.checkpoint()

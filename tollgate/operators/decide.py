@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tollgate.functions.numeric import clamp01
+from tollgate.functions.numeric import at_least, clamp01
 from tollgate.operators import state
-from tollgate.operators.rules import Outcome, RuleSet, default_rules
+from tollgate.operators.rules import Outcome, RuleSet, bad_score, default_rules
 from tollgate.params import UNLISTED_WEIGHT, Params
 from tollgate.session import computed_once
 
@@ -33,10 +33,10 @@ def weighted_mean(outcomes: list[tuple[Outcome, Column | float]]) -> Column:
 
 
 def plain_mean(outcomes: list[Outcome]) -> Column:
-    """Mean that counts failed rules as 0; no rules -> 0."""
+    """Mean that counts failed rules, and rules without a score, as 0; no rules -> 0."""
     if not outcomes:
         return F.lit(0.0)
-    return total([F.when(o.failed, 0.0).otherwise(o.score) for o in outcomes]) / len(outcomes)
+    return total([F.when(o.failed | o.score.isNull(), 0.0).otherwise(o.score) for o in outcomes]) / len(outcomes)
 
 
 def any_of(columns: list[Column]) -> Column:
@@ -60,21 +60,19 @@ def prepare(df: DataFrame, rules: RuleSet, params: Params, split=None) -> DataFr
 def decide(df: DataFrame, rules: RuleSet, params: Params) -> DataFrame:
     """Score prepared rows: guard, rules, fail-closed, weighted mean, threshold.
 
-    Rows that are not validated transactions, and rows with a rule score outside [0, 1], get
-    the decision ``ERROR`` and an ``error`` text.
+    Rows that are not validated transactions, and rows for which a rule that didn't fail has no
+    score or one outside [0, 1], get the decision ``ERROR`` and an ``error`` text. NaN is no such
+    score; it goes into the mean, and a mean of NaN reaches no threshold.
     """
     df, outcomes = with_outcomes(df, rules)
     only = [o for _, o in outcomes]
     critical = any_of([o.failed for rule, o in outcomes if params.is_critical(rule.rule_id)])
-    outside = any_of([
-        F.coalesce(~o.failed & ~F.isnan(o.score) & ((o.score < 0) | (o.score > 1)), F.lit(False))
-        for o in only
-    ])
+    outside = any_of([~o.failed & bad_score(o.score) for o in only])
     mean = weighted_mean([(o, params.weight(rule.rule_id)) for rule, o in outcomes])
     decided = (
         df.withColumns({
-            "error": F.when(F.col("type") != VALIDATED, "Only validated transactions can be orchestrated")
-            .when(outside, "RiskScore must be in the range [0.0, 1.0]."),
+            "error": F.when(F.col("type") != VALIDATED, "not a validated transaction, so it is not scored")
+            .when(outside, "a rule gave no score from 0 to 1"),
             "fail_closed": critical,
             "_score": F.when(critical, 1.0).otherwise(mean),
             "reason": reasons(only),
@@ -82,7 +80,7 @@ def decide(df: DataFrame, rules: RuleSet, params: Params) -> DataFrame:
         })
         .withColumns({
             "decision": F.when(F.col("error").isNotNull(), ERROR)
-            .when(F.col("fail_closed") | (F.col("_score") >= params.fraud_threshold), FLAGGED)
+            .when(F.col("fail_closed") | at_least(F.col("_score"), params.fraud_threshold), FLAGGED)
             .otherwise(APPROVED),
             "risk_score": F.when(F.col("error").isNull(), F.col("_score")),
             "orchestration_version": F.lit(params.orchestration_version),
@@ -137,7 +135,7 @@ def evaluate_all(prepared: DataFrame, rules: RuleSet, params: Params) -> DataFra
     ])
     return prepared.withColumns({
         "aggregate_score": score,
-        "is_suspicious": critical | (score >= params.fraud_threshold),
+        "is_suspicious": critical | at_least(score, params.fraud_threshold),
         "results": results,
     }).drop(*[c for c in prepared.columns if c.startswith("_rule")])
 
@@ -145,11 +143,12 @@ def evaluate_all(prepared: DataFrame, rules: RuleSet, params: Params) -> DataFra
 def weighted_risk_long(results: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
     """Weighted mean over long-form results with weights from a (rule_id, weight) table.
 
-    The table has one row per rule and is joined by broadcast; unlisted rules weigh 1.
+    Unlisted rules weigh 1. A rule listed twice with different weights fails the job.
     """
-    weighted = results.select(*keys, "result.rule_id", "result.score", "result.error").join(
-        F.broadcast(weights), "rule_id", "left"
-    )
+    twice = F.raise_error(F.concat(F.lit("two weights for "), F.col("rule_id"))).cast("double")
+    once = weights.groupBy("rule_id").agg(F.min("weight").alias("_least"), F.max("weight").alias("_most"))
+    once = once.select("rule_id", F.when(F.col("_least").eqNullSafe(F.col("_most")), F.col("_least")).otherwise(twice).alias("weight"))
+    weighted = results.select(*keys, "result.rule_id", "result.score", "result.error").join(once, "rule_id", "left")
     weight = F.coalesce("weight", F.lit(UNLISTED_WEIGHT))
     ok = F.col("error").isNull()
     total_weight = F.sum(F.when(ok, weight))

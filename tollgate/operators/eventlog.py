@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tollgate.functions.crypto import hmac_matches
-from tollgate.operators.running import PIECE, Running, find_split, running
+from tollgate.operators.running import FIRST, PIECE, Running, find_split, running
+from tollgate.operators.state import arrival, arrival_seq
 from tollgate.operators.signing import signed_text, with_canonical_metadata, with_canonical_payload
 
 AGGREGATE = ("aggregate_id",)
@@ -32,7 +33,7 @@ def log_rows(accepted: DataFrame) -> DataFrame:
         "signature",
         F.col("timestamp").alias("created_at"),
         F.to_date("timestamp").alias("created_date"),
-        F.col("offset").alias("seq"),
+        arrival_seq().alias("seq"),
     )
 
 
@@ -46,12 +47,13 @@ def next_versions(batch: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def with_versions(batch: DataFrame, log: DataFrame | None = None, group_rows: int | None = None) -> DataFrame:
-    """Number the batch per aggregate in ``seq`` order, going on from the log.
+    """Number the batch per aggregate in the order of (``created_at``, ``seq``), going on from the log.
 
     The log's latest version of an aggregate takes part as one leading row that counts as many
     versions, so numbering and looking up the base are a single pass over one shuffle.
     """
-    split = find_split(batch, AGGREGATE, "seq", group_rows)
+    batch = batch.withColumn("_us", F.unix_micros("created_at"))
+    split = find_split(batch, AGGREGATE, "_us", group_rows, tie="seq")
     steps = batch.withColumn("_step", F.lit(1).cast("bigint"))
     if log is not None:
         base = (
@@ -60,22 +62,27 @@ def with_versions(batch: DataFrame, log: DataFrame | None = None, group_rows: in
             .withColumn("_is_base", F.lit(True))
         )
         steps = steps.withColumn("_is_base", F.lit(False)).unionByName(base, allowMissingColumns=True)
-    at = F.coalesce("seq", F.lit(-(2**63)))
-    numbered = running(steps, split, [F.col("seq").asc_nulls_first()],
-                       {"version": Running("sum", F.col("_step"))}, at=at)
+    steps = steps.withColumn("_us", F.coalesce("_us", F.lit(FIRST)))  # the log's row comes first
+    numbered = running(steps, split, ["_us", F.col("seq").asc_nulls_first()],
+                       {"version": Running("sum", F.col("_step"))}, at=arrival("_us"))
     if log is not None:
         numbered = numbered.where(~F.col("_is_base")).drop("_is_base")
-    return numbered.drop("_step", PIECE)
+    return numbered.drop("_step", "_us", PIECE)
 
 
-def append(batch: DataFrame, path: str, log: DataFrame | None = None, batch_id: int | None = None) -> None:
-    """Write numbered rows, partitioned by date.
+def append(
+    batch: DataFrame, path: str, log: DataFrame | None = None, batch_id: int | None = None, writer: str | None = None
+) -> None:
+    """Write numbered rows, partitioned by date and in order of aggregate and version within files.
 
-    With a ``batch_id`` the rows go to the batch's own directory, which a retry overwrites.
+    With a ``batch_id`` the rows go to the batch's own directory under its ``writer``, which a
+    retry overwrites. Another writer, such as a query with a new checkpoint, has its own batches.
+    Files in order let a search for one aggregate skip the row groups of others.
     """
-    target = path if batch_id is None else f"{path}/batch_id={batch_id}"
+    target = path if batch_id is None else f"{path}/writer={writer}/batch_id={batch_id}"
     mode = "append" if batch_id is None else "overwrite"
-    with_versions(batch, log).write.mode(mode).partitionBy("created_date").parquet(target)
+    numbered = with_versions(batch, log).sortWithinPartitions("created_date", *AGGREGATE, "version")
+    numbered.write.mode(mode).partitionBy("created_date").parquet(target)
 
 
 def load(log: DataFrame, aggregate_id: str) -> DataFrame:
@@ -107,7 +114,7 @@ def load_verified(log: DataFrame, aggregate_id: str, key: str) -> DataFrame:
     """Like ``load``, but reading a row with a wrong signature fails the job."""
     checked = with_integrity(load(log, aggregate_id), key)
     problem = F.concat(
-        F.lit("Cryptographic signature verification failed: "), F.col("aggregate_id"),
+        F.lit("signature is not the event's: "), F.col("aggregate_id"),
         F.lit(" "), F.col("event_id"),
     )
     return checked.where(

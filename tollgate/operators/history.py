@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tollgate.functions.numeric import at_least
 from tollgate.functions.text import csv_set
 from tollgate.operators.rules import VELOCITY_SCORE, MerchantRule, Outcome, RuleSet, TravelRule, VelocityRule
 from tollgate.operators.running import PIECE, Running, Split, find_split, running
@@ -20,8 +23,13 @@ def with_params_in_force(
 ) -> DataFrame:
     """Add ``in_force``: the last row of ``history`` with ``effective_from <= proc_ms``.
 
-    ``effective_from`` (ms) must be unique. Null before the first change.
+    ``effective_from`` (ms) must be unique and not null, else this raises ``ValueError``, whatever
+    the history's size. Null before the first change.
     """
+    n, known, different = history.agg(
+        F.count(F.lit(1)), F.count("effective_from"), F.count_distinct("effective_from")).first()
+    if n != known or n != different:
+        raise ValueError("effective_from must be unique and not null")
     fields = ["effective_from", *[c for c in history.columns if c != "effective_from"]]
     ordered = history.select(F.struct(*fields).alias("_p"))
     entry = ordered.schema["_p"].dataType
@@ -55,19 +63,18 @@ class _VelocityInForce(VelocityRule):
     """Velocity with the threshold in force; the window is the job's."""
 
     def outcome(self) -> Outcome:
-        fired = F.col("velocity_count") > F.coalesce(
-            F.col("in_force.velocity_threshold"), F.lit(self.params.velocity_threshold))
+        threshold = F.coalesce(F.col("in_force.velocity_threshold").cast("int"), F.lit(self.params.velocity_threshold))
+        fired = F.col("velocity_count") > threshold
         base = super().outcome()
         return Outcome(
             score=F.when(fired, VELOCITY_SCORE).otherwise(0.0),
             is_suspicious=fired,
             findings=F.when(fired, F.format_string(
-                "User %s exceeded velocity threshold of %d in "
-                f"{self.params.velocity_window_s}s (count: %d)",
-                "user_id", F.col("in_force.velocity_threshold"), "velocity_count",
-            )).otherwise("Normal transaction velocity"),
+                f"%2$d transactions of %1$s in {self.params.velocity_window_s} s, %3$d allowed",
+                "user_id", "velocity_count", threshold,
+            )).otherwise("few transactions in the window"),
             error=base.error,
-            metadata=base.metadata,
+            metadata={**base.metadata, "threshold": threshold},
         )
 
 
@@ -76,7 +83,13 @@ class _MerchantInForce(MerchantRule):
 
     def prepare(self, df: DataFrame, split: Split) -> DataFrame:
         listed = csv_set(F.coalesce("in_force.merchant_blacklist", F.lit(self.params.merchant_blacklist)))
-        return df.withColumn("is_blacklisted", F.array_contains(listed, F.col("merchant_id")))
+        return df.withColumns({
+            "is_blacklisted": F.array_contains(listed, F.col("merchant_id")),
+            "blacklist_size": F.size(listed),
+        })
+
+    def outcome(self) -> Outcome:
+        return replace(super().outcome(), metadata={"blacklistSize": F.col("blacklist_size")})
 
 
 def rules_in_force(params: Params) -> RuleSet:
@@ -87,6 +100,6 @@ def rules_in_force(params: Params) -> RuleSet:
 def decide_in_force(decisions: DataFrame, params: Params) -> DataFrame:
     """Compare the score with the flag threshold in force."""
     threshold = F.coalesce("in_force.fraud_threshold", F.lit(params.fraud_threshold))
-    is_flagged = F.col("fail_closed") | (F.col("risk_score") >= threshold)
+    is_flagged = F.col("fail_closed") | at_least(F.col("risk_score"), threshold)
     return decisions.withColumn("decision", F.when(F.col("decision") == "ERROR", "ERROR")
                                 .when(is_flagged, "FLAGGED").otherwise("APPROVED"))

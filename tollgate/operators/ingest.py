@@ -13,6 +13,7 @@ from tollgate.functions.net import is_ip
 from tollgate.functions.numeric import json_integer
 from tollgate.operators.running import PIECE, Running, find_split, running
 from tollgate.operators.signing import new_metadata, with_mac
+from tollgate.operators.state import arrival, arrival_seq
 from tollgate.session import computed_once
 
 # The three event types.
@@ -237,7 +238,7 @@ def verify(decoded: DataFrame, key: str) -> DataFrame:
     return signed.withColumns({
         "error_type": F.when(forged, SIGNATURE_ERROR).otherwise(F.col("error_type")),
         "error": F.when(
-            forged, "Envelope signature verification failed: Payload integrity compromised."
+            forged, "the signature is not that of the payload"
         ).otherwise(F.col("error")),
         "signature": F.when(ok & bare, F.col("_mac")).otherwise(F.col("signature")),
     }).drop("_mac")
@@ -256,19 +257,17 @@ def rejected(ingested: DataFrame) -> DataFrame:
     return ingested.where(F.col("error_type").isNotNull())
 
 
-def unvalidated(transactions: DataFrame) -> DataFrame:
-    """Strict mode: transactions that must not be scored, as errors."""
-    return transactions.where(F.col("type") != VALIDATED).withColumns({
-        "error_type": F.lit("INTERNAL_SYSTEM_ERROR"),
-        "error": F.lit("Only validated transactions can be orchestrated"),
-    })
-
-
 def in_key_order(messages: DataFrame, group_rows: int | None = None) -> DataFrame:
-    """Add ``position`` of each message among those of its key; no key counts as ``anonymous``."""
-    keyed = messages.withColumn("key", F.coalesce("key", F.lit("anonymous"))).withColumn("_one", F.lit(1))
-    split = find_split(keyed, ("key",), "offset", group_rows)
+    """Add ``position`` of each message among those of its key; no key counts as ``anonymous``.
+
+    The order is by timestamp, then partition and offset, so it is the same in every run.
+    """
+    keyed = messages.withColumns({
+        "key": F.coalesce("key", F.lit("anonymous")), "_one": F.lit(1),
+        "_us": F.unix_micros("timestamp"), "_seq": arrival_seq(),
+    })
+    split = find_split(keyed, ("key",), "_us", group_rows, tie="_seq")
     numbered = running(
-        keyed, split, ["offset"], {"position": Running("sum", F.col("_one"))}, at=F.col("offset")
+        keyed, split, ["_us", "_seq"], {"position": Running("sum", F.col("_one"))}, at=arrival("_us", "_seq")
     )
-    return numbered.drop("_one", PIECE)
+    return numbered.drop("_one", "_us", "_seq", PIECE)

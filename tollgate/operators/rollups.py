@@ -19,8 +19,12 @@ BUCKETS = {
     "evaluate_all": [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0],
     "event_log": [0.0001, 0.0005, 0.001, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.0, 5.0],
     "dead_letter": [0.005, 0.01, 0.05, 0.1, 0.5, 1.0],
+    "consumer_cycle": [0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 1.0, 2.0],
 }
 
+# Names of the alert states in reports.
+ALERT_SENT, ALERT_SKIPPED, ALERT_FAILED = "total_alerts_sent", "alert_deduplication_skipped", "kafka_producer_error"
+
 
 def counts(df: DataFrame, **labels: Column) -> DataFrame:
     """Number of rows per label combination."""
@@ -48,9 +52,9 @@ def blacklist_hits(prepared: DataFrame) -> DataFrame:
 
 def alert_status_counts(suppressed: DataFrame) -> DataFrame:
     """Alerts by status; rows with a sink error count as failed."""
-    status = F.when(F.col("is_sent"), "total_alerts_sent").otherwise("alert_deduplication_skipped")
+    status = F.when(F.col("is_sent"), ALERT_SENT).otherwise(ALERT_SKIPPED)
     if "sink_error" in suppressed.columns:
-        status = F.when(F.col("sink_error").isNotNull(), "kafka_producer_error").otherwise(status)
+        status = F.when(F.col("sink_error").isNotNull(), ALERT_FAILED).otherwise(status)
     return counts(suppressed, status=status)
 
 

@@ -26,9 +26,6 @@ VELOCITY_SCORE = 0.8
 TRAVEL_SCORE = 0.9
 MERCHANT_SCORE = 1.0
 
-# A blacklist table of at most this many rows is broadcast.
-BROADCAST_ROWS = 1_000_000
-
 
 @dataclass(frozen=True)
 class Outcome:
@@ -83,10 +80,9 @@ class VelocityRule:
             score=F.when(fired, VELOCITY_SCORE).otherwise(0.0),
             is_suspicious=fired,
             findings=F.when(fired, F.format_string(
-                "User %s exceeded velocity threshold of "
-                f"{self.params.velocity_threshold} in {self.params.velocity_window_s}s (count: %d)",
+                f"%2$d transactions of %1$s in {self.params.velocity_window_s} s, {self.params.velocity_threshold} allowed",
                 "user_id", count,
-            )).otherwise("Normal transaction velocity"),
+            )).otherwise("few transactions in the window"),
             error=no_error(),
             metadata={
                 "calculatedCount": count,
@@ -111,7 +107,8 @@ class TravelRule:
     def prepare(self, df: DataFrame, split: Split) -> DataFrame:
         """Add ``prev`` and, where they are defined, ``travel_km`` and ``travel_kmh``."""
         if "prev" not in df.columns:  # a stream brings the state along
-            df = state.with_previous_telemetry(df, split, self.params.telemetry_max_age_s)
+            df = state.with_previous_telemetry(df, split)
+        df = state.recent_telemetry(df, self.params.telemetry_max_age_s)
         usable = F.col("prev").isNotNull()
         for name in ("prev.latitude", "prev.longitude", "latitude", "longitude"):
             usable = usable & is_finite(F.col(name))
@@ -143,15 +140,15 @@ class TravelRule:
         return Outcome(
             score=F.when(fired, TRAVEL_SCORE).otherwise(0.0),
             is_suspicious=fired,
-            findings=F.when(~known, "No previous telemetry found (warm-up phase).")
+            findings=F.when(~known, "no earlier location of the user")
             .when(self.out_of_order(),
-                  "Transaction is older than or same age as last recorded state (out-of-order).")
-            .when(fired, F.format_string("Impossible travel: %.2f km/h over %.2f km.", speed, "travel_km"))
-            .otherwise("Geospatial velocity within normal bounds."),
+                  "not newer than the last location")
+            .when(fired, F.format_string("travelled at %.2f km/h over %.2f km", speed, "travel_km"))
+            .otherwise("possible travel speed"),
             error=F.when(
                 known & F.col("travel_km").isNull(),
-                F.when(~stored_ok, place("Inconsistent telemetry data stored:", "lat1", "lon1"))
-                .otherwise(place("Invalid transaction telemetry coordinates:", "lat2", "lon2")),
+                F.when(~stored_ok, place("stored location unusable:", "lat1", "lon1"))
+                .otherwise(place("location unusable:", "lat2", "lon2")),
             ),
         )
 
@@ -185,8 +182,8 @@ class MerchantRule:
             score=F.when(fired, MERCHANT_SCORE).otherwise(0.0),
             is_suspicious=fired,
             findings=F.when(fired, F.concat(
-                F.lit("Merchant "), F.col("merchant_id"), F.lit(" is on the prohibited blacklist.")
-            )).otherwise("Merchant is not blacklisted"),
+                F.lit("listed merchant "), F.col("merchant_id")
+            )).otherwise("merchant not listed"),
             error=no_error(),
             metadata={"blacklistSize": F.lit(len(self.entries)) if self.blacklist is None
                       else F.col("blacklist_size")},
@@ -194,18 +191,13 @@ class MerchantRule:
 
 
 def with_blacklist(df: DataFrame, blacklist: DataFrame) -> DataFrame:
-    """Add ``is_blacklisted`` from a table; broadcast only when its checked size allows it.
+    """Add ``is_blacklisted`` from a table of any size; ``df`` may be a stream.
 
-    A larger list is first reduced to the merchants that occur (a map-side-combined distinct),
-    so the join's small side is at most one row per occurring merchant and AQE may still split
-    a merchant that dominates the transactions.
+    The planner chooses the join from the list's size; the list's side has one row for each
+    merchant, so a merchant that dominates the transactions can be split.
     """
     listed = blacklist.select("merchant_id").distinct()
     size = listed.count()
-    if size <= BROADCAST_ROWS:
-        listed = F.broadcast(listed)
-    else:
-        listed = listed.join(df.select("merchant_id").distinct(), "merchant_id", "left_semi")
     return (
         df.join(listed.withColumn("_hit", F.lit(True)), "merchant_id", "left")
         .withColumn("is_blacklisted", F.coalesce("_hit", F.lit(False)))
@@ -225,6 +217,8 @@ class SpendRule:
         self.params = params
 
     def prepare(self, df: DataFrame, split: Split) -> DataFrame:
+        if "spend" in df.columns:  # a stream brings the state along
+            return df
         if "is_new" not in df.columns:
             df = state.with_first_seen(df, split, self.params.velocity_window_s)
         return state.with_spend(df, split, self.params.spend_window_s)
@@ -235,8 +229,8 @@ class SpendRule:
             score=F.when(fired, VELOCITY_SCORE).otherwise(0.0),
             is_suspicious=fired,
             findings=F.when(fired, F.concat(
-                F.lit("Spend in window: "), F.col("spend").cast("string")
-            )).otherwise("Normal spend volume"),
+                F.lit("spent in the window: "), F.col("spend").cast("string")
+            )).otherwise("little spent in the window"),
             error=no_error(),
         )
 
@@ -244,8 +238,8 @@ class SpendRule:
 class PandasRule:
     """A user rule in Python: ``score(pdf) -> DataFrame(score, is_suspicious, findings)``.
 
-    It runs on Arrow batches. If a batch raises, its rows are tried one by one, so only the rows
-    that really fail are reported as failed.
+    It runs on Arrow batches. A batch that raises is halved and tried again, so only the rows that
+    really fail are reported as failed, and a few of them don't cost a call for each row.
     """
 
     def __init__(self, rule_id: str, columns: list[str], score: Callable[[pd.DataFrame], pd.DataFrame]):
@@ -264,7 +258,8 @@ class PandasRule:
                 if len(rows) == 1:
                     failed = [[None, None, None, str(problem) or type(problem).__name__]]
                     return pd.DataFrame(failed, columns=fields, index=rows.index)
-                return pd.concat([attempt(rows.iloc[[i]]) for i in range(len(rows))])
+                half = len(rows) // 2
+                return pd.concat([attempt(rows.iloc[:half]), attempt(rows.iloc[half:])])
 
         @F.pandas_udf("score double, is_suspicious boolean, findings string, error string")
         def evaluate(rows: pd.DataFrame) -> pd.DataFrame:
@@ -325,16 +320,20 @@ RULE_RESULT = T.StructType([
 ])
 
 
+def bad_score(score: Column) -> Column:
+    """Whether a score is missing or outside [0, 1]."""
+    return score.isNull() | (~F.isnan(score) & ((score < 0) | (score > 1)))
+
+
 def contract_violations(results: DataFrame) -> DataFrame:
     """Add ``violations`` to long-form results (``result`` of the ``RULE_RESULT`` shape).
 
     A successful result needs a score in [0, 1] and a non-empty reason. Only the score check
     fails a transaction; NaN passes it, as a comparison with NaN is never true there.
     """
-    score, findings = F.col("result.score"), F.col("result.findings")
-    outside = ~F.isnan(score) & ((score < 0) | (score > 1))
+    findings = F.col("result.findings")
     ok = F.col("result.error").isNull()
     return results.withColumn("violations", F.array_compact(F.array(
-        F.when(ok & F.coalesce(outside, F.lit(True)), "riskScore"),
+        F.when(ok & bad_score(F.col("result.score")), "riskScore"),
         F.when(ok & (F.coalesce(F.length(findings), F.lit(0)) == 0), "reason"),
     )))

@@ -24,6 +24,8 @@ PIECE = "_piece"
 
 # A group below this many rows is never worth cutting.
 SMALL_GROUP_ROWS = 20_000
+# The tie of a cut point that lies before all rows of its value.
+FIRST = -(2**63)
 # At most this many pieces in total (twice that counting rounding): bounds what is broadcast.
 MAX_PIECES = 16_384
 
@@ -41,7 +43,10 @@ class Split:
     finer: Split | None = None
 
     def place(self, df: DataFrame, at: Column) -> DataFrame:
-        """Add the piece number of each row; null for keys that are not cut."""
+        """Add the piece number of each row; null for keys that are not cut.
+
+        ``at`` is what the cut points were chosen of: a number, or a struct of ``at`` and ``tie``.
+        """
         if self.cuts is None:
             return df
         run = F.size(F.filter("_heads", lambda head: head <= at))
@@ -58,12 +63,14 @@ class Split:
 
 
 def find_split(
-    df: DataFrame, keys: Sequence[str], order: str, group_rows: int | None = None
+    df: DataFrame, keys: Sequence[str], order: str, group_rows: int | None = None, tie: str | None = None
 ) -> Split:
     """Count rows per key and choose cut points of the numeric ``order`` for oversized keys.
 
     ``group_rows`` is the size above which a key is cut; by default a quarter of a shuffle
-    partition's fair share, never below ``SMALL_GROUP_ROWS`` unless given.
+    partition's fair share, never below ``SMALL_GROUP_ROWS`` unless given. Rows of a key that share
+    one value of ``order`` stay together, unless ``tie`` names the number that orders them: then
+    crowded values are cut by it too, and cut points are structs of both, ``at`` and ``tie``.
     """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     total, largest = sizes.agg(F.sum("_rows"), F.max("_rows")).first()
@@ -78,8 +85,33 @@ def find_split(
 
     # At most total / group_rows <= MAX_PIECES keys can be larger than group_rows.
     large = sizes.where(F.col("_rows") > group_rows)
+    cuts = {tuple(row[k] for k in keys): [(at, FIRST) for at in row["_cuts"]]
+            for row in _cut_points(df, large, keys, order, largest, group_rows).collect()}
+    if tie is not None:
+        crowds = df.groupBy(*keys, order).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > group_rows)
+        fullest = crowds.agg(F.max("_rows")).first()[0]
+        if fullest:
+            for row in _cut_points(df, crowds, [*keys, order], tie, fullest, group_rows).collect():
+                cuts[tuple(row[k] for k in keys)] += [(row[order], value) for value in row["_cuts"]]
+    kind = df.schema[order].dataType.simpleString()
+    point = kind if tie is None else f"struct<at:{kind},tie:bigint>"
+    rows = []
+    for key, points in cuts.items():
+        points = sorted(set(points)) if tie is not None else sorted({at for at, _ in points})
+        run = max(1, isqrt(len(points)))
+        runs = [points[k : k + run] for k in range(0, len(points), run)]
+        rows.append((*key, [r[0] for r in runs], runs))
+    fields = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
+    schema = ", ".join([*fields, f"_heads array<{point}>", f"_runs array<array<{point}>>"])
+    # Bounded by MAX_PIECES, see above. Held as rows so that every use sees the same cuts.
+    cuts = df.sparkSession.createDataFrame(rows, schema)
+    return Split(tuple(keys), cuts, df.join(F.broadcast(cuts.select(*keys)), list(keys), "left_semi"))
+
+
+def _cut_points(df: DataFrame, large: DataFrame, keys: Sequence[str], order: str, largest: int, group_rows: int) -> DataFrame:
+    """``keys``, ``_cuts``: for each of the ``large`` groups, approximate quantiles that leave pieces of about ``group_rows``."""
     grid = ceil(largest / group_rows)
-    marks = [i / grid for i in range(1, grid)]
+    marks = [i / grid for i in range(1, grid)] or [0.5]
     quantiles = (
         df.join(F.broadcast(large), list(keys))
         .groupBy(*keys)
@@ -88,25 +120,13 @@ def find_split(
             F.percentile_approx(order, marks, F.lit(10 * grid)).alias("_marks"),
         )
     )
-    # A key with fewer rows than the largest one takes only every so many of the grid's marks.
+    # A group with fewer rows than the largest one takes only every so many of the grid's marks.
     pieces = F.ceil(F.col("_rows") / group_rows).cast("int")
     chosen = F.transform(
-        F.sequence(F.lit(1), pieces - 1),
+        F.sequence(F.lit(1), F.greatest(pieces - 1, F.lit(1))),
         lambda i: F.element_at("_marks", F.greatest(F.lit(1), (i * grid / pieces).cast("int"))),
     )
-    run_length = max(1, isqrt(grid))
-    runs = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size("_cuts") - 1) / run_length).cast("int")),
-        lambda r: F.slice("_cuts", r * run_length + 1, run_length),
-    )
-    located = (
-        quantiles.withColumn("_cuts", F.array_sort(F.array_distinct(chosen)))
-        .select(*keys, runs.alias("_runs"))
-        .select(*keys, F.transform("_runs", lambda run: run[0]).alias("_heads"), "_runs")
-    )
-    # Bounded by MAX_PIECES, see above. Held as rows so that every use sees the same cuts.
-    cuts = df.sparkSession.createDataFrame(located.collect(), located.schema)
-    return Split(tuple(keys), cuts, df.join(F.broadcast(cuts.select(*keys)), list(keys), "left_semi"))
+    return quantiles.select(*keys, F.array_distinct(F.filter(chosen, lambda c: c.isNotNull())).alias("_cuts"))
 
 
 @dataclass(frozen=True)

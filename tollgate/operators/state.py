@@ -1,9 +1,10 @@
 """Per-user state seen by each transaction: balance, velocity, last telemetry.
 
 Input columns: ``user_id, transaction_id, seq, proc_ms`` and, where needed, ``amount``,
-``timestamp_ns, latitude, longitude``. ``seq`` is the total arrival order; ``proc_ms`` is the
-processing clock and must not decrease along ``seq`` within a user. ``timestamp_ns`` is the
-event clock and may be in any order.
+``timestamp_ns, latitude, longitude``. Rows arrive in the order of (``proc_ms``, ``seq``): the
+processing clock, and a number that tells rows of one instant apart (``arrival_seq`` makes one from
+partition and offset). So the clock never falls along the order, whatever ``seq`` does.
+``timestamp_ns`` is the event clock and may be in any order.
 
 The operators keep every row, so they can be chained on one table with one split: get it from
 ``user_split(df)``, start with ``by_user(df, split)``, and do not filter in between.
@@ -16,40 +17,62 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tollgate.operators.running import PIECE, Running, Split, find_split, running
+from tollgate.operators.running import FIRST, PIECE, Running, Split, find_split, running
 
+ORDER = ("proc_ms", "seq")
 USER = ("user_id",)
 OCCURRENCE = ("user_id", "transaction_id")
 
 
+# Bits of the offset in an arrival number; the partition is above them.
+OFFSET_BITS = 52
+
+
+def arrival_seq(partition: Column | str = "partition", offset: Column | str = "offset") -> Column:
+    """One number for a message's place: unique for partitions below 2,048 and offsets below 2^52.
+
+    Others fail the job. A missing partition counts as 0.
+    """
+    column = lambda c: F.col(c) if isinstance(c, str) else c
+    part, at = F.coalesce(column(partition).cast("bigint"), F.lit(0)), column(offset)
+    fits = part.between(0, 2**11 - 1) & at.between(0, 2**OFFSET_BITS - 1)
+    outside = F.raise_error(F.concat_ws(" ", F.lit("no arrival number for"), part, at)).cast("bigint")
+    return F.when(at.isNull() | fits, F.shiftleft(part, OFFSET_BITS).bitwiseOR(at)).otherwise(outside)
+
+
+def arrival(clock: str = "proc_ms", seq: str = "seq") -> Column:
+    """Where a row is along the order, for cutting."""
+    return F.struct(F.col(clock).alias("at"), F.coalesce(F.col(seq), F.lit(FIRST)).alias("tie"))
+
+
 def user_split(df: DataFrame, group_rows: int | None = None) -> Split:
     """Find users with too many rows for one task; share the result between the operators."""
-    split = find_split(df, USER, "proc_ms", group_rows)
+    split = find_split(df, USER, "proc_ms", group_rows, tie="seq")
     if split.cuts is None:
         return split
     # Ids of a large user spread by (user, id); a single id may again be large.
-    return replace(split, finer=find_split(split.large, OCCURRENCE, "proc_ms"))
+    return replace(split, finer=find_split(split.large, OCCURRENCE, "proc_ms", tie="seq"))
 
 
 def by_user(df: DataFrame, split: Split) -> DataFrame:
     """Put each user's rows (or each piece of a large user) together, once for all operators."""
     if split.cuts is None:
         return df.repartition(*USER)
-    return split.place(df, F.col("proc_ms"))
+    return split.place(df, arrival())
 
 
 def with_previous_occurrence(df: DataFrame, split: Split) -> DataFrame:
     """Add ``prev_ms``: clock of the same transaction id's previous arrival for the user."""
     if split.cuts is None:
-        window = Window.partitionBy(*OCCURRENCE).orderBy("seq")
+        window = Window.partitionBy(*OCCURRENCE).orderBy(*ORDER)
         return df.withColumn("prev_ms", F.lag("proc_ms").over(window))
     found = _previous_occurrence(df.drop(PIECE), split)
-    return split.place(found, F.col("proc_ms"))
+    return split.place(found, arrival())
 
 
 def _previous_occurrence(df: DataFrame, split: Split) -> DataFrame:
-    last = Running("max", F.struct("seq", "proc_ms"), inclusive=False)
-    found = running(df, split.finer, ["seq"], {"_last": last}, at=F.col("proc_ms"))
+    last = Running("max", F.struct(*ORDER), inclusive=False)
+    found = running(df, split.finer, ORDER, {"_last": last}, at=arrival())
     return found.withColumn("prev_ms", F.col("_last.proc_ms")).drop(PIECE, "_last")
 
 
@@ -62,8 +85,8 @@ def with_first_seen(df: DataFrame, split: Split, window_s: int) -> DataFrame:
     """
     if "prev_ms" not in df.columns:
         df = with_previous_occurrence(df, split)
-    call = Running("max", F.struct("seq", "proc_ms"), inclusive=False)
-    df = running(df, split, ["seq"], {"_call": call}, at=F.col("proc_ms"), totals_of=split.large)
+    call = Running("max", F.struct(*ORDER), inclusive=False)
+    df = running(df, split, ORDER, {"_call": call}, at=arrival(), totals_of=split.large)
     forgotten = F.col("_call.proc_ms") >= F.col("prev_ms") + F.lit(window_s * 1000)
     return df.withColumn("is_new", F.col("prev_ms").isNull() | forgotten).drop("_call")
 
@@ -76,9 +99,9 @@ def with_balance(df: DataFrame, split: Split, per_currency: bool = False) -> Dat
     if per_currency:
         df = df.drop(PIECE)
         keys = (*USER, "currency")
-        split = Split(keys) if split.cuts is None else find_split(df, keys, "proc_ms")
+        split = Split(keys) if split.cuts is None else find_split(df, keys, "proc_ms", tie="seq")
     counted = F.when(F.col("is_new"), F.col("amount")).otherwise(F.lit(0))
-    return running(df, split, ["seq"], {"balance": Running("sum", counted)}, at=F.col("proc_ms"))
+    return running(df, split, ORDER, {"balance": Running("sum", counted)}, at=arrival())
 
 
 def with_velocity(
@@ -104,7 +127,7 @@ def with_velocity(
     swept = running(
         _steps(df, window_ms, fresh, F.lit(-1), cancelled), split, STEP_ORDER,
         {output: Running("sum", F.col("_step.change"))},
-        at=F.col("_step.clock"), totals_of=totals,
+        at=arrival("_step.clock", "_step.row.seq"), totals_of=totals,
     )
     return _arrivals(swept, df, split, output)
 
@@ -151,14 +174,19 @@ def with_previous_telemetry(
     telemetry = F.when(
         F.col("timestamp_ns") > 0,
         F.struct(
-            F.col("timestamp_ns"), (-F.col("seq")).alias("neg_seq"),
+            F.col("timestamp_ns"), (-F.col("proc_ms")).alias("neg_ms"), (-F.col("seq")).alias("neg_seq"),
             F.col("latitude"), F.col("longitude"),
         ),
     )
     df = running(
-        df, split, ["seq"], {"prev": Running("max", telemetry, inclusive=False)},
-        at=F.col("proc_ms"), totals_of=split.large,
+        df, split, ORDER, {"prev": Running("max", telemetry, inclusive=False)},
+        at=arrival(), totals_of=split.large,
     )
+    return recent_telemetry(df, max_age_s)
+
+
+def recent_telemetry(df: DataFrame, max_age_s: int | None) -> DataFrame:
+    """Without ``prev`` where it is more than ``max_age_s`` older than the row."""
     if max_age_s is None:
         return df
     recent = F.col("timestamp_ns") - F.col("prev.timestamp_ns") <= F.lit(max_age_s * 1_000_000_000)
@@ -173,7 +201,7 @@ def with_spend(df: DataFrame, split: Split, window_s: int) -> DataFrame:
     swept = running(
         _steps(df, F.lit(window_s * 1000), counted, -counted), split, STEP_ORDER,
         {"spend": Running("sum", F.col("_step.change"))},
-        at=F.col("_step.clock"),
+        at=arrival("_step.clock", "_step.row.seq"),
     )
     return _arrivals(swept, df, split, "spend")
 

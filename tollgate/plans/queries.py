@@ -27,6 +27,9 @@ P = FIXTURE_PARAMS
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+# The id of the event a transaction comes from; the test view deals events out over four partitions.
+EVENT_SQL = "CAST(substr(transaction_id, 4) AS BIGINT)"
+
 # Group size that makes the test data's users large enough to be cut into pieces.
 FORCED_SPLIT = 25
 
@@ -371,6 +374,84 @@ def q_decisions_split(spark, sf_dir):
     return decision_columns(decisions(spark, sf_dir, group_rows=FORCED_SPLIT))
 
 
+ARRIVAL_SQL = f"({EVENT_SQL} % 4) * {2**state.OFFSET_BITS} + ({EVENT_SQL} // 4) * 2 + is_replay"
+
+
+def multi_partition(spark, sf_dir):
+    """Transactions of four partitions whose offsets repeat, and in which replays have low offsets."""
+    event_id = F.substring("transaction_id", 4, 20).cast("bigint")
+    placed = F.expr("div(_id, 4)") * 2 + F.col("is_replay")
+    df = transactions(spark, sf_dir).withColumn("_id", event_id)
+    return df.withColumn("seq", state.arrival_seq(F.col("_id") % 4, placed)).drop("_id")
+
+
+# Ranks along the arrival order stand in for it in the oracle.
+MULTI_SQL = TXN_SQL + f""",
+multi AS (SELECT * REPLACE (row_number() OVER (ORDER BY proc_ms, {ARRIVAL_SQL}) AS seq), {ARRIVAL_SQL} AS place FROM txn)
+""" + state_sql("multi") + TRAVEL + score_sql() + f"""
+SELECT place AS seq, transaction_id, user_id, velocity_count, round(risk, 6) AS risk_score,
+  false AS fail_closed, CASE WHEN risk >= {P.fraud_threshold} THEN 'FLAGGED' ELSE 'APPROVED' END AS decision FROM scored"""
+
+
+@query(MULTI_SQL)
+def q_multi_partition_decisions(spark, sf_dir):
+    return decision_columns(decide.score_transactions(multi_partition(spark, sf_dir), P))
+
+
+@query(MULTI_SQL)
+def q_multi_partition_decisions_split(spark, sf_dir):
+    df = multi_partition(spark, sf_dir)
+    return decision_columns(decide.score_transactions(df, P, split=state.user_split(df, FORCED_SPLIT)))
+
+
+class AmountRule:
+    """A rule that breaks the contract: of seven scores one is missing, one NaN, one above 1."""
+
+    rule_id = "amount-rule"
+
+    def prepare(self, df, split):
+        return df
+
+    def outcome(self):
+        rest = F.col("seq") % 7
+        score = F.when(rest == 0, None).when(rest == 1, float("nan")).when(rest == 2, 1.5).otherwise(rest / 7.0)
+        return rules.Outcome(score.cast("double"), rest > 4, F.lit("amount"), F.lit(None).cast("string"))
+
+
+def python_amounts(rows):
+    rest = rows["seq"] % 7
+    score = (rest / 7.0).where(rest > 2, 1.5).where(rest > 1, float("nan"))
+    return rows.assign(score=score, is_suspicious=rest > 4, findings="amount")[["score", "is_suspicious", "findings"]]
+
+
+def bad_scores(spark, sf_dir, rule):
+    scored = decide.score_transactions(transactions(spark, sf_dir), P, rules=rules.RuleSet([rule]))
+    return scored.select("seq", "transaction_id", F.round(F.nanvl("risk_score", F.lit(-1.0)), 6).alias("risk_score"), "decision", "reason")
+
+
+def bad_scores_sql(nan: str) -> str:
+    """``nan``: what a NaN score leads to."""
+    return TXN_SQL + f""",
+s AS (SELECT *, seq % 7 AS rest FROM txn WHERE type = 'TransactionValidated')
+SELECT seq, transaction_id, CASE WHEN rest IN (0, 2) THEN NULL WHEN rest = 1 THEN {nan} ELSE round(rest / 7.0::DOUBLE, 6) END AS risk_score,
+  CASE WHEN rest IN (0, 2) OR rest = 1 AND {nan} IS NULL THEN 'ERROR' WHEN rest > 2 AND rest / 7.0::DOUBLE >= {P.fraud_threshold}
+    THEN 'FLAGGED' ELSE 'APPROVED' END AS decision,
+  CASE WHEN rest > 4 THEN 'amount' ELSE '' END AS reason
+FROM s"""
+
+
+@query(bad_scores_sql("(-1.0)::DOUBLE"))
+def q_decisions_bad_scores(spark, sf_dir):
+    """No score and a score above 1 are errors; NaN flags nothing."""
+    return bad_scores(spark, sf_dir, AmountRule())
+
+
+@query(bad_scores_sql("NULL::DOUBLE"))
+def q_decisions_bad_scores_python(spark, sf_dir):
+    """From Python, NaN is a missing score."""
+    return bad_scores(spark, sf_dir, rules.PandasRule("amount-rule", ["seq"], python_amounts))
+
+
 @query(decision_sql(0.8))
 def q_decisions_default_threshold(spark, sf_dir):
     return decision_columns(decisions(spark, sf_dir, P.with_(fraud_threshold=0.8)))
@@ -432,14 +513,15 @@ def q_rule_weights(spark, sf_dir):
         "seq", rounded("risk_score").alias("risk_score"))
 
 
-@query(FULL + """
-SELECT seq, transaction_id, concat_ws(' | ', CASE WHEN v THEN 'velocity' END, CASE WHEN g THEN 'travel' END,
-  CASE WHEN m THEN 'merchant' END) AS reasons FROM scored""")
+REASON_SQL = f"""concat_ws(' | ',
+  CASE WHEN v THEN concat(velocity_count, ' transactions of ', user_id, ' in {P.velocity_window_s} s, {P.velocity_threshold} allowed') END,
+  CASE WHEN g THEN printf('travelled at %.2f km/h over %.2f km', kmh, km) END,
+  CASE WHEN m THEN concat('listed merchant ', merchant_id) END)"""
+
+
+@query(FULL + f"SELECT seq, transaction_id, {REASON_SQL} AS reason FROM scored")
 def q_alert_reasons(spark, sf_dir):
-    text = F.regexp_replace("reason", r"User .*? \(count: \d+\)", "velocity")
-    text = F.regexp_replace(text, r"Impossible travel: .*? km\.", "travel")
-    text = F.regexp_replace(text, r"Merchant .*? is on the prohibited blacklist\.", "merchant")
-    return decisions(spark, sf_dir).select("seq", "transaction_id", text.alias("reasons"))
+    return decisions(spark, sf_dir).select("seq", "transaction_id", "reason")
 
 
 def with_bad_coordinates(df):
@@ -505,18 +587,19 @@ def q_reject_unvalidated(spark, sf_dir):
 
 
 @query(TXN_SQL + """
-SELECT seq, amount / 20000.0::DOUBLE AS score,
-  concat_ws(',', CASE WHEN amount > 20000 THEN 'riskScore' END, CASE WHEN seq % 7 = 0 THEN 'reason' END) AS violations
+SELECT seq, CASE WHEN seq % 11 = 0 THEN NULL WHEN seq % 11 = 1 THEN -1 ELSE amount / 20000.0::DOUBLE END AS score,
+  concat_ws(',', CASE WHEN seq % 11 = 0 OR seq % 11 > 1 AND amount > 20000 THEN 'riskScore' END, CASE WHEN seq % 7 = 0 THEN 'reason' END) AS violations
 FROM txn""")
 def q_rule_contract(spark, sf_dir):
-    """Results of a rule that sometimes breaks the contract: score from the amount, missing reasons."""
+    """Results of a rule that sometimes breaks the contract: missing scores, NaN (shown as -1), scores above 1, missing reasons."""
     none = F.lit(None).cast("string")
+    score = F.when(F.col("seq") % 11 == 0, None).when(F.col("seq") % 11 == 1, float("nan")).otherwise(F.col("amount") / F.lit(20000.0))
     result = F.struct(
-        F.lit("amount-rule").alias("rule_id"), (F.col("amount") / F.lit(20000.0)).alias("score"),
+        F.lit("amount-rule").alias("rule_id"), score.alias("score"),
         F.lit(False).alias("is_suspicious"), F.when(F.col("seq") % 7 == 0, "").otherwise("ok").alias("findings"),
         none.alias("error"))
     checked = rules.contract_violations(transactions(spark, sf_dir).withColumn("result", result))
-    return checked.select("seq", F.col("result.score").alias("score"),
+    return checked.select("seq", F.nanvl(F.col("result.score"), F.lit(-1.0)).alias("score"),
                           F.array_join("violations", ",").alias("violations"))
 
 
@@ -636,11 +719,6 @@ def q_build_flagged(spark, sf_dir):
         "seq", "transaction_id", "type", "timestamp_ns", rounded("risk_score").alias("risk_score"))
 
 
-@query()
-def q_alert_records(spark, sf_dir):
-    return alerts.alert_records(alerts.alert_events(complete_decisions(spark, sf_dir), P), P)
-
-
 # --- ingest --------------------------------------------------------------------------------
 
 def ingested(spark, sf_dir):
@@ -703,7 +781,7 @@ def q_filter_by_type(spark, sf_dir):
 
 
 @query(RAW_SQL + """SELECT offset_ AS "offset", coalesce(key, 'anonymous') AS key,
-  row_number() OVER (PARTITION BY coalesce(key, 'anonymous') ORDER BY offset_) AS position FROM raw""")
+  row_number() OVER (PARTITION BY coalesce(key, 'anonymous') ORDER BY proc_ms, partition_, offset_) AS position FROM raw""")
 def q_batch_key_groups(spark, sf_dir):
     return ingest.in_key_order(raw_messages(spark, sf_dir)).select("offset", "key", "position")
 
@@ -804,6 +882,11 @@ def hmac_sql(text: str, key: str = P.signing_key) -> str:
     return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({text}))))"
 
 
+def envelope_mac_sql(created_ns: str, provenance: str, payload: str = "payload") -> str:
+    """Signature of an envelope whose canonical payload is given."""
+    return hmac_sql(f"""concat('{{"metadata":{{"createdAtNs":', CAST({created_ns} AS VARCHAR), ',"provenanceTrace":"{provenance}","schemaVersion":"v1.0"}},"payload":', {payload}, '}}')""")
+
+
 def number_sql(name: str) -> str:
     return f"CASE WHEN {name} = 0 THEN '0' ELSE regexp_replace(CAST({name} AS VARCHAR), '\\.0$', '') END"
 
@@ -851,7 +934,25 @@ def q_hmac_verify(spark, sf_dir):
         "seq", "is_genuine")
 
 
-@query()
+AGENT_SQL = """CASE WHEN event_id % 11 = 0 THEN 'agent \\"x\\" \\\\ 1' ELSE 'agent/1.0' END"""
+TELEMETRY_SQL = f"""'"telemetry":{{"latitude":', {number_sql("latitude")}, ',"longitude":', {number_sql("longitude")},
+  ',"deviceFingerprint":"fp-', CAST(event_id % 97 AS VARCHAR), '","ipAddress":"',
+  CASE WHEN event_id % 7 = 0 THEN '2001:db8::17' ELSE '10.1.2.3' END, '","userAgent":"', {AGENT_SQL}, '"}}'"""
+
+
+def envelope_sql(created_ns: str, provenance: str, kind: str, extra: str, timestamp: str, mac: str) -> str:
+    """An envelope as it is sent; ``extra`` is what the type adds to the payload."""
+    return f"""concat('{{"metadata":{{"schemaVersion":"v1.0","createdAtNs":"', CAST({created_ns} AS VARCHAR),
+  '","provenanceTrace":"{provenance}"}},"payload":{{"type":"', {kind}, '","transactionId":"', transaction_id, '","userId":"', user_id,
+  '","merchantId":"', merchant_id, '","amount":{{"value":"', CAST(amount AS VARCHAR), '","currency":"USD"}},', {TELEMETRY_SQL},
+  {extra}, ',"timestamp":"', CAST({timestamp} AS VARCHAR), '"}},"signature":"', {mac}, '"}}')"""
+
+
+VALIDATOR_SQL = """CASE WHEN type = 'TransactionValidated' THEN ',"validatorId":"validator-1"' ELSE '' END"""
+
+
+@query(CANONICAL_SQL + f"""SELECT seq, {envelope_sql("timestamp_ns", "spark:ingest", "type", VALIDATOR_SQL, "timestamp_ns",
+  envelope_mac_sql("timestamp_ns", "spark:ingest"))} AS envelope FROM can WHERE fault IS NULL""")
 def q_envelope_create(spark, sf_dir):
     rows = complete_transactions(spark, sf_dir).where(F.col("event_type") != "error")
     signed = signing.wrap(rows, P.signing_key, F.col("timestamp_ns"))
@@ -881,6 +982,23 @@ def q_decrypt_tampered(spark, sf_dir):
         "seq", "user_id", "security_violation")
 
 
+FLAGGED_SQL = """concat('{"amount":{"currency":"USD","value":', CAST(amount AS VARCHAR), '},"merchantId":"', merchant_id,
+  '","reason":"', reason, '","riskScore":', CAST(risk AS VARCHAR), ',"telemetry":{"deviceFingerprint":"fp-', CAST(event_id % 97 AS VARCHAR),
+  '","ipAddress":"', CASE WHEN event_id % 7 = 0 THEN '2001:db8::17' ELSE '10.1.2.3' END, '","latitude":', """ + number_sql("latitude") + """,
+  ',"longitude":', """ + number_sql("longitude") + """, ',"userAgent":"', """ + AGENT_SQL + """, '"},"timestamp":', CAST(proc_ms * 1000000 AS VARCHAR),
+  ',"transactionId":"', transaction_id, '","type":"TransactionFlagged","userId":"', user_id, '"}')"""
+
+
+@query(recursive(ALERTS_SQL + sent_sql(P.alert_ttl_s * 1000)) + f""",
+told AS (SELECT *, {EVENT_SQL} AS event_id, {REASON_SQL} AS reason FROM marked WHERE is_sent)
+SELECT transaction_id AS key, {envelope_sql("proc_ms * 1000000", "spark:alerts", "'TransactionFlagged'",
+  """',"reason":"', reason, '","riskScore":', CAST(risk AS VARCHAR)""", "proc_ms * 1000000",
+  envelope_mac_sql("proc_ms * 1000000", "spark:alerts", FLAGGED_SQL))} AS value
+FROM told""")
+def q_alert_records(spark, sf_dir):
+    return alerts.alert_records(alerts.alert_events(complete_decisions(spark, sf_dir), P), P)
+
+
 # --- event log -----------------------------------------------------------------------------
 
 HALF_MS = 1705276800000  # middle of the test month
@@ -905,21 +1023,30 @@ def halves(spark, sf_dir):
 
 
 def event_log(spark, sf_dir):
-    return eventlog.with_versions(log_batch(spark, sf_dir))
+    return with_offset(eventlog.with_versions(log_batch(spark, sf_dir)))
 
 
-LOG_SQL = TXN_SQL + """,
-log AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS version FROM txn)
+LOG_SQL = TXN_SQL + f""",
+log AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY proc_ms, {EVENT_SQL} % 4, seq) AS version FROM txn)
 """
 
 
+def with_offset(df):
+    """The offset back from the arrival number, as the oracles know it."""
+    return df.withColumn("seq", F.col("seq").bitwiseAND(F.lit(2**state.OFFSET_BITS - 1)))
+
+
 def appended(spark, sf_dir, group_rows=None):
     early, late = halves(spark, sf_dir)
-    return eventlog.with_versions(late, eventlog.with_versions(early), group_rows).select(
-        "seq", "aggregate_id", "event_type", "version", F.length("signature").alias("signature_length"))
+    return with_offset(eventlog.with_versions(late, eventlog.with_versions(early), group_rows)).select(
+        "seq", "aggregate_id", "event_type", "version", "signature")
 
 
-APPEND_SQL = LOG_SQL + f"""SELECT seq, user_id AS aggregate_id, type AS event_type, version, 64 AS signature_length
+APPEND_SQL = CANONICAL_SQL + f""",
+log AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY proc_ms, event_id % 4, seq) AS version
+  FROM can WHERE coalesce(fault, -1) = -1)
+SELECT seq, user_id AS aggregate_id, type AS event_type, version,
+  {envelope_mac_sql("proc_ms * 1000000", "proc:1")} AS signature
 FROM log WHERE proc_ms >= {HALF_MS}"""
 
 
@@ -969,14 +1096,14 @@ def q_log_integrity(spark, sf_dir):
 @query(LOG_SQL + f""",
 second_half AS (SELECT * FROM log WHERE proc_ms >= {HALF_MS}),
 base AS (SELECT user_id, max(version) AS v FROM log WHERE proc_ms < {HALF_MS} GROUP BY user_id),
-writers AS (SELECT s.user_id, coalesce(v, 0) + row_number() OVER (PARTITION BY s.user_id, seq % 2 ORDER BY seq) AS version
+writers AS (SELECT s.user_id, coalesce(v, 0) + row_number() OVER (PARTITION BY s.user_id, seq % 2 ORDER BY proc_ms, {EVENT_SQL} % 4, seq) AS version
   FROM second_half s LEFT JOIN base b ON b.user_id = s.user_id)
 SELECT user_id AS aggregate_id, version, count(*) AS writers FROM writers GROUP BY ALL HAVING count(*) > 1""")
 def q_version_conflicts(spark, sf_dir):
     """Two writers number odd and even messages from the same base."""
     early, late = halves(spark, sf_dir)
     log = eventlog.with_versions(early)
-    odd, even = (late.where(F.col("seq") % 2 == rest) for rest in (1, 0))
+    odd, even = (late.where(F.col("seq").bitwiseAND(F.lit(2**state.OFFSET_BITS - 1)) % 2 == rest) for rest in (1, 0))
     both = eventlog.with_versions(odd, log).unionByName(eventlog.with_versions(even, log))
     return eventlog.version_conflicts(both)
 
