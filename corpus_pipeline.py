@@ -14,7 +14,8 @@ from tollgate.session import shared_folder
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that pass all rules."""
-    return quality.ledger(docs).where(quality.passes(quality.STRICT)).select(*docs.columns)
+    ledger = quality.ledger(docs.select("text", F.struct("*").alias("doc")))
+    return ledger.where(quality.passes(quality.STRICT)).select("doc.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

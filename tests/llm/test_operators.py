@@ -41,6 +41,7 @@ def docs(spark):
         (5, base + " end", "de", "s2"), (6, long, "de", "s2"), (7, long, None, "s2"), (None, base, "fr", "s2"), (8, "one two", "fr", None),
         (9, "x" * 70_000, None, "é"), (10, "a  b \n c\u00a0d\t<|endoftext|> </s> ▁ x ", "en", "é"), (11, "line\nline\nline\nother\nline", "en", "é"),
         (12, " ".join(["again and again we say it"] * 9), "en", "s1"), (13, "\U0001F600 \u0301 0 1 2 3 4 5 6 7 8 9", "en", "s1"),
+        (15, "A clean text of plain words that says one thing after another and then ends here.", "en", "s1"),
         (14, "words with  two spaces  and\u2003others\x1cin\x85between", "en", "s1"),
     ]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")

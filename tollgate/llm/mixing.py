@@ -99,4 +99,5 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
 
 def emitted(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as ``mix`` says, with its own columns."""
-    return mix(docs, **options).where("_copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    mixed = mix(docs.select("doc_id", "source", "text", F.struct("*").alias("doc")), **options).where("_copies > 0")
+    return mixed.select("doc", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("doc.*")

@@ -43,6 +43,7 @@ CHROME_NAMES = frozenset("""ad ads advert adverts advertisement advertising adse
     consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices overlay pager
     pagination paywall popup promo promotion related respond share sharing sidebar signup social sponsor sponsored subscribe toolbar
     topbar widget""".split())
+WRAPPER_WORDS = frozenset("has with no without main content wrapper container layout body article".split())
 # --- end of fixed values
 
 TAG = re.compile(
@@ -51,6 +52,12 @@ ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 NAME = re.compile(r"[a-z0-9]+")
 
 
+def names_chrome(word: str) -> bool:
+    """Whether a class or id says so by its first or last part (``ad-top``, ``site_nav``), and isn't what wraps a page (``has-sidebar``)."""
+    parts = NAME.findall(word)
+    return bool(parts) and not CHROME_NAMES.isdisjoint((parts[0], parts[-1])) and (len(parts) == 1 or WRAPPER_WORDS.isdisjoint(parts))
+
+
 def is_chrome(tag: str, attributes: str, in_core: bool) -> bool:
     """Whether an element with such a tag is no part of the text, by its tag, role, names, or being hidden."""
     if tag in CHROME or tag == "header" and not in_core:
@@ -60,9 +67,8 @@ def is_chrome(tag: str, attributes: str, in_core: bool) -> bool:
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
         if name in ("class", "id") and tag not in ("body", "html", "article", "main"):
-            for word in value.split():
-                if word in CHROME_NAMES or any(part in CHROME_NAMES for part in NAME.findall(word)):
-                    return True
+            if any(names_chrome(word) for word in value.split()):
+                return True
         elif name == "role" and value in CHROME_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         elif name == "style" and "display:none" in value.replace(" ", ""):

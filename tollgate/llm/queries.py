@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import log
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -186,7 +187,45 @@ RULES = [
 ]
 
 
-@query()
+def url_sql(rules: list[urls.Rule], tree: urls.TreeSettings = urls.TreeSettings()) -> str:
+    """The verdicts with one step a level; ``levels`` of them, whatever the paths' depth."""
+    fits = [(r, f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')") for r in sorted(rules, key=lambda r: -len(r.text()))]
+    name = " ".join(f"WHEN {test} THEN '{r.text()}'" for r, test in fits)
+    given = " ".join(f"WHEN {test} THEN '{r.verdict}'" for r, test in fits)
+    steps, ending = [], r"'(\.[A-Za-z]{1,5})$'"
+    for k in range(1, tree.levels + 1):
+        steps.append(f"""
+s{k} AS (SELECT *, segments[{k}] AS segment FROM l{k - 1}),
+c{k} AS (SELECT host, template, segment, sum(n) AS pages FROM s{k} WHERE segment IS NOT NULL GROUP BY ALL),
+w{k} AS (SELECT host, template, true AS wide FROM c{k} GROUP BY ALL HAVING count(*) >= {tree.distinct} AND sum(pages) < {tree.support} * count(*)),
+v{k} AS (SELECT s.*, wide IS NOT NULL OR regexp_matches(regexp_replace(segment, {ending}, ''), '[0-9]') OR length(segment) > 40 AS varies
+  FROM s{k} s LEFT JOIN w{k} USING (host, template)),
+p{k} AS (SELECT *, CASE WHEN segment IS NULL THEN '' WHEN varies THEN '/*' || regexp_extract(segment, {ending}, 1) ELSE '/' || segment END AS part FROM v{k}),
+l{k} AS (SELECT host, path, n, blocked, allowed, segments, template || part AS template,
+  CASE WHEN segment IS NOT NULL AND NOT varies THEN template || '/*' ELSE branch || part END AS branch FROM p{k}),""")
+    rates = [f"abs({c} / n::DOUBLE - all_{c} / all_n::DOUBLE) <= {(log(2 / tree.alpha) / 2) ** 0.5!r}::DOUBLE * (1 / sqrt(n) + 1 / sqrt(all_n))" for c in ("blocked", "allowed")]
+    return rf"""
+WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), '{urls.UPPER}', '{urls.LOWER}') AS host,
+    regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r AS (SELECT *, CASE {name} END AS rule, CASE {given} END AS given FROM u),
+l0 AS (SELECT host, path, count(*) AS n, count(*) FILTER (given = 'block') AS blocked, count(*) FILTER (given = 'allow') AS allowed,
+    list_filter(string_split(path, '/'), lambda s: s <> '') AS segments, '' AS template, '' AS branch FROM r GROUP BY host, path),
+{"".join(steps)}
+e AS (SELECT *, CASE WHEN len(segments) > {tree.levels} THEN '/**' ELSE '' END || CASE WHEN regexp_matches(path, './$') THEN '/' ELSE '' END AS tail FROM l{tree.levels}),
+t AS (SELECT host, path, n, blocked, allowed, template || tail AS template, branch || tail AS branch FROM e),
+f AS (SELECT host, branch, template, sum(n) AS n, sum(blocked) AS blocked, sum(allowed) AS allowed FROM t GROUP BY ALL),
+g AS (SELECT *, CASE WHEN 2 * blocked > n THEN 'block' WHEN 2 * allowed > n THEN 'allow' ELSE '' END AS side FROM f),
+h AS (SELECT *, sum(n) OVER b AS all_n, sum(blocked) OVER b AS all_blocked, sum(allowed) OVER b AS all_allowed FROM g
+  WINDOW b AS (PARTITION BY host, branch, side)),
+i AS (SELECT host, template, n, blocked, allowed, CASE WHEN {" AND ".join(rates)} THEN branch ELSE template END AS merged,
+  CASE WHEN {" AND ".join(rates)} THEN side ELSE template END AS side FROM h),
+j AS (SELECT host, merged, side, (sum(blocked) + {tree.prior}) / (sum(blocked) + sum(allowed) + 2 * {tree.prior})::DOUBLE AS purity FROM i GROUP BY ALL)
+SELECT page_id, r.host, r.path, rule, coalesce(given, CASE WHEN purity >= {tree.reject} THEN 'block' ELSE 'allow' END) AS verdict, i.merged AS template
+FROM r JOIN t ON t.host = r.host AND t.path = r.path JOIN i ON i.host = t.host AND i.template = t.template
+JOIN j ON j.host = i.host AND j.merged = i.merged AND j.side = i.side"""
+
+
+@query(url_sql(RULES))
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict", "template")
 
