@@ -6,6 +6,8 @@ Messages have ``key, value, topic, partition, offset, timestamp`` as a Kafka sou
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,12 +38,12 @@ def with_json(messages: DataFrame) -> DataFrame:
     """Add ``json`` (VARIANT); null if the value is not exactly one JSON text.
 
     The parser stops after the first JSON value and ignores what follows. So the value is read
-    as the first entry of an array whose second entry is the value's own hash: text after the
-    value breaks the array or moves the hash.
+    as the first entry of an array whose second entry is a mark that is drawn anew for each plan:
+    text after the value breaks the array or moves the mark, and cannot contain it.
     """
-    mark = F.md5(F.col("value"))
-    wrapped = F.try_parse_json(F.concat(F.lit("["), F.col("value"), F.lit(',"'), mark, F.lit('"]')))
-    whole = F.try_variant_get(F.col("_wrapped"), "$[1]", "string") == mark
+    mark = secrets.token_hex(16)
+    wrapped = F.try_parse_json(F.concat(F.lit("["), F.col("value"), F.lit(f',"{mark}"]')))
+    whole = F.try_variant_get(F.col("_wrapped"), "$[1]", "string") == F.lit(mark)
     return (
         messages.withColumn("_wrapped", wrapped)
         .withColumn("json", F.when(whole, F.variant_get(F.col("_wrapped"), "$[0]", "variant")))
@@ -81,18 +83,8 @@ def with_kind(parsed: DataFrame) -> DataFrame:
     )
 
 
-# The declared members. Values stay untyped here: their JSON type is part of the checks.
-TRANSACTION = (
-    "type variant, transactionId variant, userId variant, merchantId variant, "
-    "amount struct<value variant, currency variant>, timestamp variant, "
-    "telemetry struct<latitude variant, longitude variant, deviceFingerprint variant, "
-    "ipAddress variant, userAgent variant>, "
-    "validatorId variant, reason variant, riskScore variant"
-)
-MESSAGE = (
-    "metadata struct<schemaVersion variant, createdAtNs variant, provenanceTrace variant>, "
-    f"payload struct<{TRANSACTION}>, signature variant, {TRANSACTION}"
-)
+# The declared members. Their values are taken from the parsed JSON untyped: their JSON type is part
+# of the checks.
 TEXTS = {
     "type": "type",
     "transaction_id": "transactionId",
@@ -115,27 +107,38 @@ NUMBERS = {
 def with_fields(parsed: DataFrame) -> DataFrame:
     """Add the declared fields, typed; a field of the wrong type is null, others are dropped."""
     in_envelope = F.col("kind") == "envelope"
-    members = ["type", "transactionId", "userId", "merchantId", "amount", "timestamp", "telemetry",
-               "validatorId", "reason", "riskScore"]
-    opened = (
-        parsed.withColumn("is_json", F.col("json").isNotNull()).drop("json")
-        .withColumn("_msg", F.when(F.col("is_json"), F.from_json("value", MESSAGE)))
-        .withColumns({
-            "_tx": F.when(in_envelope, F.col("_msg.payload")).otherwise(
-                F.struct(*[F.col(f"_msg.{name}") for name in members])),
-            "_meta": F.when(in_envelope, F.col("_msg.metadata")),
-            "_signature": F.when(in_envelope, F.col("_msg.signature")),
-        })
-        .drop("_msg")
-    )
+
+    def member(of: str, path: str) -> Column:
+        return F.try_variant_get(of, f"$.{path}", "variant")
+
+    def within(path: str) -> Column:
+        """A member of the transaction, wherever it is."""
+        return member("_tx", path)
+
+    def about(path: str) -> Column:
+        """A member of the envelope; null for a bare message."""
+        return F.when(in_envelope, member("json", path))
+
+    opened = parsed.withColumns({
+        "is_json": F.col("json").isNotNull(),
+        "_tx": F.when(in_envelope, member("json", "payload")).otherwise(F.col("json")),
+    })
     integers = {
-        "amount": F.col("_tx.amount.value"),
-        "timestamp_ns": F.col("_tx.timestamp"),
-        "created_at_ns": F.col("_meta.createdAtNs"),
+        "amount": within("amount.value"),
+        "timestamp_ns": within("timestamp"),
+        "created_at_ns": about("metadata.createdAtNs"),
+    }
+    values = {
+        **{name: within(path) for name, path in (TEXTS | NUMBERS).items()},
+        **integers,
+        "schema_version": about("metadata.schemaVersion"),
+        "provenance": about("metadata.provenanceTrace"),
+        "sealed": about("signature"),
     }
-    read = opened.withColumns({
-        **{f"_kind_{name}": _kind(value) for name, value in integers.items()},
-        **{f"_text_{name}": _text(value) for name, value in integers.items()},
+    read = opened.withColumns({f"_value_{name}": value for name, value in values.items()}).drop("json", "_tx")
+    read = read.withColumns({
+        **{f"_kind_{name}": _kind(F.col(f"_value_{name}")) for name in integers},
+        **{f"_text_{name}": _text(F.col(f"_value_{name}")) for name in integers},
     })
 
     def text(value: Column) -> Column:
@@ -148,17 +151,17 @@ def with_fields(parsed: DataFrame) -> DataFrame:
         return json_integer(F.col(f"_text_{name}"), F.col(f"_kind_{name}"))
 
     return read.withColumns({
-        **{name: text(F.col(f"_tx.{path}")) for name, path in TEXTS.items()},
-        **{name: number(F.col(f"_tx.{path}")) for name, path in NUMBERS.items()},
+        **{name: text(F.col(f"_value_{name}")) for name in TEXTS},
+        **{name: number(F.col(f"_value_{name}")) for name in NUMBERS},
         "amount": integer("amount"),
         "timestamp_ns": integer("timestamp_ns").try_cast("bigint"),
         "metadata": F.when(in_envelope, F.struct(
-            text(F.col("_meta.schemaVersion")).alias("schemaVersion"),
+            text(F.col("_value_schema_version")).alias("schemaVersion"),
             integer("created_at_ns").try_cast("bigint").alias("createdAtNs"),
-            text(F.col("_meta.provenanceTrace")).alias("provenanceTrace"),
+            text(F.col("_value_provenance")).alias("provenanceTrace"),
         )),
-        "signature": text(F.col("_signature")),
-    }).drop("_tx", "_meta", "_signature", *[f"_{part}_{name}" for part in ("kind", "text") for name in integers])
+        "signature": text(F.col("_value_sealed")),
+    }).drop(*[f"_value_{name}" for name in values], *[f"_{part}_{name}" for part in ("kind", "text") for name in integers])
 
 
 def _utf16_length(text: Column) -> Column:
