@@ -54,5 +54,20 @@ def test_scan_reads_only_needed_columns(spark):
     assert "PushedFilters: [IsNotNull(event_type), Not(EqualTo(event_type,error))]" in text
 
 
+def test_stored_log_is_pruned(spark, tmp_path):
+    """One aggregate's history is searched by pushed filters, a period by partitions."""
+    from tollgate.operators import eventlog
+    from tollgate.plans.queries import log_batch
+
+    path = f"{tmp_path}/log"
+    eventlog.append(log_batch(spark, SF), path, None, 0, "w")
+    log = spark.read.parquet(path)
+    one = eventlog.load(log, "user-7")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(aggregate_id,user-7)" in re.search(r"PushedFilters: \[(.*?)\]", one).group(1)
+    period = eventlog.by_time(log, "2024-01-10 06:00:00", "2024-01-12 18:00:00")._jdf.queryExecution().executedPlan().toString()
+    assert "created_date" in re.search(r"PartitionFilters: \[(.*?)\]", period).group(1)
+    assert eventlog.load(log, "user-7").count() == eventlog.with_versions(log_batch(spark, SF)).where("aggregate_id = 'user-7'").count()
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 631

@@ -1,11 +1,14 @@
 """The streaming pipeline, over several micro-batches and a restart, against the batch jobs."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from tollgate.operators import alerts, decide, eventlog, ingest, state
 from tollgate.plans.fixtures import FIXTURE_PARAMS, raw_messages
 from tollgate.sources import messages as sources
+from tollgate.streaming.processors import AlertSuppression
 from tollgate.streaming.pipeline import Pipeline, counts_per_minute
 
 SF = "/root/testdata/sf0.001"
@@ -88,6 +91,37 @@ def test_an_unreadable_log_is_an_error(spark, tmp_path):
         pipeline.log()
 
 
+def test_listener_counts_outcomes(spark, tmp_path):
+    from tollgate.streaming.metrics import OutcomeCounts
+
+    raw_messages(spark, SF).limit(60).write.parquet(f"{tmp_path}/in")
+    checked = ingest.ingest(sources.stored_messages(spark, f"{tmp_path}/in"), FIXTURE_PARAMS.signing_key)
+    bad, all_rows = ingest.rejected(checked).count(), checked.count()
+    listener = OutcomeCounts()
+    spark.streams.addListener(listener)
+    try:
+        pipeline = Pipeline(spark, str(tmp_path), FIXTURE_PARAMS)
+        writer = pipeline.write_ingested(sources.file_messages(spark, f"{tmp_path}/in"))
+        writer.trigger(availableNow=True).start().awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        deadline = time.time() + 30
+        while sum(listener.counts.values()) < all_rows and time.time() < deadline:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    got = {(r.operation, r.outcome): r.n for r in listener.table(spark).collect()}
+    assert got == {("ingest", "success"): all_rows - bad, ("ingest", "error"): bad} and bad > 0
+
+
+def test_alerts_expire_by_default(spark, finished):
+    _, pipeline = finished
+    schema = spark.read.parquet(pipeline.path("decisions")).schema
+    plan = pipeline.write_alerts(schema)
+    assert plan is not None
+    processor = AlertSuppression(60, 60)
+    assert processor.forget_after_ms == 60_000
+
+
 def test_alerts_equal_batch(spark, finished):
     everything, pipeline = finished
     sent = alerts.with_suppression(alerts.flagged(batch_decisions(everything)), FIXTURE_PARAMS.alert_ttl_s)

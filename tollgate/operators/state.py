@@ -212,6 +212,14 @@ def user_balances(df: DataFrame) -> DataFrame:
     return df.groupBy(*USER).agg(F.sum(counted).alias("balance"))
 
 
+def lookup_counts(wanted: DataFrame, df: DataFrame, at_ms: Column | int, window_s: int) -> DataFrame:
+    """Distinct transactions of each wanted user whose last arrival up to ``at_ms`` is at most a window old."""
+    at = F.lit(at_ms) if isinstance(at_ms, int) else at_ms
+    last = df.where(F.col("proc_ms") <= at).groupBy(*OCCURRENCE).agg(F.max("proc_ms").alias("_last"))
+    counts = last.where(F.col("_last") >= at - window_s * 1000).groupBy(*USER).agg(F.count(F.lit(1)).alias("transactions"))
+    return wanted.join(counts, list(USER), "left").withColumn("transactions", F.coalesce("transactions", F.lit(0)))
+
+
 def lookup_balances(wanted: DataFrame, balances: DataFrame) -> DataFrame:
     """Balance of each wanted user; unknown users get 0 and ``is_miss``."""
     return wanted.join(balances, list(USER), "left").select(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tollgate.functions import crypto, net
 from tollgate.functions.numeric import json_integer
 from tollgate.functions.text import csv_set
-from tollgate.operators import alerts, deadletter, decide, eventlog, history, ingest, rollups, rules
+from tollgate.operators import alerts, deadletter, decide, eventlog, events, history, ingest, rollups, rules
 from tollgate.operators import signing, state
 from tollgate.params import MERCHANT_RULE, SPEC_PRESET, TRAVEL_RULE, VELOCITY_RULE
 from tollgate.plans.fixtures import (
@@ -30,6 +30,8 @@ ORACLES: dict[str, str] = {}
 # The id of the event a transaction comes from; the test view deals events out over four partitions.
 EVENT_SQL = "CAST(substr(transaction_id, 4) AS BIGINT)"
 
+HALF_MS = 1705276800000  # middle of the test month
+
 # Group size that makes the test data's users large enough to be cut into pieces.
 FORCED_SPLIT = 25
 
@@ -211,6 +213,17 @@ def q_cache_misses(spark, sf_dir):
     return rollups.cache_misses(balance_lookups(spark, sf_dir), "balance")
 
 
+@query(TXN_SQL + f""",
+last AS (SELECT user_id, transaction_id, max(proc_ms) AS ms FROM txn WHERE proc_ms <= {HALF_MS} GROUP BY ALL),
+n AS (SELECT user_id, count(*) AS transactions FROM last WHERE ms >= {HALF_MS} - 86400000 GROUP BY user_id),
+u AS (SELECT concat('user-', CAST(c_custkey AS VARCHAR)) AS user_id FROM customer)
+SELECT u.user_id, coalesce(transactions, 0) AS transactions FROM u LEFT JOIN n ON n.user_id = u.user_id""")
+def q_user_count_lookup(spark, sf_dir):
+    wanted = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        F.concat(F.lit("user-"), F.col("c_custkey").cast("string")).alias("user_id"))
+    return state.lookup_counts(wanted, transactions(spark, sf_dir), HALF_MS, 86_400)
+
+
 def velocity(spark, sf_dir, group_rows=None):
     df, split = with_states(spark, sf_dir, group_rows)
     return state.with_velocity(df, split, P.velocity_window_s).select("seq", "user_id", "velocity_count")
@@ -982,6 +995,25 @@ def q_decrypt_tampered(spark, sf_dir):
         "seq", "user_id", "security_violation")
 
 
+def built_sql(kind: str, validator: str) -> str:
+    return TXN_SQL + f"""SELECT seq, transaction_id, user_id, merchant_id, amount, currency, '{kind}' AS type,
+  (proc_ms + 7) * 1000000 AS timestamp_ns, {validator} AS validator_id FROM txn"""
+
+
+def built(events_of):
+    return events_of.select("seq", "transaction_id", "user_id", "merchant_id", "amount", "currency", "type", "timestamp_ns", "validator_id")
+
+
+@query(built_sql("TransactionInitiated", "NULL::VARCHAR"))
+def q_build_initiated(spark, sf_dir):
+    return built(events.initiated_events(transactions(spark, sf_dir), F.col("proc_ms") + 7))
+
+
+@query(built_sql("TransactionValidated", "'checker-2'"))
+def q_build_validated(spark, sf_dir):
+    return built(events.validated_events(transactions(spark, sf_dir), F.col("proc_ms") + 7, "checker-2"))
+
+
 FLAGGED_SQL = """concat('{"amount":{"currency":"USD","value":', CAST(amount AS VARCHAR), '},"merchantId":"', merchant_id,
   '","reason":"', reason, '","riskScore":', CAST(risk AS VARCHAR), ',"telemetry":{"deviceFingerprint":"fp-', CAST(event_id % 97 AS VARCHAR),
   '","ipAddress":"', CASE WHEN event_id % 7 = 0 THEN '2001:db8::17' ELSE '10.1.2.3' END, '","latitude":', """ + number_sql("latitude") + """,
@@ -1001,8 +1033,6 @@ def q_alert_records(spark, sf_dir):
 
 # --- event log -----------------------------------------------------------------------------
 
-HALF_MS = 1705276800000  # middle of the test month
-
 
 def log_batch(spark, sf_dir):
     """Log rows of the accepted messages, built without the JSON round trip."""

@@ -162,8 +162,9 @@ class Pipeline:
             timeMode="none" if forget_after_s is None else "ProcessingTime",
         )
 
-    def write_alerts(self, schema: StructType, forget_after_s: int | None = None):
-        sent = self.alert_events(self._follow("decisions", schema), forget_after_s)
+    def write_alerts(self, schema: StructType, bounded: bool = True):
+        """The alerts as records. ``bounded`` forgets an id a TTL after its last alert, by the wall clock."""
+        sent = self.alert_events(self._follow("decisions", schema), self.params.alert_ttl_s if bounded else None)
         return stream_records(
             alerts.alert_records(sent, self.params), self.path("alerts"), self.checkpoint("alerts")
         )
@@ -183,7 +184,7 @@ class Pipeline:
         finish(self.write_dead_letters(ingested))
         finish(self.write_decisions(ingested))
         decisions = self.scored(self._accepted(ingested)).schema
-        finish(self.write_alerts(decisions))
+        finish(self.write_alerts(decisions, bounded=False))
 
 
 def counts_per_minute(df: DataFrame, at: str, delay: str, *labels: str) -> DataFrame:
