@@ -83,6 +83,12 @@ def test_a_new_checkpoint_keeps_the_old_log(spark, tmp_path):
     assert sorted((r.event_id, r.version) for r in spark.read.parquet(path).collect()) == [("e1", 1), ("e2", 2)]
 
 
+def test_a_new_writer_goes_on_from_the_log(spark, finished, tmp_path):
+    _, pipeline = finished
+    everyone = {r.aggregate_id: r.version for r in eventlog.heads(pipeline.log()).collect()}
+    assert {r.aggregate_id: r.version for r in pipeline.heads("another", 0).collect()} == everyone
+
+
 def test_an_unreadable_log_is_an_error(spark, tmp_path):
     pipeline = Pipeline(spark, str(tmp_path), FIXTURE_PARAMS)
     assert pipeline.log() is None
@@ -148,6 +154,10 @@ def test_log_and_dead_letters(spark, finished):
     per_user = log.groupBy("aggregate_id").agg(F.count("*").alias("n"), F.max("version").alias("v"),
                                                F.countDistinct("version").alias("d"))
     assert per_user.where("n <> v or n <> d").count() == 0
+    writer = pipeline.writer("log")
+    kept = {(r.aggregate_id, r.version) for r in pipeline.heads(writer, 10**9).collect()}
+    assert kept == {(r.aggregate_id, r.v) for r in per_user.collect()}
+    assert [n for n in pipeline._names(f"{pipeline.path('log_heads')}/writer={writer}")].count("all=0") == 1
     assert spark.read.json(pipeline.path("dead_letters")).count() == ingest.rejected(checked).count()
 
 

@@ -37,11 +37,15 @@ def log_rows(accepted: DataFrame) -> DataFrame:
     )
 
 
+def heads(log: DataFrame) -> DataFrame:
+    """The latest version of each aggregate, from a log or from heads of several times."""
+    return log.groupBy(*AGGREGATE).agg(F.max("version").alias("version"))
+
+
 def next_versions(batch: DataFrame, log: DataFrame) -> DataFrame:
     """Version that the next event of each aggregate in the batch gets."""
     wanted = batch.select(*AGGREGATE).distinct()
-    latest = log.groupBy(*AGGREGATE).agg(F.max("version").alias("version"))
-    return wanted.join(latest, list(AGGREGATE), "left").select(
+    return wanted.join(heads(log), list(AGGREGATE), "left").select(
         *AGGREGATE, (F.coalesce("version", F.lit(0)) + 1).cast("bigint").alias("next_version")
     )
 
@@ -50,7 +54,8 @@ def with_versions(batch: DataFrame, log: DataFrame | None = None, group_rows: in
     """Number the batch per aggregate in the order of (``created_at``, ``seq``), going on from the log.
 
     The log's latest version of an aggregate takes part as one leading row that counts as many
-    versions, so numbering and looking up the base are a single pass over one shuffle.
+    versions, so numbering and looking up the base are a single pass over one shuffle. ``log`` may
+    be the log itself or its ``heads``.
     """
     batch = batch.withColumn("_us", F.unix_micros("created_at"))
     split = find_split(batch, AGGREGATE, "_us", group_rows, tie="seq")

@@ -25,6 +25,8 @@ from tollgate.session import tune
 from tollgate.sources.messages import stream_records
 from tollgate.streaming.processors import STATE_COLUMNS, AlertSuppression, UserState
 
+# Of so many batches of the log one stores the latest versions of all aggregates.
+COMPLETE_HEADS = 20
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -82,29 +84,53 @@ class Pipeline:
 
         def append(batch: DataFrame, batch_id: int) -> None:
             writer = self.writer("log")
-            batch = batch.persist()
-            try:
-                eventlog.append(batch, self.path("log"), self.log(writer, batch_id), batch_id, writer)
-            finally:
-                batch.unpersist()
+            heads = self.heads(writer, batch_id)
+            eventlog.append(batch, self.path("log"), heads, batch_id, writer)
+            written = self.spark.read.parquet(f"{self.path('log')}/writer={writer}/batch_id={batch_id}")
+            self._write_heads(eventlog.heads(written), heads, writer, batch_id)
 
         return rows.writeStream.foreachBatch(append).option("checkpointLocation", self.checkpoint("log"))
 
+    # --- the latest version of each aggregate ---
+    # A writer's batch stores those of its own aggregates; every so many batches store those of all,
+    # so that numbering reads what there are aggregates, not what there are events.
+
+    def heads(self, writer: str, before: int) -> DataFrame | None:
+        """``aggregate_id``, ``version`` as they were before a writer's batch; None while there is nothing."""
+        folder = f"{self.path('log_heads')}/writer={writer}"
+        stored = {kind: [int(n.split("=")[1]) for n in self._names(folder) if n.startswith(f"{kind}=")] for kind in ("all", "own")}
+        complete = max((n for n in stored["all"] if n < before), default=None)
+        if complete is None:  # the writer's first batch: what others have written
+            log = self.log(writer, before)
+            return None if log is None else eventlog.heads(log)
+        later = [f"{folder}/own={n}" for n in stored["own"] if complete < n < before]
+        return eventlog.heads(self.spark.read.parquet(f"{folder}/all={complete}", *later))
+
+    def _write_heads(self, own: DataFrame, earlier: DataFrame | None, writer: str, batch_id: int) -> None:
+        folder = f"{self.path('log_heads')}/writer={writer}"
+        if batch_id % COMPLETE_HEADS and self._names(folder):
+            own.write.mode("overwrite").parquet(f"{folder}/own={batch_id}")
+        else:
+            every = own if earlier is None else eventlog.heads(own.unionByName(earlier))
+            every.write.mode("overwrite").parquet(f"{folder}/all={batch_id}")
+
     def writer(self, name: str) -> str:
         """The id of the query that has this checkpoint; a new checkpoint gives a new one."""
         stored = self.spark.read.text(f"{self.checkpoint(name)}/metadata").first()[0]
         return json.loads(stored)["id"]
 
-    def _exists(self, path: str) -> bool:
+    def _names(self, path: str) -> list[str]:
+        """What is in a folder; nothing if there is none."""
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+        files = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [f.getPath().getName() for f in files.listStatus(at)] if files.exists(at) else []
 
     def log(self, writer: str | None = None, before: int | None = None) -> DataFrame | None:
         """The event log, or what it was before a writer's batch; None while there is nothing.
 
         Only a missing folder means that there is no log yet; a log that can't be read is an error.
         """
-        if not self._exists(self.path("log")):
+        if "log" not in self._names(self.folder):
             return None
         log = self.spark.read.parquet(self.path("log"))
         if before is not None:
