@@ -73,6 +73,18 @@ def test_histogram_and_quantile(spark):
     assert rollups.histogram_quantile(hist, ["op"], 0.99).first().quantile == 5.0
 
 
+@pytest.mark.parametrize("group_rows", [None, 5])
+def test_percentiles_of_any_number_of_ticks(spark, group_rows):
+    rng = random.Random(2)
+    rows = [(op, rng.randrange(60) ** 2) for op in ("a", "b", None) for _ in range(300)] + [("a", None), ("c", 7)]
+    df = spark.createDataFrame(rows, "op string, t long")
+    found = {r.op: (r.p50, r.p95) for r in rollups.latency_percentiles(df, ["op"], F.col("t"), [0.5, 0.95], group_rows).collect()}
+    exact = {r.op: (r.a, r.b) for r in df.groupBy("op").agg(F.percentile("t", 0.5).alias("a"), F.percentile("t", 0.95).alias("b")).collect()}
+    assert found.keys() == exact.keys()
+    for op in exact:
+        assert found[op] == pytest.approx(exact[op])
+
+
 def test_error_label_defaults_to_system(spark):
     df = spark.createDataFrame([(None, "E"), ("r", "E"), ("r", "E")], "rule_id string, error_type string")
     got = {(r.rule_id, r.error_type, r.n) for r in rollups.error_counts(df).collect()}

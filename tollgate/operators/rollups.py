@@ -5,9 +5,13 @@ All of them aggregate map-side first, so a dominating label value is not a hot s
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tollgate.operators.running import Running, find_split, running
+
 # Latency bucket bounds in seconds, by what is measured.
 BUCKETS = {
     "operation": [0.001, 0.005, 0.01, 0.05, 0.1, 0.5, 1.0, 2.0, 5.0],
@@ -89,18 +93,37 @@ def latency_histogram(values: DataFrame, labels: list[str], seconds: Column, bou
     return wide.select(*labels, "total", "sum_seconds", F.inline(F.array(*rows)))
 
 
-def latency_percentiles(values: DataFrame, labels: list[str], ticks: Column, points: list[float]) -> DataFrame:
-    """Exact interpolated percentiles of integer clock ticks.
+def latency_percentiles(
+    values: DataFrame, labels: list[str], ticks: Column, points: list[float], group_rows: int | None = None
+) -> DataFrame:
+    """Exact interpolated percentiles of integer clock ticks; null ticks don't count.
 
-    Equal ticks are counted first; the percentile then works on (tick, count) pairs, at most one
-    per clock tick that occurs.
+    Equal ticks are counted first. A running sum over the ticks, cut where a label has very many,
+    gives their ranks; the values at the ranks a percentile lies between are then minima, so no
+    label's ticks are gathered.
     """
-    distinct = values.select(*labels, ticks.alias("_tick")).groupBy(*labels, "_tick").agg(
-        F.count(F.lit(1)).alias("_n")
+    distinct = (
+        values.select(*labels, ticks.alias("_tick")).where(F.col("_tick").isNotNull())
+        .groupBy(*labels, "_tick").agg(F.count(F.lit(1)).alias("_n"))
     )
-    return distinct.groupBy(*labels).agg(*[
-        F.percentile("_tick", point, F.col("_n")).alias(f"p{round(point * 100)}") for point in points
+    split = find_split(distinct, labels, "_tick", group_rows)
+    upto = running(distinct, split, ["_tick"], {"_upto": Running("sum", F.col("_n"))}, at=F.col("_tick"))
+    totals = distinct.groupBy(*labels).agg(F.sum("_n").alias("_total"))
+    same = reduce(lambda a, b: a & b, [F.col(f"v.{c}").eqNullSafe(F.col(f"t.{c}")) for c in labels], F.lit(True))
+    ranked = upto.alias("v").join(totals.alias("t"), same).select(*[F.col(f"v.{c}").alias(c) for c in labels], "_tick", "_upto", "_total")
+
+    def at(rank: Column) -> Column:
+        return F.min(F.when(F.col("_upto") > rank, F.col("_tick")))
+
+    def place(point: float) -> Column:
+        return F.lit(point) * (F.col("_total") - 1)
+
+    found = ranked.groupBy(*labels).agg(F.first("_total").alias("_total"), *[
+        side for k, point in enumerate(points)
+        for side in (at(F.floor(place(point))).alias(f"_low{k}"), at(F.ceil(place(point))).alias(f"_high{k}"))
     ])
+    between = lambda k, point: F.col(f"_low{k}") + (F.col(f"_high{k}") - F.col(f"_low{k}")) * (place(point) - F.floor(place(point)))
+    return found.select(*labels, *[between(k, point).alias(f"p{round(point * 100)}") for k, point in enumerate(points)])
 
 
 def histogram_quantile(histogram: DataFrame, labels: list[str], point: float) -> DataFrame:
