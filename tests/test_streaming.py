@@ -136,6 +136,48 @@ def test_alerts_equal_batch(spark, finished):
     assert got == expected and len(got) > 5
 
 
+class Borrowing(Pipeline):
+    """A pipeline of its own that reads the tables of another."""
+
+    def __init__(self, spark, folder, other, *tables):
+        super().__init__(spark, folder, other.params)
+        self.other, self.tables = other, tables
+
+    def path(self, table):
+        return self.other.path(table) if table in self.tables else super().path(table)
+
+
+def finish(writer):
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
+def test_alerts_after_a_failed_sink_are_neither_lost_nor_doubled(spark, finished, tmp_path):
+    _, done = finished
+    pipeline = Borrowing(spark, str(tmp_path), done, "decisions")
+    schema = spark.read.parquet(done.path("decisions")).schema
+    (tmp_path / "alerts").write_text("in the way")
+    with pytest.raises(Exception):
+        finish(pipeline.write_alerts(schema, bounded=False))
+    (tmp_path / "alerts").unlink()
+    finish(pipeline.write_alerts(schema, bounded=False))
+    rows = lambda p: sorted(r.key for r in spark.read.json(p.path("alerts")).collect())
+    assert rows(pipeline) == rows(done) and rows(done)
+
+
+def test_a_crash_inside_a_log_batch_is_repaired(spark, finished, tmp_path, monkeypatch):
+    everything, done = finished
+    schema = done.ingested(everything).schema
+    crashed = Borrowing(spark, str(tmp_path), done, "ingested")
+    monkeypatch.setattr(crashed, "_write_heads", lambda *a: 1 / 0)
+    with pytest.raises(Exception):
+        finish(crashed.write_log(schema))
+    assert crashed.log().count() > 0  # rows of the batch that did not end
+    again = Borrowing(spark, str(tmp_path), done, "ingested")
+    finish(again.write_log(schema))
+    rows = lambda p: sorted(map(tuple, p.log().select("event_id", "aggregate_id", "version").collect()))
+    assert rows(again) == rows(done)
+
+
 def test_alert_records_verify(spark, finished):
     _, pipeline = finished
     records = spark.read.json(pipeline.path("alerts")).select(
