@@ -294,21 +294,24 @@ def test_licenses_and_inheritance(spark):
     ], key=str)
 
 
-def test_license_cosine_is_tf_idf(spark, small):
+def test_license_cosine_is_tf_idf(spark, small, monkeypatch):
+    monkeypatch.setattr(licenses, "PART", 50)
     files = small.select(F.concat(F.lit("d/"), F.col("doc_id")).alias("path"), "text")
-    rows = licenses.lines(files).collect()
-    df = Counter(t for r in rows for t in set(r.terms))
-    vocabulary = {t for _, _, text in licenses._rows(licenses.TEMPLATES) for t in spark.range(1).select(licenses.terms(F.lit(text))).first()[0]}
+    words_of = lambda line: [t for t in (w.strip(licenses.EDGES) for w in line.lower().split()) if t]
+    rows = [(r.path, k, words_of(line)) for r in files.collect() for k, line in enumerate(r.text.split("\n")) if words_of(line)]
+    df = Counter(t for _, _, ts in rows for t in set(ts))
+    texts = [text for texts in licenses.TEMPLATES.values() for text in texts]
+    vocabulary = {t for text in texts for t in words_of(text)}
     weigh = lambda t: math.log((1 + len(rows)) / max(df[t] if t in vocabulary else 1, 1)) + 1
     vector = lambda ts: {t: n * weigh(t) for t, n in Counter(ts).items()}
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
-    notices = [(name, vector(spark.range(1).select(licenses.terms(F.lit(text))).first()[0])) for name, _, text in licenses._rows(licenses.TEMPLATES)]
+    notices = [vector(words_of(text)) for text in texts]
     wanted = {}
-    for r in rows:
-        own = vector(r.terms)
-        best, name = max((sum(w * own.get(t, 0) for t, w in v.items()) / norm(v) / norm(own), n) for n, v in notices)
+    for path, line, ts in rows:
+        own = vector(ts)
+        best = max(sum(w * own.get(t, 0) for t, w in v.items()) / norm(v) / norm(own) for v in notices)
         if best >= licenses.THRESHOLD:
-            wanted[(r.path, r.line)] = round(best, 9)
+            wanted[(path, line)] = round(best, 9)
     assert wanted == {(r.path, r.line): round(r.cosine, 9) for r in licenses.scan(files).collect()} and wanted
 
 

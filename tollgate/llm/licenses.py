@@ -14,8 +14,12 @@ below ``sqrt(1 - r)``, where r is the rare words' share of a template's squared
 
 from __future__ import annotations
 
-from math import log
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
+from math import log, sqrt
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,72 +48,120 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 FILE_NAMES = r"(?i)^(licen[cs]e|copying|notice)([.-].*)?$"
 
 
-def terms(line: Column) -> Column:
-    """Lower-case words of ASCII letters, digits, points, plus signs and hyphens; no points at their ends."""
-    bare = F.regexp_replace(F.lower(line), r"[^a-z0-9.+-]+|\.+(?![a-z0-9])", " ")
-    return F.filter(F.split(bare, " +"), lambda t: t != "")
+EDGES = ".,;:!?\"'()[]{}<>#*/|-"
+PART = 65_536
 
 
-def _rows(templates: dict[str, tuple[str, ...]]) -> list[tuple[str, int, str]]:
-    return [(license, number, text) for license, texts in templates.items() for number, text in enumerate(texts)]
+def terms(line: str) -> list[str]:
+    """The lower-case words of a line, without punctuation at their ends."""
+    return [t for t in [w.strip(EDGES) for w in line.lower().split()] if t]
 
 
-def lines(files: DataFrame, text_col: str = "text") -> DataFrame:
-    """``path``, ``line`` (from 0), ``terms`` for each line with a word."""
-    parts = F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\n\r]+")).alias("line", "text")
-    return files.select("path", parts).select("path", "line", terms(F.col("text")).alias("terms")).where(F.size("terms") > 0)
+def _parts(line: str) -> Iterator[str]:
+    """A very long line in parts that end at white space."""
+    at = 0
+    while at < len(line):
+        end = at + PART
+        while end < len(line) and not line[end].isspace():
+            end += 1
+        yield line[at:end]
+        at = end
 
 
-def weights(rows: DataFrame, vocabulary: list[str]) -> tuple[dict[str, float], float, dict[str, float]]:
-    """From all lines: the weight of each template word, that of a word in one line, and the share of lines with each word.
+def lines(text: str | None) -> list[str]:
+    return (text or "").replace("\r\n", "\n").replace("\r", "\n").split("\n")
 
-    The counts are summed by word before the shuffle, and only template words are counted.
-    """
-    total = rows.count()
-    own = F.explode(F.array_intersect(F.array(*[F.lit(v) for v in vocabulary]), F.col("terms"))).alias("term")
-    seen = {row.term: row.n for row in rows.select(own).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
-    most = log(1 + max(total, 1)) + 1
-    return {v: log((1 + max(total, 1)) / max(seen.get(v, 0), 1)) + 1 for v in vocabulary}, most, {v: seen.get(v, 0) / max(total, 1) for v in vocabulary}
 
+@dataclass(frozen=True)
+class Templates:
+    """Templates as unit vectors (license, number of the notice, weight by word), weights, and the words without which no line is close."""
 
-def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """``path``, ``line``, ``license``, ``cosine``, ``n_terms`` for each line of ``files`` that is like a template.
+    vectors: tuple[tuple[str, dict[str, float]], ...]
+    weight: dict[str, float]
+    most: float
+    rare: frozenset[str]
 
-    Of equally close templates the first license by name counts. Whole texts are read; null and
-    empty ones have no lines.
-    """
-    spark = files.sparkSession
-    notices = _rows(templates)
-    cut = spark.createDataFrame(notices, "license string, number int, text string").select("license", "number", terms(F.col("text")).alias("terms")).collect()
-    vocabulary = sorted({t for row in cut for t in row.terms})
-    rows = lines(files, text_col)
-    weight, most, share = weights(rows, vocabulary)
-    squared = lambda words: sum(words.count(w) ** 2 * weight[w] ** 2 for w in set(words))
-    # Common words, from the most common on, as long as lines of these alone stay below the threshold.
+
+def document_frequencies(files: DataFrame, vocabulary: frozenset[str], text_col: str = "text") -> tuple[int, dict[str, int]]:
+    """The number of lines with a word in all files, and of lines with each word of the vocabulary. Each batch sends on its sums."""
+    def run(batches):
+        for batch in batches:
+            seen: Counter[str] = Counter()
+            for text in batch.column(0).to_pylist():
+                for line in lines(text):
+                    found: set[str] = set()
+                    for part in _parts(line):
+                        found.update(terms(part))
+                    if found:
+                        seen[""] += 1
+                        seen.update(vocabulary & found)
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
+
+    counted = files.select(text_col).mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    seen = {row.term: row.n for row in counted.collect()}  # no more than the vocabulary
+    return seen.pop("", 0), seen
+
+
+def weigh(templates: dict[str, tuple[str, ...]], total: int, seen: dict[str, int], threshold: float) -> Templates:
+    """Weights from the corpus, and as ``rare`` all words but the most common ones that lines may consist of without coming close."""
+    notices = [(license, Counter(terms(text))) for license, texts in sorted(templates.items()) for text in texts]
+    vocabulary = {t for _, words in notices for t in words}
+    weight = {t: log((1 + total) / max(seen.get(t, 0), 1)) + 1 for t in vocabulary}
+    squared = lambda words: sum((n * weight[t]) ** 2 for t, n in words.items())
     common: set[str] = set()
-    for word in sorted(vocabulary, key=lambda v: -share[v]):
+    for word in sorted(vocabulary, key=lambda t: (-seen.get(t, 0), t)):
         trial = common | {word}
-        if any(squared([t for t in row.terms if t in trial]) >= threshold**2 * squared(row.terms) for row in cut):
+        if any(squared({t: n for t, n in words.items() if t in trial}) >= threshold**2 * squared(words) for _, words in notices):
             break
         common = trial
-    rare = [v for v in vocabulary if v not in common]
-    looked = rows.where(F.arrays_overlap("terms", F.array(*[F.lit(v) for v in rare])))
-    known = F.create_map(*[F.lit(x) for v in vocabulary for x in (v, weight[v])])
-    weigh = lambda t: F.coalesce(F.try_element_at(known, t), F.lit(most))
-    # The different words of a line, each with its number.
-    looked = looked.withColumn("kinds", F.array_distinct("terms"))
-    looked = looked.withColumn("vector", F.transform("kinds", lambda t: F.struct(t.alias("t"), (F.size(F.filter("terms", lambda u: u == t)) * weigh(t)).alias("w"))))
-    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.w * x.w))
-    looked = looked.select("path", "line", F.size("terms").alias("n_terms"), length.alias("length"), F.map_from_entries(F.filter("vector", lambda x: F.array_contains(F.array(*[F.lit(v) for v in vocabulary]), x.t))).alias("vector"))
-    scores = []
-    for row in cut:
-        own = {t: row.terms.count(t) * weight[t] for t in set(row.terms)}
-        norm = sum(w * w for w in own.values()) ** 0.5
-        dot = sum((F.coalesce(F.try_element_at("vector", F.lit(t)), F.lit(0.0)) * (w / norm) for t, w in sorted(own.items())), F.lit(0.0))
-        scores.append(F.struct((dot / F.col("length")).alias("cosine"), F.lit(row.license).alias("license")))
-    best = F.array_sort(F.array(*scores), lambda a, b: F.when(a.cosine > b.cosine, -1).when(a.cosine < b.cosine, 1).when(a.license < b.license, -1).when(a.license > b.license, 1).otherwise(0))
-    looked = looked.withColumn("best", F.element_at(best, 1))
-    return looked.select("path", "line", F.col("best.license").alias("license"), F.col("best.cosine").alias("cosine"), "n_terms").where(F.col("cosine") >= threshold)
+    vectors = tuple((license, {t: n * weight[t] / sqrt(squared(words)) for t, n in sorted(words.items())}) for license, words in notices)
+    return Templates(vectors, weight, log(1 + total) + 1, frozenset(vocabulary - common))
+
+
+def closest(words: Counter[str], templates: Templates) -> tuple[float, str]:
+    """The largest cosine of a line's words with a template, to 12 places, and its license; of equals the first by name."""
+    own = {t: n * templates.weight.get(t, templates.most) for t, n in words.items()}
+    length = sqrt(sum(w * w for w in own.values()))
+    cosine = lambda vector: round(sum(w * own.get(t, 0.0) for t, w in vector.items()) / length, 12)
+    best = max(((cosine(vector), k) for k, (_, vector) in enumerate(templates.vectors)), key=lambda x: (x[0], -x[1]))
+    return best[0], templates.vectors[best[1]][0]
+
+
+def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """``path``, ``line`` (from 0), ``license``, ``cosine``, ``n_terms``, ``whole`` for each line of ``files`` that is like a template.
+
+    ``whole`` tells that such lines have over half the row's words. Whole texts are read; null and
+    empty ones have no lines with words.
+    """
+    vocabulary = frozenset(t for texts in templates.values() for text in texts for t in terms(text))
+    total, seen = document_frequencies(files, vocabulary, text_col)
+    weighed = files.sparkSession.sparkContext.broadcast(weigh(templates, total, seen, threshold))
+
+    def run(batches):
+        known = weighed.value
+        for batch in batches:
+            rows: list[tuple] = []
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                size, hits = 0, []
+                for number, line in enumerate(lines(text)):
+                    words: Counter[str] = Counter()
+                    for part in _parts(line):
+                        words.update(terms(part))
+                    n = words.total()
+                    size += n
+                    if n and not known.rare.isdisjoint(words):
+                        cosine, license = closest(words, known)
+                        if cosine >= threshold:
+                            hits.append((k, number, license, cosine, n))
+                whole = 2 * sum(hit[4] for hit in hits) > size
+                rows += [(*hit, whole) for hit in hits]
+            if rows:
+                own, number, license, cosine, n, whole = zip(*rows)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(own)), pa.array(number, pa.int32()), pa.array(license), pa.array(cosine), pa.array(n, pa.int32()), pa.array(whole)],
+                    ["path", "line", "license", "cosine", "n_terms", "whole"])
+
+    return files.select("path", text_col).mapInArrow(run, "path string, line int, license string, cosine double, n_terms int, whole boolean")
 
 
 def directory(path: Column) -> Column:
@@ -131,7 +183,8 @@ def licenses(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES
     ``inherited`` (of the nearest directory above that has a license file; of several the first by
     path) or null, as are license and cosine then. Column ``path`` is needed; all columns are kept,
     those named like the added ones are replaced. A null path is a file in no directory's reach.
-    Rows that repeat a path count as one file of all their lines. An empty table gives no rows.
+    Rows that repeat a path are one file: its best line counts, and it is a license file if one of
+    them is. An empty table gives no rows.
     """
     added = ["license", "cosine", "license_line", "is_license_file", "license_source"]
     files = files.drop(*added)
@@ -139,10 +192,9 @@ def licenses(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES
     hits = held(scan(files.where("path IS NOT NULL"), templates, threshold, text_col))
     key = F.struct(F.col("cosine").alias("c"), (-F.col("line")).alias("l"))
     # Equal lines of a path's repeated rows give the same best line.
-    own = hits.groupBy("path").agg(F.max_by(F.struct("license", "cosine", "line"), key).alias("own"), F.sum("n_terms").alias("found"))
-    size = lines(files.join(own.select("path"), "path", "left_semi"), text_col).groupBy("path").agg(F.sum(F.size("terms")).alias("words"))
+    own = hits.groupBy("path").agg(F.max_by(F.struct("license", "cosine", "line"), key).alias("own"), F.max("whole").alias("whole"))
     name = F.regexp_extract("path", r"(?s)([^/]*)$", 1)
-    own = held(own.join(size, "path").withColumn("whole", (2 * F.col("found") > F.col("words")) | name.rlike(FILE_NAMES)))
+    own = own.withColumn("whole", F.col("whole") | name.rlike(FILE_NAMES))
     holders = own.where("whole").select(directory(F.col("path")).alias("dir"), "path", F.col("own.license").alias("license"), F.col("own.cosine").alias("cosine"))
     holders = holders.groupBy("dir").agg(F.min(F.struct("path", "license", "cosine")).alias("holder"))
     without = files.where("path IS NOT NULL").select("path").join(own.select("path"), "path", "left_anti").distinct()
