@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from math import log
 
@@ -111,7 +112,42 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- 5: licenses -----------------------------------------------------------------------------
 
 
-@query()
+def license_sql() -> str:
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    notices = [(license, Counter(licenses.terms(text))) for license, texts in sorted(licenses.TEMPLATES.items()) for text in texts]
+    values = ", ".join(f"({quoted(license)}, {k}, {quoted(t)}, {n})" for k, (license, words) in enumerate(notices) for t, n in words.items())
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, concat_ws('/', coalesce(source, 'none'), doc_id // 1000, doc_id) AS path,
+    concat_ws('/', coalesce(source, 'none'), doc_id // 1000) AS dir, coalesce(source, 'none') AS top, coalesce(text, '') AS t FROM documents),
+cut AS (SELECT r, string_split(replace(replace(t, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS all_lines FROM d),
+lines AS (SELECT r, unnest(all_lines) AS line_text, generate_subscripts(all_lines, 1) - 1 AS line FROM cut),
+words AS (SELECT r, line, trim(unnest(regexp_split_to_array(lower(line_text), '\s+')), {quoted(licenses.EDGES)}) AS term FROM lines),
+tf AS (SELECT r, line, term, count(*) AS n FROM words WHERE term <> '' GROUP BY ALL),
+notices(license, k, term, n) AS (VALUES {values}),
+total AS (SELECT count(*) AS n FROM (SELECT DISTINCT r, line FROM tf)),
+df AS (SELECT term, count(*) AS n FROM tf WHERE term IN (SELECT term FROM notices) GROUP BY term),
+weight AS (SELECT v.term, ln((1 + total.n)::DOUBLE / greatest(coalesce(df.n, 0), 1)) + 1 AS w
+  FROM (SELECT DISTINCT term FROM notices) v CROSS JOIN total LEFT JOIN df ON df.term = v.term),
+vec AS (SELECT k, license, notices.term, notices.n * w AS x FROM notices JOIN weight ON weight.term = notices.term),
+unit AS (SELECT k, license, term, x / sqrt(sum(x * x) OVER (PARTITION BY k)) AS x FROM vec),
+sized AS (SELECT r, line, tf.term, tf.n * coalesce(w, ln(1 + total.n) + 1) AS x, tf.n FROM tf CROSS JOIN total LEFT JOIN weight ON weight.term = tf.term),
+norm AS (SELECT r, line, sqrt(sum(x * x)) AS len, sum(n) AS n_terms FROM sized GROUP BY ALL),
+dots AS (SELECT s.r, s.line, u.k, u.license, sum(s.x * u.x) AS dot FROM sized s JOIN unit u ON u.term = s.term GROUP BY ALL),
+cos AS (SELECT dots.r, dots.line, k, license, round(dot / len, 12) AS cosine, n_terms FROM dots JOIN norm ON norm.r = dots.r AND norm.line = dots.line),
+best AS (SELECT * FROM cos WHERE cosine >= {licenses.THRESHOLD} QUALIFY row_number() OVER (PARTITION BY r, line ORDER BY cosine DESC, k) = 1),
+size AS (SELECT r, sum(n_terms) AS n FROM norm GROUP BY r),
+mass AS (SELECT best.r, 2 * sum(n_terms) > any_value(size.n) AS whole FROM best JOIN size ON size.r = best.r GROUP BY best.r),
+own AS (SELECT best.r, license, cosine, line, whole FROM best JOIN mass ON mass.r = best.r
+  QUALIFY row_number() OVER (PARTITION BY best.r ORDER BY cosine DESC, line) = 1),
+holder AS (SELECT dir, license, cosine FROM own JOIN d ON d.r = own.r WHERE whole QUALIFY row_number() OVER (PARTITION BY dir ORDER BY path) = 1)
+SELECT doc_id, d.path, coalesce(own.license, h1.license, h2.license, h3.license) AS license, own.line::INT AS license_line,
+  coalesce(whole, false) AS is_license_file,
+  CASE WHEN own.r IS NOT NULL THEN 'own' WHEN coalesce(h1.license, h2.license, h3.license) IS NOT NULL THEN 'inherited' END AS license_source,
+  round(coalesce(own.cosine, h1.cosine, h2.cosine, h3.cosine), 6) AS cosine
+FROM d LEFT JOIN own ON own.r = d.r LEFT JOIN holder h1 ON h1.dir = d.dir LEFT JOIN holder h2 ON h2.dir = d.top LEFT JOIN holder h3 ON h3.dir = ''"""
+
+
+@query(license_sql())
 def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files of a tree: source, then the id's thousands, then the id."""
     docs = table(spark, sf_dir, "documents")
