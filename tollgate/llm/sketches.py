@@ -87,7 +87,8 @@ def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id", tie:
     so that no window spans the table and each row is shuffled once.
     """
     spark = docs.sparkSession
-    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # More ranges than partitions, so that partitions get about as many rows each.
+    parts = 4 * max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     marks = [i / parts for i in range(1, parts)]
     cuts = sorted(set(docs.agg(F.percentile_approx(id_col, marks, 20 * parts)).first()[0] or []))
     run = max(1, isqrt(len(cuts)))
