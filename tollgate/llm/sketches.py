@@ -79,12 +79,13 @@ def digest(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
-def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id", tie: str = "_tie") -> DataFrame:
-    """``docs`` with ``next_<column>``: the value in the row after, by descending ``id_col``; after the last comes the first.
+def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id", tie: str = "_tie", derive=lambda df: df) -> DataFrame:
+    """``derive(docs)`` with ``next_<column>``: the value in the row after, by descending ``id_col``; after the last comes the first.
 
     Null ids are last; equal ids follow ``tie`` downwards. The rows are dealt out by id ranges
     between approximate quantiles, and each range gets a copy of the first row of the range below,
-    so that no window spans the table and each row is shuffled once.
+    so that no window spans the table and each row is shuffled once. ``derive`` adds columns before
+    the shuffle; it is given as a function so that the search for those first rows does without.
     """
     spark = docs.sparkSession
     # More ranges than partitions, so that partitions get about as many rows each.
@@ -107,7 +108,8 @@ def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id", tie:
     order = F.struct(F.col(id_col).alias("id"), F.col(tie).alias("tie"))
     heads = rows.groupBy(part).agg(F.max(order).alias(key)).collect()  # one row a range: no more than shuffle partitions
     if not heads:
-        return rows.select(*docs.columns, *[F.col(c).alias(f"next_{c}") for c in columns]).where("false")
+        none = derive(docs).where("false")
+        return none.withColumns({f"next_{c}": F.col(c) for c in columns})
     heads.sort(key=lambda row: -row[0])
     follows = [(heads[k][0], heads[(k + 1) % len(heads)][1].id, heads[(k + 1) % len(heads)][1].tie) for k in range(len(heads))]
     kinds = docs.schema
@@ -116,7 +118,7 @@ def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id", tie:
     met = rows.join(wanted, rows[id_col].eqNullSafe(wanted[f"{at}id"]) & rows[tie].eqNullSafe(wanted[f"{at}tie"]))
     copies = met.withColumn(part, F.col(f"{at}for")).dropDuplicates([part]).select(*rows.columns, F.lit(1).alias(extra))
     window = Window.partitionBy(part).orderBy(extra, F.col(id_col).desc_nulls_last(), F.col(tie).desc())
-    both = rows.withColumn(extra, F.lit(0)).unionByName(copies)
+    both = derive(rows.withColumn(extra, F.lit(0))).unionByName(derive(copies))
     led = both.withColumns({f"next_{c}": F.lead(c).over(window) for c in columns})
     return led.where(F.col(extra) == 0).drop(part, extra)
 
@@ -139,8 +141,8 @@ def edited(docs: DataFrame, k: int = K) -> DataFrame:
     has the last half of the code points (rounded down) replaced by as many from the beginning of
     the next text, or all of it. With one row, the next row is the row itself.
     """
-    rows = fingerprints(docs, k).withColumn("_tie", F.xxhash64("text"))
-    led = with_next(rows.drop("n_shingles"), ["text", "sketch"])
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_tie", F.xxhash64("text"))
+    led = with_next(rows, ["text", "sketch"], derive=lambda df: df.withColumn("sketch", sketch(F.col("text"), k)))
     led = led.withColumn("n_chars", F.char_length("text").cast("bigint"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     text = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("next_text"), F.lit(1), half))
