@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from tollgate.operators import alerts, decide, eventlog, ingest, state
 from tollgate.plans.fixtures import FIXTURE_PARAMS, raw_messages
 from tollgate.sources import messages as sources
+from tollgate.streaming.carried import Carried, names
 from tollgate.streaming.processors import AlertSuppression
 from tollgate.streaming.pipeline import Pipeline, counts_per_minute
+from tollgate.streaming.scoring import Scorer
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,8 +51,8 @@ def test_decisions_equal_batch(spark, finished):
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
 
 
-@pytest.mark.parametrize("max_files", [1, 3, 100])
-def test_the_number_of_files_in_a_trigger_changes_nothing(spark, tmp_path, max_files):
+@pytest.mark.parametrize("max_files,native", [(1, True), (3, True), (100, True), (1, False)])
+def test_the_number_of_files_in_a_trigger_changes_nothing(spark, tmp_path, max_files, native):
     """The source is throttled; what it brings is in arrival order, its files are not sorted inside."""
     params = FIXTURE_PARAMS.with_(spend_limit=20_000, spend_window_s=43_200, telemetry_max_age_s=3600)
     raw_messages(spark, SF).write.parquet(f"{tmp_path}/all")
@@ -64,7 +66,7 @@ def test_the_number_of_files_in_a_trigger_changes_nothing(spark, tmp_path, max_f
     messages = sources.file_messages(spark, f"{tmp_path}/in", max_files)
     schema = pipeline.ingested(messages).schema
     pipeline.write_ingested(messages).trigger(availableNow=True).start().awaitTermination()
-    pipeline.write_decisions(schema).trigger(availableNow=True).start().awaitTermination()
+    finish(pipeline.write_scored(schema, group_rows=25) if native else pipeline.write_decisions(schema))
     columns = ["seq", "transaction_id", "velocity_count", "spend", "risk_score", "decision", "reason"]
     streamed = spark.read.parquet(pipeline.path("decisions")).selectExpr(*columns)
     batch = batch_decisions(everything, params).selectExpr(*columns)
@@ -73,6 +75,59 @@ def test_the_number_of_files_in_a_trigger_changes_nothing(spark, tmp_path, max_f
     assert any(row[-1].count("spent") for row in found)
 
 
+@pytest.mark.parametrize("group_rows", [None, 20])
+def test_scoring_piece_by_piece_equals_one_batch(spark, tmp_path, group_rows):
+    """Many small batches, with carried state between them, and one retried batch."""
+    params = FIXTURE_PARAMS.with_(spend_limit=20_000, spend_window_s=43_200)
+    raw_messages(spark, SF).write.parquet(f"{tmp_path}/all")
+    everything = sources.stored_messages(spark, f"{tmp_path}/all")
+    rows = Pipeline._rows(ingest.accepted(ingest.ingest(everything, params.signing_key))).cache()
+    marks = [0, *rows.approxQuantile("proc_ms", [0.3, 0.5, 0.8], 0.01), 2**60]
+    scorer = Scorer(spark, f"{tmp_path}/state", params, group_rows=group_rows)
+    columns = ["seq", "velocity_count", "spend", "balance", "risk_score", "decision", "reason"]
+    found, sent = [], []
+    for batch, (low, high) in enumerate(zip(marks, marks[1:])):
+        part = rows.where((F.col("proc_ms") > low) & (F.col("proc_ms") <= high))
+        for _ in range(2 if batch == 2 else 1):  # the second time must not count
+            df = scorer.with_state(part, batch).cache()
+            decisions = scorer.decisions(df).cache()
+            out = decisions.select(columns).collect()
+            scorer.leave_behind(df, batch)
+            alerted = scorer.alerts(decisions, batch).cache()
+            gone = [r.seq for r in alerted.collect()]
+            scorer.remember_sent(alerted, batch)
+        found += out
+        sent += gone
+    whole = Scorer(spark, f"{tmp_path}/whole", params)
+    once = whole.with_state(rows, 0)
+    assert sorted(map(tuple, found)) == sorted(map(tuple, whole.decisions(once).select(columns).collect()))
+    batch = batch_decisions(everything, params)
+    strip = lambda t: (t.seq, t.velocity_count, t.risk_score, t.decision, t.reason)
+    assert sorted(map(strip, found)) == sorted(map(strip, batch.collect()))
+    marked = alerts.with_suppression(alerts.flagged(batch), params.alert_ttl_s)
+    assert sorted(sent) == sorted(r.seq for r in marked.where("is_sent").collect())
+
+
+def test_carried_rows_are_those_of_the_latest_batch(spark, tmp_path, monkeypatch):
+    from tollgate.streaming import carried as module
+
+    monkeypatch.setattr(module, "COMPLETE", 3)
+    table = Carried(spark, f"{tmp_path}/t", "k")
+    frame = lambda rows: spark.createDataFrame(rows, "k string, v int")
+    assert table.read(0) is None
+    state = {}
+    for batch in range(8):
+        rows = [("a", batch), ("a", -batch), (f"b{batch % 3}", batch)] if batch % 4 else [(f"b{batch % 3}", batch)]
+        for key in {k for k, _ in rows}:
+            state[key] = sorted(v for k, v in rows if k == key)
+        table.write(frame([("zz", 99)]), batch)  # a try that did not end
+        table.write(frame(rows), batch)
+        got = {}
+        for r in table.read(batch + 1).collect():
+            got.setdefault(r.k, []).append(r.v)
+        assert {k: sorted(v) for k, v in got.items()} == state
+
+
 def test_a_new_checkpoint_keeps_the_old_log(spark, tmp_path):
     batch = spark.createDataFrame([("e1", "u", "T", "{}", "{}", "s", 1)], "event_id string, aggregate_id string, event_type string, metadata string, payload string, signature string, seq bigint")
     batch = batch.withColumn("created_at", F.timestamp_millis(F.lit(5))).withColumn("created_date", F.to_date("created_at"))
@@ -152,14 +207,14 @@ def finish(writer):
 
 
 def test_alerts_after_a_failed_sink_are_neither_lost_nor_doubled(spark, finished, tmp_path):
-    _, done = finished
-    pipeline = Borrowing(spark, str(tmp_path), done, "decisions")
-    schema = spark.read.parquet(done.path("decisions")).schema
+    everything, done = finished
+    pipeline = Borrowing(spark, str(tmp_path), done, "ingested")
+    schema = done.ingested(everything).schema
     (tmp_path / "alerts").write_text("in the way")
     with pytest.raises(Exception):
-        finish(pipeline.write_alerts(schema, bounded=False))
+        finish(pipeline.write_scored(schema))
     (tmp_path / "alerts").unlink()
-    finish(pipeline.write_alerts(schema, bounded=False))
+    finish(pipeline.write_scored(schema))
     rows = lambda p: sorted(r.key for r in spark.read.json(p.path("alerts")).collect())
     assert rows(pipeline) == rows(done) and rows(done)
 
@@ -199,7 +254,7 @@ def test_log_and_dead_letters(spark, finished):
     writer = pipeline.writer("log")
     kept = {(r.aggregate_id, r.version) for r in pipeline.heads(writer, 10**9).collect()}
     assert kept == {(r.aggregate_id, r.v) for r in per_user.collect()}
-    assert [n for n in pipeline._names(f"{pipeline.path('log_heads')}/writer={writer}")].count("all=0") == 1
+    assert names(spark, f"{pipeline.path('log_heads')}/writer={writer}").count("all=0") == 1
     assert spark.read.json(pipeline.path("dead_letters")).count() == ingest.rejected(checked).count()
 
 

@@ -163,6 +163,17 @@ def _arrivals(swept: DataFrame, df: DataFrame, split: Split, output: str) -> Dat
     )
 
 
+def telemetry() -> Column:
+    """A row's telemetry, in an order in which the largest is the one to keep; null if it has none."""
+    return F.when(
+        F.col("timestamp_ns") > 0,
+        F.struct(
+            F.col("timestamp_ns"), (-F.col("proc_ms")).alias("neg_ms"), (-F.col("seq")).alias("neg_seq"),
+            F.col("latitude"), F.col("longitude"),
+        ),
+    )
+
+
 def with_previous_telemetry(
     df: DataFrame, split: Split, max_age_s: int | None = None
 ) -> DataFrame:
@@ -171,15 +182,8 @@ def with_previous_telemetry(
     Equal event times keep the first arrival, times of zero or less never become state. A late
     event therefore sees telemetry newer than itself. ``max_age_s`` drops older telemetry.
     """
-    telemetry = F.when(
-        F.col("timestamp_ns") > 0,
-        F.struct(
-            F.col("timestamp_ns"), (-F.col("proc_ms")).alias("neg_ms"), (-F.col("seq")).alias("neg_seq"),
-            F.col("latitude"), F.col("longitude"),
-        ),
-    )
     df = running(
-        df, split, ORDER, {"prev": Running("max", telemetry, inclusive=False)},
+        df, split, ORDER, {"prev": Running("max", telemetry(), inclusive=False)},
         at=arrival(), totals_of=split.large,
     )
     return recent_telemetry(df, max_age_s)

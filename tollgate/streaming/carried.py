@@ -1,0 +1,64 @@
+"""State between micro-batches as tables: what a key was left with after the batch that saw it last.
+
+Each batch stores the rows of its own keys, every so many batches those of all keys, each in a
+directory named by the batch, which a retry overwrites. Reading takes the last complete table and
+what was stored after it, and of each key the rows of the latest batch. So a batch writes what it
+changed, and reads what there are keys, not what there are events.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Of so many batches one stores all keys.
+COMPLETE = 20
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What is in a folder; nothing if there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in files.listStatus(at)] if files.exists(at) else []
+
+
+class Carried:
+    """One such table in ``folder``, with rows by ``key``."""
+
+    def __init__(self, spark: SparkSession, folder: str, key: str):
+        self.spark, self.folder, self.key = spark, folder, key
+
+    def _stored(self, before: int) -> tuple[int | None, list[int]]:
+        found: dict[str, list[int]] = {"all": [], "own": []}
+        for name in names(self.spark, self.folder):
+            kind, _, number = name.partition("=")
+            if kind in found and int(number) < before:
+                found[kind].append(int(number))
+        complete = max(found["all"], default=None)
+        return complete, sorted(n for n in found["own"] if complete is not None and n > complete)
+
+    def read(self, before: int) -> DataFrame | None:
+        """The rows as they were before a batch; None while there are none."""
+        complete, later = self._stored(before)
+        if complete is None:
+            return None
+        tables = [(complete, "all"), *[(n, "own") for n in later]]
+        parts = [self.spark.read.parquet(f"{self.folder}/{kind}={n}").withColumn("_batch", F.lit(n)) for n, kind in tables]
+        rows = parts[0]
+        for part in parts[1:]:
+            rows = rows.unionByName(part)
+        if later:
+            latest = rows.groupBy(self.key).agg(F.max("_batch").alias("_batch"))
+            rows = rows.join(latest, [self.key, "_batch"], "left_semi")
+        return rows.drop("_batch")
+
+    def write(self, own: DataFrame, batch: int) -> None:
+        """Store what the batch's own keys are left with."""
+        complete, _ = self._stored(batch)
+        if complete is not None and batch % COMPLETE:
+            own.write.mode("overwrite").parquet(f"{self.folder}/own={batch}")
+            return
+        earlier = self.read(batch)
+        if earlier is not None:
+            own = own.unionByName(earlier.join(own.select(self.key).distinct(), self.key, "left_anti"))
+        own.write.mode("overwrite").parquet(f"{self.folder}/all={batch}")

@@ -4,8 +4,9 @@
                          -> dead letters
                          -> decisions -> alerts
 
-Every table but the log is written by a file sink, whose own log makes a retried micro-batch
-harmless; the log overwrites the directory of its batch. No watermark: late events are scored.
+Ingested messages and dead letters are written by file sinks, whose own logs make a retried
+micro-batch harmless; the other tables overwrite the directory of their batch. No watermark: late
+events are scored.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from tollgate.operators.state import arrival_seq
 from tollgate.params import Params
 from tollgate.session import tune
 from tollgate.sources.messages import stream_records
+from tollgate.streaming.carried import Carried, names
 from tollgate.streaming.processors import STATE_COLUMNS, AlertSuppression, UserState
+from tollgate.streaming.scoring import Scorer
 
-# Of so many batches of the log one stores the latest versions of all aggregates.
-COMPLETE_HEADS = 20
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -91,46 +92,35 @@ class Pipeline:
 
         return rows.writeStream.foreachBatch(append).option("checkpointLocation", self.checkpoint("log"))
 
-    # --- the latest version of each aggregate ---
-    # A writer's batch stores those of its own aggregates; every so many batches store those of all,
-    # so that numbering reads what there are aggregates, not what there are events.
+    def _heads(self, writer: str) -> Carried:
+        return Carried(self.spark, f"{self.path('log_heads')}/writer={writer}", "aggregate_id")
 
     def heads(self, writer: str, before: int) -> DataFrame | None:
         """``aggregate_id``, ``version`` as they were before a writer's batch; None while there is nothing."""
-        folder = f"{self.path('log_heads')}/writer={writer}"
-        stored = {kind: [int(n.split("=")[1]) for n in self._names(folder) if n.startswith(f"{kind}=")] for kind in ("all", "own")}
-        complete = max((n for n in stored["all"] if n < before), default=None)
-        if complete is None:  # the writer's first batch: what others have written
-            log = self.log(writer, before)
-            return None if log is None else eventlog.heads(log)
-        later = [f"{folder}/own={n}" for n in stored["own"] if complete < n < before]
-        return eventlog.heads(self.spark.read.parquet(f"{folder}/all={complete}", *later))
+        stored = self._heads(writer).read(before)
+        if stored is not None:
+            return stored
+        log = self.log(writer, before)  # the writer's first batch: what others have written
+        return None if log is None else eventlog.heads(log)
 
     def _write_heads(self, own: DataFrame, earlier: DataFrame | None, writer: str, batch_id: int) -> None:
-        folder = f"{self.path('log_heads')}/writer={writer}"
-        if batch_id % COMPLETE_HEADS and self._names(folder):
-            own.write.mode("overwrite").parquet(f"{folder}/own={batch_id}")
-        else:
-            every = own if earlier is None else eventlog.heads(own.unionByName(earlier))
-            every.write.mode("overwrite").parquet(f"{folder}/all={batch_id}")
+        """After a writer's first batch the heads also hold what others have written."""
+        carried = self._heads(writer)
+        if earlier is not None and carried.read(batch_id) is None:
+            own = eventlog.heads(own.unionByName(earlier))
+        carried.write(own, batch_id)
 
     def writer(self, name: str) -> str:
         """The id of the query that has this checkpoint; a new checkpoint gives a new one."""
         stored = self.spark.read.text(f"{self.checkpoint(name)}/metadata").first()[0]
         return json.loads(stored)["id"]
 
-    def _names(self, path: str) -> list[str]:
-        """What is in a folder; nothing if there is none."""
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        files = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return [f.getPath().getName() for f in files.listStatus(at)] if files.exists(at) else []
-
     def log(self, writer: str | None = None, before: int | None = None) -> DataFrame | None:
         """The event log, or what it was before a writer's batch; None while there is nothing.
 
         Only a missing folder means that there is no log yet; a log that can't be read is an error.
         """
-        if "log" not in self._names(self.folder):
+        if "log" not in names(self.spark, self.folder):
             return None
         log = self.spark.read.parquet(self.path("log"))
         if before is not None:
@@ -139,8 +129,45 @@ class Pipeline:
 
     # --- scoring ---
 
+    def write_scored(self, schema: StructType, rules: RuleSet | None = None, group_rows: int | None = None):
+        """Decisions and alerts of the accepted messages, by the batch operators (``scoring.py``).
+
+        Tables ``decisions`` and ``alerts`` get a directory for each writer and batch.
+        """
+        def score(batch: DataFrame, batch_id: int) -> None:
+            at = f"writer={self.writer('scored')}"
+            scorer = Scorer(self.spark, f"{self.path('state')}/{at}", self.params, rules, group_rows)
+            df = scorer.with_state(batch, batch_id).persist()
+            try:
+                out = f"{self.path('decisions')}/{at}/batch_id={batch_id}"
+                scorer.decisions(df).write.mode("overwrite").parquet(out)
+                scorer.leave_behind(df, batch_id)
+            finally:
+                df.unpersist()
+            sent = scorer.alerts(self.spark.read.parquet(out), batch_id).persist()
+            try:
+                records = alerts.alert_records(sent, self.params)
+                records.write.mode("overwrite").option("compression", "gzip").json(f"{self.path('alerts')}/{at}/batch_id={batch_id}")
+                scorer.remember_sent(sent, batch_id)
+            finally:
+                sent.unpersist()
+
+        rows = self._rows(self._accepted(schema))
+        return rows.writeStream.foreachBatch(score).option("checkpointLocation", self.checkpoint("scored"))
+
+    @staticmethod
+    def _rows(accepted: DataFrame) -> DataFrame:
+        return accepted.select(
+            arrival_seq().alias("seq"), F.unix_millis("timestamp").alias("proc_ms"),
+            "transaction_id", "user_id", "merchant_id", "amount", "currency", "type", "timestamp_ns",
+            "latitude", "longitude", "device_fingerprint", "ip_address", "user_agent", "validator_id",
+        )
+
     def scored(self, accepted: DataFrame, rules: RuleSet | None = None) -> DataFrame:
-        """Decisions of a stream of accepted messages.
+        """Decisions of a stream of accepted messages, with the state in the state store.
+
+        The alternative to ``write_scored`` for low latency and users with few rows at a time: a
+        user's rows of a micro-batch are replayed in Python.
 
         Rows meet the state micro-batch by micro-batch, and in one in the order of clock,
         partition and offset. That is the batch job's order if no micro-batch brings a message
@@ -148,11 +175,7 @@ class Pipeline:
         """
         rules = rules or default_rules(self.params)
         spends = any(isinstance(rule, SpendRule) for rule in rules)
-        rows = accepted.select(
-            arrival_seq().alias("seq"), F.unix_millis("timestamp").alias("proc_ms"),
-            "transaction_id", "user_id", "merchant_id", "amount", "currency", "type", "timestamp_ns",
-            "latitude", "longitude", "device_fingerprint", "ip_address", "user_agent", "validator_id",
-        )
+        rows = self._rows(accepted)
         layout = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
         prepared = rows.groupBy("user_id").transformWithStateInPandas(
             statefulProcessor=UserState(
@@ -208,9 +231,7 @@ class Pipeline:
         finish(self.write_ingested(messages))
         finish(self.write_log(ingested))
         finish(self.write_dead_letters(ingested))
-        finish(self.write_decisions(ingested))
-        decisions = self.scored(self._accepted(ingested)).schema
-        finish(self.write_alerts(decisions, bounded=False))
+        finish(self.write_scored(ingested))
 
 
 def counts_per_minute(df: DataFrame, at: str, delay: str, *labels: str) -> DataFrame:

@@ -1,0 +1,94 @@
+"""Scoring of micro-batches by the batch operators.
+
+A user's new rows are put together with the rows that the user is still remembered by, and go through
+the same windows as in a batch job; what is older comes in as one row a user (balance, last
+telemetry). A user with very many rows is cut into pieces as in a batch job. Alerts are suppressed
+in the same step. All that a batch leaves behind is in directories named by its number, so a retry
+repeats it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tollgate.operators import alerts, decide, state
+from tollgate.operators.rules import RuleSet, SpendRule, default_rules
+from tollgate.params import Params
+from tollgate.streaming.carried import Carried
+
+SENT = "transaction_id string, proc_ms bigint, seq bigint"
+
+
+class Scorer:
+    """Decisions and alerts of accepted messages, batch after batch, under ``folder``.
+
+    The rows of a micro-batch meet the state in arrival order, after all rows of earlier ones.
+    ``group_rows`` sets from where on users are cut.
+    """
+
+    def __init__(self, spark, folder: str, params: Params, rules: RuleSet | None = None, group_rows: int | None = None):
+        self.spark, self.params, self.group_rows = spark, params, group_rows
+        self.rules = rules or default_rules(params)
+        self.spends = any(isinstance(rule, SpendRule) for rule in self.rules)
+        self.window_s = max(params.velocity_window_s, params.spend_window_s if self.spends else 0)
+        self.recent = Carried(spark, f"{folder}/recent", "user_id")
+        self.accounts = Carried(spark, f"{folder}/accounts", "user_id")
+        self.sent = Carried(spark, f"{folder}/sent", "transaction_id")
+
+    def with_state(self, rows: DataFrame, batch: int) -> DataFrame:
+        """New rows and those remembered (``_old``) with the state each of them met."""
+        users = rows.select("user_id").distinct()
+        both = rows.withColumns({"_old": F.lit(False), "_was_new": F.lit(None).cast("boolean")})
+        recent, accounts = self.recent.read(batch), self.accounts.read(batch)
+        if recent is not None:
+            kept = recent.join(users, "user_id", "left_semi").withColumnRenamed("is_new", "_was_new").withColumn("_old", F.lit(True))
+            both = both.unionByName(kept, allowMissingColumns=True)
+        split = state.user_split(both, self.group_rows)
+        df = state.with_first_seen(state.by_user(both, split), split, self.params.velocity_window_s)
+        df = df.withColumn("is_new", F.when(F.col("_old"), F.col("_was_new")).otherwise(F.col("is_new")))
+        # What is remembered is in the account's balance already.
+        df = df.withColumns({"_amount": F.col("amount"), "amount": F.when(F.col("_old"), F.lit(0)).otherwise(F.col("amount")).cast("decimal(38,0)")})
+        df = state.with_balance(df, split).withColumn("amount", F.col("_amount")).drop("_amount")
+        if self.spends:
+            df = state.with_spend(df, split, self.params.spend_window_s)
+        df = state.with_previous_telemetry(state.with_velocity(df, split, self.params.velocity_window_s), split)
+        if accounts is not None:
+            before = accounts.select("user_id", F.col("balance").alias("_balance"), F.col("telemetry").alias("_telemetry"))
+            df = df.join(before, "user_id", "left").withColumns({
+                "balance": F.col("balance") + F.coalesce("_balance", F.lit(0)),
+                "prev": F.greatest("prev", "_telemetry"),
+            }).drop("_balance", "_telemetry")
+        return df.withColumn("balance", F.col("balance").cast("decimal(38,0)")).drop(state.PIECE)
+
+    def decisions(self, df: DataFrame) -> DataFrame:
+        prepared = df.where(~F.col("_old")).drop("_old", "_was_new")
+        for rule in self.rules:
+            prepared = rule.prepare(prepared, None)
+        return decide.decide(prepared.where(F.col("type") == decide.VALIDATED), self.rules, self.params)
+
+    def leave_behind(self, df: DataFrame, batch: int) -> None:
+        """Store what the users of a batch are left with."""
+        last = df.groupBy("user_id").agg(F.max("proc_ms").alias("_last"))
+        recent = df.join(last, "user_id").where(F.col("proc_ms") > F.col("_last") - self.window_s * 1000)
+        self.recent.write(recent.select("user_id", "transaction_id", "seq", "proc_ms", "amount", "is_new"), batch)
+        new = df.where(~F.col("_old"))
+        accounts = new.groupBy("user_id").agg(
+            F.max_by("balance", F.struct(*state.ORDER)).alias("balance"),
+            F.max(F.greatest("prev", state.telemetry())).alias("telemetry"),
+        )
+        self.accounts.write(accounts, batch)
+
+    def alerts(self, decisions: DataFrame, batch: int) -> DataFrame:
+        """The alerts that go out, given those that went out before."""
+        events = alerts.flagged_events(decisions).withColumn("_old", F.lit(False))
+        before = self.sent.read(batch)
+        if before is not None:
+            known = before.join(events.select("transaction_id").distinct(), "transaction_id", "left_semi")
+            events = events.unionByName(known.withColumn("_old", F.lit(True)), allowMissingColumns=True)
+        marked = alerts.with_suppression(events, self.params.alert_ttl_s)
+        return marked.where(F.col("is_sent") & ~F.col("_old")).drop("is_sent", "_old")
+
+    def remember_sent(self, sent: DataFrame, batch: int) -> None:
+        last = sent.groupBy("transaction_id").agg(F.max(F.struct("proc_ms", "seq")).alias("at"))
+        self.sent.write(last.select("transaction_id", "at.proc_ms", "at.seq"), batch)
