@@ -127,9 +127,11 @@ def sample(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.where("lang IS NOT NULL").where(~is_letter_free(F.col("text")))
     rows = rows.withColumn("draw", F.pmod(F.xxhash64("text"), F.lit(1 << 40)))
-    kinds = rows.groupBy("lang").agg(F.approx_count_distinct("draw").alias("kinds"))
-    limit = F.least(F.lit(2 * texts / 1.0) / F.col("kinds"), F.lit(1.0)) * float(1 << 40)
-    few = rows.join(kinds, "lang").where(F.col("draw") <= limit)
+    kinds = rows.groupBy("lang").agg(F.approx_count_distinct("draw").alias("kinds")).collect()  # one row a language
+    if not kinds:
+        return rows.select("lang", F.lit(1).alias("place"), F.col("text").alias("part")).where("false")
+    limit = F.create_map(*[F.lit(x) for row in kinds for x in (row.lang, int(min(1.0, 2 * texts / max(row.kinds, 1)) * (1 << 40)))])
+    few = rows.where(F.col("draw") <= F.element_at(limit, F.col("lang")))
     few = few.groupBy("lang", "draw").agg(F.min(F.substring("text", 1, TEXT_CHARS)).alias("text"))
     few = few.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).where(F.col("place") <= texts)
     return few.select("lang", "place", letters(F.col("text")).alias("part"))
