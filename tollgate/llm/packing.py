@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import os
 from bisect import bisect_left, insort
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -50,12 +51,11 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        setup = json.loads(self.tokenizer.to_str())
+        self.path = path
+        with open(path, encoding="utf-8") as file:
+            setup = json.load(file)
         byte_level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
         special = {t["content"]: t["id"] for t in setup["added_tokens"]}
         vocabulary = {token: id for token, id in setup["model"]["vocab"].items() if token not in special}
@@ -77,6 +77,13 @@ class Encoder:
                 raise
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    @cached_property
+    def tokenizer(self):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``piece`` (from 0), ``start``, ``length``, ``ids`` (binary, 4 bytes an id): each text's ids and ``end_id`` after them.
