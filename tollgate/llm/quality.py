@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tollgate.llm.common import BLANK, BLANKS, bind, words
+from tollgate.llm.common import BLANKS, bind, free_prefix, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -95,21 +95,23 @@ def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: F.length(without(line, BLANKS)) > 0)
     bare = without(text, BLANKS)
+    at = free_prefix(docs) + "words"
+    counted = bind(words(text), lambda w: F.struct(F.size(w).cast("bigint").alias("n"), repeat_words(w).alias("again")))
     measured = {
-        "n_words": F.size(words(text)).cast("bigint"),
+        "n_words": F.col(at)["n"],
         "word_chars": F.length(bare).cast("bigint"),
-        "n_symbols": (F.length(text) - F.length(without(text, SYMBOLS))).cast("bigint"),
+        "n_symbols": (F.length(text) - F.length(F.regexp_replace(text, f"[{SYMBOLS}]+", ""))).cast("bigint"),
         "n_lines": F.size(lines).cast("bigint"),
         "n_dup_lines": bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint"),
-        "n_repeat_words": repeat_words(words(text)),
+        "n_repeat_words": F.col(at)["again"],
         "n_letters": F.length(F.regexp_replace(text, r"[^\p{L}\p{M}]+", "")).cast("bigint"),
         "n_capitals": F.length(F.regexp_replace(text, r"\P{Lu}+", "")).cast("bigint"),
-        "n_exclamations": (F.length(text) - F.length(without(text, "!"))).cast("bigint"),
+        "n_exclamations": (F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit("")))).cast("bigint"),
     }
     failed = F.lit(0).cast("bigint")
     for bit, test in enumerate(RULES.values()):
         failed = failed.bitwiseOR(F.when(F.expr(test), F.lit(1 << bit)).otherwise(F.lit(0)).cast("bigint"))
-    return docs.withColumns(measured).withColumn("failed", failed)
+    return docs.withColumn(at, counted).withColumns(measured).drop(at).withColumn("failed", failed)
 
 
 # --- policies --------------------------------------------------------------------------------
