@@ -63,9 +63,9 @@ def test_stored_log_is_pruned(spark, tmp_path):
     eventlog.append(log_batch(spark, SF), path, None, 0, "w")
     log = spark.read.parquet(path)
     one = eventlog.load(log, "user-7")._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(aggregate_id,user-7)" in re.search(r"PushedFilters: \[(.*?)\]", one).group(1)
+    assert "EqualTo(aggregate_id,user-7)" in re.search(r"PushedFilters: \[([^\n]*)", one).group(1)
     period = eventlog.by_time(log, "2024-01-10 06:00:00", "2024-01-12 18:00:00")._jdf.queryExecution().executedPlan().toString()
-    assert "created_date" in re.search(r"PartitionFilters: \[(.*?)\]", period).group(1)
+    assert "created_date" in re.search(r"PartitionFilters: \[([^\n]*)", period).group(1)
     assert eventlog.load(log, "user-7").count() == eventlog.with_versions(log_batch(spark, SF)).where("aggregate_id = 'user-7'").count()
 
 

@@ -51,7 +51,7 @@ def test_decisions_equal_batch(spark, finished):
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
 
 
-@pytest.mark.parametrize("max_files,native", [(1, True), (3, True), (100, True), (1, False)])
+@pytest.mark.parametrize("max_files,native", [(1, True), (100, True), (1, False)])
 def test_the_number_of_files_in_a_trigger_changes_nothing(spark, tmp_path, max_files, native):
     """The source is throttled; what it brings is in arrival order, its files are not sorted inside."""
     params = FIXTURE_PARAMS.with_(spend_limit=20_000, spend_window_s=43_200, telemetry_max_age_s=3600)
@@ -75,20 +75,20 @@ def test_the_number_of_files_in_a_trigger_changes_nothing(spark, tmp_path, max_f
     assert any(row[-1].count("spent") for row in found)
 
 
-@pytest.mark.parametrize("group_rows", [None, 20])
+@pytest.mark.parametrize("group_rows", [None, 60])
 def test_scoring_piece_by_piece_equals_one_batch(spark, tmp_path, group_rows):
     """Many small batches, with carried state between them, and one retried batch."""
     params = FIXTURE_PARAMS.with_(spend_limit=20_000, spend_window_s=43_200)
     raw_messages(spark, SF).write.parquet(f"{tmp_path}/all")
     everything = sources.stored_messages(spark, f"{tmp_path}/all")
     rows = Pipeline._rows(ingest.accepted(ingest.ingest(everything, params.signing_key))).cache()
-    marks = [0, *rows.approxQuantile("proc_ms", [0.3, 0.5, 0.8], 0.01), 2**60]
+    marks = [0, *rows.approxQuantile("proc_ms", [0.4, 0.7], 0.01), 2**60]
     scorer = Scorer(spark, f"{tmp_path}/state", params, group_rows=group_rows)
     columns = ["seq", "velocity_count", "spend", "balance", "risk_score", "decision", "reason"]
     found, sent = [], []
     for batch, (low, high) in enumerate(zip(marks, marks[1:])):
         part = rows.where((F.col("proc_ms") > low) & (F.col("proc_ms") <= high))
-        for _ in range(2 if batch == 2 else 1):  # the second time must not count
+        for _ in range(2 if batch == 1 else 1):  # the second time must not count
             df = scorer.with_state(part, batch).cache()
             decisions = scorer.decisions(df).cache()
             out = decisions.select(columns).collect()
