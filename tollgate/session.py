@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,12 +43,26 @@ def computed_once(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.select(*others, F.inline(F.array(F.struct(*columns))))
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Put the folder this package was loaded from on the path of Python workers started from now on.
+
+    That is enough where executors run on this machine; on a cluster the package has to be
+    installed or shipped, and the extra entry does nothing.
+    """
+    root = str(Path(__file__).resolve().parents[1])
+    given = spark.sparkContext.environment
+    paths = [p for p in given.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        given["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Settings the jobs rely on; all can be changed in a running session.
 
     Methods above 8000 bytes of bytecode are never compiled by the JVM. Spark should then use
     its per-operator code, which it splits into small methods.
     """
+    let_workers_import(spark)
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
