@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tollgate.session import use_checkpoints
+from tollgate.session import let_workers_import, use_checkpoints
 
 # The six characters that separate words.
 BLANK = r"[\x20\x09-\x0D]"
@@ -25,6 +25,12 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANK + "+"), lambda w: w != "")
 
 
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with workers that can import this package."""
+    let_workers_import(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def held(df: DataFrame) -> DataFrame:
     """The rows of ``df``, written to the session's shared checkpoint folder, without lineage."""
     use_checkpoints(df.sparkSession)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tollgate.llm.common import is_letter_free
+from tollgate.llm.common import in_arrow, is_letter_free
 
 SAMPLE_TEXTS = 96  # about so many texts of a language
 TEXT_CHARS = 1000  # of each
@@ -211,7 +211,7 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     schema = T.StructType().add("doc_id", kind).add("lang_pred", "string").add("score", "double")
     for c in keep:
         schema = schema.add(c, docs.schema[c].dataType)
-    return slim.mapInArrow(run, schema)
+    return in_arrow(slim, run, schema)
 
 
 def decide(model: Model, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

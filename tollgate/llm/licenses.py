@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tollgate.llm.common import free_prefix, held
+from tollgate.llm.common import free_prefix, held, in_arrow
 
 THRESHOLD = 0.7
 
@@ -97,7 +97,7 @@ def document_frequencies(files: DataFrame, vocabulary: frozenset[str], text_col:
                         seen.update(vocabulary & found)
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
 
-    counted = files.select(text_col).mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    counted = in_arrow(files.select(text_col), run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
     seen = {row.term: row.n for row in counted.collect()}  # no more than the vocabulary
     return seen.pop("", 0), seen
 
@@ -161,7 +161,7 @@ def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, th
                     [batch.column(0).take(pa.array(own)), pa.array(number, pa.int32()), pa.array(license), pa.array(cosine), pa.array(n, pa.int32()), pa.array(whole)],
                     ["path", "line", "license", "cosine", "n_terms", "whole"])
 
-    return files.select("path", text_col).mapInArrow(run, "path string, line int, license string, cosine double, n_terms int, whole boolean")
+    return in_arrow(files.select("path", text_col), run, "path string, line int, license string, cosine double, n_terms int, whole boolean")
 
 
 def directory(path: Column) -> Column:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tollgate.llm.common import held, ranked
+from tollgate.llm.common import held, in_arrow, ranked
 
 CAPACITY = 2048
 SALTS = 4096
@@ -115,7 +115,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                 )
 
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids binary")
+    return in_arrow(slim, run, f"doc_id {kind}, piece int, start bigint, length bigint, ids binary")
 
 
 # --- the plan --------------------------------------------------------------------------------
@@ -225,7 +225,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = (
             columns = [batch.column(k) for k in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(own[:, 3] + rank - own[:, 1]), pa.array(own[:, 4])], schema.names)
 
-    return numbered.mapInArrow(run, schema)
+    return in_arrow(numbered, run, schema)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tollgate.llm.common import in_arrow
 from tollgate.llm.urls import host_of
 
 RUN = 8
@@ -178,7 +179,7 @@ def _streams(pages: DataFrame, run: int) -> DataFrame:
                         [part.column(0).take(own), part.column(1).take(own), pa.array(number, pa.int32()), pa.array(place, pa.int32()), pa.array(value, pa.int64())],
                         ["host", "page", "block", "at", "suffix"])
 
-    return pages.select("host", "page", "html").mapInArrow(parse, "host string, page bigint, block int, at int, suffix bigint")
+    return in_arrow(pages.select("host", "page", "html"), parse, "host string, page bigint, block int, at int, suffix bigint")
 
 
 def repeated_runs(pages: DataFrame, run: int = RUN) -> DataFrame:
@@ -239,9 +240,9 @@ def main_text(pages: DataFrame, run: int = RUN, url_col: str = "url", html_col:
                     texts.append("\n\n".join(core if core is not None else [t for t in kept if t]))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    marked = rows.where(_marked(F.col("html"))).select("page_id", "url", "html").mapInArrow(articles, schema)
+    marked = in_arrow(rows.where(_marked(F.col("html"))).select("page_id", "url", "html"), articles, schema)
     plain = rows.where(~_marked(F.col("html")))
     hits = _streams(plain, run).distinct().join(repeated_runs(rows, run), ["host", "suffix"])
     hits = hits.groupBy("host", "page").agg(F.collect_list(F.struct("block", "at")).alias("hits"))  # of one page's content
     unmarked = plain.join(hits, (plain.host == hits.host) & (plain.page == hits.page), "left").select("page_id", "url", "html", "hits")
-    return marked.unionByName(unmarked.mapInArrow(others, schema))
+    return marked.unionByName(in_arrow(unmarked, others, schema))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tollgate.llm.common import held
+from tollgate.llm.common import held, in_arrow
 from tollgate.llm.components import components
 
 SEED = 42
@@ -95,7 +95,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], ["doc_id", "fingerprint"])
 
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return slim.mapInArrow(run, f"doc_id {kind}, fingerprint bigint")
+    return in_arrow(slim, run, f"doc_id {kind}, fingerprint bigint")
 
 
 # --- Golay keys ------------------------------------------------------------------------------
@@ -162,7 +162,7 @@ def _keyed(prints: DataFrame) -> DataFrame:
                 rows, keys = golay_keys(part.view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(part[rows], pa.int64())], ["key", "fingerprint"])
 
-    return prints.select("fingerprint").mapInArrow(run, "key bigint, fingerprint bigint")
+    return in_arrow(prints.select("fingerprint"), run, "key bigint, fingerprint bigint")
 
 
 # --- links and groups ------------------------------------------------------------------------

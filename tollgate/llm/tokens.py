@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tollgate.llm.common import in_arrow
+
 MARK = "▁"
 PART_CHARS = 32_768
 BATCH_CHARS = 262_144
@@ -96,5 +98,5 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 4096, id_col: str
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     slim = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("bigint").alias("n_bytes"), F.col(text_col).alias("text"))
-    counted = slim.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_tokens bigint")
+    counted = in_arrow(slim, run, f"doc_id {kind}, n_bytes bigint, n_tokens bigint")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
