@@ -197,6 +197,18 @@ def test_language_of_held_out_texts(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_a_tiny_label_costs_the_others_nothing(spark, small):
+    """One labelled text of two letters neither cuts the other samples nor wins by being short."""
+    rows = small.select("doc_id", "text", "lang")
+    model = langid.train(rows.unionByName(spark.createDataFrame([(10**9, "ok", "xx")], rows.schema)))
+    alone = langid.train(rows)
+    assert set(model.languages) == {*alone.languages, "xx"}
+    assert [model.bits[model.languages.index(x)] for x in alone.languages] == alone.bits.tolist()
+    found = langid.classify(rows, model, keep=("lang",)).collect()
+    assert sum(r.lang == r.lang_pred for r in found) > 0.97 * len(found) > 100
+    assert langid.classify(spark.createDataFrame([(1, "ok")], "doc_id bigint, text string"), model).first().lang_pred == "xx"
+
+
 def test_language_of_awkward_texts(docs):
     labelled = docs.where("doc_id <> 9")
     model = langid.train(labelled)

@@ -2,9 +2,10 @@
 
 For each language a suffix automaton is built over a bounded sample of labelled text. A document is
 parsed against each automaton into phrases, each the longest piece of the rest of the document that
-occurs in the sample. The fewer phrases, the closer the language: n phrases of a text of length m,
-each of which takes log2 of the sample's length in bits to point at, estimate the cross entropy as
-n * log2(sample) / m. The language with the smallest estimate wins.
+occurs in the sample. The fewer phrases, the closer the language: n phrases of a text of length m
+estimate the cross entropy as n * log2(sample + 256) / m, as each phrase is one of the sample's places
+or, where not even its first byte is in the sample, one of 256 bytes. So a short sample, against which
+phrases are short too, gets nothing for pointing into little. The language with the smallest estimate wins.
 
 Texts are compared as lower-case letters, with one space for anything between, in UTF-8. Parsing
 is done in steps for many pieces of text at once: the automata are tables from state and byte to
@@ -85,7 +86,7 @@ class Model:
     symbols: np.ndarray
     table: np.ndarray
     roots: np.ndarray
-    bits: np.ndarray  # log2 of each sample's length
+    bits: np.ndarray  # of a phrase: log2 of each sample's length and the 256 bytes
 
 
 ENDS = np.uint32(1 << 31)
@@ -113,7 +114,7 @@ def build(samples: dict[str, bytes]) -> Model:
         tables.append(steps.ravel())
         roots.append(nowhere)
         start += steps.size
-    sizes = np.array([max(2, len(samples[x])) for x in languages], float)
+    sizes = np.array([256 + len(samples[x]) for x in languages], float)
     return Model(languages, symbols, np.concatenate(tables) if tables else np.zeros(0, np.uint32), np.array(roots, np.uint32), np.log2(sizes))
 
 
@@ -145,8 +146,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     # A table row for each state, up to two for each byte of the sample, of at most 256 steps.
     size = min(SAMPLE_BYTES, TABLE_BYTES // (2 * 4 * 80 * max(1, len(parts))))
     joined = {lang: " ".join(found).encode()[:size] for lang, found in parts.items()}
-    shortest = min(map(len, joined.values()), default=0)
-    return build({lang: text[: max(4 * shortest, 1)] for lang, text in joined.items()})
+    return build(joined)
 
 
 # --- parsing ---------------------------------------------------------------------------------
