@@ -421,6 +421,27 @@ def test_main_text_by_structure(spark):
         (1, "A & B\n\nOne two three four bold\n\nx\n\ny\n\nlast 1 < 2"), (2, ""), (3, ""), (4, "cut sho"), (5, "plain text"), (5, "plain text"), (None, "m")])
 
 
+def test_pages_whose_mark_is_no_article(spark):
+    """Marks in comments, scripts and chrome are none; head may be left open; forms may enclose the page."""
+    def of(*htmls):
+        rows = [(k, f"http://h{k}.org/", page) for k, page in enumerate(htmls)]
+        found = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+        return [found[k] for k in range(len(rows))]
+
+    story = "<div><p>The story that is told here.</p></div>"
+    told = "The story that is told here."
+    assert of(
+        f"<body><!-- <article> -->{story}</body>", f"<body><script>x='<main >'</script>{story}</body>",
+        f"<body>{story}<aside><article><p>Teaser</p></article></aside></body>",
+        f"<html><head><title>T</title><meta charset=utf-8><body><article>{story}</article></body>",
+        f"<html><head><title>T</title><div>{story}</div>",
+        f"<body><form id=aspnetForm><nav>Home</nav><p>Top</p><article>{story}<form><p>Mail</p></form></article></form></body>",
+        f"<body><form id=aspnetForm><div id=header>Site</div>{story}</form></body>",
+        f"<body><form id=f><header>Site</header>{story}<form>",
+        f"<body>{story}<form><p>Mail</p></form></body>", f"<body><div role='main'>{story}</div><div>Other</div></body>",
+    ) == [told] * 10
+
+
 def test_repeated_runs_of_unmarked_pages(spark):
     boiler = "read more about our great offers every single day right here"
     rng = random.Random(8)

@@ -1,6 +1,6 @@
 """Main text of web pages: page structure, and a suffix sort of each host's token streams.
 
-Where a page marks its article (``article``, ``main``), what is in it is the main text, less the
+Where a page marks its article (``article``, ``main``; by the parse, so not in comments, scripts or menus), what is in it is the main text, less the
 parts that are menus, notices, adverts, forms and so on by their tags or names. For a page without
 such marks the text that is not of those parts is compared with the other pages of its host: all
 suffixes of the host's token streams are sorted as far as their first ``RUN`` tokens, and where
@@ -22,14 +22,15 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tollgate.llm.common import in_arrow
+from tollgate.llm.common import held, in_arrow
 from tollgate.llm.urls import host_of
 
 RUN = 8
+SENT = 1 << 18  # as many repeated runs go to all executors, more are joined by host
 
 # --- fixed values: HTML elements by what they mean here, and names that pages give to parts
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure
@@ -39,6 +40,8 @@ RAW = frozenset("script style noscript template textarea title iframe noembed no
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CHROME = frozenset("nav footer aside form menu dialog button label input datalist audio video canvas head".split())
 CORE = frozenset("article main".split())
+WRAPPED = frozenset("article main nav header footer".split())  # a form around one of these is the page's, not a part of it
+HEAD = frozenset("head html title base link meta style script noscript template".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 CHROME_NAMES = frozenset("""ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist
     consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices overlay pager
@@ -51,6 +54,7 @@ TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>?", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NAME = re.compile(r"[a-z0-9]+")
+MAIN_ROLE = re.compile(r"""(?i)\brole\s*=\s*["']?main\b""")
 
 
 def names_chrome(word: str) -> bool:
@@ -78,42 +82,62 @@ def is_chrome(tag: str, attributes: str, in_core: bool) -> bool:
 
 
 def blocks(page: str) -> tuple[list[str] | None, list[tuple[str, bool]]]:
-    """The page's blocks: those in its article (None if it marks none), and the others, each with whether it is a menu or such."""
+    """The page's blocks: those in its article (None if it marks none), and the others, each with whether it is a menu or such.
+
+    An article inside a menu or such is part of that and marks nothing. A form is no part of the
+    text unless it encloses the article or other sections of the page, or all text there is.
+    """
     core: list[str] | None = None
-    outer: list[tuple[str, bool]] = []
-    held: list[str] = []
+    outer: list[tuple[str, bool, tuple[int, ...]]] = []  # text, chrome, the forms it is in
+    waiting: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, chrome, core
+    forms: list[int] = []  # where in the page the open forms outside the article begin
+    wrappers: set[int] = set()
     chrome = main = 0
+    in_head = False
     at = 0
 
     def close() -> None:
-        if held:
-            text = " ".join("".join(held).split())
-            held.clear()
+        if waiting:
+            text = " ".join("".join(waiting).split())
+            waiting.clear()
             if text and main and not chrome:
                 core.append(text)
             elif text and not main:
-                outer.append((text, bool(chrome)))
+                outer.append((text, bool(chrome), tuple(forms)))
 
     def pop(index: int) -> None:
         nonlocal chrome, main
-        for _, hides, centres in stack[index:]:
+        for tag, hides, centres in stack[index:]:
             chrome -= hides
             main -= centres
+            if tag == "form" and not hides:
+                forms.pop()
         del stack[index:]
 
+    def end_head() -> None:
+        """Its end tag may be left out: the first thing that can't be in it ends it."""
+        for index, (tag, _, _) in enumerate(stack):
+            if tag == "head":
+                close()
+                pop(index)
+                break
+
     size = len(page)
     while at < size:
         mark = page.find("<", at)
         if mark < 0:
             mark = size
         if mark > at:
-            held.append(entities.unescape(page[at:mark]))
+            if in_head and not page[at:mark].isspace():
+                in_head = False
+                end_head()
+            waiting.append(entities.unescape(page[at:mark]))
         if mark == size:
             break
         found = TAG.match(page, mark)
         if not found:  # a bare "<"
-            held.append("<")
+            waiting.append("<")
             at = mark + 1
             continue
         at = found.end()
@@ -121,11 +145,15 @@ def blocks(page: str) -> tuple[list[str] | None, list[tuple[str, bool]]]:
         if not tag:
             continue
         tag = tag.lower()
+        if in_head and not found[1] and tag not in HEAD:
+            in_head = False
+            end_head()
         if tag in BLOCKS:
             close()
         elif tag in ("br", "td", "th", "option"):
-            held.append(" ")
+            waiting.append(" ")
         if found[1]:
+            in_head = in_head and tag != "head"
             for index in range(len(stack) - 1, -1, -1):
                 if stack[index][0] == tag:
                     close()
@@ -141,18 +169,25 @@ def blocks(page: str) -> tuple[list[str] | None, list[tuple[str, bool]]]:
         if tag in BLOCKS and stack and stack[-1][0] in ("p", "li") and (tag != "ul" and tag != "ol" or stack[-1][0] == "p"):
             close()
             pop(len(stack) - 1)  # these end where the next block begins
-        hides = is_chrome(tag, found[3], main > 0)
-        centres = not hides and (tag in CORE or 'role="main"' in found[3])
-        if hides or centres:
+        encloses = tag == "form" and not main and not chrome and not is_chrome("div", found[3], False)
+        hides = not encloses and is_chrome(tag, found[3], main > 0)
+        centres = not hides and (tag in CORE or MAIN_ROLE.search(found[3]) is not None)
+        if hides or centres or encloses:
             close()
-        if hides or centres or tag not in ("p", "li", "b", "i", "a", "span", "em", "strong"):
+        if encloses:
+            forms.append(mark)
+        elif (centres or tag in WRAPPED) and not chrome and not main:
+            wrappers.update(forms)
+        in_head = in_head or tag == "head"
+        if hides or centres or encloses or tag not in ("p", "li", "b", "i", "a", "span", "em", "strong"):
             stack.append((tag, hides, centres))
             chrome += hides
             main += centres
             if main and not chrome and core is None:
                 core = []
     close()
-    return core, outer
+    whole = not any(not hides and wrappers.issuperset(inside) for _, hides, inside in outer)  # nothing but what forms hold
+    return core, [(text, hides or not (whole or wrappers.issuperset(inside))) for text, hides, inside in outer]
 
 
 def _windows(text: str, run: int) -> np.ndarray:
@@ -202,10 +237,6 @@ def _keyed(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     return pages.select("page_id", F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.xxhash64(html).alias("page"), html.alias("html"))
 
 
-def _marked(html: Column) -> Column:
-    return html.rlike(r"(?i)<(article|main)[\s>]|role=\"main\"")
-
-
 def main_text(pages: DataFrame, run: int = RUN, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id``, ``url``, ``text`` of each row of ``pages``: its blocks joined by an empty line, empty if it has none.
 
@@ -219,30 +250,20 @@ def main_text(pages: DataFrame, run: int = RUN, url_col: str = "url", html_col:
     kinds = pages.schema
     schema = T.StructType().add("page_id", kinds["page_id"].dataType).add("url", "string").add("text", "string")
 
-    def articles(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = ["\n\n".join(blocks(page)[0] or []) for page in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
-
-    def others(batches):
+    def texts(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = []
-                for page, found in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
-                    core, outer = blocks(page)
-                    starts: dict[int, list[int]] = {}
-                    for hit in found or []:
-                        starts.setdefault(hit["block"], []).append(hit["at"])
-                    kept = [unique_runs(text, starts.get(k, []), run) for k, (text, hides) in enumerate(outer) if not hides]
-                    texts.append("\n\n".join(core if core is not None else [t for t in kept if t]))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
-
-    marked = in_arrow(rows.where(_marked(F.col("html"))).select("page_id", "url", "html"), articles, schema)
-    plain = rows.where(~_marked(F.col("html")))
-    hits = _streams(plain, run).distinct().join(repeated_runs(rows, run), ["host", "suffix"])
-    hits = hits.groupBy("host", "page").agg(F.collect_list(F.struct("block", "at")).alias("hits"))  # of one page's content
-    unmarked = plain.join(hits, (plain.host == hits.host) & (plain.page == hits.page), "left").select("page_id", "url", "html", "hits")
-    return marked.unionByName(in_arrow(unmarked, others, schema))
+                found = []
+                for page, runs in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
+                    kept, outer = blocks(page)
+                    if kept is None:
+                        known = set(runs or [])
+                        kept = [unique_runs(text, [k for k, value in enumerate(_windows(text, run).tolist()) if value in known], run) for text, hides in outer if not hides]
+                    found.append("\n\n".join(text for text in kept if text))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.string())], ["page_id", "url", "text"])
+
+    runs = held(repeated_runs(rows, run).groupBy("host").agg(F.collect_list("suffix").alias("runs")))
+    if (runs.agg(F.sum(F.size("runs"))).first()[0] or 0) <= SENT:
+        runs = F.broadcast(runs)
+    return in_arrow(rows.join(runs, "host", "left").select("page_id", "url", "html", "runs"), texts, schema)
