@@ -454,6 +454,20 @@ def test_repeated_runs_of_unmarked_pages(spark):
     assert found == {**{k: t + "\n\ntoo" for k, t in enumerate(texts)}, 50: boiler, 51: texts[0] + "\n\ntoo"} or {k: v.replace("\n\ntoo", "") for k, v in found.items()} == {**dict(enumerate(texts)), 50: boiler, 51: texts[0]}
 
 
+def test_runs_are_boilerplate_on_a_share_of_the_texts(spark):
+    """In articles too; copies, quotations and short blocks stay."""
+    rng = random.Random(9)
+    own = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randrange(10**6)) for _ in range(n))
+    notice, quoted, copied = "subscribe now to get the best of our stories by mail every day", own(20), own(30)
+    texts = [own(30) for _ in range(8)]
+    html = [f"<article><h1>Introduction</h1><p>{t}</p>{f'<p>{quoted}</p>' if k < 2 else ''}<p>{notice}</p></article>" for k, t in enumerate(texts)]
+    html += [f"<nav>{k}</nav><div>{copied}</div>" for k in range(6)]
+    rows = [(k, f"http://h.org/{k}", page) for k, page in enumerate(html)]
+    found = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    want = [f"Introduction\n\n{t}" + (f"\n\n{quoted}" if k < 2 else "") for k, t in enumerate(texts)] + [copied] * 6
+    assert found == dict(enumerate(want))
+
+
 # --- 8 ---------------------------------------------------------------------------------------
 
 

@@ -2,16 +2,16 @@
 
 Where a page marks its article (``article``, ``main``; by the parse, so not in comments, scripts or menus), what is in it is the main text, less the
 parts that are menus, notices, adverts, forms and so on by their tags or names. For a page without
-such marks the text that is not of those parts is compared with the other pages of its host: all
-suffixes of the host's token streams are sorted as far as their first ``RUN`` tokens, and where
-suffixes of pages with different content agree that far, those tokens are a repeated run. Repeated
-runs are boilerplate and are taken out; unique runs stay.
+such marks it is the text that is not of those parts. This is compared with the other pages of the
+host: all suffixes of the host's token streams are sorted as far as their first ``RUN`` tokens, and
+where those of at least ``LEAST`` texts and a share of ``SHARE`` of the host's agree that far, the
+tokens are a repeated run. Repeated runs are boilerplate and are taken out; the others stay.
 
-What is repeated inside a marked article stays too: it is the article's text.
+Texts that are the same count as one, so copies don't make each other boilerplate. A block shorter
+than a run goes only as part of a longer one.
 
 The streams of a host are not sorted in one place. Suffixes that agree in ``RUN`` tokens have equal
-hashes of these, so grouping by hash brings together what a suffix array has side by side, and only
-the least and the greatest page of a group are gathered, before and after the shuffle.
+hashes of these, so grouping by hash brings together what a suffix array has side by side.
 """
 
 from __future__ import annotations
@@ -28,8 +28,12 @@ from pyspark.sql import types as T
 
 from tollgate.llm.common import held, in_arrow
 from tollgate.llm.urls import host_of
+from tollgate.session import let_workers_import
 
 RUN = 8
+SHARE = 0.3  # of a host's texts
+LEAST = 4  # texts
+PARTS = 32  # of a host's values
 SENT = 1 << 18  # as many repeated runs go to all executors, more are joined by host
 
 # --- fixed values: HTML elements by what they mean here, and names that pages give to parts
@@ -190,59 +194,140 @@ def blocks(page: str) -> tuple[list[str] | None, list[tuple[str, bool]]]:
     return core, [(text, hides or not (whole or wrappers.issuperset(inside))) for text, hides, inside in outer]
 
 
-def _windows(text: str, run: int) -> np.ndarray:
-    """The hash of the ``run`` tokens from each token on (as many as there are, for a shorter text)."""
-    tokens = text.split(" ")
-    last = max(1, len(tokens) - run + 1)
-    return np.fromiter((xxhash.xxh64_intdigest(" ".join(tokens[k : k + run])) for k in range(last)), np.uint64, last).view(np.int64)
+def kept_blocks(page: str) -> list[str]:
+    """The blocks of its article, or of a page without one those that are of no menu or such."""
+    core, outer = blocks(page)
+    return core if core is not None else [text for text, hides in outer if not hides]
 
 
-def _streams(pages: DataFrame, run: int) -> DataFrame:
-    """``host``, ``page`` (hash of its content), ``block``, ``at``, ``suffix``: the suffixes of what is not in a marked article."""
+def _rolled(tokens: np.ndarray, size: int) -> np.ndarray:
+    """The hash of the ``size`` tokens from each on that has so many, of the tokens' hashes."""
+    last = len(tokens) - size + 1
+    out = np.zeros(max(0, last), np.uint64)
+    if last > 0:
+        for k in range(size):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + tokens[k : k + last]
+        out ^= out >> np.uint64(29)
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(32)
+    return out
+
+
+def _suffixes(found: list[str], run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each suffix of the page's tokens: the hash of its first ``run`` tokens, and the least hash of half as many in these.
+
+    Pages that have a run in common have its least hash in common, and suffixes next to each other
+    mostly have the same, so there are fewer of these to count.
+    """
+    tokens = np.fromiter((xxhash.xxh64_intdigest(t) for text in found for t in text.split(" ")), np.uint64)
+    starts = _rolled(tokens, run)
+    half = max(1, run // 2)
+    parts = _rolled(tokens, half)
+    least = parts[: len(starts)]
+    for k in range(1, run - half + 1):
+        least = np.minimum(least, parts[k : k + len(starts)])
+    return starts.view(np.int64), least
+
+
+def _of_pages(pages: DataFrame, columns: str, of_some) -> DataFrame:
+    """The rows that ``of_some`` gives for a few pages (lists of their hosts, html, runs) at a time."""
+    names = [c.split()[0] for c in columns.split(", ")]
+
     def parse(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                rows: list[tuple] = []
-                for k, page in enumerate(part.column(2).to_pylist()):
-                    for number, (text, _) in enumerate(blocks(page)[1]):
-                        rows += [(k, number, place, int(value)) for place, value in enumerate(_windows(text, run))]
+            for at in range(0, batch.num_rows, 2048):
+                rows = list(of_some(*(c.to_pylist() for c in batch.slice(at, 2048).columns)))
                 if rows:
-                    own, number, place, value = (np.array(x) for x in zip(*rows))
-                    own = pa.array(own)
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(own), part.column(1).take(own), pa.array(number, pa.int32()), pa.array(place, pa.int32()), pa.array(value, pa.int64())],
-                        ["host", "page", "block", "at", "suffix"])
+                    yield pa.RecordBatch.from_pylist([dict(zip(names, row)) for row in rows], schema=wanted)
 
-    return in_arrow(pages.select("host", "page", "html"), parse, "host string, page bigint, block int, at int, suffix bigint")
+    wanted = pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}[c.split()[1]]) for n, c in zip(names, columns.split(", "))])
+    return in_arrow(pages, parse, columns)
 
 
-def repeated_runs(pages: DataFrame, run: int = RUN) -> DataFrame:
-    """``host``, ``suffix``: the suffixes that pages of different content on a host begin with the same ``run`` tokens."""
-    seen = _streams(pages, run).groupBy("host", "suffix").agg(F.min("page").alias("least"), F.max("page").alias("most"))
-    return seen.where("least <> most").select("host", "suffix")
+def _sent(by_host: DataFrame) -> DataFrame:
+    """``host``, ``runs`` (written), for a join by host: to all executors if there are few."""
+    runs = held(by_host)
+    return F.broadcast(runs) if (runs.agg(F.sum(F.size("runs"))).first()[0] or 0) <= SENT else runs
 
 
-def unique_runs(text: str, starts: list[int], run: int = RUN) -> str:
-    """The text without the runs that begin at the tokens ``starts``."""
-    tokens = text.split(" ")
-    keep = np.ones(len(tokens), bool)
-    for start in starts:
-        keep[start : start + run] = False
-    return " ".join(t for t, k in zip(tokens, keep) if k)
+def repeated_runs(pages: DataFrame, run: int = RUN, share: float = SHARE, least: int = LEAST) -> DataFrame:
+    """``host``, ``runs``: hashes of the ``run`` tokens that at least ``least`` and a ``share`` of a host's texts have.
+
+    Pages with the same text count once. What can't be repeated so often is left out first: the
+    least hashes of all runs are counted by host in packed form, with copies, so none is missed.
+    """
+    def count(hosts, pages):
+        by_host: dict[str, list[np.ndarray]] = {}
+        for host, html in zip(hosts, pages):
+            found = kept_blocks(html)
+            yield host, -1, xxhash.xxh64_intdigest("\n\n".join(found)) - (1 << 63), None
+            by_host.setdefault(host, []).append(np.unique(_suffixes(found, run)[1]))
+        for host, each in by_host.items():
+            values = np.concatenate(each)
+            number = (values >> np.uint64(32)) % np.uint64(PARTS)
+            order = np.argsort(number, kind="stable")
+            values, ends = values[order].astype(np.uint32), np.searchsorted(number[order], np.arange(PARTS + 1))
+            for k in np.flatnonzero(np.diff(ends)).tolist():
+                yield host, k, None, values[ends[k] : ends[k + 1]].tobytes()
+
+    seen = held(_of_pages(pages.select("host", "html"), "host string, part int, copy bigint, packed binary", count))
+    texts = seen.where("part < 0").select("host", "copy").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("texts"))
+    wanted = held(texts.select("host", F.greatest(F.lit(least).cast("bigint"), F.ceil(F.col("texts") * share)).alias("wanted")).where(F.col("texts") >= least))
+
+    def often(table: pa.Table) -> pa.Table:
+        values, n = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in table["packed"].to_pylist()]), return_counts=True)
+        values, n = values[n >= least], n[n >= least]
+        return pa.table({"host": pa.array([table["host"][0].as_py()] * len(values), pa.string()), "run": pa.array(values.astype(np.int64)), "n": pa.array(n)})
+
+    let_workers_import(pages.sparkSession)
+    values = seen.where("part >= 0").groupBy("host", "part").applyInArrow(often, "host string, run bigint, n bigint")
+    maybe = _sent(values.join(wanted, "host").where("n >= wanted").groupBy("host").agg(F.collect_list("run").alias("runs")))
+
+    def again(hosts, pages, runs):
+        for host, html, known in zip(hosts, pages, runs):
+            found = kept_blocks(html)
+            starts, low = _suffixes(found, run)
+            copy = xxhash.xxh64_intdigest("\n\n".join(found)) - (1 << 63)
+            for value in np.unique(starts[np.isin(low.astype(np.uint32), np.array(known, np.uint32))]).tolist():
+                yield host, copy, value
+
+    rows = _of_pages(pages.join(maybe, "host").select("host", "html", "runs"), "host string, copy bigint, run bigint", again).distinct()
+    runs = rows.groupBy("host", "run").agg(F.count(F.lit(1)).alias("n")).join(wanted, "host").where("n >= wanted")
+    return runs.groupBy("host").agg(F.collect_list("run").alias("runs"))
+
+
+def unique_runs(found: list[str], runs: list[int], run: int = RUN) -> list[str]:
+    """The blocks without the tokens of ``runs``. Of a block go ``run`` tokens or more in a row, or all."""
+    starts = np.flatnonzero(np.isin(_suffixes(found, run)[0], np.array(runs, np.int64)))
+    if not len(starts):
+        return found
+    split = [text.split(" ") for text in found]
+    hit = np.zeros(sum(map(len, split)) + 1, bool)
+    for k in range(run):
+        hit[starts + k] = True
+    out, at = [], 0
+    for tokens in split:
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], hit[at : at + len(tokens)], [False])).astype(np.int8))).tolist()
+        at += len(tokens)
+        keep = np.ones(len(tokens), bool)
+        for begin, end in zip(edges[::2], edges[1::2]):
+            if end - begin >= min(run, len(tokens)):
+                keep[begin:end] = False
+        out.append(" ".join(t for t, k in zip(tokens, keep) if k))
+    return [text for text in out if text]
 
 
 def _keyed(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     html = F.coalesce(F.col(html_col), F.lit(""))
-    return pages.select("page_id", F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.xxhash64(html).alias("page"), html.alias("html"))
+    return pages.select("page_id", F.col(url_col).alias("url"), F.coalesce(host_of(F.col(url_col)), F.lit("")).alias("host"), html.alias("html"))
 
 
 def main_text(pages: DataFrame, run: int = RUN, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id``, ``url``, ``text`` of each row of ``pages``: its blocks joined by an empty line, empty if it has none.
 
     Character references are decoded, white space in a block becomes one space. A null html is
-    empty; a null or hostless url belongs to the host without a name. Pages with the same content
-    don't make each other's text boilerplate. Html that ends early or nests wrongly is read as far
+    empty; a null or hostless url belongs to the host without a name. Pages with the same text
+    don't make each other's boilerplate. Html that ends early or nests wrongly is read as far
     as it goes. Repeated rows and null ids are kept, other columns ignored; an empty table gives no
     rows. A page of any length is read whole, in one task, as one value.
     """
@@ -256,14 +341,9 @@ def main_text(pages: DataFrame, run: int = RUN, url_col: str = "url", html_col:
                 part = batch.slice(at, 256)
                 found = []
                 for page, runs in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
-                    kept, outer = blocks(page)
-                    if kept is None:
-                        known = set(runs or [])
-                        kept = [unique_runs(text, [k for k, value in enumerate(_windows(text, run).tolist()) if value in known], run) for text, hides in outer if not hides]
-                    found.append("\n\n".join(text for text in kept if text))
+                    kept = kept_blocks(page)
+                    found.append("\n\n".join(unique_runs(kept, runs, run) if runs else kept))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.string())], ["page_id", "url", "text"])
 
-    runs = held(repeated_runs(rows, run).groupBy("host").agg(F.collect_list("suffix").alias("runs")))
-    if (runs.agg(F.sum(F.size("runs"))).first()[0] or 0) <= SENT:
-        runs = F.broadcast(runs)
+    runs = _sent(repeated_runs(rows, run))
     return in_arrow(rows.join(runs, "host", "left").select("page_id", "url", "html", "runs"), texts, schema)
