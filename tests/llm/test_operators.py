@@ -330,6 +330,25 @@ def test_license_cosine_is_tf_idf(spark, small, monkeypatch):
 # --- 6 ---------------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("sent", [100, 0])
+def test_ordinary_words_weigh_as_often_as_they_are(spark, monkeypatch, sent):
+    """A notice with ordinary words around it, against a dense TF-IDF of all words."""
+    monkeypatch.setattr(licenses, "SENT", sent)
+    rng = random.Random(3)
+    ordinary = "see that file for more about it the of and to in is was not this with".split()
+    rows = [(f"d/{k}", "\n".join(" ".join(rng.sample(ordinary, 9)) for _ in range(10))) for k in range(300)]
+    rows += [("d/a", "Released under the MIT License; see that file for more about it\n" + rows[0][1]), ("d/b", "Released under zyx qwv vut the license of plk.")]
+    every = [licenses.terms(line) for _, text in rows for line in text.split("\n")]
+    df = Counter(t for ts in every for t in set(ts))
+    vector = lambda ts: {t: n * (math.log((1 + len(every)) / max(df[t], 1)) + 1) for t, n in Counter(ts).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    own, notice = vector(every[3000]), vector(licenses.terms("Released under the MIT License."))
+    cosine = sum(w * own.get(t, 0) for t, w in notice.items()) / norm(own) / norm(notice)
+    assert cosine > licenses.THRESHOLD
+    found = licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()
+    assert [(r.path, r.line, r.license, round(r.cosine, 9), r.whole) for r in found] == [("d/a", 0, "MIT", round(cosine, 9), False)]
+
+
 def plain_fingerprint(text):
     w = [x.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for x in words(text)]
     runs = [" ".join(w[k : k + 3]) for k in range(len(w) - 2)] or ([" ".join(w)] if w else [])

@@ -7,20 +7,22 @@ license file, and so is one with a license file's name; its license holds for th
 in and all below, up to the next license file: a file without a license line of its own gets that
 of its nearest ancestor directory, found by joining its ancestors with the licensed directories.
 
-Only words of templates need weights; all others have the largest one, that of a word in one line.
 A line needs a look only if it has a word that is rare among lines: without one its cosine stays
-below ``sqrt(1 - r)``, where r is the rare words' share of a template's squared length.
+below ``sqrt(1 - r)``, where r is the rare words' share of a template's squared length. Of those
+lines the ones remain that would be close if every word of no template had the least weight there
+is; the lines with these words are counted then, and the words weighed as those of templates are.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import log, sqrt
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tollgate.llm.common import free_prefix, held, in_arrow
@@ -50,6 +52,7 @@ FILE_NAMES = r"(?i)^(licen[cs]e|copying|notice)([.-].*)?$"
 
 EDGES = ".,;:!?\"'()[]{}<>#*/|-"
 PART = 65_536
+SENT = 100_000  # so many words go to all executors; if there are more, all words are counted and joined
 
 
 def terms(line: str) -> list[str]:
@@ -78,13 +81,19 @@ class Templates:
 
     vectors: tuple[tuple[str, dict[str, float]], ...]
     weight: dict[str, float]
-    most: float
+    total: int
     rare: frozenset[str]
 
 
-def document_frequencies(files: DataFrame, vocabulary: frozenset[str], text_col: str = "text") -> tuple[int, dict[str, int]]:
-    """The number of lines with a word in all files, and of lines with each word of the vocabulary. Each batch sends on its sums."""
+def _counted(files: DataFrame, vocabulary: frozenset[str] | None, text_col: str) -> DataFrame:
+    """``term``, ``n``: the lines with each word of the vocabulary (None: of all there are), and under "" those with any word.
+
+    Each batch sends on its sums.
+    """
+    shared = files.sparkSession.sparkContext.broadcast(vocabulary)
+
     def run(batches):
+        vocabulary = shared.value
         for batch in batches:
             seen: Counter[str] = Counter()
             for text in batch.column(0).to_pylist():
@@ -94,11 +103,15 @@ def document_frequencies(files: DataFrame, vocabulary: frozenset[str], text_col:
                         found.update(terms(part))
                     if found:
                         seen[""] += 1
-                        seen.update(vocabulary & found)
+                        seen.update(found if vocabulary is None else vocabulary & found)
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
 
-    counted = in_arrow(files.select(text_col), run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    seen = {row.term: row.n for row in counted.collect()}  # no more than the vocabulary
+    return in_arrow(files.select(text_col), run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def document_frequencies(files: DataFrame, vocabulary: frozenset[str], text_col: str = "text") -> tuple[int, dict[str, int]]:
+    """The number of lines with a word in all files, and of lines with each word of the vocabulary."""
+    seen = {row.term: row.n for row in _counted(files, vocabulary, text_col).collect()}  # no more than the vocabulary
     return seen.pop("", 0), seen
 
 
@@ -115,12 +128,16 @@ def weigh(templates: dict[str, tuple[str, ...]], total: int, seen: dict[str, int
             break
         common = trial
     vectors = tuple((license, {t: n * weight[t] / sqrt(squared(words)) for t, n in sorted(words.items())}) for license, words in notices)
-    return Templates(vectors, weight, log(1 + total) + 1, frozenset(vocabulary - common))
+    return Templates(vectors, weight, total, frozenset(vocabulary - common))
+
 
+def closest(words: Counter[str], templates: Templates, others: dict[str, int]) -> tuple[float, str]:
+    """The largest cosine of a line's words with a template, to 12 places, and its license; of equals the first by name.
 
-def closest(words: Counter[str], templates: Templates) -> tuple[float, str]:
-    """The largest cosine of a line's words with a template, to 12 places, and its license; of equals the first by name."""
-    own = {t: n * templates.weight.get(t, templates.most) for t, n in words.items()}
+    ``others`` has the numbers of lines with the words of no template; those it hasn't are taken to be in all.
+    """
+    total = templates.total
+    own = {t: n * (templates.weight.get(t) or log((1 + total) / others.get(t, total)) + 1) for t, n in words.items()}
     length = sqrt(sum(w * w for w in own.values()))
     cosine = lambda vector: round(sum(w * own.get(t, 0.0) for t, w in vector.items()) / length, 12)
     best = max(((cosine(vector), k) for k, (_, vector) in enumerate(templates.vectors)), key=lambda x: (x[0], -x[1]))
@@ -136,32 +153,52 @@ def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, th
     vocabulary = frozenset(t for texts in templates.values() for text in texts for t in terms(text))
     total, seen = document_frequencies(files, vocabulary, text_col)
     weighed = files.sparkSession.sparkContext.broadcast(weigh(templates, total, seen, threshold))
+    schema = pa.schema([("row", pa.string()), ("path", pa.string()), ("line", pa.int32()), ("n_terms", pa.int32()), ("size", pa.int64()),
+                        ("terms", pa.list_(pa.string())), ("counts", pa.list_(pa.int32())), ("others", pa.list_(pa.string()))])
 
-    def run(batches):
+    def candidates(batches):
         known = weighed.value
         for batch in batches:
-            rows: list[tuple] = []
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                size, hits = 0, []
+            rows: list[dict] = []
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                size, hits, row = 0, [], uuid.uuid4().hex
                 for number, line in enumerate(lines(text)):
                     words: Counter[str] = Counter()
                     for part in _parts(line):
                         words.update(terms(part))
                     n = words.total()
                     size += n
-                    if n and not known.rare.isdisjoint(words):
-                        cosine, license = closest(words, known)
-                        if cosine >= threshold:
-                            hits.append((k, number, license, cosine, n))
-                whole = 2 * sum(hit[4] for hit in hits) > size
-                rows += [(*hit, whole) for hit in hits]
+                    if n and not known.rare.isdisjoint(words) and closest(words, known, {})[0] >= threshold:
+                        hits.append(dict(row=row, path=path, line=number, n_terms=n, terms=list(words), counts=list(words.values()), others=[t for t in words if t not in known.weight]))
+                rows += [hit | {"size": size} for hit in hits]
             if rows:
-                own, number, license, cosine, n, whole = zip(*rows)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(own)), pa.array(number, pa.int32()), pa.array(license), pa.array(cosine), pa.array(n, pa.int32()), pa.array(whole)],
-                    ["path", "line", "license", "cosine", "n_terms", "whole"])
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return in_arrow(files.select("path", text_col), run, "path string, line int, license string, cosine double, n_terms int, whole boolean")
+    def compare(batches):
+        known = weighed.value
+        for batch in batches:
+            rows = batch.to_pylist()
+            best = [closest(Counter(dict(zip(r["terms"], r["counts"]))), known, dict(r["found"] or [])) for r in rows]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:5], pa.array([license for _, license in best], pa.string()), pa.array([cosine for cosine, _ in best], pa.float64())],
+                ["row", "path", "line", "n_terms", "size", "license", "cosine"])
+
+    found = held(in_arrow(files.select("path", text_col), candidates,
+                          "row string, path string, line int, n_terms int, size bigint, terms array<string>, counts array<int>, others array<string>"))
+    apart = found.select("row", "line", F.explode("others").alias("term"))
+    unknown = held(apart.select("term").distinct())
+    n = unknown.count()
+    if n:
+        wanted = frozenset(r.term for r in unknown.collect()) if n <= SENT else None
+        each = apart.join(_counted(files, wanted, text_col).join(unknown, "term"), "term")
+        each = each.groupBy("row", "line").agg(F.map_from_entries(F.collect_list(F.struct("term", "n"))).alias("found"))
+        found = found.join(each, ["row", "line"], "left")
+    else:
+        found = found.withColumn("found", F.lit(None).cast("map<string,bigint>"))
+    close = in_arrow(found.select("row", "path", "line", "n_terms", "size", "terms", "counts", "found"), compare,
+                     "row string, path string, line int, n_terms int, size bigint, license string, cosine double").where(F.col("cosine") >= threshold)
+    whole = (2 * F.sum("n_terms").over(Window.partitionBy("row")) > F.col("size")).alias("whole")
+    return close.select("path", "line", "license", "cosine", "n_terms", whole)
 
 
 def directory(path: Column) -> Column:
