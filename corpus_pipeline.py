@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tollgate.llm import langid, mixing, packing, quality, simhash
+from tollgate.llm.common import is_letter_free
 from tollgate.llm.queries import PACKING_TOKENIZER
 from tollgate.session import shared_folder
 
@@ -19,13 +20,22 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose text has a language that the labels name; a missing label is filled in.
+    """The documents whose text is in a language that the labels name; a missing label is filled in.
 
-    A document is rejected if no language can be told: it has no text or no letters.
+    A document is rejected if no language can be told: it has no text or no letters, or its entropy
+    is far above that of labelled texts of the nearest language, learned from a third of them that
+    another model has not seen. A label that differs from a sure prediction gives way to it. If
+    nothing is labelled, all texts with letters stay as they are.
     """
-    found = langid.classify(docs.select("doc_id", "text", F.struct("*").alias("doc")), langid.train(docs), keep=("doc",))
-    lang = F.coalesce("doc.lang", "lang_pred").alias("lang")
-    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*[lang if c == "lang" else F.col("doc")[c].alias(c) for c in docs.columns])
+    model = langid.train(docs)
+    if not model.languages:
+        return docs.where(~is_letter_free(F.col("text")))
+    apart = langid.held_out("text")  # copies together
+    limits = langid.limits(docs.where(apart), langid.train(docs.where(~apart)))
+    found = langid.classify(docs.select("doc_id", "text", F.struct("*").alias("doc")), model, keep=("doc",))
+    found = found.where(F.col("lang_pred") != langid.UNKNOWN).where(limits.near(F.col("lang_pred"), F.col("entropy"), F.col("size")))
+    lang = F.when(limits.sure(F.col("lang_pred"), F.col("score")), F.col("lang_pred")).otherwise(F.coalesce("doc.lang", "lang_pred")).alias("lang")
+    return found.select(*[lang if c == "lang" else F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

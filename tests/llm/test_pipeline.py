@@ -129,3 +129,19 @@ def test_missing_labels_are_filled_in(spark, docs):  # noqa: F811
     out = corpus_pipeline.language_id(spark, docs, SF)
     assert out.where("lang IS NULL").count() == 0
     assert {r.doc_id for r in docs.where(~F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).collect()}.isdisjoint(r.doc_id for r in out.collect())
+
+
+def test_language_stage_rejects_and_corrects(spark, stages):
+    """Texts that pass the quality rules: gibberish and an unlearned language go, a wrong label is set right; without labels all stay."""
+    rng = np.random.default_rng(4)
+    gibberish = " ".join("".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), 6)) for _ in range(80))
+    greek = "η γλώσσα αυτού του κειμένου δεν είναι καμία από εκείνες που έχουν ετικέτες και γι αυτό το κείμενο δεν μένει " * 1
+    base = stages[1].select("doc_id", "text", "lang", "source", "n_chars")
+    german = base.where("lang = 'de' AND n_chars > 1000").orderBy("doc_id").first()
+    more = [(-1, gibberish, "en", "s", 1), (-2, greek, None, "s", 1), (-3, german.text + " ende", "en", "s", 1)]
+    rows = base.unionByName(spark.createDataFrame(more, base.schema))
+    assert {r.doc_id for r in corpus_pipeline.quality_rules(spark, rows, SF).where("doc_id < 0").collect()} == {-1, -2, -3}
+    out = {r.doc_id: r.lang for r in corpus_pipeline.language_id(spark, rows, SF).collect()}
+    assert {k: v for k, v in out.items() if k < 0} == {-3: "de"}
+    assert len(out) == base.count() + 1
+    assert corpus_pipeline.language_id(spark, base.withColumn("lang", F.lit(None).cast("string")), SF).count() == base.count()

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tollgate.llm.common import in_arrow, is_letter_free
+from tollgate.llm.common import held, in_arrow, is_letter_free
 
 SAMPLE_TEXTS = 96  # about so many texts of a language
 TEXT_CHARS = 1000  # of each
@@ -32,6 +32,8 @@ TABLE_BYTES = 256_000_000  # of all automata together; more languages get smalle
 PIECE = 512
 BLOCK_BYTES = 4 << 20
 UNKNOWN = "und"
+ENOUGH = 20  # labelled texts to learn from how near a language's texts are
+FAR = 8  # times the spread; texts in two languages of the test tables are at up to 4.3, gibberish and Greek at 14 and more
 
 
 def letters(text: Column) -> Column:
@@ -178,11 +180,12 @@ def phrases(model: Model, text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id``, ``lang_pred``, ``score`` and the ``keep`` columns of each row of ``docs``.
+    """``doc_id``, ``lang_pred``, ``score``, ``entropy``, ``size`` and the ``keep`` columns of each row of ``docs``.
 
     ``score`` is how far the best language is ahead: one less its estimate over the second's, 0 for
     a tie (the first language in order wins) and 1 if there is no other. A null text, a text
-    without letters, or any text if the model has no language, is ``und`` with score 0. Of a text
+    without letters, or any text if the model has no language, is ``und`` with score 0. ``entropy`` is
+    the best language's estimate in bits a byte, null for ``und``, ``size`` the bytes parsed. Of a text
     of any length all is parsed; memory is bounded by an Arrow batch. Repeated rows and null
     doc_ids are kept; an empty table gives no rows.
     """
@@ -205,10 +208,12 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             none = ~batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             languages = np.where(none, UNKNOWN, languages)
             scores = np.where(none, 0.0, scores)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(languages.tolist(), pa.string()), pa.array(scores), *[batch.column(k) for k in range(3, batch.num_columns)]], ["doc_id", "lang_pred", "score", *keep])
+            least = (found * model.bits).min(1, initial=np.inf) / np.maximum(np.diff(offsets), 1)
+            entropy = pa.array(least, mask=none | (languages == UNKNOWN))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(languages.tolist(), pa.string()), pa.array(scores), entropy, pa.array(np.diff(offsets)), *[batch.column(k) for k in range(3, batch.num_columns)]], ["doc_id", "lang_pred", "score", "entropy", "size", *keep])
 
     slim = docs.select(F.col(id_col).alias("doc_id"), letters(F.col(text_col)).cast("binary").alias("_letters"), (~is_letter_free(F.col(text_col))).alias("_any"), *keep)
-    schema = T.StructType().add("doc_id", kind).add("lang_pred", "string").add("score", "double")
+    schema = T.StructType().add("doc_id", kind).add("lang_pred", "string").add("score", "double").add("entropy", "double").add("size", "long")
     for c in keep:
         schema = schema.add(c, docs.schema[c].dataType)
     return in_arrow(slim, run, schema)
@@ -226,6 +231,47 @@ def decide(model: Model, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(model.languages, dtype=object)[best], 1 - two[:, 0] / np.maximum(two[:, 1], 1e-9)
 
 
+@dataclass(frozen=True)
+class Limits:
+    """By language the middle entropy and the lead that three quarters have, and the spread of all: as it is, and times the root of the text's bytes."""
+
+    middle: dict[str, float]
+    lead: dict[str, float]
+    spread: float
+    short: float
+
+    def _of(self, values: dict[str, float], language: Column) -> Column:
+        return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), language) if values else F.lit(None).cast("double")
+
+    def near(self, language: Column, entropy: Column, size: Column) -> Column:
+        """Whether a text is not much farther from the language than its texts are; true if that can't be told."""
+        bound = self._of(self.middle, language) + FAR * F.greatest(F.lit(self.spread), F.lit(self.short) / F.sqrt(size))
+        return F.coalesce(entropy <= bound, F.lit(True))
+
+    def sure(self, language: Column, score: Column) -> Column:
+        """Whether the language is as far ahead as for three quarters of its texts."""
+        return F.coalesce(score >= self._of(self.lead, language), F.lit(False))
+
+
+def limits(labelled: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> Limits:
+    """What is usual for ``labelled`` texts that ``model`` has not seen and gives their label.
+
+    The spread is the 99th percentile of what the entropies are above their language's median; short
+    texts spread more. A language with fewer than ``ENOUGH`` texts has the median of all, if these are enough.
+    """
+    texts = labelled.where(F.col(lang_col).isNotNull()).select(F.lit(0).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    found = held(classify(texts, model, keep=("lang",)).where("lang = lang_pred AND entropy IS NOT NULL").select("lang", "entropy", "score", "size"))
+    half = [F.percentile_approx(c, q, 1000).alias(c) for c, q in (("entropy", 0.5), ("score", 0.25))]
+    whole = found.agg(F.count(F.lit(1)).alias("n"), *half).first()
+    if whole.n < ENOUGH:
+        return Limits({}, {}, 0.0, 0.0)
+    rows = [r for r in found.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *half).collect()]  # one row a language
+    middle = {x: whole.entropy for x in model.languages} | {r.lang: r.entropy for r in rows if r.n >= ENOUGH}
+    above = F.col("entropy") - F.element_at(F.create_map(*[F.lit(x) for pair in middle.items() for x in pair]), F.col("lang"))
+    high = found.agg(F.percentile_approx(above, 0.99, 1000).alias("spread"), F.percentile_approx(above * F.sqrt("size"), 0.99, 1000).alias("short")).first()
+    return Limits(middle, {r.lang: r.score for r in rows if r.n >= ENOUGH}, high.spread, high.short)
+
+
 def held_out(id_col: str = "doc_id", folds: int = 3, fold: int = 1) -> Column:
     """Whether a row is left out of training: CRC-32 of its id's digits, modulo ``folds``, is ``fold``."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
