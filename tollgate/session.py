@@ -25,6 +25,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that a job made for itself."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def use_checkpoints(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint`` usable."""
     if spark.sparkContext.getCheckpointDir() is None:
