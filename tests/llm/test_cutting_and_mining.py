@@ -220,7 +220,8 @@ def as_rows(frame):
 @pytest.mark.parametrize("small_blocks", [False, True])
 def test_repeated_passages_go(spark, monkeypatch, small_blocks):
     if small_blocks:
-        monkeypatch.setattr(repeats, "BUCKET_WINDOWS", 60)  # most classes are too large
+        monkeypatch.setattr(repeats, "BUCKET_BYTES", 1_000)
+        monkeypatch.setattr(repeats, "BUCKET_WINDOWS", 60)  # most buckets have too many windows
         monkeypatch.setattr(repeats, "RANGE_GRAMS", 50)
     rng = random.Random(6)
     random_text = lambda n: "".join(rng.choice("abcdefgh é日\n") for _ in range(n))
@@ -250,6 +251,17 @@ def test_repeats_of_the_small_table(spark):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (n_bytes, n_removed, n_spans, hashlib.sha256(kept).hexdigest())
 
 
+def test_merged_spans():
+    rng = random.Random(3)
+    rows = [(rng.randint(0, 5), a, a + rng.randint(1, 9)) for a in (rng.randint(0, 60) for _ in range(80))]
+    plain = []
+    for t in range(6):
+        on = sorted({k for text, a, b in rows if text == t for k in range(a, b)})
+        plain += [(t, k, next(j for j in range(k, 99) if j not in on)) for k in on if k - 1 not in on]
+    got = repeats.merged(*(np.array(c) for c in zip(*rows)))
+    assert list(zip(*(c.tolist() for c in got))) == plain
+
+
 def test_collisions_only_cost_work(spark):
     """A table of a few bits marks nearly every gram; the result is the same."""
     rows = [(i, f"{i % 3} some words that several documents of this table have in common, and {i} of them not") for i in range(30)]
