@@ -1,17 +1,21 @@
 """The streaming pipeline, over several micro-batches and a restart, against the batch jobs."""
 
+import random
 import time
+from concurrent.futures import ThreadPoolExecutor
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tollgate.operators import alerts, decide, eventlog, ingest, state
+from tollgate.operators.storedlog import StoredLog, VersionConflict
 from tollgate.plans.fixtures import FIXTURE_PARAMS, raw_messages
 from tollgate.sources import messages as sources
-from tollgate.streaming.carried import Carried, names
-from tollgate.streaming.processors import AlertSuppression
+from tollgate.streaming.metrics import OutcomeCounts
 from tollgate.streaming.pipeline import Pipeline, counts_per_minute
-from tollgate.streaming.scoring import Scorer
+from tollgate.streaming.processors import AlertSuppression, UserState
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,110 +55,394 @@ def test_decisions_equal_batch(spark, finished):
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
 
 
-@pytest.mark.parametrize("max_files,native", [(1, True), (100, True), (1, False)])
-def test_the_number_of_files_in_a_trigger_changes_nothing(spark, tmp_path, max_files, native):
-    """The source is throttled; what it brings is in arrival order, its files are not sorted inside."""
+LATE = 40 * 86_400  # more than the test month
+
+
+@pytest.fixture(scope="module")
+def backlog(spark, tmp_path_factory):
+    """All messages, dealt so that each file holds a partition's whole month, in no order."""
+    root = str(tmp_path_factory.mktemp("backlog"))
+    raw_messages(spark, SF).write.parquet(f"{root}/all")
+    everything = sources.stored_messages(spark, f"{root}/all")
+    for part in [r.partition for r in everything.select("partition").distinct().collect()]:
+        everything.where(F.col("partition") == part).orderBy(F.rand(3)).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    return root, everything, everything.agg(F.unix_millis(F.max("timestamp"))).first()[0]
+
+
+@pytest.mark.parametrize("max_files", [1, 100])
+def test_what_a_trigger_brings_changes_nothing(spark, backlog, tmp_path, max_files):
+    """Partitions are read one after the other, or all at once: the decisions are those of the batch job."""
+    root, everything, end = backlog
     params = FIXTURE_PARAMS.with_(spend_limit=20_000, spend_window_s=43_200, telemetry_max_age_s=3600)
-    raw_messages(spark, SF).write.parquet(f"{tmp_path}/all")
-    everything = sources.stored_messages(spark, f"{tmp_path}/all")
-    clock = F.unix_millis("timestamp")
-    marks = everything.select(clock.alias("ms")).approxQuantile("ms", [0.25, 0.5, 0.75], 0.01)
-    for low, high in zip([0, *marks], [*marks, 2**60]):
-        part = everything.where((clock > low) & (clock <= high))
-        part.orderBy(F.rand(3)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    pipeline = Pipeline(spark, str(tmp_path), params)
-    messages = sources.file_messages(spark, f"{tmp_path}/in", max_files)
+    pipeline = Pipeline(spark, str(tmp_path), params, lateness_s=LATE)
+    messages = sources.file_messages(spark, f"{root}/in", max_files)
     schema = pipeline.ingested(messages).schema
-    pipeline.write_ingested(messages).trigger(availableNow=True).start().awaitTermination()
-    finish(pipeline.write_scored(schema, group_rows=25) if native else pipeline.write_decisions(schema))
-    columns = ["seq", "transaction_id", "velocity_count", "spend", "risk_score", "decision", "reason"]
-    streamed = spark.read.parquet(pipeline.path("decisions")).selectExpr(*columns)
-    batch = batch_decisions(everything, params).selectExpr(*columns)
-    found = sorted(map(tuple, streamed.collect()))
+    finish(pipeline.write_ingested(messages))
+    finish(pipeline.write_decisions(schema))
+    waiting = spark.read.parquet(pipeline.path("decisions")).count()
+    pipeline.tick(end - 86_400_000)
+    finish(pipeline.write_decisions(schema))
+    columns = ["seq", "transaction_id", "velocity_count", "spend", "balance", "risk_score", "decision", "reason"]
+    read = lambda: spark.read.parquet(pipeline.path("decisions"))
+    assert waiting == 0 and read().count() > 0
+    assert read().agg(F.max("proc_ms")).first()[0] < end - 86_400_000
+    pipeline.tick(end + 1)
+    finish(pipeline.write_decisions(schema))
+    batch = batch_decisions(everything, params)
+    batch = batch.join(balances(everything, params), "seq").selectExpr(*columns)
+    found = sorted(map(tuple, read().selectExpr(*columns).collect()))
     assert found == sorted(map(tuple, batch.collect()))
     assert any(row[-1].count("spent") for row in found)
+    assert read().where("is_late").count() == 0
+
 
+def balances(everything, params):
+    """The balance that each message met, by the batch operators."""
+    rows = Pipeline.rows(ingest.accepted(ingest.ingest(everything, params.signing_key)))
+    split = state.user_split(rows)
+    df = state.with_first_seen(state.by_user(rows, split), split, params.velocity_window_s)
+    return state.with_balance(df, split).select("seq", "balance")
 
-@pytest.mark.parametrize("group_rows", [None, 60])
-def test_scoring_piece_by_piece_equals_one_batch(spark, tmp_path, group_rows):
-    """Many small batches, with carried state between them, and one retried batch."""
-    params = FIXTURE_PARAMS.with_(spend_limit=20_000, spend_window_s=43_200)
+
+def test_rows_beyond_the_lateness_are_scored_and_counted(spark, backlog, tmp_path):
+    """One partition after the other is read, each a month long: most rows of the later ones are late."""
+    root, everything, end = backlog
+    pipeline = Pipeline(spark, str(tmp_path), FIXTURE_PARAMS, lateness_s=3600)
+    schema = pipeline.ingested(everything).schema
+    listener = OutcomeCounts()
+    spark.streams.addListener(listener)
+    try:
+        for partition in range(4):
+            everything.where(F.col("partition") == partition).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            finish(pipeline.write_ingested(sources.file_messages(spark, f"{tmp_path}/in")))
+            finish(pipeline.write_decisions(schema))
+        pipeline.tick(end + 1)
+        finish(pipeline.write_decisions(schema))
+        found = spark.read.parquet(pipeline.path("decisions"))
+        late = found.where("is_late").count()
+        deadline = time.time() + 30
+        while listener.counts["scoring", "late"] < late and time.time() < deadline:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    assert found.count() == batch_decisions(everything).count() and late > found.count() / 4
+    assert listener.counts["scoring", "late"] == late
+    assert listener.counts["scoring", "success"] + listener.counts["scoring", "error"] == found.count()
+
+
+def test_state_forgets(spark, backlog, tmp_path):
+    """After a month only what the window and the TTL need is left, and one account a user; the live state can be read."""
+    root, everything, end = backlog
+    pipeline = Pipeline(spark, str(tmp_path), FIXTURE_PARAMS, lateness_s=LATE)
+    pipeline.run_available(sources.file_messages(spark, f"{root}/in", 2), upto_ms=end + 1)
+    rows = Pipeline.rows(ingest.accepted(ingest.ingest(everything, FIXTURE_PARAMS.signing_key))).cache()
+    window_ms = FIXTURE_PARAMS.velocity_window_s * 1000
+    recent = {(r.user_id, r.transaction_id) for r in pipeline.recent_transactions().collect()}
+    last = rows.groupBy("user_id").agg(F.max("proc_ms").alias("last"))
+    needed = rows.join(last, "user_id").where((F.col("last") > end + 1 - window_ms) & (F.col("proc_ms") > F.col("last") - window_ms))
+    assert recent == {(r.user_id, r.transaction_id) for r in needed.select("user_id", "transaction_id").distinct().collect()}
+    assert len(recent) < rows.count() / 20
+    assert pipeline.state("waiting").count() == 0
+
+    split = state.user_split(rows)
+    df = state.with_first_seen(state.by_user(rows, split), split, FIXTURE_PARAMS.velocity_window_s)
+    expected = {r.user_id: r.balance for r in state.user_balances(df).collect()}
+    assert {r.user_id: r.balance for r in pipeline.balances().collect()} == expected
+    at = end + 1
+    counts = state.lookup_counts(last.select("user_id"), rows, at, FIXTURE_PARAMS.velocity_window_s)
+    live = state.lookup_counts(last.select("user_id"), pipeline.recent_transactions(), at, FIXTURE_PARAMS.velocity_window_s)
+    assert sorted(map(tuple, live.collect())) == sorted(map(tuple, counts.collect()))
+
+    ttl_ms = FIXTURE_PARAMS.alert_ttl_s * 1000
+    newest = spark.read.parquet(pipeline.path("decisions")).where("decision = 'FLAGGED'").agg(F.max("proc_ms")).first()[0]
+    kept = [r.value.proc_ms for r in pipeline.state("sent", "alerts").collect()]
+    assert kept and min(kept) > newest - ttl_ms - 1
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["alerts", "checkpoints", "dead_letters", "decisions", "ingested", "log", "ticks"]
+
+
+def test_the_state_as_of_a_batch(spark, tmp_path):
+    """Between two micro-batches the balances are those after the first."""
     raw_messages(spark, SF).write.parquet(f"{tmp_path}/all")
     everything = sources.stored_messages(spark, f"{tmp_path}/all")
-    rows = Pipeline._rows(ingest.accepted(ingest.ingest(everything, params.signing_key))).cache()
-    marks = [0, *rows.approxQuantile("proc_ms", [0.4, 0.7], 0.01), 2**60]
-    scorer = Scorer(spark, f"{tmp_path}/state", params, group_rows=group_rows)
-    columns = ["seq", "velocity_count", "spend", "balance", "risk_score", "decision", "reason"]
-    found, sent = [], []
-    for batch, (low, high) in enumerate(zip(marks, marks[1:])):
-        part = rows.where((F.col("proc_ms") > low) & (F.col("proc_ms") <= high))
-        for _ in range(2 if batch == 1 else 1):  # the second time must not count
-            df = scorer.with_state(part, batch).cache()
-            decisions = scorer.decisions(df).cache()
-            out = decisions.select(columns).collect()
-            scorer.leave_behind(df, batch)
-            alerted = scorer.alerts(decisions, batch).cache()
-            gone = [r.seq for r in alerted.collect()]
-            scorer.remember_sent(alerted, batch)
-        found += out
-        sent += gone
-    whole = Scorer(spark, f"{tmp_path}/whole", params)
-    once = whole.with_state(rows, 0)
-    assert sorted(map(tuple, found)) == sorted(map(tuple, whole.decisions(once).select(columns).collect()))
-    batch = batch_decisions(everything, params)
-    strip = lambda t: (t.seq, t.velocity_count, t.risk_score, t.decision, t.reason)
-    assert sorted(map(strip, found)) == sorted(map(strip, batch.collect()))
-    marked = alerts.with_suppression(alerts.flagged(batch), params.alert_ttl_s)
-    assert sorted(sent) == sorted(r.seq for r in marked.where("is_sent").collect())
-
-
-def test_carried_rows_are_those_of_the_latest_batch(spark, tmp_path, monkeypatch):
-    from tollgate.streaming import carried as module
-
-    monkeypatch.setattr(module, "COMPLETE", 3)
-    table = Carried(spark, f"{tmp_path}/t", "k")
-    frame = lambda rows: spark.createDataFrame(rows, "k string, v int")
-    assert table.read(0) is None
-    state = {}
-    for batch in range(8):
-        rows = [("a", batch), ("a", -batch), (f"b{batch % 3}", batch)] if batch % 4 else [(f"b{batch % 3}", batch)]
-        for key in {k for k, _ in rows}:
-            state[key] = sorted(v for k, v in rows if k == key)
-        table.write(frame([("zz", 99)]), batch)  # a try that did not end
-        table.write(frame(rows), batch)
-        got = {}
-        for r in table.read(batch + 1).collect():
-            got.setdefault(r.k, []).append(r.v)
-        assert {k: sorted(v) for k, v in got.items()} == state
-
-
-def test_a_new_checkpoint_keeps_the_old_log(spark, tmp_path):
-    batch = spark.createDataFrame([("e1", "u", "T", "{}", "{}", "s", 1)], "event_id string, aggregate_id string, event_type string, metadata string, payload string, signature string, seq bigint")
-    batch = batch.withColumn("created_at", F.timestamp_millis(F.lit(5))).withColumn("created_date", F.to_date("created_at"))
-    path = f"{tmp_path}/log"
-    eventlog.append(batch, path, None, 0, "first")
-    eventlog.append(batch.withColumn("event_id", F.lit("e2")), path, spark.read.parquet(path), 0, "second")
-    eventlog.append(batch.withColumn("event_id", F.lit("e2")), path, spark.read.parquet(path).where("writer <> 'second'"), 0, "second")
-    assert sorted((r.event_id, r.version) for r in spark.read.parquet(path).collect()) == [("e1", 1), ("e2", 2)]
-
-
-def test_a_new_writer_goes_on_from_the_log(spark, finished, tmp_path):
+    clock = F.unix_millis("timestamp")
+    middle = everything.select(clock.alias("ms")).approxQuantile("ms", [0.5], 0.01)[0]
+    pipeline = Pipeline(spark, str(tmp_path), FIXTURE_PARAMS)
+    for part in (everything.where(clock <= middle), everything.where(clock > middle)):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        messages = sources.file_messages(spark, f"{tmp_path}/in")
+        schema = pipeline.ingested(messages).schema
+        finish(pipeline.write_ingested(messages))
+        finish(pipeline.write_decisions(schema))
+    early = Pipeline.rows(ingest.accepted(ingest.ingest(everything.where(clock <= middle), FIXTURE_PARAMS.signing_key)))
+    split = state.user_split(early)
+    df = state.with_first_seen(state.by_user(early, split), split, FIXTURE_PARAMS.velocity_window_s)
+    expected = {r.user_id: r.balance for r in state.user_balances(df).collect()}
+    assert {r.user_id: r.balance for r in pipeline.balances(batch_id=0).collect()} == expected
+    assert {r.user_id: r.balance for r in pipeline.balances().collect()} != expected
+
+
+class Store:
+    """What a processor needs of Spark's state store, in memory."""
+
+    def __init__(self):
+        self.values, self.timers = {}, set()
+
+    def variable(self, name, *_, **__):
+        store = self.values
+
+        class Variable:
+            def exists(self):
+                return name in store
+
+            def get(self):
+                return iter(store[name]) if isinstance(store[name], list) else store[name]
+
+            def update(self, value):
+                store[name] = value
+
+            def put(self, rows):
+                store[name] = list(rows)
+
+            def appendList(self, rows):
+                store[name] = store.get(name, []) + list(rows)
+
+            def clear(self):
+                store.pop(name, None)
+
+        return Variable()
+
+    getValueState = getListState = variable
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+
+class Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def replay(processor, store, batches, lateness):
+    """Run one key's micro-batches as the engine does: input, then timers, then the watermark moves."""
+    processor.init(store)
+    out, watermark, newest = [], 0, 0
+    for batch in batches:
+        if len(batch):
+            out += list(processor.handleInputRows(("u",), iter([batch]), Clock(watermark)))
+            newest = max(newest, batch["proc_ms"].max())
+        for at in sorted(store.timers):
+            if at <= watermark:
+                store.timers.discard(at)
+                out += list(processor.handleExpiredTimer(("u",), Clock(watermark), None))
+        watermark = max(watermark, newest - lateness)
+    return pd.concat([f.astype({"prev_timestamp_ns": object}) if "prev_timestamp_ns" in f else f for f in out], ignore_index=True)
+
+
+def one_by_one(rows, window, spend_window):
+    """What the state is after each transaction, replayed one after the other."""
+    balance, last, recent, paid, call, out = 0, None, {}, [], None, []
+    for r in rows.sort_values(["proc_ms", "seq"]).itertuples():
+        known = recent.get(r.transaction_id)
+        is_new = known is None
+        recent[r.transaction_id] = r.proc_ms
+        if is_new:
+            balance += r.amount
+            paid.append((r.proc_ms, r.amount))
+        recent = {k: v for k, v in recent.items() if v > r.proc_ms - window}
+        spend = sum(a for t, a in paid if t > r.proc_ms - spend_window)
+        out.append((r.seq, is_new, balance, len(recent), spend, last))
+        if r.timestamp_ns > (last or 0):
+            last = r.timestamp_ns
+    return out
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_user_state_equals_a_replay(seed):
+    """Random micro-batches in any order within the lateness, against one transaction after the other."""
+    rng = random.Random(seed)
+    window, spend_window, lateness = rng.choice([5, 40]), rng.choice([10, 90]), 60_000
+    n = 150
+    clock = sorted(rng.choice([0, 1, 2, 700]) + 1_000 * rng.randint(0, 200) for _ in range(n))
+    rows = pd.DataFrame({
+        "seq": rng.sample(range(10**6), n), "proc_ms": clock, "transaction_id": [f"t{rng.randint(0, 60)}" for _ in range(n)],
+        "amount": [rng.randint(1, 99) for _ in range(n)], "timestamp_ns": [rng.choice([0, -5, c * 10**6 - rng.randint(0, 10**10)]) for c in clock],
+        "latitude": [rng.random() for _ in range(n)], "longitude": [rng.random() for _ in range(n)], "type": "T"})
+    columns = T.StructType([T.StructField(c, T.StringType()) for c in rows.columns])
+    in_order = UserState(columns, window, spend_window, wait=False)
+    cuts = sorted(rng.sample(range(n), 6))
+    batches = [rows.iloc[a:b] for a, b in zip([0, *cuts], [*cuts, n])]
+    # A micro-batch ends where the clock moves on, or the rows after it would be late.
+    edges = [0, *sorted({int(rows["proc_ms"].searchsorted(rows["proc_ms"].iloc[c])) for c in cuts}), n]
+    plain = one_by_one(rows, window * 1000, spend_window * 1000)
+    strip = lambda f: [(r.seq, bool(r.is_new), int(r.balance), r.velocity_count, int(r.spend), None if pd.isna(r.prev_timestamp_ns) else int(r.prev_timestamp_ns)) for r in f.itertuples()]
+    assert strip(replay(in_order, Store(), [rows.iloc[a:b].sample(frac=1, random_state=seed) for a, b in zip(edges, edges[1:])], 0)) == plain
+
+    # Rows come up to the lateness out of order; a last row, far ahead, lets all others through.
+    delayed = rows.iloc[sorted(range(n), key=lambda k: clock[k] + rng.randint(0, lateness))]
+    batches = [delayed.iloc[a:b] for a, b in zip([0, *cuts], [*cuts, n])]
+    tick = rows.tail(1).assign(proc_ms=10**9, transaction_id="far", seq=10**7)
+    store = Store()
+    got = replay(UserState(columns, window, spend_window), store, [*batches, tick, rows.iloc[:0]], lateness)
+    assert strip(got) == plain and not got["is_late"].any()
+    assert len(store.values["waiting"]) == 1 and "recent" not in store.values or all(r[2] > clock[-1] - 90_000 for r in store.values["recent"])
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_suppression_of_alerts_against_the_sequential_model(seed):
+    rng = random.Random(seed)
+    clock = sorted(rng.randint(0, 60_000) for _ in range(80))
+    last, plain = None, []
+    for k, now in enumerate(clock):
+        if last is None or now >= last + 7_000:
+            plain.append(k)
+            last = now
+    rows = pd.DataFrame({"proc_ms": clock, "seq": range(80)})
+    store = Store()
+    cuts = sorted(rng.sample(range(80), 5))
+    got = replay(AlertSuppression(7), store, [rows.iloc[a:b] for a, b in zip([0, *cuts], [*cuts, 80])], 0)
+    assert got["seq"].tolist() == plain
+    processor = AlertSuppression(7)
+    processor.init(store)
+    list(processor.handleExpiredTimer(("t",), Clock(last + 6_999), None))
+    assert "sent" in store.values
+    list(processor.handleExpiredTimer(("t",), Clock(last + 7_000), None))
+    assert not store.values  # forgotten a TTL after the last alert
+
+
+def test_deduplication_by_the_watermark(spark, finished, tmp_path):
+    """Spark's own operator: no alert is less than a TTL after the one before, none that is two TTLs after is lost."""
     _, pipeline = finished
-    everyone = {r.aggregate_id: r.version for r in eventlog.heads(pipeline.log()).collect()}
-    assert {r.aggregate_id: r.version for r in pipeline.heads("another", 0).collect()} == everyone
+    schema = spark.read.parquet(pipeline.path("decisions")).schema
+    sent = pipeline.alert_events_within_watermark(pipeline._follow("decisions", schema))
+    finish(sent.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c"))
+    flagged = alerts.flagged(spark.read.parquet(pipeline.path("decisions"))).select("transaction_id", "proc_ms").collect()
+    got = spark.read.parquet(f"{tmp_path}/out").select("transaction_id", "proc_ms").collect()
+    ttl = FIXTURE_PARAMS.alert_ttl_s * 1000
+    times = lambda rows, i: sorted(r.proc_ms for r in rows if r.transaction_id == i)
+    assert {r.transaction_id for r in got} == {r.transaction_id for r in flagged}
+    for i in {r.transaction_id for r in flagged}:
+        sent_at = times(got, i)
+        assert all(b - a > ttl for a, b in zip(sent_at, sent_at[1:]))
+
+
+def log_batch(spark, rows):
+    frame = spark.createDataFrame(rows, "event_id string, aggregate_id string, payload string, seq bigint")
+    at = F.timestamp_millis(F.lit(5))
+    return frame.withColumns({"event_type": F.lit("T"), "metadata": F.lit("{}"), "signature": F.lit("s"), "created_at": at, "created_date": F.to_date(at)})
+
+
+def versions(log):
+    return sorted((r.event_id, r.aggregate_id, r.version, r.commit) for r in log.read().collect())
+
+
+def test_two_writers_never_take_a_version_twice(spark, tmp_path):
+    log = StoredLog(spark, f"{tmp_path}/log")
+    assert log.read() is None and log.heads(0) is None and log.latest() == 0
+    one, two = log_batch(spark, [("a1", "u", "{}", 1), ("a2", "v", "{}", 2)]), log_batch(spark, [("b1", "u", "{}", 1), ("b2", "w", "{}", 2)])
+    ahead, behind = log.prepare(one, "A", 0), log.prepare(two, "B", 0)  # both see an empty log
+    assert log.commit(ahead, one) == 1
+    assert versions(log) == [("a1", "u", 1, 1), ("a2", "v", 1, 1)]  # B's rows don't count yet
+    assert log.commit(behind, two) == 2
+    assert versions(log) == [("a1", "u", 1, 1), ("a2", "v", 1, 1), ("b1", "u", 2, 2), ("b2", "w", 1, 2)]
+    other = log_batch(spark, [("c1", "x", "{}", 1)])
+    ahead, behind = log.prepare(one, "A", 1), log.prepare(other, "C", 0)
+    assert log.commit(ahead, one) == 3
+    data = sorted(p.name for p in (tmp_path / "log" / "data").iterdir())
+    assert log.commit(behind, other) == 4  # no aggregate in common: what was written stands
+    assert data == sorted(p.name for p in (tmp_path / "log" / "data").iterdir())
+    late, quick = log.prepare(one, "A", 2), log.prepare(two, "B", 1)
+    log.commit(quick, two)
+    with pytest.raises(VersionConflict) as conflict:
+        log.commit(late, one, on_conflict="fail")
+    assert conflict.value.aggregates == ["u"]
+    assert eventlog.version_conflicts(log.read()).count() == 0
+
+
+def test_a_retried_batch_is_appended_once(spark, tmp_path):
+    log = StoredLog(spark, f"{tmp_path}/log")
+    batch = log_batch(spark, [("a1", "u", "{}", 1)])
+    assert [log.append(batch, "A", 0), log.append(batch, "A", 0), log.append(batch, "B", 0), log.append(batch, "A", 1)] == [1, 1, 2, 3]
+    log.prepare(batch, "C", 0)  # crashed before its commit
+    assert [v[2] for v in versions(log)] == [1, 2, 3]
+
+
+def test_writers_at_the_same_time(spark, tmp_path):
+    log = StoredLog(spark, f"{tmp_path}/log")
+    batches = {w: [log_batch(spark, [(f"{w}{k}{i}", f"u{i}", "{}", i) for i in range(3)]) for k in range(3)] for w in "ABC"}
+    with ThreadPoolExecutor(3) as pool:
+        numbers = list(pool.map(lambda w: [log.append(b, w, k) for k, b in enumerate(batches[w])], "ABC"))
+    assert sorted(n for each in numbers for n in each) == list(range(1, 10))
+    for i in range(3):
+        assert sorted(r.version for r in log.read().where(f"aggregate_id = 'u{i}'").collect()) == list(range(1, 10))
+
+
+def test_heads_are_stored_now_and_then(spark, tmp_path, monkeypatch):
+    from tollgate.operators import storedlog
+
+    monkeypatch.setattr(storedlog, "HEADS_EVERY", 3)
+    log = StoredLog(spark, f"{tmp_path}/log")
+    for k in range(10):
+        log.append(log_batch(spark, [(f"e{k}", f"u{k % 4}", "{}", k)]), "A", k)
+        found = {r.aggregate_id: r.version for r in log.heads(log.latest()).collect()}
+        assert found == {f"u{i}": sum(j % 4 == i for j in range(k + 1)) for i in range(min(k + 1, 4))}
+    assert sorted(p.name for p in (tmp_path / "log" / "heads").iterdir()) == ["upto=6", "upto=9"]
+
+
+def test_search_by_field_skips_row_groups(spark, tmp_path):
+    log = StoredLog(spark, f"{tmp_path}/log")
+    for k in range(6):
+        rows = [(f"e{k}-{i}", f"u{i}", f'{{"merchantId":"m-{k}-{i}","note":"n{k}"}}', i) for i in range(500)]
+        log.append(log_batch(spark, rows).coalesce(1), "A", k)
+    found = log.by_payload("$.merchantId", "m-3-77")
+    assert [r.event_id for r in found.collect()] == ["e3-77"]
+    assert [r.event_id for r in eventlog.by_payload(log.read(), "$.merchantId", "m-3-77").collect()] == ["e3-77"]
+    assert log.by_payload("$.note", "n4").count() == 500
+    assert "EqualTo(field_merchant_id,m-3-77)" in found._jdf.queryExecution().executedPlan().toString()
+    assert rows_scanned(log.by_payload("$.merchantId", "m-3-77")) == 500 and rows_scanned(eventlog.by_payload(log.read(), "$.merchantId", "m-3-77")) == 3000
+
+
+def rows_scanned(frame):
+    """What the scan of the log's data gave, by the plan's own count."""
+    plan = frame._jdf.queryExecution().executedPlan()
+    frame._jdf.queryExecution().toRdd().count()
+    most, queue = 0, [plan]
+    while queue:
+        node = queue.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            queue.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            queue.append(node.plan())
+        if name == "FileSourceScanExec" and node.metrics().contains("numOutputRows"):
+            most = max(most, node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        queue += [children.apply(i) for i in range(children.size())]
+    return most
+
+
+def test_a_new_writer_goes_on_from_the_log(spark, finished):
+    _, pipeline = finished
+    log = pipeline.log
+    everyone = {r.aggregate_id: r.version for r in eventlog.heads(log.read()).collect()}
+    assert {r.aggregate_id: r.version for r in log.heads(log.latest()).collect()} == everyone
 
 
 def test_an_unreadable_log_is_an_error(spark, tmp_path):
-    pipeline = Pipeline(spark, str(tmp_path), FIXTURE_PARAMS)
-    assert pipeline.log() is None
-    (tmp_path / "log").mkdir()
-    with pytest.raises(Exception, match="(?i)infer schema"):
-        pipeline.log()
+    log = StoredLog(spark, f"{tmp_path}/log")
+    log.append(log_batch(spark, [("a1", "u", "{}", 1)]), "A", 0)
+    for attempt in (tmp_path / "log" / "data").iterdir():
+        attempt.rename(tmp_path / "elsewhere")
+    with pytest.raises(Exception, match="(?i)infer schema|path"):
+        log.read().count()
 
 
 def test_listener_counts_outcomes(spark, tmp_path):
-    from tollgate.streaming.metrics import OutcomeCounts
-
     raw_messages(spark, SF).limit(60).write.parquet(f"{tmp_path}/in")
     checked = ingest.ingest(sources.stored_messages(spark, f"{tmp_path}/in"), FIXTURE_PARAMS.signing_key)
     bad, all_rows = ingest.rejected(checked).count(), checked.count()
@@ -174,15 +462,6 @@ def test_listener_counts_outcomes(spark, tmp_path):
     assert got == {("ingest", "success"): all_rows - bad, ("ingest", "error"): bad} and bad > 0
 
 
-def test_alerts_expire_by_default(spark, finished):
-    _, pipeline = finished
-    schema = spark.read.parquet(pipeline.path("decisions")).schema
-    plan = pipeline.write_alerts(schema)
-    assert plan is not None
-    processor = AlertSuppression(60, 60)
-    assert processor.forget_after_ms == 60_000
-
-
 def test_alerts_equal_batch(spark, finished):
     everything, pipeline = finished
     sent = alerts.with_suppression(alerts.flagged(batch_decisions(everything)), FIXTURE_PARAMS.alert_ttl_s)
@@ -207,14 +486,14 @@ def finish(writer):
 
 
 def test_alerts_after_a_failed_sink_are_neither_lost_nor_doubled(spark, finished, tmp_path):
-    everything, done = finished
-    pipeline = Borrowing(spark, str(tmp_path), done, "ingested")
-    schema = done.ingested(everything).schema
+    _, done = finished
+    pipeline = Borrowing(spark, str(tmp_path), done, "decisions")
+    schema = spark.read.parquet(done.path("decisions")).schema
     (tmp_path / "alerts").write_text("in the way")
     with pytest.raises(Exception):
-        finish(pipeline.write_scored(schema))
+        finish(pipeline.write_alerts(schema))
     (tmp_path / "alerts").unlink()
-    finish(pipeline.write_scored(schema))
+    finish(pipeline.write_alerts(schema))
     rows = lambda p: sorted(r.key for r in spark.read.json(p.path("alerts")).collect())
     assert rows(pipeline) == rows(done) and rows(done)
 
@@ -223,13 +502,19 @@ def test_a_crash_inside_a_log_batch_is_repaired(spark, finished, tmp_path, monke
     everything, done = finished
     schema = done.ingested(everything).schema
     crashed = Borrowing(spark, str(tmp_path), done, "ingested")
-    monkeypatch.setattr(crashed, "_write_heads", lambda *a: 1 / 0)
-    with pytest.raises(Exception):
-        finish(crashed.write_log(schema))
-    assert crashed.log().count() > 0  # rows of the batch that did not end
+    with monkeypatch.context() as patch:
+        patch.setattr(StoredLog, "_claimed", lambda *a: 1 / 0)
+        with pytest.raises(Exception):
+            finish(crashed.write_log(schema))
+    assert crashed.log.read() is None  # written, never claimed
+    with monkeypatch.context() as patch:
+        claim = StoredLog._claimed
+        patch.setattr(StoredLog, "_claimed", lambda *a: claim(*a) and 1 / 0)
+        with pytest.raises(Exception):
+            finish(crashed.write_log(schema))
     again = Borrowing(spark, str(tmp_path), done, "ingested")
     finish(again.write_log(schema))
-    rows = lambda p: sorted(map(tuple, p.log().select("event_id", "aggregate_id", "version").collect()))
+    rows = lambda p: sorted(map(tuple, p.log.read().select("event_id", "aggregate_id", "version").collect()))
     assert rows(again) == rows(done)
 
 
@@ -246,15 +531,12 @@ def test_alert_records_verify(spark, finished):
 def test_log_and_dead_letters(spark, finished):
     everything, pipeline = finished
     checked = ingest.ingest(everything, FIXTURE_PARAMS.signing_key)
-    log = pipeline.log()
+    log = pipeline.log.read()
     assert log.count() == ingest.accepted(checked).count()
     per_user = log.groupBy("aggregate_id").agg(F.count("*").alias("n"), F.max("version").alias("v"),
                                                F.countDistinct("version").alias("d"))
     assert per_user.where("n <> v or n <> d").count() == 0
-    writer = pipeline.writer("log")
-    kept = {(r.aggregate_id, r.version) for r in pipeline.heads(writer, 10**9).collect()}
-    assert kept == {(r.aggregate_id, r.v) for r in per_user.collect()}
-    assert names(spark, f"{pipeline.path('log_heads')}/writer={writer}").count("all=0") == 1
+    assert {r.writer for r in pipeline.log.commits().collect()} == {pipeline.writer("log")}
     assert spark.read.json(pipeline.path("dead_letters")).count() == ingest.rejected(checked).count()
 
 

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQueryListener
 
 
 class OutcomeCounts(StreamingQueryListener):
-    """Adds up ``Pipeline``'s observed counts; register it with ``spark.streams.addListener``.
+    """Adds up what ``Pipeline``'s queries observe (ingest, log, dead letters, scoring, alerts); register it with ``spark.streams.addListener``.
 
     A query that stops with an error counts once as ``failed``.
     """
@@ -25,9 +25,12 @@ class OutcomeCounts(StreamingQueryListener):
 
     def onQueryProgress(self, event) -> None:
         for operation, row in event.progress.observedMetrics.items():
-            rejected = row["rejected"] or 0
+            seen = {name: n or 0 for name, n in row.asDict().items()}
+            rejected = seen.pop("rejected", 0)
             self.counts[operation, "error"] += rejected
-            self.counts[operation, "success"] += (row["messages"] or 0) - rejected
+            self.counts[operation, "success"] += seen.pop("messages", 0) - rejected
+            for outcome, n in seen.items():  # such as late
+                self.counts[operation, outcome] += n
 
     def onQueryTerminated(self, event) -> None:
         if event.exception is not None:

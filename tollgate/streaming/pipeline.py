@@ -4,9 +4,9 @@
                          -> dead letters
                          -> decisions -> alerts
 
-Ingested messages and dead letters are written by file sinks, whose own logs make a retried
-micro-batch harmless; the other tables overwrite the directory of their batch. No watermark: late
-events are scored.
+Ingested messages, decisions, dead letters and alerts are written by file sinks, whose own logs make
+a retried micro-batch harmless; the event log commits each batch once (``operators/storedlog.py``).
+State is in the state store (``processors.py``). No message is dropped for being late.
 """
 
 from __future__ import annotations
@@ -15,31 +15,51 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
 
 from tollgate.operators import alerts, deadletter, decide, eventlog, ingest
 from tollgate.operators.rules import RuleSet, SpendRule, default_rules
 from tollgate.operators.state import arrival_seq
+from tollgate.operators.storedlog import StoredLog
 from tollgate.params import Params
 from tollgate.session import tune
-from tollgate.sources.messages import stream_records
-from tollgate.streaming.carried import Carried, names
+from tollgate.sources.messages import stream_kafka, stream_records
 from tollgate.streaming.processors import STATE_COLUMNS, AlertSuppression, UserState
-from tollgate.streaming.scoring import Scorer
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+FIELDS = (
+    "transaction_id", "user_id", "merchant_id", "amount", "currency", "type", "timestamp_ns",
+    "latitude", "longitude", "device_fingerprint", "ip_address", "user_agent", "validator_id",
+)
+# So far behind the newest message a row of an unordered stream may be and still find its user's window.
+SLACK_S = 86_400
+# The type of a row that only says how far time has come.
+TICK = "Tick"
 
 
 class Pipeline:
-    """All tables and checkpoints under one folder that every executor can reach."""
+    """All tables and checkpoints under one folder that every executor can reach.
 
-    def __init__(self, spark: SparkSession, folder: str, params: Params):
+    ``lateness_s``: how much older than the newest message another may be that still takes its place
+    in the order. Rows wait until no such message can come, then are scored as a batch job scores
+    them, however a backlog was cut into micro-batches. Without it (None) rows are scored as they
+    come, and windows are remembered for ``SLACK_S`` longer than they last. Either way a row that comes
+    after a later one of its user was scored is scored then, and counted as late.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, params: Params, lateness_s: int | None = None):
         self.spark = tune(spark)
         self.folder = folder
         self.params = params
+        self.lateness_s = lateness_s
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
+    @property
+    def delay_s(self) -> int:
+        """How far the watermark is behind the newest message."""
+        return SLACK_S if self.lateness_s is None else self.lateness_s
+
     def path(self, table: str) -> str:
         return f"{self.folder}/{table}"
 
@@ -52,9 +72,13 @@ class Pipeline:
             writer = writer.partitionBy(*partitions)
         return writer.option("checkpointLocation", self.checkpoint(table))
 
-    def _follow(self, table: str, schema: StructType) -> DataFrame:
-        # No cap: what an ingest batch has committed is taken whole, so that its rows meet the state
-        # in arrival order however many files they are in.
+    def _send(self, records: DataFrame, table: str, kafka: dict[str, str] | None):
+        """Records to a topic if its options are given (``kafka_sink_options``), else to files."""
+        if kafka is not None:
+            return stream_kafka(records, kafka, self.checkpoint(table))
+        return stream_records(records, self.path(table), self.checkpoint(table))
+
+    def _follow(self, table: str, schema: T.StructType) -> DataFrame:
         return self.spark.readStream.schema(schema).parquet(self.path(table))
 
     # --- ingest ---
@@ -71,116 +95,62 @@ class Pipeline:
     def write_ingested(self, messages: DataFrame):
         return self._write(self.ingested(messages), "ingested", "outcome")
 
-    def _accepted(self, schema: StructType) -> DataFrame:
+    def _accepted(self, schema: T.StructType) -> DataFrame:
         return ingest.accepted(self._follow("ingested", schema).where(F.col("outcome") == "accepted"))
 
-    def write_dead_letters(self, schema: StructType):
+    def write_dead_letters(self, schema: T.StructType, kafka: dict[str, str] | None = None):
         bad = self._follow("ingested", schema).where(F.col("outcome") == "rejected")
-        return stream_records(
-            deadletter.dead_letters(bad), self.path("dead_letters"), self.checkpoint("dead_letters")
-        )
-
-    def write_log(self, schema: StructType):
-        rows = eventlog.log_rows(self._accepted(schema))
+        bad = bad.observe("dead letters", F.count(F.lit(1)).alias("messages"))
+        return self._send(deadletter.dead_letters(bad), "dead_letters", kafka)
 
-        def append(batch: DataFrame, batch_id: int) -> None:
-            writer = self.writer("log")
-            heads = self.heads(writer, batch_id)
-            eventlog.append(batch, self.path("log"), heads, batch_id, writer)
-            written = self.spark.read.parquet(f"{self.path('log')}/writer={writer}/batch_id={batch_id}")
-            self._write_heads(eventlog.heads(written), heads, writer, batch_id)
+    # --- event log ---
 
-        return rows.writeStream.foreachBatch(append).option("checkpointLocation", self.checkpoint("log"))
+    @property
+    def log(self) -> StoredLog:
+        return StoredLog(self.spark, self.path("log"))
 
-    def _heads(self, writer: str) -> Carried:
-        return Carried(self.spark, f"{self.path('log_heads')}/writer={writer}", "aggregate_id")
+    def write_log(self, schema: T.StructType):
+        """Append to the log, which other queries may append to at the same time."""
+        rows = eventlog.log_rows(self._accepted(schema)).observe("log", F.count(F.lit(1)).alias("messages"))
 
-    def heads(self, writer: str, before: int) -> DataFrame | None:
-        """``aggregate_id``, ``version`` as they were before a writer's batch; None while there is nothing."""
-        stored = self._heads(writer).read(before)
-        if stored is not None:
-            return stored
-        log = self.log(writer, before)  # the writer's first batch: what others have written
-        return None if log is None else eventlog.heads(log)
+        def append(batch: DataFrame, batch_id: int) -> None:
+            batch = batch.persist()
+            try:
+                self.log.append(batch, self.writer("log"), batch_id)
+            finally:
+                batch.unpersist()
 
-    def _write_heads(self, own: DataFrame, earlier: DataFrame | None, writer: str, batch_id: int) -> None:
-        """After a writer's first batch the heads also hold what others have written."""
-        carried = self._heads(writer)
-        if earlier is not None and carried.read(batch_id) is None:
-            own = eventlog.heads(own.unionByName(earlier))
-        carried.write(own, batch_id)
+        return rows.writeStream.foreachBatch(append).option("checkpointLocation", self.checkpoint("log"))
 
     def writer(self, name: str) -> str:
         """The id of the query that has this checkpoint; a new checkpoint gives a new one."""
         stored = self.spark.read.text(f"{self.checkpoint(name)}/metadata").first()[0]
         return json.loads(stored)["id"]
 
-    def log(self, writer: str | None = None, before: int | None = None) -> DataFrame | None:
-        """The event log, or what it was before a writer's batch; None while there is nothing.
-
-        Only a missing folder means that there is no log yet; a log that can't be read is an error.
-        """
-        if "log" not in names(self.spark, self.folder):
-            return None
-        log = self.spark.read.parquet(self.path("log"))
-        if before is not None:
-            log = log.where((F.col("writer") != writer) | (F.col("batch_id") < before))
-        return log.drop("writer", "batch_id")
-
     # --- scoring ---
 
-    def write_scored(self, schema: StructType, rules: RuleSet | None = None, group_rows: int | None = None):
-        """Decisions and alerts of the accepted messages, by the batch operators (``scoring.py``).
-
-        Tables ``decisions`` and ``alerts`` get a directory for each writer and batch.
-        """
-        def score(batch: DataFrame, batch_id: int) -> None:
-            at = f"writer={self.writer('scored')}"
-            scorer = Scorer(self.spark, f"{self.path('state')}/{at}", self.params, rules, group_rows)
-            df = scorer.with_state(batch, batch_id).persist()
-            try:
-                out = f"{self.path('decisions')}/{at}/batch_id={batch_id}"
-                scorer.decisions(df).write.mode("overwrite").parquet(out)
-                scorer.leave_behind(df, batch_id)
-            finally:
-                df.unpersist()
-            sent = scorer.alerts(self.spark.read.parquet(out), batch_id).persist()
-            try:
-                records = alerts.alert_records(sent, self.params)
-                records.write.mode("overwrite").option("compression", "gzip").json(f"{self.path('alerts')}/{at}/batch_id={batch_id}")
-                scorer.remember_sent(sent, batch_id)
-            finally:
-                sent.unpersist()
-
-        rows = self._rows(self._accepted(schema))
-        return rows.writeStream.foreachBatch(score).option("checkpointLocation", self.checkpoint("scored"))
-
     @staticmethod
-    def _rows(accepted: DataFrame) -> DataFrame:
-        return accepted.select(
-            arrival_seq().alias("seq"), F.unix_millis("timestamp").alias("proc_ms"),
-            "transaction_id", "user_id", "merchant_id", "amount", "currency", "type", "timestamp_ns",
-            "latitude", "longitude", "device_fingerprint", "ip_address", "user_agent", "validator_id",
-        )
-
-    def scored(self, accepted: DataFrame, rules: RuleSet | None = None) -> DataFrame:
-        """Decisions of a stream of accepted messages, with the state in the state store.
-
-        The alternative to ``write_scored`` for low latency and users with few rows at a time: a
-        user's rows of a micro-batch are replayed in Python.
+    def rows(accepted: DataFrame) -> DataFrame:
+        return accepted.select(arrival_seq().alias("seq"), F.unix_millis("timestamp").alias("proc_ms"), *FIELDS)
 
-        Rows meet the state micro-batch by micro-batch, and in one in the order of clock,
-        partition and offset. That is the batch job's order if no micro-batch brings a message
-        older than what came before.
-        """
+    def scored(self, accepted: DataFrame, rules: RuleSet | None = None, ticks: DataFrame | None = None) -> DataFrame:
+        """Decisions of a stream of accepted messages, with each user's state in the state store."""
         rules = rules or default_rules(self.params)
         spends = any(isinstance(rule, SpendRule) for rule in rules)
-        rows = self._rows(accepted)
+        timed = accepted.select(*FIELDS, "partition", "offset", "timestamp")
+        if ticks is not None:
+            # No null among the numbers: pandas would make floats of a column that has one.
+            blank = {f.name: F.lit(None if f.dataType == T.StringType() else 0).cast(f.dataType) for f in timed.schema if f.name not in ("type", "timestamp")}
+            timed = timed.unionByName(ticks.withColumns(blank))
+        timed = timed.withWatermark("timestamp", f"{self.delay_s} seconds")
+        # Without the watermark's column the state gets late rows too, instead of losing them.
+        rows = self.rows(timed)
         layout = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
         prepared = rows.groupBy("user_id").transformWithStateInPandas(
             statefulProcessor=UserState(
-                self.params.velocity_window_s, self.params.spend_window_s if spends else None),
-            outputStructType=f"{layout}, {STATE_COLUMNS}", outputMode="append", timeMode="none",
+                rows.schema, self.params.velocity_window_s, self.params.spend_window_s if spends else None,
+                wait=self.lateness_s is not None, ignore=TICK),
+            outputStructType=f"{layout}, {STATE_COLUMNS}", outputMode="append", timeMode="EventTime",
         ).withColumn("prev", F.when(F.col("prev_timestamp_ns").isNotNull(), F.struct(
             F.col("prev_timestamp_ns").alias("timestamp_ns"),
             F.col("prev_latitude").alias("latitude"), F.col("prev_longitude").alias("longitude"),
@@ -189,39 +159,80 @@ class Pipeline:
             prepared = prepared.drop("spend")
         for rule in rules:
             prepared = rule.prepare(prepared, None)
-        return decide.decide(prepared.where(F.col("type") == decide.VALIDATED), rules, self.params)
+        decided = decide.decide(prepared.where(F.col("type") == decide.VALIDATED), rules, self.params)
+        return decided.observe(
+            "scoring", F.count(F.lit(1)).alias("messages"),
+            F.count_if(F.col("decision") == decide.ERROR).alias("rejected"), F.count_if("is_late").alias("late"),
+        )
+
+    def write_decisions(self, schema: T.StructType, rules: RuleSet | None = None):
+        accepted = self._accepted(schema)
+        return self._write(self.scored(accepted, rules, self._ticks()), "decisions")
 
-    def write_decisions(self, schema: StructType):
-        return self._write(self.scored(self._accepted(schema)), "decisions")
+    def _ticks(self) -> DataFrame:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path("ticks"))
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(at)
+        return self.spark.readStream.schema("type string, timestamp timestamp").parquet(self.path("ticks"))
+
+    def tick(self, upto_ms: int) -> None:
+        """Say that all messages older than this have come: rows that wait for them are scored when the query runs next."""
+        at = upto_ms + 1000 * self.delay_s
+        row = self.spark.createDataFrame([(TICK, at)], "type string, ms bigint").select("type", F.timestamp_millis("ms").alias("timestamp"))
+        row.coalesce(1).write.mode("append").parquet(self.path("ticks"))
 
     # --- alerts ---
 
-    def alert_events(self, decisions: DataFrame, forget_after_s: int | None = None) -> DataFrame:
-        """Alerts that go out. With ``forget_after_s`` the query runs until it is stopped: expiry
-        keeps triggering micro-batches, so it cannot be used with ``availableNow``.
+    def alert_events(self, decisions: DataFrame) -> DataFrame:
+        """Alerts that go out. Ordered decisions let an id be forgotten a TTL after its last alert."""
+        flagged = self._flagged(decisions, SLACK_S if self.lateness_s is None else 0).drop("at")
+        return flagged.groupBy("transaction_id").transformWithStateInPandas(
+            statefulProcessor=AlertSuppression(self.params.alert_ttl_s),
+            outputStructType=flagged.schema, outputMode="append", timeMode="EventTime",
+        )
+
+    def alert_events_within_watermark(self, decisions: DataFrame) -> DataFrame:
+        """The same by Spark's own de-duplication, without Python.
+
+        An id is silent until the watermark, itself a TTL behind the newest decision, is past its
+        first alert. So unlike above its silence lasts between one and two TTLs, as far as the
+        stream has come; a stream that has stopped keeps it silent.
         """
+        flagged = self._flagged(decisions, self.params.alert_ttl_s)
+        return flagged.dropDuplicatesWithinWatermark(["transaction_id"]).drop("at")
+
+    def _flagged(self, decisions: DataFrame, delay_s: int) -> DataFrame:
         events = alerts.flagged_events(decisions).select(
-            "seq", "proc_ms", "transaction_id", "user_id", "merchant_id", "amount", "currency", "type",
-            "timestamp_ns", "latitude", "longitude", "device_fingerprint", "ip_address", "user_agent",
-            "validator_id", "reason", "risk_score",
-        )
-        return events.groupBy("transaction_id").transformWithStateInPandas(
-            statefulProcessor=AlertSuppression(self.params.alert_ttl_s, forget_after_s),
-            outputStructType=events.schema, outputMode="append",
-            timeMode="none" if forget_after_s is None else "ProcessingTime",
-        )
+            "seq", "proc_ms", *FIELDS, "reason", "risk_score", F.timestamp_millis("proc_ms").alias("at"))
+        return events.withWatermark("at", f"{delay_s} seconds")
 
-    def write_alerts(self, schema: StructType, bounded: bool = True):
-        """The alerts as records. ``bounded`` forgets an id a TTL after its last alert, by the wall clock."""
-        sent = self.alert_events(self._follow("decisions", schema), self.params.alert_ttl_s if bounded else None)
-        return stream_records(
-            alerts.alert_records(sent, self.params), self.path("alerts"), self.checkpoint("alerts")
-        )
+    def write_alerts(self, schema: T.StructType, kafka: dict[str, str] | None = None):
+        """The alerts as records."""
+        sent = self.alert_events(self._follow("decisions", schema))
+        sent = sent.observe("alerts", F.count(F.lit(1)).alias("messages"))
+        return self._send(alerts.alert_records(sent, self.params), "alerts", kafka)
+
+    # --- reading the live state ---
+
+    def state(self, variable: str, query: str = "decisions", batch_id: int | None = None) -> DataFrame:
+        """A state variable of a query as of a batch (by default the last one), from its checkpoint; the query may be running."""
+        reader = self.spark.read.format("statestore").option("stateVarName", variable)
+        if batch_id is not None:
+            reader = reader.option("batchId", batch_id)
+        return reader.load(self.checkpoint(query))
+
+    def balances(self, batch_id: int | None = None) -> DataFrame:
+        """``user_id``, ``balance`` after a batch of the scoring query."""
+        return self.state("account", batch_id=batch_id).select("key.user_id", "value.balance")
+
+    def recent_transactions(self, batch_id: int | None = None) -> DataFrame:
+        """The transactions that users are remembered by, for ``state.lookup_counts``."""
+        rows = self.state("recent", batch_id=batch_id)
+        return rows.select("key.user_id", "list_element.transaction_id", "list_element.proc_ms")
 
     # --- all of it ---
 
-    def run_available(self, messages: DataFrame) -> None:
-        """Process everything that has arrived, stage after stage, then stop."""
+    def run_available(self, messages: DataFrame, upto_ms: int | None = None) -> None:
+        """Process everything that has arrived, stage after stage, then stop; with ``upto_ms`` nothing older waits any longer."""
         def finish(writer) -> StreamingQuery:
             started = writer.trigger(availableNow=True).start()
             started.awaitTermination()
@@ -231,7 +242,10 @@ class Pipeline:
         finish(self.write_ingested(messages))
         finish(self.write_log(ingested))
         finish(self.write_dead_letters(ingested))
-        finish(self.write_scored(ingested))
+        if upto_ms is not None:
+            self.tick(upto_ms)
+        finish(self.write_decisions(ingested))
+        finish(self.write_alerts(self.spark.read.parquet(self.path("decisions")).schema))
 
 
 def counts_per_minute(df: DataFrame, at: str, delay: str, *labels: str) -> DataFrame:
