@@ -411,9 +411,18 @@ def test_links_lose_nothing(spark):
 
 
 def test_one_of_each(docs):
-    found = Counter(column(simhash.one_of_each(docs), "doc_id"))
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
     groups = simhash.near_duplicates(docs.where("doc_id IS NOT NULL")).collect()
-    assert found == Counter({**{r.component_id: 1 for r in groups}, None: 1})
+    assert Counter(column(kept, "doc_id")) == Counter({r.component_id: 1 for r in groups})  # the row without an id repeats document 4
+
+
+def test_one_of_each_goes_by_text_where_ids_clash(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(10**6)) for _ in range(60)) for _ in range(5)]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[1]), (None, texts[2]), (None, texts[2]), (None, texts[3]), (3, texts[3]), (3, texts[3]), (None, None), (4, ""), (None, texts[4])]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert Counter(map(tuple, kept.collect())) == Counter([(1, texts[0]), (1, texts[1]), (None, texts[2]), (3, texts[3]), (4, ""), (None, texts[4])])
 
 
 # --- 7 ---------------------------------------------------------------------------------------
@@ -487,6 +496,57 @@ def test_runs_are_boilerplate_on_a_share_of_the_texts(spark):
     assert found == dict(enumerate(want))
 
 
+def extracted(spark, htmls, host="h.org"):
+    rows = [(k, f"http://{host}/{k}", page) for k, page in enumerate(htmls)]
+    found = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    return [found[k] for k in range(len(rows))]
+
+
+def test_articles_keep_what_only_sounds_like_a_part_of_the_page(spark):
+    page = """<article><h1>On <label>labels</label></h1><pre><code>x = 1 <span class="hljs-comment"># a comment</span>
+y <span class="token comment">// too</span></code></pre><p>As <math><mi>a</mi><mo>=</mo><mn>2</mn><annotation>a=2</annotation></math> says</p>
+<object data=x><p>Fallback</p></object><section class="banner-history"><p>Banners of old</p></section><p id="notice">Notice of the patent</p>
+<div class="comments"><p>First!</p></div><div class="notice">We changed our terms</div><div id="related-posts-2"><p>More</p></div><p class="ad-top">Buy</p>
+<pre><div class="comment">kept in code</div></pre></article>"""
+    assert extracted(spark, [page]) == [
+        "On labels\n\nx = 1 # a comment y // too\n\nAs a=2 says\n\nFallback\n\nBanners of old\n\nNotice of the patent\n\nkept in code"]
+
+
+def test_versions_of_an_article_stay(spark):
+    """Four near copies among ten marked pages are no boilerplate, whatever their share."""
+    rng = random.Random(12)
+    own = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randrange(10**6)) for _ in range(n))
+    story = own(60)
+    texts = [f"{story} ending{k}" for k in range(4)] + [own(50) for _ in range(6)]
+    assert extracted(spark, [f"<article><p>{t}</p></article>" for t in texts]) == texts
+    assert extracted(spark, [f"<div>{t}</div>" for t in texts]) == texts  # unmarked: the versions count as one or two texts
+
+
+def test_repeated_runs_against_a_plain_search(spark):
+    """Token runs of a host's pages, by looking each up in every other page."""
+    rng = random.Random(21)
+    own = lambda n: [rng.choice("abcdefgh") + str(rng.randrange(10**6)) for _ in range(n)]
+    common = [own(rng.choice([7, 8, 9, 15])) for _ in range(6)]
+    texts = []
+    for k in range(24):
+        tokens_ = own(60)
+        for c in rng.sample(common, 3) if k % 3 else common[:2]:
+            at = rng.randint(0, len(tokens_))
+            tokens_[at:at] = c
+        texts.append(tokens_)
+    runs = [{tuple(t[i : i + 8]) for i in range(len(t) - 7)} for t in texts]
+    plain = []
+    for t in texts:
+        gone = set()
+        for i in range(len(t) - 7):
+            n = sum(tuple(t[i : i + 8]) in r for r in runs)
+            if n >= max(4, math.ceil(0.3 * len(texts))):
+                gone |= set(range(i, i + 8))
+        plain.append(" ".join(w for i, w in enumerate(t) if i not in gone))
+    assert extracted(spark, [f"<div>{' '.join(t)}</div>" for t in texts]) == plain
+    assert any(len(p.split()) < len(t) for p, t in zip(plain, texts))
+
+
 # --- 8 ---------------------------------------------------------------------------------------
 
 
@@ -589,6 +649,25 @@ def test_template_tree(spark):
 # --- queries ---------------------------------------------------------------------------------
 
 
+def leaves(frame):
+    plan, queue, n = frame._jdf.queryExecution().optimizedPlan(), [], 0
+    queue.append(plan)
+    while queue:
+        node = queue.pop()
+        children = node.children()
+        n += children.isEmpty()
+        queue += [children.apply(i) for i in range(children.size())]
+    return n
+
+
+def test_the_tree_s_plan_grows_by_a_constant_a_level(spark):
+    sizes, settings = [], urls.TreeSettings(distinct=2, support=3.0)
+    for depth in (2, 4, 6, 8, 10):
+        rows = [("h", "/" + "/".join(f"{'ab'[k >> i & 1]}{i}" for i in range(depth)), 1, 0, 0) for k in range(8)]
+        sizes.append(leaves(urls.templates(spark.createDataFrame(rows, "host string, path string, n long, blocked long, allowed long"), settings)))
+    assert sizes[1] - sizes[0] == sizes[2] - sizes[1] == sizes[3] - sizes[2] <= 4 and sizes[4] == sizes[3]
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(spark, name):
     from oracle import compare, connect

@@ -7,8 +7,11 @@ host: all suffixes of the host's token streams are sorted as far as their first
 where those of at least ``LEAST`` texts and a share of ``SHARE`` of the host's agree that far, the
 tokens are a repeated run. Repeated runs are boilerplate and are taken out; the others stay.
 
-Texts that are the same count as one, so copies don't make each other boilerplate. A block shorter
-than a run goes only as part of a longer one.
+Texts that are the same, or nearly, count as one, so copies and versions don't make each other
+boilerplate: texts are told apart by the least of their runs' hashes, under each of three hash
+functions, and what has most texts of the three counts. From a marked article runs are only taken if
+they are no more than ``MOST`` of its tokens; an article that mostly repeats others is one of several
+versions. A block shorter than a run goes only as part of a longer one.
 
 The streams of a host are not sorted in one place. Suffixes that agree in ``RUN`` tokens have equal
 hashes of these, so grouping by hash brings together what a suffix array has side by side.
@@ -33,16 +36,20 @@ from tollgate.session import let_workers_import
 RUN = 8
 SHARE = 0.3  # of a host's texts
 LEAST = 4  # texts
-PARTS = 32  # of a host's values
+MOST = 0.3  # of a marked article's tokens
+PARTS = 32  # of a host's values, at least
+PART_PAGES = 200_000  # and no part has those of more pages
+IDENTITIES = 3
 SENT = 1 << 18  # as many repeated runs go to all executors, more are joined by host
 
 # --- fixed values: HTML elements by what they mean here, and names that pages give to parts
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure
     footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead
     title tr ul""".split())
-RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math object select".split())
+RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg select annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CHROME = frozenset("nav footer aside form menu dialog button label input datalist audio video canvas head".split())
+CHROME_IN_CORE = CHROME - {"label"}
 CORE = frozenset("article main".split())
 WRAPPED = frozenset("article main nav header footer".split())  # a form around one of these is the page's, not a part of it
 HEAD = frozenset("head html title base link meta style script noscript template".split())
@@ -51,6 +58,11 @@ CHROME_NAMES = frozenset("""ad ads advert adverts advertisement advertising adse
     consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices overlay pager
     pagination paywall popup promo promotion related respond share sharing sidebar signup social sponsor sponsored subscribe toolbar
     topbar widget""".split())
+CONTAINERS = frozenset("aside details div dl fieldset footer header ol section table ul".split())
+SURE_NAMES = frozenset("""ad ads advert adverts advertisement advertising adsense breadcrumb breadcrumbs cookie cookies disqus gdpr newsletter
+    pagination paywall share sharing sponsored subscribe""".split())
+PART_WORDS = frozenset("""area bar block bottom box button buttons center container content form group inner item items left link links list
+    module outer panel post posts right section slot text title top unit wrap wrapper""".split())
 WRAPPER_WORDS = frozenset("has with no without main content wrapper container layout body article".split())
 # --- end of fixed values
 
@@ -67,16 +79,30 @@ def names_chrome(word: str) -> bool:
     return bool(parts) and not CHROME_NAMES.isdisjoint((parts[0], parts[-1])) and (len(parts) == 1 or WRAPPER_WORDS.isdisjoint(parts))
 
 
-def is_chrome(tag: str, attributes: str, in_core: bool) -> bool:
-    """Whether an element with such a tag is no part of the text, by its tag, role, names, or being hidden."""
-    if tag in CHROME or tag == "header" and not in_core:
+def names_only(names: frozenset[str], word: str) -> bool:
+    """Whether all parts of a class or id say so (``ad-top``, ``related-posts``), and none something else (``banner-history``)."""
+    parts = [part.rstrip("0123456789") for part in NAME.findall(word)]
+    return not names.isdisjoint(parts) and all(part in names or part in PART_WORDS or not part for part in parts)
+
+
+def is_chrome(tag: str, attributes: str, in_core: bool, in_code: bool = False) -> bool:
+    """Whether an element with such a tag is no part of the text, by its tag, role, names, or being hidden.
+
+    In an article names count for blocks only, if they say nothing else, and nowhere in code; those that
+    may be about something else, such as ``notice``, for containers of blocks only.
+    """
+    if tag in (CHROME_IN_CORE if in_core else CHROME) or tag == "header" and not in_core:
         return True
     if not attributes or "=" not in attributes and "hidden" not in attributes:
         return False
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
         if name in ("class", "id") and tag not in ("body", "html", "article", "main"):
-            if any(names_chrome(word) for word in value.split()):
+            if in_core:
+                names = frozenset() if in_code or tag not in BLOCKS else CHROME_NAMES if tag in CONTAINERS else SURE_NAMES
+                if any(names_only(names, word) for word in value.split()):
+                    return True
+            elif any(names_chrome(word) for word in value.split()):
                 return True
         elif name == "role" and value in CHROME_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
@@ -160,7 +186,8 @@ def blocks(page: str) -> tuple[list[str] | None, list[tuple[str, bool]]]:
             in_head = in_head and tag != "head"
             for index in range(len(stack) - 1, -1, -1):
                 if stack[index][0] == tag:
-                    close()
+                    if any(hides or centres or t in BLOCKS for t, hides, centres in stack[index:]):
+                        close()
                     pop(index)
                     break
             continue
@@ -174,7 +201,7 @@ def blocks(page: str) -> tuple[list[str] | None, list[tuple[str, bool]]]:
             close()
             pop(len(stack) - 1)  # these end where the next block begins
         encloses = tag == "form" and not main and not chrome and not is_chrome("div", found[3], False)
-        hides = not encloses and is_chrome(tag, found[3], main > 0)
+        hides = not encloses and is_chrome(tag, found[3], main > 0, main > 0 and any(t in ("pre", "code") for t, _, _ in stack))
         centres = not hides and (tag in CORE or MAIN_ROLE.search(found[3]) is not None)
         if hides or centres or encloses:
             close()
@@ -229,6 +256,15 @@ def _suffixes(found: list[str], run: int) -> tuple[np.ndarray, np.ndarray]:
     return starts.view(np.int64), least
 
 
+def identities(found: list[str], starts: np.ndarray) -> list[int]:
+    """What a text counts by: of texts that have most runs in common two of three are the same, of others none."""
+    if not len(starts):
+        return [xxhash.xxh64_intdigest("\n\n".join(found)) - (1 << 63)] * IDENTITIES
+    hashes = starts.view(np.uint64)
+    turned = [(hashes ^ np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9) for k in range(1, IDENTITIES + 1)]
+    return [int((t ^ (t >> np.uint64(29))).min().view(np.int64)) for t in turned]
+
+
 def _of_pages(pages: DataFrame, columns: str, of_some) -> DataFrame:
     """The rows that ``of_some`` gives for a few pages (lists of their hosts, html, runs) at a time."""
     names = [c.split()[0] for c in columns.split(", ")]
@@ -253,25 +289,29 @@ def _sent(by_host: DataFrame) -> DataFrame:
 def repeated_runs(pages: DataFrame, run: int = RUN, share: float = SHARE, least: int = LEAST) -> DataFrame:
     """``host``, ``runs``: hashes of the ``run`` tokens that at least ``least`` and a ``share`` of a host's texts have.
 
-    Pages with the same text count once. What can't be repeated so often is left out first: the
+    Pages with the same text, or nearly, count once. What can't be repeated so often is left out first: the
     least hashes of all runs are counted by host in packed form, with copies, so none is missed.
     """
+    parts = max(PARTS, pages.count() // PART_PAGES)
+
     def count(hosts, pages):
         by_host: dict[str, list[np.ndarray]] = {}
         for host, html in zip(hosts, pages):
             found = kept_blocks(html)
-            yield host, -1, xxhash.xxh64_intdigest("\n\n".join(found)) - (1 << 63), None
-            by_host.setdefault(host, []).append(np.unique(_suffixes(found, run)[1]))
+            starts, low = _suffixes(found, run)
+            yield host, -1, identities(found, starts), None
+            by_host.setdefault(host, []).append(np.unique(low))
         for host, each in by_host.items():
             values = np.concatenate(each)
-            number = (values >> np.uint64(32)) % np.uint64(PARTS)
+            number = (values >> np.uint64(32)) % np.uint64(parts)
             order = np.argsort(number, kind="stable")
-            values, ends = values[order].astype(np.uint32), np.searchsorted(number[order], np.arange(PARTS + 1))
+            values, ends = values[order].astype(np.uint32), np.searchsorted(number[order], np.arange(parts + 1))
             for k in np.flatnonzero(np.diff(ends)).tolist():
                 yield host, k, None, values[ends[k] : ends[k + 1]].tobytes()
 
-    seen = held(_of_pages(pages.select("host", "html"), "host string, part int, copy bigint, packed binary", count))
-    texts = seen.where("part < 0").select("host", "copy").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("texts"))
+    seen = held(_of_pages(pages.select("host", "html"), "host string, part int, copy array<bigint>, packed binary", count))
+    distinct = F.greatest(*[F.count_distinct(F.col("copy")[k]) for k in range(IDENTITIES)])
+    texts = seen.where("part < 0").groupBy("host").agg(distinct.alias("texts"))
     wanted = held(texts.select("host", F.greatest(F.lit(least).cast("bigint"), F.ceil(F.col("texts") * share)).alias("wanted")).where(F.col("texts") >= least))
 
     def often(table: pa.Table) -> pa.Table:
@@ -287,17 +327,17 @@ def repeated_runs(pages: DataFrame, run: int = RUN, share: float = SHARE, least:
         for host, html, known in zip(hosts, pages, runs):
             found = kept_blocks(html)
             starts, low = _suffixes(found, run)
-            copy = xxhash.xxh64_intdigest("\n\n".join(found)) - (1 << 63)
+            copy = identities(found, starts)
             for value in np.unique(starts[np.isin(low.astype(np.uint32), np.array(known, np.uint32))]).tolist():
                 yield host, copy, value
 
-    rows = _of_pages(pages.join(maybe, "host").select("host", "html", "runs"), "host string, copy bigint, run bigint", again).distinct()
-    runs = rows.groupBy("host", "run").agg(F.count(F.lit(1)).alias("n")).join(wanted, "host").where("n >= wanted")
+    rows = _of_pages(pages.join(maybe, "host").select("host", "html", "runs"), "host string, copy array<bigint>, run bigint", again)
+    runs = rows.groupBy("host", "run").agg(distinct.alias("n")).join(wanted, "host").where("n >= wanted")
     return runs.groupBy("host").agg(F.collect_list("run").alias("runs"))
 
 
-def unique_runs(found: list[str], runs: list[int], run: int = RUN) -> list[str]:
-    """The blocks without the tokens of ``runs``. Of a block go ``run`` tokens or more in a row, or all."""
+def unique_runs(found: list[str], runs: list[int], run: int = RUN, most: float = 1.0) -> list[str]:
+    """The blocks without the tokens of ``runs``. Of a block go ``run`` tokens or more in a row, or all; nothing if that is more than ``most`` of all tokens."""
     starts = np.flatnonzero(np.isin(_suffixes(found, run)[0], np.array(runs, np.int64)))
     if not len(starts):
         return found
@@ -305,7 +345,7 @@ def unique_runs(found: list[str], runs: list[int], run: int = RUN) -> list[str]:
     hit = np.zeros(sum(map(len, split)) + 1, bool)
     for k in range(run):
         hit[starts + k] = True
-    out, at = [], 0
+    out, at, gone = [], 0, 0
     for tokens in split:
         edges = np.flatnonzero(np.diff(np.concatenate(([False], hit[at : at + len(tokens)], [False])).astype(np.int8))).tolist()
         at += len(tokens)
@@ -314,7 +354,8 @@ def unique_runs(found: list[str], runs: list[int], run: int = RUN) -> list[str]:
             if end - begin >= min(run, len(tokens)):
                 keep[begin:end] = False
         out.append(" ".join(t for t, k in zip(tokens, keep) if k))
-    return [text for text in out if text]
+        gone += int((~keep).sum())
+    return [text for text in out if text] if gone <= most * at else found
 
 
 def _keyed(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
@@ -326,8 +367,8 @@ def main_text(pages: DataFrame, run: int = RUN, url_col: str = "url", html_col:
     """``page_id``, ``url``, ``text`` of each row of ``pages``: its blocks joined by an empty line, empty if it has none.
 
     Character references are decoded, white space in a block becomes one space. A null html is
-    empty; a null or hostless url belongs to the host without a name. Pages with the same text
-    don't make each other's boilerplate. Html that ends early or nests wrongly is read as far
+    empty; a null or hostless url belongs to the host without a name. Pages with the same text, or
+    nearly, don't make each other's boilerplate. Html that ends early or nests wrongly is read as far
     as it goes. Repeated rows and null ids are kept, other columns ignored; an empty table gives no
     rows. A page of any length is read whole, in one task, as one value.
     """
@@ -341,8 +382,9 @@ def main_text(pages: DataFrame, run: int = RUN, url_col: str = "url", html_col:
                 part = batch.slice(at, 256)
                 found = []
                 for page, runs in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
-                    kept = kept_blocks(page)
-                    found.append("\n\n".join(unique_runs(kept, runs, run) if runs else kept))
+                    core, outer = blocks(page)
+                    kept = [text for text, hides in outer if not hides] if core is None else core
+                    found.append("\n\n".join(unique_runs(kept, runs, run, 1.0 if core is None else MOST) if runs else kept))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.string())], ["page_id", "url", "text"])
 
     runs = _sent(repeated_runs(rows, run))

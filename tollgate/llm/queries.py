@@ -125,12 +125,12 @@ words AS (SELECT r, line, trim(unnest(regexp_split_to_array(lower(line_text), '\
 tf AS (SELECT r, line, term, count(*) AS n FROM words WHERE term <> '' GROUP BY ALL),
 notices(license, k, term, n) AS (VALUES {values}),
 total AS (SELECT count(*) AS n FROM (SELECT DISTINCT r, line FROM tf)),
-df AS (SELECT term, count(*) AS n FROM tf WHERE term IN (SELECT term FROM notices) GROUP BY term),
+df AS (SELECT term, count(*) AS n FROM tf GROUP BY term),
 weight AS (SELECT v.term, ln((1 + total.n)::DOUBLE / greatest(coalesce(df.n, 0), 1)) + 1 AS w
   FROM (SELECT DISTINCT term FROM notices) v CROSS JOIN total LEFT JOIN df ON df.term = v.term),
 vec AS (SELECT k, license, notices.term, notices.n * w AS x FROM notices JOIN weight ON weight.term = notices.term),
 unit AS (SELECT k, license, term, x / sqrt(sum(x * x) OVER (PARTITION BY k)) AS x FROM vec),
-sized AS (SELECT r, line, tf.term, tf.n * coalesce(w, ln(1 + total.n) + 1) AS x, tf.n FROM tf CROSS JOIN total LEFT JOIN weight ON weight.term = tf.term),
+sized AS (SELECT r, line, tf.term, tf.n * (ln((1 + total.n)::DOUBLE / df.n) + 1) AS x, tf.n FROM tf CROSS JOIN total JOIN df ON df.term = tf.term),
 norm AS (SELECT r, line, sqrt(sum(x * x)) AS len, sum(n) AS n_terms FROM sized GROUP BY ALL),
 dots AS (SELECT s.r, s.line, u.k, u.license, sum(s.x * u.x) AS dot FROM sized s JOIN unit u ON u.term = s.term GROUP BY ALL),
 cos AS (SELECT dots.r, dots.line, k, license, round(dot / len, 12) AS cosine, n_terms FROM dots JOIN norm ON norm.r = dots.r AND norm.line = dots.line),

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tollgate.llm.common import held, in_arrow
+from tollgate.llm.common import free_prefix, held, in_arrow
 from tollgate.llm.components import components
 
 SEED = 42
@@ -213,12 +213,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Dat
 
 
 def one_of_each(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """The rows of ``docs`` without all but one of each group of near-duplicates: the row with the smallest doc_id stays.
+    """The rows of ``docs`` without all but one of each group of near-duplicates.
 
-    Of rows that repeat that doc_id one stays. Rows without a doc_id can't be named as one of a
-    group; they all stay.
+    The row with the smallest doc_id stays, rows without one come last, and of rows that share a
+    doc_id the one with the least hash of its text; of rows that are the same in both any one.
+    Rows that share a doc_id and are not near-duplicates all stay.
     """
-    named = docs.where("doc_id IS NOT NULL")
-    kept = near_duplicates(named, shingle, max_bits).where("doc_id = component_id").select("doc_id")
-    one = named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id IS NULL"))
+    at = free_prefix(docs)
+    key = {"unnamed": F.col("doc_id").isNull(), "id": F.col("doc_id"), "hash": F.xxhash64("text")}
+    named = docs.select(F.struct(*[c.alias(name) for name, c in key.items()]).alias("doc_id"), "text")
+    first = near_duplicates(named, shingle, max_bits).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = first.select(*[F.col(f"doc_id.{name}").alias(f"{at}{name}") for name in key]).distinct()
+    keyed = docs.withColumns({f"{at}own_{name}": c for name, c in key.items()})
+    same = [F.col(f"{at}own_{name}").eqNullSafe(F.col(f"{at}{name}")) for name in key]
+    one = keyed.join(kept, same[0] & same[1] & same[2], "left_semi").dropDuplicates([f"{at}own_{name}" for name in key])
+    return one.drop(*[f"{at}own_{name}" for name in key])

@@ -75,7 +75,9 @@ def templates(paths: DataFrame, settings: TreeSettings = TreeSettings()) -> Data
     """``paths`` (host, path, n and more, each host and path once) with ``template`` and ``branch``, the template of its parent's branches.
 
     One step for each level of the tree: the segments below each node are counted, and nodes with
-    varying segments pass them on as ``*``. An ending after a dot stays.
+    varying segments pass them on as ``*``. An ending after a dot stays. The nodes of a level are few
+    and written, so the plan grows by one join a level. Segments are counted per node before they are
+    shuffled, so a host with very many paths is no hot group.
     """
     rows = paths.withColumns({
         "segments": F.filter(F.split("path", "/"), lambda s: s != ""),
@@ -90,7 +92,8 @@ def templates(paths: DataFrame, settings: TreeSettings = TreeSettings()) -> Data
         children = rows.where("segment IS NOT NULL").groupBy("host", "template", "segment").agg(F.sum("n").alias("pages"))
         nodes = children.groupBy("host", "template").agg(F.count(F.lit(1)).alias("kinds"), F.sum("pages").alias("pages"))
         wide = nodes.where((F.col("kinds") >= settings.distinct) & (F.col("pages") < settings.support * F.col("kinds"))).select("host", "template", F.lit(True).alias("wide"))
-        rows = rows.join(wide, ["host", "template"], "left")
+        # Written, or each level would compute all levels above it twice.
+        rows = rows.join(held(wide), ["host", "template"], "left")
         varies = F.col("wide").isNotNull() | stem.rlike("[0-9]") | (F.length("segment") > 40)
         part = F.when(F.col("segment").isNull(), "").when(varies, F.concat(F.lit("/*"), ending)).otherwise(F.concat(F.lit("/"), F.col("segment")))
         # The branch has a wildcard for the last literal segment so far, and what comes after it.
@@ -127,7 +130,8 @@ def judge(pages: DataFrame, rules: list[Rule], settings: TreeSettings = TreeSett
     A rule that fits decides; else the page's template does (block if it is rejected). A null url,
     or one without ``://``, has an empty host and path, whose template is empty too. Equal paths of
     a host are counted together before anything else, so copies cost nothing; no host's pages are
-    gathered. Repeated rows and null ids are kept, other columns ignored; an empty table gives no rows.
+    gathered. Paths of any length and depth are read whole; those that differ only below
+    ``levels`` segments share a template. Of rules that fit equally long the first one counts. Repeated rows and null ids are kept, other columns ignored; an empty table gives no rows.
     """
     name, verdict = rule_of(rules)
     rows = pages.select("page_id", host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
