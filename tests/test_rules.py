@@ -1,7 +1,10 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
 from tollgate.operators import decide, rules
+from tollgate.operators.rules import Outcome
 from tollgate.params import MERCHANT_RULE, SPEC_PRESET, TRAVEL_RULE, VELOCITY_RULE, Params
 
 NY, PARIS = (40.7128, -74.0060), (48.8566, 2.3522)
@@ -105,10 +108,23 @@ def test_weighted_mean(spark):
     assert value(spark, decide.weighted_mean(results(a=(7.0, 1.0), b=(-3.0, 1.0)))) == 0.5
 
 
+def test_noisy_or(spark):
+    """The aggregator as an interface: null and failed results are left out, scores are clamped, NaN stays."""
+    of = lambda **scores: value(spark, decide.noisy_or(results(**scores)))
+    assert of(a=(0.8, 1.0), b=(0.5, 1.0)) == pytest.approx(0.9)
+    assert of(a=(0.8, 2.0), b=(0.0, 1.0)) == pytest.approx(0.96)
+    assert of(a=(None, 2.0), b=(0.4, 1.0)) == pytest.approx(0.4)  # failed
+    assert of(a=(1.0, 0.5), b=(0.1, 1.0)) == 1.0 and of(a=(7.0, 1.0), b=(-3.0, 1.0)) == 1.0
+    assert of(a=(None, 1.0)) == 0.0 and value(spark, decide.noisy_or([])) == 0.0
+    missing = [(Outcome(F.lit(None).cast("double"), F.lit(False), F.lit(""), F.lit(None).cast("string")), 1.0), *results(b=(0.4, 1.0))]
+    assert value(spark, decide.noisy_or(missing)) == pytest.approx(0.4)
+    assert math.isnan(of(a=(math.nan, 1.0), b=(0.4, 1.0)))
+
+
 def test_plain_mean(spark):
-    two = [o for o, _ in results(a=(0.8, 1.0), b=(0.6, 1.0))]
+    two = results(a=(0.8, 1.0), b=(0.6, 1.0))
     assert value(spark, decide.plain_mean(two)) == pytest.approx(0.7)
-    failed = [o for o, _ in results(a=(0.8, 1.0), b=(None, 1.0))]
+    failed = results(a=(0.8, 1.0), b=(None, 1.0))
     assert value(spark, decide.plain_mean(failed)) == pytest.approx(0.4)
     assert value(spark, decide.plain_mean([])) == 0.0
     assert value(spark, decide.clamp01(F.lit(None).cast("double"))) is None

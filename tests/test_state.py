@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tollgate.operators import state
 
@@ -129,3 +130,23 @@ def test_missing_balance_is_zero(spark):
     wanted = spark.createDataFrame([("a",), ("b",)], "user_id string")
     got = {(r.user_id, r.balance, r.is_miss) for r in state.lookup_balances(wanted, balances).collect()}
     assert got == {("a", 5, False), ("b", 0, True)}
+
+
+@pytest.mark.parametrize("group_rows", [None, 20])
+def test_windows_in_force_against_a_replay(spark, group_rows):
+    """Calls forget by their own window, for good; ids that are forgotten are new again."""
+    rng = random.Random(11)
+    rows = [(k, f"u{k % 3 if rng.random() < 0.5 else 0}", f"t{rng.randrange(25)}", 1_000 * (k // 2) + rng.choice([0, 5]), rng.choice([1, 5, 30])) for k in range(240)]
+    rows = sorted(rows, key=lambda r: (r[3], r[0]))
+    plain, known = [], {}
+    for seq, user, tx, now, window in rows:
+        recent = known.setdefault(user, {})
+        is_new = tx not in recent
+        recent[tx] = now
+        known[user] = recent = {k: v for k, v in recent.items() if v > now - window * 1000}
+        plain.append((seq, is_new, len(recent)))
+    df = spark.createDataFrame(rows, "seq long, user_id string, transaction_id string, proc_ms long, window_s int")
+    split = state.user_split(df, group_rows)
+    got = state.with_windows_in_force(state.by_user(df, split), split, F.col("window_s"))
+    got = state.with_balance(got.withColumn("amount", F.lit(1)), split)  # the pieces still fit
+    assert sorted((r.seq, r.is_new, r.velocity_count) for r in got.collect()) == sorted(plain)

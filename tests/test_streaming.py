@@ -1,7 +1,10 @@
 """The streaming pipeline, over several micro-batches and a restart, against the batch jobs."""
 
+import bisect
 import random
 import time
+import uuid
+from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
@@ -9,17 +12,26 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tollgate.operators import alerts, decide, eventlog, ingest, state
+from tollgate.operators import alerts, decide, eventlog, ingest, rollups, state
 from tollgate.operators.storedlog import StoredLog, VersionConflict
 from tollgate.plans.fixtures import FIXTURE_PARAMS, raw_messages
 from tollgate.sources import messages as sources
 from tollgate.streaming.metrics import OutcomeCounts
-from tollgate.streaming.pipeline import Pipeline, counts_per_minute
+from tollgate.streaming.pipeline import Pipeline, counts_per_minute, sketches_per_minute
 from tollgate.streaming.processors import AlertSuppression, UserState
 
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.fixture(scope="module", autouse=True)
+def few_partitions(spark):
+    """Each partition of a keyed state starts a Python worker in each micro-batch."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.fixture(scope="module")
 def finished(spark, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("pipeline"))
@@ -546,6 +558,59 @@ def test_counts_per_minute(spark):
     assert got == [("s", 60), ("s", 60)]
 
 
+def test_sketches_of_a_stream_merge(spark, tmp_path):
+    """Minutes are stored by a stream, and merged: within the stated error of the exact percentiles."""
+    rows = spark.range(20_000).selectExpr("timestamp_seconds(id div 50) AS at", "CASE WHEN id % 3 = 0 THEN 'a' ELSE 'b' END AS stream", "(id * 7919) % 10007 AS ticks")
+    rows.repartition(3).write.parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    far = rows.limit(1).withColumn("at", F.timestamp_seconds(F.lit(10**6)))
+    sketched = sketches_per_minute(source, "at", "1 minute", "ticks", "stream")
+    out = lambda: sketched.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c")
+    finish(out())
+    far.write.mode("append").parquet(f"{tmp_path}/in")
+    finish(out())
+    stored = spark.read.parquet(f"{tmp_path}/out")
+    assert stored.count() == 14
+    for r in rollups.sketch_percentiles(stored, ["stream"], [0.5, 0.99]).collect():
+        ticks = sorted(x.ticks for x in rows.where(F.col("stream") == r.stream).collect())
+        assert r.n == len(ticks)
+        for point, found in ((0.5, r.p50), (0.99, r.p99)):
+            assert abs(bisect.bisect_left(ticks, found) / r.n - point) <= rollups.SKETCH_ERROR + 1 / r.n
+
+
+def test_alerts_through_an_outbox(spark, finished, tmp_path):
+    """A sink that fails for some records, then for none: nothing is lost, what was confirmed is not sent again."""
+    _, done = finished
+    pipeline = Borrowing(spark, str(tmp_path), done, "decisions")
+    schema = spark.read.parquet(done.path("decisions")).schema
+    folder = str(tmp_path / "calls")
+    (tmp_path / "calls").mkdir()
+
+    def flaky(keys, values):
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as out:
+            out.write("\n".join(keys))
+        return ["refused" if int(k.removeprefix("tx-")) % 2 else None for k in keys]
+
+    finish(pipeline.deliver_alerts(schema, flaky))
+    keys = sorted(r.key for r in spark.read.json(done.path("alerts")).collect())  # an id may have several alerts
+    odd = [k for k in keys if int(k.removeprefix("tx-")) % 2]
+    status = pipeline.outbox.status().collect()
+    assert sorted(r.key for r in status) == keys and sorted(r.key for r in status if r.sink_error == "refused") == odd
+    assert sorted(r.key for r in pipeline.outbox.pending().collect()) == odd and odd and odd != keys
+    calls = Counter(k for f in (tmp_path / "calls").iterdir() for k in f.read_text().split("\n"))
+    tries = max(r.attempts for r in status)  # one a micro-batch for those that were refused
+    assert calls == Counter(k for k in keys for _ in range(tries if k in odd else 1))
+
+    pipeline.outbox.deliver(lambda keys, values: 1 / 0)
+    errors = {r.sink_error for r in pipeline.outbox.status().where("NOT is_confirmed").collect()}
+    assert errors == {"division by zero"} and pipeline.outbox.pending().count() == len(odd)
+    pipeline.outbox.deliver(lambda keys, values: [None] * (len(keys) + 1))
+    assert pipeline.outbox.pending().count() == len(odd)  # an answer that fits no records confirms none
+    pipeline.outbox.deliver(lambda keys, values: [None] * len(keys))
+    assert pipeline.outbox.pending().count() == 0
+    assert sorted((r.key, r.attempts) for r in pipeline.outbox.status().collect()) == [(k, tries + 3 if k in odd else 1) for k in keys]
+
+
 def test_kafka_options():
     source = sources.kafka_source_options("b:9092", "transactions-validated")
     assert source["startingOffsets"] == "latest" and int(source["maxOffsetsPerTrigger"]) > 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,11 @@ VALIDATED = "TransactionValidated"
 APPROVED, FLAGGED, ERROR = "APPROVED", "FLAGGED", "ERROR"
 
 
+# What a job can be given instead of ``weighted_mean``: rule outcomes with their weights to a score.
+# Failed outcomes have no score; a score may be NaN.
+Aggregator = Callable[[list[tuple[Outcome, Column | float]]], Column]
+
+
 def total(columns: list[Column]) -> Column:
     """Sum in the given order, so that floating-point results are reproducible."""
     return reduce(lambda a, b: a + b, columns, F.lit(0.0))
@@ -32,11 +38,21 @@ def weighted_mean(outcomes: list[tuple[Outcome, Column | float]]) -> Column:
     return clamp01(F.when(weight > 0, mean).otherwise(0.0))
 
 
-def plain_mean(outcomes: list[Outcome]) -> Column:
-    """Mean that counts failed rules, and rules without a score, as 0; no rules -> 0."""
+def noisy_or(outcomes: list[tuple[Outcome, Column | float]]) -> Column:
+    """1 less the product of (1 - score) ^ weight: any one sure rule is enough, weak ones add up.
+
+    Failed rules, and rules without a score, are left out; nothing left -> 0; NaN -> NaN.
+    """
+    doubts = [F.when(o.failed | o.score.isNull(), 1.0).otherwise(F.pow(1 - clamp01(o.score), F.lit(w) if isinstance(w, float) else w))
+              for o, w in outcomes]
+    return clamp01(1 - reduce(lambda a, b: a * b, doubts, F.lit(1.0)))
+
+
+def plain_mean(outcomes: list[tuple[Outcome, Column | float]]) -> Column:
+    """Mean that goes by no weights and counts failed rules, and rules without a score, as 0; no rules -> 0."""
     if not outcomes:
         return F.lit(0.0)
-    return total([F.when(o.failed | o.score.isNull(), 0.0).otherwise(o.score) for o in outcomes]) / len(outcomes)
+    return total([F.when(o.failed | o.score.isNull(), 0.0).otherwise(o.score) for o, _ in outcomes]) / len(outcomes)
 
 
 def any_of(columns: list[Column]) -> Column:
@@ -57,8 +73,13 @@ def prepare(df: DataFrame, rules: RuleSet, params: Params, split=None) -> DataFr
     return df.drop(state.PIECE)
 
 
-def decide(df: DataFrame, rules: RuleSet, params: Params) -> DataFrame:
-    """Score prepared rows: guard, rules, fail-closed, weighted mean, threshold.
+def decide(
+    df: DataFrame, rules: RuleSet, params: Params, aggregate: Aggregator = weighted_mean,
+    critical: Callable[[str], Column] | None = None,
+) -> DataFrame:
+    """Score prepared rows: guard, rules, fail-closed, aggregate, threshold.
+
+    ``critical`` tells of a rule's id whether it must not fail; by default as ``params`` says.
 
     Rows that are not validated transactions, and rows for which a rule that didn't fail has no
     score or one outside [0, 1], get the decision ``ERROR`` and an ``error`` text. NaN is no such
@@ -66,15 +87,16 @@ def decide(df: DataFrame, rules: RuleSet, params: Params) -> DataFrame:
     """
     df, outcomes = with_outcomes(df, rules)
     only = [o for _, o in outcomes]
-    critical = any_of([o.failed for rule, o in outcomes if params.is_critical(rule.rule_id)])
+    critical = critical or (lambda rule_id: F.lit(params.is_critical(rule_id)))
+    closed = any_of([o.failed & critical(rule.rule_id) for rule, o in outcomes])
     outside = any_of([~o.failed & bad_score(o.score) for o in only])
-    mean = weighted_mean([(o, params.weight(rule.rule_id)) for rule, o in outcomes])
+    score = aggregate([(o, params.weight(rule.rule_id)) for rule, o in outcomes])
     decided = (
         df.withColumns({
             "error": F.when(F.col("type") != VALIDATED, "not a validated transaction, so it is not scored")
             .when(outside, "a rule gave no score from 0 to 1"),
-            "fail_closed": critical,
-            "_score": F.when(critical, 1.0).otherwise(mean),
+            "fail_closed": closed,
+            "_score": F.when(closed, 1.0).otherwise(score),
             "reason": reasons(only),
             "failed_rules": F.concat_ws(",", *[F.when(o.failed, rule.rule_id) for rule, o in outcomes]),
         })
@@ -103,7 +125,8 @@ def with_outcomes(df: DataFrame, rules: RuleSet) -> tuple[DataFrame, list]:
 
 
 def score_transactions(
-    df: DataFrame, params: Params, rules: RuleSet | None = None, strict: bool = False, split=None
+    df: DataFrame, params: Params, rules: RuleSet | None = None, strict: bool = False, split=None,
+    aggregate: Aggregator = weighted_mean, critical: Callable[[str], Column] | None = None,
 ) -> DataFrame:
     """The whole scoring job over a table of accepted transactions.
 
@@ -114,14 +137,14 @@ def score_transactions(
     prepared = prepare(df, rules, params, split)
     if not strict:
         prepared = prepared.where(F.col("type") == VALIDATED)
-    return decide(prepared, rules, params)
+    return decide(prepared, rules, params, aggregate, critical)
 
 
-def evaluate_all(prepared: DataFrame, rules: RuleSet, params: Params) -> DataFrame:
-    """The other aggregation: plain mean over all rules, with every rule's result kept."""
+def evaluate_all(prepared: DataFrame, rules: RuleSet, params: Params, aggregate: Aggregator = plain_mean) -> DataFrame:
+    """The other aggregation: by default a plain mean over all rules, with every rule's result kept."""
     prepared, outcomes = with_outcomes(prepared, rules)
     critical = any_of([o.failed for rule, o in outcomes if params.is_critical(rule.rule_id)])
-    score = F.when(critical, 1.0).otherwise(plain_mean([o for _, o in outcomes]))
+    score = F.when(critical, 1.0).otherwise(aggregate([(o, params.weight(rule.rule_id)) for rule, o in outcomes]))
     # A failed rule is kept as a harmless result that says why it failed.
     results = F.array(*[
         F.struct(

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tollgate.functions.numeric import at_least
 from tollgate.functions.text import csv_set
+from tollgate.operators import state
 from tollgate.operators.rules import VELOCITY_SCORE, MerchantRule, Outcome, RuleSet, TravelRule, VelocityRule
 from tollgate.operators.running import PIECE, Running, Split, find_split, running
 from tollgate.params import Params
@@ -60,7 +62,19 @@ def with_params_in_force(
 
 
 class _VelocityInForce(VelocityRule):
-    """Velocity with the threshold in force; the window is the job's."""
+    """Velocity with the threshold in force and, if ``windows`` is set, in the window in force; else in the job's."""
+
+    def __init__(self, params: Params, windows: bool = False):
+        super().__init__(params)
+        self.window_s = F.lit(params.velocity_window_s)
+        self.windows = windows
+        if windows:
+            self.window_s = F.coalesce(F.col("in_force.velocity_window_s").cast("int"), self.window_s)
+
+    def prepare(self, df: DataFrame, split: Split) -> DataFrame:
+        if not self.windows or "velocity_count" in df.columns:
+            return super().prepare(df, split)
+        return state.with_windows_in_force(df, split, self.window_s)
 
     def outcome(self) -> Outcome:
         threshold = F.coalesce(F.col("in_force.velocity_threshold").cast("int"), F.lit(self.params.velocity_threshold))
@@ -70,11 +84,11 @@ class _VelocityInForce(VelocityRule):
             score=F.when(fired, VELOCITY_SCORE).otherwise(0.0),
             is_suspicious=fired,
             findings=F.when(fired, F.format_string(
-                f"%2$d transactions of %1$s in {self.params.velocity_window_s} s, %3$d allowed",
-                "user_id", "velocity_count", threshold,
+                "%2$d transactions of %1$s in %4$d s, %3$d allowed",
+                "user_id", "velocity_count", threshold, self.window_s,
             )).otherwise("few transactions in the window"),
             error=base.error,
-            metadata={**base.metadata, "threshold": threshold},
+            metadata={**base.metadata, "threshold": threshold, "windowSizeSeconds": self.window_s},
         )
 
 
@@ -92,9 +106,18 @@ class _MerchantInForce(MerchantRule):
         return replace(super().outcome(), metadata={"blacklistSize": F.col("blacklist_size")})
 
 
-def rules_in_force(params: Params) -> RuleSet:
-    """The default rules reading threshold and blacklist from ``in_force``."""
-    return RuleSet([_VelocityInForce(params), TravelRule(params), _MerchantInForce(params)])
+def rules_in_force(params: Params, windows: bool = False) -> RuleSet:
+    """The default rules reading threshold and blacklist, and with ``windows`` the velocity window, from ``in_force``."""
+    return RuleSet([_VelocityInForce(params, windows), TravelRule(params), _MerchantInForce(params)])
+
+
+def critical_in_force(params: Params) -> Callable[[str], Column]:
+    """Which rules must not fail, for ``decide``: the comma list ``critical_rule_ids`` in force, else the job's."""
+    def critical(rule_id: str) -> Column:
+        listed = F.array_contains(csv_set(F.col("in_force.critical_rule_ids")), F.lit(rule_id))
+        return F.coalesce(listed, F.lit(params.is_critical(rule_id)))
+
+    return critical
 
 
 def decide_in_force(decisions: DataFrame, params: Params) -> DataFrame:

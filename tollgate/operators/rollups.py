@@ -55,10 +55,9 @@ def blacklist_hits(prepared: DataFrame) -> DataFrame:
 
 
 def alert_status_counts(suppressed: DataFrame) -> DataFrame:
-    """Alerts by status; rows with a sink error count as failed."""
-    status = F.when(F.col("is_sent"), ALERT_SENT).otherwise(ALERT_SKIPPED)
-    if "sink_error" in suppressed.columns:
-        status = F.when(F.col("sink_error").isNotNull(), ALERT_FAILED).otherwise(status)
+    """Alerts by status; of those that went out some may have a ``sink_error`` (``outbox``)."""
+    failed = F.col("sink_error").isNotNull() if "sink_error" in suppressed.columns else F.lit(False)
+    status = F.when(~F.col("is_sent"), ALERT_SKIPPED).when(failed, ALERT_FAILED).otherwise(ALERT_SENT)
     return counts(suppressed, status=status)
 
 
@@ -126,6 +125,26 @@ def latency_percentiles(
     return found.select(*labels, *[between(k, point).alias(f"p{round(point * 100)}") for k, point in enumerate(points)])
 
 
+# Of a quantile sketch: its accuracy parameter, and the share of ranks by which its quantiles may be off.
+SKETCH_K = 400
+SKETCH_ERROR = 0.01
+
+
+def latency_sketches(values: DataFrame, labels: list[Column | str], ticks: Column) -> DataFrame:
+    """``sketch``: a mergeable summary of the integer clock ticks of each label set; of a stream, of each window among the labels.
+
+    It takes a few KB whatever it has seen, and is combined before rows are shuffled.
+    """
+    return values.groupBy(*labels).agg(F.kll_sketch_agg_bigint(ticks, F.lit(SKETCH_K)).alias("sketch"))
+
+
+def sketch_percentiles(sketches: DataFrame, labels: list[str], points: list[float]) -> DataFrame:
+    """``n`` and percentiles of label sets from any number of sketches each; a rank is off by ``SKETCH_ERROR`` of ``n`` or less, almost always."""
+    merged = sketches.groupBy(*labels).agg(F.kll_merge_agg_bigint("sketch", F.lit(SKETCH_K)).alias("_all"))
+    found = {f"p{round(point * 100)}": F.kll_sketch_get_quantile_bigint("_all", F.lit(point)) for point in points}
+    return merged.select(*labels, F.kll_sketch_get_n_bigint("_all").alias("n"), *[c.alias(name) for name, c in found.items()])
+
+
 def histogram_quantile(histogram: DataFrame, labels: list[str], point: float) -> DataFrame:
     """Quantile estimated from cumulative buckets, linear inside the bucket it falls into.
 

@@ -163,6 +163,43 @@ def _arrivals(swept: DataFrame, df: DataFrame, split: Split, output: str) -> Dat
     )
 
 
+def with_windows_in_force(df: DataFrame, split: Split, window_s: Column, output: str = "velocity_count") -> DataFrame:
+    """``is_new`` and the count of ``with_velocity`` where the window's length is the one in force at each row.
+
+    Each call forgets what is older than its own window, for good: a longer window later does not
+    bring it back. So what a row still sees is what came after its ``reach``, the latest clock that
+    any call so far has forgotten up to, which never falls. An id is new again if the calls before
+    had forgotten it. The count takes two running sums: ids that enter, over arrivals; and what
+    has left, over clocks, asked for at each row's reach.
+    """
+    if "prev_ms" not in df.columns:
+        df = with_previous_occurrence(df, split)
+    forgets = F.col("proc_ms") - window_s * 1000
+    df = running(df, split, ORDER, {
+        "_reach": Running("max", forgets), "_before": Running("max", forgets, inclusive=False)}, at=arrival())
+    known = F.col("prev_ms").isNotNull()
+    df = df.withColumns({
+        "is_new": ~known | (F.col("prev_ms") <= F.col("_before")),
+        "_alive": known & (F.col("prev_ms") > F.col("_reach")),
+    })
+    df = running(df, split, ORDER, {"_entered": Running("sum", F.when(F.col("_alive"), 0).otherwise(1))}, at=arrival())
+
+    payload = F.struct(*[c for c in df.columns if c not in (*USER, PIECE)])
+    nothing = F.when(F.lit(False), payload)
+
+    def step(clock: str, kind: int, change: int, row: Column) -> Column:
+        return F.struct(F.col(clock).alias("clock"), F.lit(kind).alias("kind"), F.lit(change).alias("change"), row.alias("row"))
+
+    usual = [step("proc_ms", 0, -1, nothing), step("_reach", 1, 0, payload)]
+    steps = F.when(F.col("_alive"), F.array(*usual, step("prev_ms", 0, 1, nothing))).otherwise(F.array(*usual))
+    swept = running(
+        df.select(*USER, F.explode(steps).alias("_step")), split, STEP_ORDER,
+        {"_left": Running("sum", F.col("_step.change"))}, at=arrival("_step.clock", "_step.row.seq"))
+    found = _arrivals(swept, df, split, "_left").withColumn(output, (F.col("_entered") + F.col("_left")).cast("bigint"))
+    found = found.drop("_reach", "_before", "_alive", "_entered", "_left", PIECE)
+    return split.place(found, arrival())
+
+
 def telemetry() -> Column:
     """A row's telemetry, in an order in which the largest is the one to keep; null if it has none."""
     return F.when(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,8 @@ from tollgate.functions.numeric import json_integer
 from tollgate.functions.text import csv_set
 from tollgate.operators import alerts, deadletter, decide, eventlog, events, history, ingest, rollups, rules
 from tollgate.operators import signing, state
+from tollgate.operators.outbox import Outbox
+from tollgate.operators.storedlog import StoredLog
 from tollgate.params import MERCHANT_RULE, SPEC_PRESET, TRAVEL_RULE, VELOCITY_RULE
 from tollgate.plans.fixtures import (
     FIXTURE_PARAMS,
@@ -21,7 +24,8 @@ from tollgate.plans.fixtures import (
     raw_messages,
     transactions,
 )
-from tollgate.session import tune
+from tollgate.session import shared_folder, tune
+from tollgate.sources.messages import stored_messages
 
 P = FIXTURE_PARAMS
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +53,11 @@ def query(sql: str | None = None):
     return add
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for one run of a query, which all executors can reach."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def rounded(value: Column | str, places: int = 6) -> Column:
     return F.round(value, places)
 
@@ -382,6 +391,15 @@ def q_decisions(spark, sf_dir):
     return decision_columns(decisions(spark, sf_dir))
 
 
+@query(FULL + f"""SELECT seq, transaction_id, round(doubt, 6) AS risk_score, CASE WHEN doubt >= {P.fraud_threshold} THEN 'FLAGGED' ELSE 'APPROVED' END AS decision
+FROM (SELECT *, 1 - CASE WHEN v THEN pow(1 - 0.8::DOUBLE, 1.0) ELSE 1 END * CASE WHEN g THEN pow(1 - 0.9::DOUBLE, 1.5) ELSE 1 END * CASE WHEN m THEN 0 ELSE 1 END AS doubt
+  FROM scored)""")
+def q_decisions_noisy_or(spark, sf_dir):
+    """The same rules under another aggregator."""
+    scored = decide.score_transactions(transactions(spark, sf_dir), P, aggregate=decide.noisy_or)
+    return scored.select("seq", "transaction_id", rounded("risk_score").alias("risk_score"), "decision")
+
+
 @query(decision_sql(P.fraud_threshold))
 def q_decisions_split(spark, sf_dir):
     return decision_columns(decisions(spark, sf_dir, group_rows=FORCED_SPLIT))
@@ -667,6 +685,61 @@ def q_rule_params_asof_large(spark, sf_dir):
     return decided_with_history(spark, sf_dir, literal_rows=0, group_rows=500)
 
 
+WINDOW_CHANGES = [  # (effective from, window in seconds, velocity threshold, critical rules)
+    (0, 21_600, 2, MERCHANT_RULE),
+    (1704700000000, 1_800, 1, f"{TRAVEL_RULE}, {MERCHANT_RULE}"),
+    (1705400000000, 172_800, 4, ""),
+    (1705900000000, 43_200, 2, TRAVEL_RULE),
+]
+
+WINDOWS_SQL = TXN_SQL + """,
+h(effective_from, window_s, threshold, critical) AS (VALUES
+""" + ", ".join(f"({a}::BIGINT, {b}, {c}, '{d}')" for a, b, c, d in WINDOW_CHANGES) + f"""),
+placed AS (SELECT t.* REPLACE (CASE WHEN seq % 17 = 0 THEN 'nan'::DOUBLE ELSE latitude END AS latitude), h.*
+  FROM txn t ASOF JOIN h ON t.proc_ms >= h.effective_from),
+reached AS (SELECT *, lag(proc_ms) OVER (PARTITION BY user_id, transaction_id ORDER BY seq) AS prev_ms,
+    max(proc_ms - window_s * 1000) OVER (PARTITION BY user_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS reach,
+    max(proc_ms - window_s * 1000) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_,
+    {PREV} OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
+  FROM placed),
+seen AS (SELECT a.seq, count(DISTINCT b.transaction_id) AS velocity_count
+  FROM reached a JOIN reached b ON b.user_id = a.user_id AND b.seq <= a.seq AND b.proc_ms > a.reach GROUP BY a.seq),
+st AS (SELECT *, prev_ms IS NULL OR prev_ms <= before_ AS is_new, prev IS NOT NULL AND (isnan(latitude) OR isnan(prev.lat)) AS failed
+  FROM reached JOIN seen USING (seq))
+""" + TRAVEL + f""",
+ruled AS (SELECT *, velocity_count > threshold AS v, NOT failed AND coalesce(kmh > 900, false) AS g, merchant_id IN ({LIST}) AS m,
+    failed AND list_contains(list_transform(string_split(critical, ','), lambda x: trim(x)), '{TRAVEL_RULE}') AS fail_closed
+  FROM speed WHERE type = 'TransactionValidated'),
+res AS (SELECT *, CASE WHEN fail_closed THEN 1.0::DOUBLE ELSE (CASE WHEN v THEN 0.8::DOUBLE ELSE 0 END + CASE WHEN g THEN 0.9::DOUBLE ELSE 0 END * 1.5
+    + CASE WHEN m THEN 1.0::DOUBLE ELSE 0 END * 2.0) / CASE WHEN failed THEN 3.0::DOUBLE ELSE 4.5::DOUBLE END END AS risk FROM ruled)
+SELECT seq, window_s, velocity_count, is_new, fail_closed, round(risk, 6) AS risk_score,
+  CASE WHEN fail_closed OR risk >= {P.fraud_threshold} THEN 'FLAGGED' ELSE 'APPROVED' END AS decision FROM res"""
+
+
+def decided_in_windows(spark, sf_dir, group_rows=None):
+    """Windows and critical rules change over time; some places are unusable, so that the travel rule fails."""
+    changes = spark.createDataFrame(WINDOW_CHANGES, "effective_from bigint, velocity_window_s int, velocity_threshold int, critical_rule_ids string")
+    changes = changes.withColumn("merchant_blacklist", F.lit(P.merchant_blacklist))
+    rows = transactions(spark, sf_dir).withColumn("latitude", F.when(F.col("seq") % 17 == 0, float("nan")).otherwise(F.col("latitude")))
+    df = history.with_params_in_force(rows, changes)
+    scored = decide.score_transactions(
+        df, P, rules=history.rules_in_force(P, windows=True), split=state.user_split(df, group_rows), critical=history.critical_in_force(P))
+    return scored.select(
+        "seq", F.col("in_force.velocity_window_s").alias("window_s"), "velocity_count", "is_new", "fail_closed",
+        rounded("risk_score").alias("risk_score"), "decision")
+
+
+@query(WINDOWS_SQL)
+def q_window_in_force(spark, sf_dir):
+    return decided_in_windows(spark, sf_dir)
+
+
+@query(WINDOWS_SQL)
+def q_window_in_force_split(spark, sf_dir):
+    """The same with users cut into pieces."""
+    return decided_in_windows(spark, sf_dir, FORCED_SPLIT)
+
+
 # --- alerts --------------------------------------------------------------------------------
 
 def suppressed(spark, sf_dir):
@@ -709,6 +782,24 @@ def q_alert_status_counts(spark, sf_dir):
     return rollups.alert_status_counts(suppressed(spark, sf_dir))
 
 
+def answers(keys, values):
+    """A sink that refuses every third id."""
+    return ["refused" if int(key.removeprefix("tx-")) % 3 == 0 else None for key in keys]
+
+
+@query(recursive(ALERTS_SQL + sent_sql(P.alert_ttl_s * 1000)) + f"""
+SELECT CASE WHEN NOT is_sent THEN 'alert_deduplication_skipped' WHEN {EVENT_SQL} % 3 = 0 THEN 'kafka_producer_error' ELSE 'total_alerts_sent' END AS status,
+  count(*) AS n FROM marked GROUP BY 1""")
+def q_alert_delivery_counts(spark, sf_dir):
+    """Alerts through an outbox to a sink that refuses some of them, by what became of them."""
+    marked = suppressed(spark, sf_dir).withColumn("key", F.concat_ws("@", "transaction_id", "seq"))
+    outbox = Outbox(spark, own_folder(spark, "outbox"))
+    outbox.add(marked.where("is_sent").select("key", F.col("transaction_id").alias("value")), "0")
+    outbox.deliver(lambda keys, values: answers(values, values))
+    failed = outbox.status().select("key", "sink_error")
+    return rollups.alert_status_counts(marked.join(failed, "key", "left"))
+
+
 def complete_decisions(spark, sf_dir):
     df = complete_transactions(spark, sf_dir).where(F.col("event_type") != "error").drop("reason", "risk_score")
     return decide.score_transactions(df, P)
@@ -741,7 +832,10 @@ def ingested(spark, sf_dir):
 @query(RAW_SQL + """SELECT offset_ AS "offset", partition_ AS "partition", 'transactions-validated' AS topic, key,
   is_tombstone, proc_ms AS timestamp_ms FROM raw""")
 def q_read_messages(spark, sf_dir):
-    return raw_messages(spark, sf_dir).select(
+    """From a stored table, through the source."""
+    path = own_folder(spark, "messages")
+    raw_messages(spark, sf_dir).write.parquet(path)
+    return stored_messages(spark, path).select(
         "offset", "partition", "topic", "key", F.col("value").isNull().alias("is_tombstone"),
         F.unix_millis("timestamp").alias("timestamp_ms"))
 
@@ -1148,6 +1242,30 @@ def q_log_operation_counts(spark, sf_dir):
     return rollups.log_operation_counts(appends.unionByName(loads))
 
 
+@query(LOG_SQL + f"""
+SELECT user_id AS aggregate_id, seq, CASE WHEN proc_ms < {HALF_MS} THEN 1 WHEN seq % 2 = 1 THEN 2 ELSE 3 END AS "commit",
+  row_number() OVER (PARTITION BY user_id ORDER BY "commit", proc_ms, {EVENT_SQL} % 4, seq) AS version FROM log""")
+def q_log_two_writers(spark, sf_dir):
+    """Two writers prepare odd and even messages on the same versions; the second to commit has to number its rows anew."""
+    early, late = halves(spark, sf_dir)
+    odd, even = (late.where(F.col("seq").bitwiseAND(F.lit(2**state.OFFSET_BITS - 1)) % 2 == rest) for rest in (1, 0))
+    log = StoredLog(spark, own_folder(spark, "log"))
+    log.append(early, "first", 0)
+    ahead, behind = log.prepare(odd, "odd", 0), log.prepare(even, "even", 0)
+    log.commit(ahead, odd)
+    log.commit(behind, even)
+    return with_offset(log.read()).select("aggregate_id", "seq", "commit", "version")
+
+
+@query(LOG_SQL + "SELECT user_id AS aggregate_id, version, seq FROM log WHERE merchant_id = 'm-7'")
+def q_log_by_indexed_field(spark, sf_dir):
+    """The search of ``q_event_log_by_payload`` in a stored log, through the field's own column and its Bloom filters."""
+    log = StoredLog(spark, own_folder(spark, "log"))
+    for number, half in enumerate(halves(spark, sf_dir)):
+        log.append(half, "writer", number)
+    return with_offset(log.by_payload("$.merchantId", "m-7")).select("aggregate_id", "version", "seq")
+
+
 # --- operational figures -------------------------------------------------------------------
 
 def operations(spark, sf_dir):
@@ -1180,6 +1298,17 @@ def q_latency_percentiles(spark, sf_dir):
     return found.select("operation", rounded("p95").alias("p95"), rounded("p99").alias("p99"))
 
 
+@query(TXN_SQL + "SELECT type AS operation, count(*) AS n, true AS p95_is_close, true AS p99_is_close FROM txn GROUP BY type")
+def q_latency_percentiles_from_sketches(spark, sf_dir):
+    """Sketches of each day, merged; their percentiles held against the exact ranks."""
+    rows = operations(spark, sf_dir).withColumn("day", F.floor(F.col("proc_ms") / 86_400_000))
+    found = rollups.sketch_percentiles(rollups.latency_sketches(rows, ["operation", "day"], F.col("ticks")), ["operation"], [0.95, 0.99])
+    below = lambda name: F.count_if(F.col("ticks") < F.col(name)) / F.first("n")
+    upto = lambda name: F.count_if(F.col("ticks") <= F.col(name)) / F.first("n")
+    close = lambda name, point: ((below(name) <= point + rollups.SKETCH_ERROR) & (upto(name) >= point - rollups.SKETCH_ERROR)).alias(f"{name}_is_close")
+    return rows.join(found, "operation").groupBy("operation").agg(F.first("n").alias("n"), close("p95", 0.95), close("p99", 0.99))
+
+
 @query(HISTOGRAM_SQL + """,
 steps AS (SELECT *, lag(bound, 1, 0.0::DOUBLE) OVER (PARTITION BY operation ORDER BY bound) AS low,
     lag(cumulative, 1, 0) OVER (PARTITION BY operation ORDER BY bound) AS below FROM hist WHERE bound IS NOT NULL),

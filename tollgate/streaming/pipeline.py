@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tollgate.operators import alerts, deadletter, decide, eventlog, ingest
+from tollgate.operators import alerts, deadletter, decide, eventlog, ingest, rollups
+from tollgate.operators.outbox import Outbox, Send
 from tollgate.operators.rules import RuleSet, SpendRule, default_rules
 from tollgate.operators.state import arrival_seq
 from tollgate.operators.storedlog import StoredLog
@@ -48,11 +49,15 @@ class Pipeline:
     after a later one of its user was scored is scored then, and counted as late.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, params: Params, lateness_s: int | None = None):
+    def __init__(
+        self, spark: SparkSession, folder: str, params: Params, lateness_s: int | None = None,
+        aggregate: decide.Aggregator = decide.weighted_mean,
+    ):
         self.spark = tune(spark)
         self.folder = folder
         self.params = params
         self.lateness_s = lateness_s
+        self.aggregate = aggregate
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
     @property
@@ -159,7 +164,7 @@ class Pipeline:
             prepared = prepared.drop("spend")
         for rule in rules:
             prepared = rule.prepare(prepared, None)
-        decided = decide.decide(prepared.where(F.col("type") == decide.VALIDATED), rules, self.params)
+        decided = decide.decide(prepared.where(F.col("type") == decide.VALIDATED), rules, self.params, self.aggregate)
         return decided.observe(
             "scoring", F.count(F.lit(1)).alias("messages"),
             F.count_if(F.col("decision") == decide.ERROR).alias("rejected"), F.count_if("is_late").alias("late"),
@@ -211,6 +216,20 @@ class Pipeline:
         sent = sent.observe("alerts", F.count(F.lit(1)).alias("messages"))
         return self._send(alerts.alert_records(sent, self.params), "alerts", kafka)
 
+    @property
+    def outbox(self) -> Outbox:
+        return Outbox(self.spark, self.path("outbox"))
+
+    def deliver_alerts(self, schema: T.StructType, send: Send):
+        """The alerts to a sink that answers for each record; what it has not confirmed is sent again with the next batch."""
+        sent = self.alert_events(self._follow("decisions", schema))
+
+        def deliver(batch: DataFrame, batch_id: int) -> None:
+            self.outbox.add(alerts.alert_records(batch, self.params), str(batch_id))
+            self.outbox.deliver(send)
+
+        return sent.writeStream.foreachBatch(deliver).option("checkpointLocation", self.checkpoint("outbox"))
+
     # --- reading the live state ---
 
     def state(self, variable: str, query: str = "decisions", batch_id: int | None = None) -> DataFrame:
@@ -255,3 +274,9 @@ def counts_per_minute(df: DataFrame, at: str, delay: str, *labels: str) -> DataF
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.col("window.start").alias("minute"), *labels, "n")
     )
+
+
+def sketches_per_minute(df: DataFrame, at: str, delay: str, ticks: str, *labels: str) -> DataFrame:
+    """A mergeable quantile sketch per minute and label set, for ``rollups.sketch_percentiles`` over any time."""
+    timed = df.withWatermark(at, delay)
+    return rollups.latency_sketches(timed, [F.window(at, "1 minute"), *labels], F.col(ticks)).select(F.col("window.start").alias("minute"), *labels, "sketch")
