@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tollgate.operators import alerts, decide, eventlog, ingest, rollups, state
+from tollgate.operators import alerts, decide, eventlog, history, ingest, rollups, state
 from tollgate.operators.storedlog import StoredLog, VersionConflict
 from tollgate.plans.fixtures import FIXTURE_PARAMS, raw_messages
 from tollgate.sources import messages as sources
@@ -558,6 +558,49 @@ def test_counts_per_minute(spark):
     assert got == [("s", 60), ("s", 60)]
 
 
+def test_parameters_change_between_micro_batches(spark, tmp_path, monkeypatch):
+    """A change before the second micro-batch counts there; one that is added after its crash doesn't count in the retry."""
+    raw_messages(spark, SF).write.parquet(f"{tmp_path}/all")
+    everything = sources.stored_messages(spark, f"{tmp_path}/all")
+    clock = F.unix_millis("timestamp")
+    middle = everything.select(clock.alias("ms")).approxQuantile("ms", [0.5], 0.01)[0]
+    fields = "effective_from long, velocity_threshold int, fraud_threshold double, merchant_blacklist string, critical_rule_ids string"
+    changes = [(0, 2, 0.44, "m-7,m-13", ""), (int(middle) + 1, 1, 0.15, "m-1,m-2,m-3", "geospatial-rule-v1")]
+    add = lambda rows: spark.createDataFrame(rows, fields).coalesce(1).write.mode("append").parquet(f"{tmp_path}/changes")
+    pipeline = Pipeline(spark, str(tmp_path), FIXTURE_PARAMS)
+    schema = pipeline.ingested(everything).schema
+
+    def bring(part):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        finish(pipeline.write_ingested(sources.file_messages(spark, f"{tmp_path}/in")))
+
+    path = f"{tmp_path}/changes"
+    add(changes[:1])
+    bring(everything.where(clock <= middle))
+    finish(pipeline.write_decisions_in_force(schema, path))
+    add(changes[1:])
+    bring(everything.where(clock > middle))
+    with monkeypatch.context() as patch:
+        patch.setattr(history, "decide_in_force", lambda *a: 1 / 0)
+        with pytest.raises(Exception):
+            finish(pipeline.write_decisions_in_force(schema, path))
+    add([(5, 1, 0.0, "", "")])  # backdated, after the crash
+    finish(pipeline.write_decisions_in_force(schema, path))
+
+    columns = ["seq", "velocity_count", "risk_score", "fail_closed", "decision", "reason"]
+    rows = Pipeline.rows(ingest.accepted(ingest.ingest(everything, FIXTURE_PARAMS.signing_key)))
+    df = history.with_params_in_force(rows, spark.createDataFrame(changes, fields))
+    batch = decide.score_transactions(df, FIXTURE_PARAMS, rules=history.rules_in_force(FIXTURE_PARAMS), critical=history.critical_in_force(FIXTURE_PARAMS))
+    expected = sorted(map(tuple, history.decide_in_force(batch, FIXTURE_PARAMS).select(columns).collect()))
+    got = spark.read.parquet(pipeline.path("decisions_in_force"))
+    assert sorted(map(tuple, got.select(columns).collect())) == expected
+    assert got.where(clock_after(middle)).select("decision").distinct().count() == 2
+
+
+def clock_after(ms):
+    return F.col("proc_ms") > ms
+
+
 def test_sketches_of_a_stream_merge(spark, tmp_path):
     """Minutes are stored by a stream, and merged: within the stated error of the exact percentiles."""
     rows = spark.range(20_000).selectExpr("timestamp_seconds(id div 50) AS at", "CASE WHEN id % 3 = 0 THEN 'a' ELSE 'b' END AS stream", "(id * 7919) % 10007 AS ticks")

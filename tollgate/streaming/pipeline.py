@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tollgate.operators import alerts, deadletter, decide, eventlog, ingest, rollups
+from tollgate.operators import alerts, deadletter, decide, eventlog, history, ingest, rollups
 from tollgate.operators.outbox import Outbox, Send
 from tollgate.operators.rules import RuleSet, SpendRule, default_rules
 from tollgate.operators.state import arrival_seq
@@ -138,9 +138,8 @@ class Pipeline:
     def rows(accepted: DataFrame) -> DataFrame:
         return accepted.select(arrival_seq().alias("seq"), F.unix_millis("timestamp").alias("proc_ms"), *FIELDS)
 
-    def scored(self, accepted: DataFrame, rules: RuleSet | None = None, ticks: DataFrame | None = None) -> DataFrame:
-        """Decisions of a stream of accepted messages, with each user's state in the state store."""
-        rules = rules or default_rules(self.params)
+    def prepared(self, accepted: DataFrame, rules: RuleSet, ticks: DataFrame | None = None) -> DataFrame:
+        """Accepted messages of a stream with each user's state, which is in the state store."""
         spends = any(isinstance(rule, SpendRule) for rule in rules)
         timed = accepted.select(*FIELDS, "partition", "offset", "timestamp")
         if ticks is not None:
@@ -151,7 +150,7 @@ class Pipeline:
         # Without the watermark's column the state gets late rows too, instead of losing them.
         rows = self.rows(timed)
         layout = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-        prepared = rows.groupBy("user_id").transformWithStateInPandas(
+        found = rows.groupBy("user_id").transformWithStateInPandas(
             statefulProcessor=UserState(
                 rows.schema, self.params.velocity_window_s, self.params.spend_window_s if spends else None,
                 wait=self.lateness_s is not None, ignore=TICK),
@@ -160,11 +159,15 @@ class Pipeline:
             F.col("prev_timestamp_ns").alias("timestamp_ns"),
             F.col("prev_latitude").alias("latitude"), F.col("prev_longitude").alias("longitude"),
         ))).drop("prev_timestamp_ns", "prev_latitude", "prev_longitude")
-        if not spends:
-            prepared = prepared.drop("spend")
+        return found if spends else found.drop("spend")
+
+    def scored(self, accepted: DataFrame, rules: RuleSet | None = None, ticks: DataFrame | None = None) -> DataFrame:
+        """Decisions of a stream of accepted messages."""
+        rules = rules or default_rules(self.params)
+        df = self.prepared(accepted, rules, ticks)
         for rule in rules:
-            prepared = rule.prepare(prepared, None)
-        decided = decide.decide(prepared.where(F.col("type") == decide.VALIDATED), rules, self.params, self.aggregate)
+            df = rule.prepare(df, None)
+        decided = decide.decide(df.where(F.col("type") == decide.VALIDATED), rules, self.params, self.aggregate)
         return decided.observe(
             "scoring", F.count(F.lit(1)).alias("messages"),
             F.count_if(F.col("decision") == decide.ERROR).alias("rejected"), F.count_if("is_late").alias("late"),
@@ -174,6 +177,36 @@ class Pipeline:
         accepted = self._accepted(schema)
         return self._write(self.scored(accepted, rules, self._ticks()), "decisions")
 
+    def write_decisions_in_force(self, schema: T.StructType, changes: str):
+        """Decisions by the parameters in force at each row, from the table of changes at ``changes``, read anew for each micro-batch.
+
+        Thresholds, blacklist and critical rules change without a restart; the length of the window is
+        the job's. The changes that a micro-batch found are kept under its number, so a retry scores
+        with the same, whatever has been added since. Each micro-batch has its own directory, which a
+        retry overwrites.
+        """
+        rules = history.rules_in_force(self.params)
+
+        def score(batch: DataFrame, batch_id: int) -> None:
+            known = self._changes_of(changes, batch_id)
+            df = history.with_params_in_force(batch, known)
+            for rule in rules:
+                df = rule.prepare(df, None)
+            critical = history.critical_in_force(self.params) if "critical_rule_ids" in known.columns else None
+            decided = decide.decide(df.where(F.col("type") == decide.VALIDATED), rules, self.params, self.aggregate, critical)
+            decided = history.decide_in_force(decided, self.params)
+            decided.write.mode("overwrite").parquet(f"{self.path('decisions_in_force')}/batch={batch_id}")
+
+        rows = self.prepared(self._accepted(schema), rules, self._ticks())
+        return rows.writeStream.foreachBatch(score).option("checkpointLocation", self.checkpoint("decisions_in_force"))
+
+    def _changes_of(self, changes: str, batch_id: int) -> DataFrame:
+        kept = f"{self.path('changes_used')}/batch={batch_id}"
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{kept}/_SUCCESS")
+        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+            self.spark.read.parquet(changes).coalesce(1).write.mode("overwrite").parquet(kept)
+        return self.spark.read.parquet(kept)
+
     def _ticks(self) -> DataFrame:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path("ticks"))
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(at)
