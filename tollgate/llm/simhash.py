@@ -220,11 +220,12 @@ def one_of_each(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFra
     Rows that share a doc_id and are not near-duplicates all stay.
     """
     at = free_prefix(docs)
-    key = {"unnamed": F.col("doc_id").isNull(), "id": F.col("doc_id"), "hash": F.xxhash64("text")}
+    # None of the key's columns is null, so that one shuffle serves the join and what follows it.
+    blank = F.lit(0).cast(docs.schema["doc_id"].dataType)
+    key = {"unnamed": F.col("doc_id").isNull(), "id": F.coalesce("doc_id", blank), "hash": F.xxhash64("text")}
     named = docs.select(F.struct(*[c.alias(name) for name, c in key.items()]).alias("doc_id"), "text")
-    first = near_duplicates(named, shingle, max_bits).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = near_duplicates(named, shingle, max_bits).where("doc_id = component_id")
     kept = first.select(*[F.col(f"doc_id.{name}").alias(f"{at}{name}") for name in key]).distinct()
-    keyed = docs.withColumns({f"{at}own_{name}": c for name, c in key.items()})
-    same = [F.col(f"{at}own_{name}").eqNullSafe(F.col(f"{at}{name}")) for name in key]
-    one = keyed.join(kept, same[0] & same[1] & same[2], "left_semi").dropDuplicates([f"{at}own_{name}" for name in key])
-    return one.drop(*[f"{at}own_{name}" for name in key])
+    keys = [f"{at}{name}" for name in key]
+    keyed = docs.withColumns(dict(zip(keys, key.values())))
+    return keyed.join(kept, keys, "left_semi").dropDuplicates(keys).drop(*keys)
