@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -310,21 +311,80 @@ def test_license_cosine_is_tf_idf(spark, small, monkeypatch):
     monkeypatch.setattr(licenses, "PART", 50)
     files = small.select(F.concat(F.lit("d/"), F.col("doc_id")).alias("path"), "text")
     words_of = lambda line: [t for t in (w.strip(licenses.EDGES) for w in line.lower().split()) if t]
-    rows = [(r.path, k, words_of(line)) for r in files.collect() for k, line in enumerate(r.text.split("\n")) if words_of(line)]
-    df = Counter(t for _, _, ts in rows for t in set(ts))
-    texts = [text for texts in licenses.TEMPLATES.values() for text in texts]
-    vocabulary = {t for text in texts for t in words_of(text)}
-    weigh = lambda t: math.log((1 + len(rows)) / max(df[t] if t in vocabulary else 1, 1)) + 1
+    rows, n_lines, df = [], 0, Counter()  # path, kind, first line, words
+    for r in files.collect():
+        each = [(k, words_of(line)) for k, line in enumerate(r.text.split("\n")) if words_of(line)]
+        n_lines += len(each)
+        df.update(t for _, ts in each for t in set(ts))
+        rows += [(r.path, "line", k, ts) for k, ts in each]
+        for _, run in itertools.groupby(enumerate(each), key=lambda x: x[1][0] - x[0]):  # neighbouring lines; no comments here
+            run = [x for _, x in run]
+            if 1 < len(run) < len(each):
+                rows.append((r.path, "block", run[0][0], [t for _, ts in run for t in ts]))
+        if each:
+            rows.append((r.path, "text", each[0][0], [t for _, ts in each for t in ts]))
+    notices = [text for texts in licenses.TEMPLATES.values() for text in texts]
+    others = [text for texts in licenses.TEXTS.values() for text in texts]
+    weigh = lambda t: math.log((1 + n_lines) / max(df[t], 1)) + 1
     vector = lambda ts: {t: n * weigh(t) for t, n in Counter(ts).items()}
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
-    notices = [vector(words_of(text)) for text in texts]
+    known = {kind: [(v, norm(v)) for v in (vector(words_of(t)) for t in (notices if kind == "line" else notices + others))] for kind in ("line", "block", "text")}
     wanted = {}
-    for path, line, ts in rows:
+    for path, kind, line, ts in rows:
         own = vector(ts)
-        best = max(sum(w * own.get(t, 0) for t, w in v.items()) / norm(v) / norm(own) for v in notices)
+        best = max(sum(w * own.get(t, 0) for t, w in v.items()) / length / norm(own) for v, length in known[kind])
         if best >= licenses.THRESHOLD:
-            wanted[(path, line)] = round(best, 9)
-    assert wanted == {(r.path, r.line): round(r.cosine, 9) for r in licenses.scan(files).collect()} and wanted
+            wanted[(path, kind, line)] = round(best, 9)
+    assert wanted == {(r.path, r.kind, r.line): round(r.cosine, 9) for r in licenses.scan(files).collect()} and wanted
+
+
+def wrapped(text, mark="", width=60):
+    return "\n".join(f"{mark}{line}" for line in textwrap.wrap(text, width))
+
+
+def test_headers_and_license_texts_of_several_lines(spark):
+    """A wrapped header belongs to its file; a whole license text holds below, whatever the file is called."""
+    prose = "\n".join(" ".join(f"word{(7 * k + j) % 50}" for j in range(9)) for k in range(40))
+    code = "\n".join(f"int value{k} = other{k % 7} + {k};" for k in range(60))
+    gpl, mit = licenses.TEXTS["GPL-3.0"][0], licenses.TEXTS["MIT"][0]
+    bsd = max(licenses.TEXTS["BSD-3-Clause"], key=len)
+    files = [
+        ("p/terms.txt", "Copyright 2020 Someone\n\n" + wrapped(mit)), ("p/a/prose.txt", prose), ("p/a/b/main.c", "/*\n" + wrapped(gpl, " * ") + "\n */\n" + code),
+        ("q/near.c", wrapped(gpl, "// ") + "\n" + code), ("q/one.txt", mit), ("r/words.md", bsd.replace(". ", ".\n\n")), ("r/s/prose.txt", prose),
+        ("u/quoted.txt", prose + "\n\n" + wrapped(mit) + "\n\n" + prose), ("u/prose.txt", prose), ("v/crlf.txt", wrapped(mit).replace("\n", "\r\n")),
+    ]
+    found = {r.path: (r.license, r.license_source, r.is_license_file) for r in licenses.licenses(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert found == {
+        "p/terms.txt": ("MIT", "own", True), "p/a/prose.txt": ("MIT", "inherited", False), "p/a/b/main.c": ("GPL-3.0", "own", False),
+        "q/near.c": ("GPL-3.0", "own", False), "q/one.txt": ("MIT", "own", True), "r/words.md": ("BSD-3-Clause", "own", True),
+        "r/s/prose.txt": ("BSD-3-Clause", "inherited", False), "u/quoted.txt": ("MIT", "own", False), "u/prose.txt": (None, None, False),
+        "v/crlf.txt": ("MIT", "own", True),
+    }
+
+
+def test_units_of_a_text():
+    found = [(kind, line, sorted(words.elements())) for kind, line, words in licenses.units("// a b\n// c\nd e\n\n---\nf\ng\n")]
+    assert [x for x in found if x[0] != "line"] == [("block", 0, ["a", "b", "c"]), ("block", 5, ["f", "g"]), ("text", 0, list("abcdefg"))]
+    assert [line for kind, line, _ in found if kind == "line"] == [0, 1, 2, 5, 6]
+    assert list(licenses.units(None)) == list(licenses.units("\n ... \n")) == []
+    assert [kind for kind, *_ in licenses.units("a\nb")] == ["line", "line", "text"]
+
+
+def test_license_sql_on_headers_and_texts(spark, tmp_path):
+    """The SQL finds the same in blocks and whole texts."""
+    duckdb = pytest.importorskip("duckdb")
+    prose = "\n".join(" ".join(f"word{(7 * k + j) % 50}" for j in range(9)) for k in range(40))
+    texts = [wrapped(t, mark) for texts in licenses.TEXTS.values() for t in texts for mark in ("", "# ", " * ")]
+    texts += [prose, None, "", *[f"{t}\n{prose}" for t in texts], *[f"{prose}\n\n{t}\n\n{prose}" for t in texts]]
+    spark.createDataFrame([(k, t, "s") for k, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    sql = con.execute(queries.ORACLES["op5_license_scans"])
+    columns = [d[0] for d in sql.description]
+    wanted = sorted(sql.fetchall(), key=str)
+    found = queries.QUERIES["op5_license_scans"](spark, str(tmp_path)).select(*columns).collect()
+    assert sorted((tuple(r) for r in found), key=str) == wanted
+    assert sum(r[columns.index("license_source")] == "own" for r in wanted) > len(texts) / 2
 
 
 # --- 6 ---------------------------------------------------------------------------------------
@@ -345,7 +405,7 @@ def test_ordinary_words_weigh_as_often_as_they_are(spark, monkeypatch, sent):
     own, notice = vector(every[3000]), vector(licenses.terms("Released under the MIT License."))
     cosine = sum(w * own.get(t, 0) for t, w in notice.items()) / norm(own) / norm(notice)
     assert cosine > licenses.THRESHOLD
-    found = licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()
+    found = licenses.scan(spark.createDataFrame(rows, "path string, text string")).where("kind = 'line'").collect()
     assert [(r.path, r.line, r.license, round(r.cosine, 9), r.whole) for r in found] == [("d/a", 0, "MIT", round(cosine, 9), False)]
 
 

@@ -1,20 +1,25 @@
-"""License scans: sparse TF-IDF cosine of lines to license templates, and inheritance along paths.
-
-Every line of every text is a vector over its words, weighted by term frequency and by how rare a
-word is among all lines of the corpus. A line carries the license whose template has the largest
-cosine with it, if that is at least ``THRESHOLD``. A text whose words are mostly in such lines is a
-license file, and so is one with a license file's name; its license holds for the directory it is
-in and all below, up to the next license file: a file without a license line of its own gets that
-of its nearest ancestor directory, found by joining its ancestors with the licensed directories.
-
-A line needs a look only if it has a word that is rare among lines: without one its cosine stays
+"""License scans: sparse TF-IDF cosine of headers and license files to templates, and inheritance along paths.
+
+Three kinds of units of a text are compared: each line; each block of neighbouring lines that have
+words and are all comments or all none, such as a header wrapped over several lines; and the whole
+text. A unit is a vector over its words, weighted by term frequency and by how rare a word is among
+all lines of the corpus. It carries the license whose template has the largest cosine with it, if
+that is at least ``THRESHOLD``. Lines are compared with notices of a sentence, blocks and whole texts
+with headers and full license texts besides. A text whose words are mostly in such lines, or in
+such blocks, or which is one as a whole, is a license file, and so is one with a license file's
+name; its license holds for the directory it is in and all below, up to the next license file: a
+file without a license of its own gets that of its nearest ancestor directory, found by joining its
+ancestors with the licensed directories.
+
+A unit needs a look only if it has a word that is rare among lines: without one its cosine stays
 below ``sqrt(1 - r)``, where r is the rare words' share of a template's squared length. Of those
-lines the ones remain that would be close if every word of no template had the least weight there
+units the ones remain that would be close if every word of no template had the least weight there
 is; the lines with these words are counted then, and the words weighed as those of templates are.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -26,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tollgate.llm.common import free_prefix, held, in_arrow
+from tollgate.llm.license_texts import TEXTS
 
 THRESHOLD = 0.7
 
@@ -50,6 +56,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 FILE_NAMES = r"(?i)^(licen[cs]e|copying|notice)([.-].*)?$"
 
 
+# What a comment line starts with.
+COMMENT = r"^[ \t]*(//|/?\*|#|--|;|%|<!--)"
 EDGES = ".,;:!?\"'()[]{}<>#*/|-"
 PART = 65_536
 SENT = 100_000  # so many words go to all executors; if there are more, all words are counted and joined
@@ -75,14 +83,64 @@ def lines(text: str | None) -> list[str]:
     return (text or "").replace("\r\n", "\n").replace("\r", "\n").split("\n")
 
 
+def line_words(line: str) -> Counter[str]:
+    words: Counter[str] = Counter()
+    for part in _parts(line):
+        words.update(terms(part))
+    return words
+
+
+def units(text: str | None) -> Iterator[tuple[str, int, Counter[str]]]:
+    """Kind, first line with words, and words of each line, each block of several lines that is not all, and all."""
+    every: Counter[str] = Counter()
+    blocks: list[tuple[int, int, Counter[str]]] = []  # first line, lines, words
+    before, first, n_lines = (-2, False), 0, 0
+    for number, line in enumerate(lines(text)):
+        words = line_words(line)
+        if not words:
+            continue
+        yield "line", number, words
+        is_comment = re.match(COMMENT, line) is not None
+        if before == (number - 1, is_comment):
+            start, n, block = blocks[-1]
+            block.update(words)
+            blocks[-1] = (start, n + 1, block)
+        else:
+            blocks.append((number, 1, Counter(words)))
+        before, first, n_lines = (number, is_comment), first if n_lines else number, n_lines + 1
+        every.update(words)
+    for start, n, block in blocks:
+        if 1 < n < n_lines:
+            yield "block", start, block
+    if n_lines:
+        yield "text", first, every
+
+
+def numbered(templates: dict[str, tuple[str, ...]], texts: dict[str, tuple[str, ...]]) -> list[tuple[str, bool, Counter[str]]]:
+    """License, whether it is for lines too, and words of all templates, by name of the license, notices first."""
+    return [(license, for_lines, Counter(terms(text))) for license in sorted({*templates, *texts})
+            for for_lines, known in ((True, templates), (False, texts)) for text in known.get(license, ())]
+
+
 @dataclass(frozen=True)
-class Templates:
-    """Templates as unit vectors (license, number of the notice, weight by word), weights, and the words without which no line is close."""
+class Known:
+    """Templates as unit vectors (license, weight by word), and the words without which nothing is close to any."""
 
     vectors: tuple[tuple[str, dict[str, float]], ...]
+    rare: frozenset[str]
+
+
+@dataclass(frozen=True)
+class Templates:
+    """What lines are compared with, what blocks and texts are compared with, and weights."""
+
+    for_lines: Known
+    for_more: Known
     weight: dict[str, float]
     total: int
-    rare: frozenset[str]
+
+    def known(self, kind: str) -> Known:
+        return self.for_lines if kind == "line" else self.for_more
 
 
 def _counted(files: DataFrame, vocabulary: frozenset[str] | None, text_col: str) -> DataFrame:
@@ -115,45 +173,54 @@ def document_frequencies(files: DataFrame, vocabulary: frozenset[str], text_col:
     return seen.pop("", 0), seen
 
 
-def weigh(templates: dict[str, tuple[str, ...]], total: int, seen: dict[str, int], threshold: float) -> Templates:
-    """Weights from the corpus, and as ``rare`` all words but the most common ones that lines may consist of without coming close."""
-    notices = [(license, Counter(terms(text))) for license, texts in sorted(templates.items()) for text in texts]
-    vocabulary = {t for _, words in notices for t in words}
-    weight = {t: log((1 + total) / max(seen.get(t, 0), 1)) + 1 for t in vocabulary}
-    squared = lambda words: sum((n * weight[t]) ** 2 for t, n in words.items())
-    common: set[str] = set()
-    for word in sorted(vocabulary, key=lambda t: (-seen.get(t, 0), t)):
-        trial = common | {word}
-        if any(squared({t: n for t, n in words.items() if t in trial}) >= threshold**2 * squared(words) for _, words in notices):
-            break
-        common = trial
-    vectors = tuple((license, {t: n * weight[t] / sqrt(squared(words)) for t, n in sorted(words.items())}) for license, words in notices)
-    return Templates(vectors, weight, total, frozenset(vocabulary - common))
+def weigh(every: list[tuple[str, bool, Counter[str]]], total: int, seen: dict[str, int], threshold: float) -> Templates:
+    """Weights from the corpus, and as ``rare`` all words but the most common ones that a unit may consist of without coming close."""
+    weight = {t: log((1 + total) / max(seen.get(t, 0), 1)) + 1 for t in {t for _, _, words in every for t in words}}
+
+    def known(notices: list[tuple[str, Counter[str]]]) -> Known:
+        squares = [{t: (n * weight[t]) ** 2 for t, n in sorted(words.items())} for _, words in notices]
+        sums = [sum(square.values()) for square in squares]
+        vocabulary = {t for square in squares for t in square}
+        common: set[str] = set()
+        for word in sorted(vocabulary, key=lambda t: (-seen.get(t, 0), t)):
+            trial = common | {word}
+            if any(sum(x for t, x in square.items() if t in trial) >= threshold**2 * whole for square, whole in zip(squares, sums)):
+                break
+            common = trial
+        vectors = tuple((license, {t: n * weight[t] / sqrt(whole) for t, n in sorted(words.items())}) for (license, words), whole in zip(notices, sums))
+        return Known(vectors, frozenset(vocabulary - common))
 
+    return Templates(known([(license, words) for license, for_lines, words in every if for_lines]), known([(license, words) for license, _, words in every]), weight, total)
 
-def closest(words: Counter[str], templates: Templates, others: dict[str, int]) -> tuple[float, str]:
-    """The largest cosine of a line's words with a template, to 12 places, and its license; of equals the first by name.
+
+def closest(words: Counter[str], kind: str, templates: Templates, others: dict[str, int]) -> tuple[float, str]:
+    """The largest cosine of a unit's words with a template for its kind, to 12 places, and its license; of equals the first by name.
 
     ``others`` has the numbers of lines with the words of no template; those it hasn't are taken to be in all.
     """
-    total = templates.total
+    total, vectors = templates.total, templates.known(kind).vectors
     own = {t: n * (templates.weight.get(t) or log((1 + total) / others.get(t, total)) + 1) for t, n in words.items()}
     length = sqrt(sum(w * w for w in own.values()))
     cosine = lambda vector: round(sum(w * own.get(t, 0.0) for t, w in vector.items()) / length, 12)
-    best = max(((cosine(vector), k) for k, (_, vector) in enumerate(templates.vectors)), key=lambda x: (x[0], -x[1]))
-    return best[0], templates.vectors[best[1]][0]
+    best = max(((cosine(vector), k) for k, (_, vector) in enumerate(vectors)), key=lambda x: (x[0], -x[1]))
+    return best[0], vectors[best[1]][0]
 
 
-def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """``path``, ``line`` (from 0), ``license``, ``cosine``, ``n_terms``, ``whole`` for each line of ``files`` that is like a template.
+def scan(
+    files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD, text_col: str = "text",
+    texts: dict[str, tuple[str, ...]] = TEXTS,
+) -> DataFrame:
+    """``path``, ``kind``, ``line`` (from 0), ``license``, ``cosine``, ``n_terms``, ``whole`` for each unit of ``files`` that is like a template.
 
-    ``whole`` tells that such lines have over half the row's words. Whole texts are read; null and
-    empty ones have no lines with words.
+    ``kind`` is ``line``, ``block`` or ``text``, ``line`` the unit's first line that has words. ``whole``
+    tells that such units of a kind have over half the row's words. Whole texts are read; null and
+    empty ones have no units.
     """
-    vocabulary = frozenset(t for texts in templates.values() for text in texts for t in terms(text))
+    every = numbered(templates, texts)
+    vocabulary = frozenset(t for _, _, words in every for t in words)
     total, seen = document_frequencies(files, vocabulary, text_col)
-    weighed = files.sparkSession.sparkContext.broadcast(weigh(templates, total, seen, threshold))
-    schema = pa.schema([("row", pa.string()), ("path", pa.string()), ("line", pa.int32()), ("n_terms", pa.int32()), ("size", pa.int64()),
+    weighed = files.sparkSession.sparkContext.broadcast(weigh(every, total, seen, threshold))
+    schema = pa.schema([("row", pa.string()), ("path", pa.string()), ("kind", pa.string()), ("line", pa.int32()), ("n_terms", pa.int32()), ("size", pa.int64()),
                         ("terms", pa.list_(pa.string())), ("counts", pa.list_(pa.int32())), ("others", pa.list_(pa.string()))])
 
     def candidates(batches):
@@ -162,14 +229,13 @@ def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, th
             rows: list[dict] = []
             for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 size, hits, row = 0, [], uuid.uuid4().hex
-                for number, line in enumerate(lines(text)):
-                    words: Counter[str] = Counter()
-                    for part in _parts(line):
-                        words.update(terms(part))
+                for kind, number, words in units(text):
                     n = words.total()
-                    size += n
-                    if n and not known.rare.isdisjoint(words) and closest(words, known, {})[0] >= threshold:
-                        hits.append(dict(row=row, path=path, line=number, n_terms=n, terms=list(words), counts=list(words.values()), others=[t for t in words if t not in known.weight]))
+                    if kind == "text":
+                        size = n
+                    if not known.known(kind).rare.isdisjoint(words) and closest(words, kind, known, {})[0] >= threshold:
+                        hits.append(dict(row=row, path=path, kind=kind, line=number, n_terms=n, terms=list(words), counts=list(words.values()),
+                                         others=[t for t in words if t not in known.weight]))
                 rows += [hit | {"size": size} for hit in hits]
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
@@ -178,27 +244,28 @@ def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, th
         known = weighed.value
         for batch in batches:
             rows = batch.to_pylist()
-            best = [closest(Counter(dict(zip(r["terms"], r["counts"]))), known, dict(r["found"] or [])) for r in rows]
+            best = [closest(Counter(dict(zip(r["terms"], r["counts"]))), r["kind"], known, dict(r["found"] or [])) for r in rows]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:5], pa.array([license for _, license in best], pa.string()), pa.array([cosine for cosine, _ in best], pa.float64())],
-                ["row", "path", "line", "n_terms", "size", "license", "cosine"])
+                [*batch.columns[:6], pa.array([license for _, license in best], pa.string()), pa.array([cosine for cosine, _ in best], pa.float64())],
+                ["row", "path", "kind", "line", "n_terms", "size", "license", "cosine"])
 
+    unit = ["row", "kind", "line"]
     found = held(in_arrow(files.select("path", text_col), candidates,
-                          "row string, path string, line int, n_terms int, size bigint, terms array<string>, counts array<int>, others array<string>"))
-    apart = found.select("row", "line", F.explode("others").alias("term"))
+                          "row string, path string, kind string, line int, n_terms int, size bigint, terms array<string>, counts array<int>, others array<string>"))
+    apart = found.select(*unit, F.explode("others").alias("term"))
     unknown = held(apart.select("term").distinct())
     n = unknown.count()
     if n:
         wanted = frozenset(r.term for r in unknown.collect()) if n <= SENT else None
         each = apart.join(_counted(files, wanted, text_col).join(unknown, "term"), "term")
-        each = each.groupBy("row", "line").agg(F.map_from_entries(F.collect_list(F.struct("term", "n"))).alias("found"))
-        found = found.join(each, ["row", "line"], "left")
+        each = each.groupBy(*unit).agg(F.map_from_entries(F.collect_list(F.struct("term", "n"))).alias("found"))
+        found = found.join(each, unit, "left")
     else:
         found = found.withColumn("found", F.lit(None).cast("map<string,bigint>"))
-    close = in_arrow(found.select("row", "path", "line", "n_terms", "size", "terms", "counts", "found"), compare,
-                     "row string, path string, line int, n_terms int, size bigint, license string, cosine double").where(F.col("cosine") >= threshold)
-    whole = (2 * F.sum("n_terms").over(Window.partitionBy("row")) > F.col("size")).alias("whole")
-    return close.select("path", "line", "license", "cosine", "n_terms", whole)
+    close = in_arrow(found.select("row", "path", "kind", "line", "n_terms", "size", "terms", "counts", "found"), compare,
+                     "row string, path string, kind string, line int, n_terms int, size bigint, license string, cosine double").where(F.col("cosine") >= threshold)
+    whole = (2 * F.sum("n_terms").over(Window.partitionBy("row", "kind")) > F.col("size")).alias("whole")
+    return close.select("path", "kind", "line", "license", "cosine", "n_terms", whole)
 
 
 def directory(path: Column) -> Column:
@@ -213,30 +280,37 @@ def ancestors(path: Column) -> Column:
         F.concat(F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")), F.array(F.lit(""))))
 
 
-def licenses(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+def licenses(
+    files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD, text_col: str = "text",
+    texts: dict[str, tuple[str, ...]] = TEXTS,
+) -> DataFrame:
     """``files`` with ``license``, ``cosine``, ``license_line``, ``is_license_file`` and ``license_source``.
 
-    ``license_source`` is ``own`` (the line with the largest cosine, the first of equals),
+    ``license_source`` is ``own`` (the unit with the largest cosine, of equals the first by line, then
+    the text, the line, the block; ``license_line`` is its first line),
     ``inherited`` (of the nearest directory above that has a license file; of several the first by
     path) or null, as are license and cosine then. Column ``path`` is needed; all columns are kept,
     those named like the added ones are replaced. A null path is a file in no directory's reach.
-    Rows that repeat a path are one file: its best line counts, and it is a license file if one of
+    Rows that repeat a path are one file: its best unit counts, and it is a license file if one of
     them is. An empty table gives no rows.
     """
     added = ["license", "cosine", "license_line", "is_license_file", "license_source"]
     files = files.drop(*added)
     at = free_prefix(files)
-    hits = held(scan(files.where("path IS NOT NULL"), templates, threshold, text_col))
-    key = F.struct(F.col("cosine").alias("c"), (-F.col("line")).alias("l"))
-    # Equal lines of a path's repeated rows give the same best line.
+    hits = held(scan(files.where("path IS NOT NULL"), templates, threshold, text_col, texts))
+    key = F.struct(F.col("cosine").alias("c"), (-F.col("line")).alias("l"), "kind")
+    # Equal units of a path's repeated rows give the same best line.
     own = hits.groupBy("path").agg(F.max_by(F.struct("license", "cosine", "line"), key).alias("own"), F.max("whole").alias("whole"))
     name = F.regexp_extract("path", r"(?s)([^/]*)$", 1)
     own = own.withColumn("whole", F.col("whole") | name.rlike(FILE_NAMES))
     holders = own.where("whole").select(directory(F.col("path")).alias("dir"), "path", F.col("own.license").alias("license"), F.col("own.cosine").alias("cosine"))
     holders = holders.groupBy("dir").agg(F.min(F.struct("path", "license", "cosine")).alias("holder"))
-    without = files.where("path IS NOT NULL").select("path").join(own.select("path"), "path", "left_anti").distinct()
-    above = without.select("path", F.posexplode(ancestors(F.col("path"))).alias("steps", "dir"))
-    nearest = above.join(holders, "dir").groupBy("path").agg(F.min_by("holder", "steps").alias("holder"))
+    without = files.where("path IS NOT NULL").select("path").join(own.select("path"), "path", "left_anti").distinct().withColumn("dir", directory(F.col("path")))
+    # Directories, not files, meet the licensed ones: the root and other wide ones have far fewer of these.
+    below = without.groupBy("dir").agg(F.min("path").alias("path")).withColumnRenamed("dir", "from")
+    above = below.select("from", F.posexplode(ancestors(F.col("path"))).alias("steps", "dir"))
+    nearest = above.join(holders, "dir").groupBy("from").agg(F.min_by("holder", "steps").alias("holder")).withColumnRenamed("from", "dir")
+    nearest = without.join(nearest, "dir")
     found = own.select(
         "path", F.col("own.license").alias("license"), F.col("own.cosine").alias("cosine"), F.col("own.line").alias("license_line"),
         F.col("whole").alias("is_license_file"), F.lit("own").alias("license_source"),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable
 from math import log
 
@@ -114,8 +113,8 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def license_sql() -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    notices = [(license, Counter(licenses.terms(text))) for license, texts in sorted(licenses.TEMPLATES.items()) for text in texts]
-    values = ", ".join(f"({quoted(license)}, {k}, {quoted(t)}, {n})" for k, (license, words) in enumerate(notices) for t, n in words.items())
+    every = licenses.numbered(licenses.TEMPLATES, licenses.TEXTS)
+    values = ", ".join(f"({quoted(license)}, {k}, {for_lines}, {quoted(t)}, {n})" for k, (license, for_lines, words) in enumerate(every) for t, n in words.items())
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, concat_ws('/', coalesce(source, 'none'), doc_id // 1000, doc_id) AS path,
     concat_ws('/', coalesce(source, 'none'), doc_id // 1000) AS dir, coalesce(source, 'none') AS top, coalesce(text, '') AS t FROM documents),
@@ -123,22 +122,32 @@ cut AS (SELECT r, string_split(replace(replace(t, chr(13) || chr(10), chr(10)),
 lines AS (SELECT r, unnest(all_lines) AS line_text, generate_subscripts(all_lines, 1) - 1 AS line FROM cut),
 words AS (SELECT r, line, trim(unnest(regexp_split_to_array(lower(line_text), '\s+')), {quoted(licenses.EDGES)}) AS term FROM lines),
 tf AS (SELECT r, line, term, count(*) AS n FROM words WHERE term <> '' GROUP BY ALL),
-notices(license, k, term, n) AS (VALUES {values}),
+notices(license, k, for_lines, term, n) AS (VALUES {values}),
 total AS (SELECT count(*) AS n FROM (SELECT DISTINCT r, line FROM tf)),
 df AS (SELECT term, count(*) AS n FROM tf GROUP BY term),
 weight AS (SELECT v.term, ln((1 + total.n)::DOUBLE / greatest(coalesce(df.n, 0), 1)) + 1 AS w
   FROM (SELECT DISTINCT term FROM notices) v CROSS JOIN total LEFT JOIN df ON df.term = v.term),
-vec AS (SELECT k, license, notices.term, notices.n * w AS x FROM notices JOIN weight ON weight.term = notices.term),
-unit AS (SELECT k, license, term, x / sqrt(sum(x * x) OVER (PARTITION BY k)) AS x FROM vec),
-sized AS (SELECT r, line, tf.term, tf.n * (ln((1 + total.n)::DOUBLE / df.n) + 1) AS x, tf.n FROM tf CROSS JOIN total JOIN df ON df.term = tf.term),
-norm AS (SELECT r, line, sqrt(sum(x * x)) AS len, sum(n) AS n_terms FROM sized GROUP BY ALL),
-dots AS (SELECT s.r, s.line, u.k, u.license, sum(s.x * u.x) AS dot FROM sized s JOIN unit u ON u.term = s.term GROUP BY ALL),
-cos AS (SELECT dots.r, dots.line, k, license, round(dot / len, 12) AS cosine, n_terms FROM dots JOIN norm ON norm.r = dots.r AND norm.line = dots.line),
-best AS (SELECT * FROM cos WHERE cosine >= {licenses.THRESHOLD} QUALIFY row_number() OVER (PARTITION BY r, line ORDER BY cosine DESC, k) = 1),
-size AS (SELECT r, sum(n_terms) AS n FROM norm GROUP BY r),
-mass AS (SELECT best.r, 2 * sum(n_terms) > any_value(size.n) AS whole FROM best JOIN size ON size.r = best.r GROUP BY best.r),
+vec AS (SELECT k, license, for_lines, notices.term, notices.n * w AS x FROM notices JOIN weight ON weight.term = notices.term),
+unit AS (SELECT k, license, for_lines, term, x / sqrt(sum(x * x) OVER (PARTITION BY k)) AS x FROM vec),
+-- lines, blocks of neighbouring lines that are all comments or all none, whole texts
+worded AS (SELECT r, line, regexp_matches(line_text, {quoted(licenses.COMMENT)}) AS is_comment FROM lines SEMI JOIN tf USING (r, line)),
+breaks AS (SELECT *, (coalesce(lag(line) OVER o = line - 1 AND lag(is_comment) OVER o = is_comment, false))::INT AS goes_on
+  FROM worded WINDOW o AS (PARTITION BY r ORDER BY line)),
+block AS (SELECT r, line, sum(1 - goes_on) OVER (PARTITION BY r ORDER BY line) AS b FROM breaks),
+span AS (SELECT r, line, min(line) OVER (PARTITION BY r, b) AS head, count(*) OVER (PARTITION BY r, b) AS n_lines,
+  min(line) OVER (PARTITION BY r) AS top, count(*) OVER (PARTITION BY r) AS n_all FROM block),
+part AS (SELECT r, 'line' AS kind, line AS head, line FROM span UNION ALL
+  SELECT r, 'block', head, line FROM span WHERE n_lines > 1 AND n_lines < n_all UNION ALL SELECT r, 'text', top, line FROM span),
+utf AS (SELECT part.r, kind, head AS line, term, sum(n) AS n FROM part JOIN tf ON tf.r = part.r AND tf.line = part.line GROUP BY ALL),
+sized AS (SELECT r, kind, line, utf.term, utf.n * (ln((1 + total.n)::DOUBLE / df.n) + 1) AS x, utf.n FROM utf CROSS JOIN total JOIN df ON df.term = utf.term),
+norm AS (SELECT r, kind, line, sqrt(sum(x * x)) AS len, sum(n) AS n_terms FROM sized GROUP BY ALL),
+dots AS (SELECT s.r, s.kind, s.line, u.k, u.license, sum(s.x * u.x) AS dot FROM sized s JOIN unit u ON u.term = s.term AND (u.for_lines OR s.kind <> 'line') GROUP BY ALL),
+cos AS (SELECT r, kind, line, k, license, round(dot / len, 12) AS cosine, n_terms FROM dots JOIN norm USING (r, kind, line)),
+best AS (SELECT * FROM cos WHERE cosine >= {licenses.THRESHOLD} QUALIFY row_number() OVER (PARTITION BY r, kind, line ORDER BY cosine DESC, k) = 1),
+size AS (SELECT r, n_terms AS n FROM norm WHERE kind = 'text'),
+mass AS (SELECT r, bool_or(whole) AS whole FROM (SELECT best.r, 2 * sum(n_terms) > any_value(size.n) AS whole FROM best JOIN size ON size.r = best.r GROUP BY best.r, kind) GROUP BY r),
 own AS (SELECT best.r, license, cosine, line, whole FROM best JOIN mass ON mass.r = best.r
-  QUALIFY row_number() OVER (PARTITION BY best.r ORDER BY cosine DESC, line) = 1),
+  QUALIFY row_number() OVER (PARTITION BY best.r ORDER BY cosine DESC, line, kind DESC) = 1),
 holder AS (SELECT dir, license, cosine FROM own JOIN d ON d.r = own.r WHERE whole QUALIFY row_number() OVER (PARTITION BY dir ORDER BY path) = 1)
 SELECT doc_id, d.path, coalesce(own.license, h1.license, h2.license, h3.license) AS license, own.line::INT AS license_line,
   coalesce(whole, false) AS is_license_file,
