@@ -13,19 +13,23 @@ ancestors with the licensed directories.
 
 A unit needs a look only if it has a word that is rare among lines: without one its cosine stays
 below ``sqrt(1 - r)``, where r is the rare words' share of a template's squared length. Of those
-units the ones remain that would be close if every word of no template had the least weight there
-is; the lines with these words are counted then, and the words weighed as those of templates are.
+units the ones remain that would be close if every word of no template had the least weight it can
+have, by a count-min sketch: lines are counted for ``CELLS`` hash values of words, and a word is in no
+more lines than its cell has. The lines with the remaining units' words are counted exactly then,
+and the words weighed as those of templates are.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import log, sqrt
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,6 +64,7 @@ FILE_NAMES = r"(?i)^(licen[cs]e|copying|notice)([.-].*)?$"
 COMMENT = r"^[ \t]*(//|/?\*|#|--|;|%|<!--)"
 EDGES = ".,;:!?\"'()[]{}<>#*/|-"
 PART = 65_536
+CELLS = 16_384
 SENT = 100_000  # so many words go to all executors; if there are more, all words are counted and joined
 
 
@@ -138,13 +143,14 @@ class Templates:
     for_more: Known
     weight: dict[str, float]
     total: int
+    cells: np.ndarray
 
     def known(self, kind: str) -> Known:
         return self.for_lines if kind == "line" else self.for_more
 
 
 def _counted(files: DataFrame, vocabulary: frozenset[str] | None, text_col: str) -> DataFrame:
-    """``term``, ``n``: the lines with each word of the vocabulary (None: of all there are), and under "" those with any word.
+    """``term``, ``n``: the lines with each word of the vocabulary (None: of all there are).
 
     Each batch sends on its sums.
     """
@@ -159,21 +165,54 @@ def _counted(files: DataFrame, vocabulary: frozenset[str] | None, text_col: str)
                     found: set[str] = set()
                     for part in _parts(line):
                         found.update(terms(part))
-                    if found:
-                        seen[""] += 1
-                        seen.update(found if vocabulary is None else vocabulary & found)
+                    seen.update(found if vocabulary is None else vocabulary & found)
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
 
     return in_arrow(files.select(text_col), run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def document_frequencies(files: DataFrame, vocabulary: frozenset[str], text_col: str = "text") -> tuple[int, dict[str, int]]:
-    """The number of lines with a word in all files, and of lines with each word of the vocabulary."""
-    seen = {row.term: row.n for row in _counted(files, vocabulary, text_col).collect()}  # no more than the vocabulary
-    return seen.pop("", 0), seen
+def cell(term: str) -> int:
+    return zlib.crc32(term.encode("utf-8", "surrogatepass")) % CELLS
 
 
-def weigh(every: list[tuple[str, bool, Counter[str]]], total: int, seen: dict[str, int], threshold: float) -> Templates:
+def document_frequencies(files: DataFrame, vocabulary: frozenset[str], text_col: str = "text") -> tuple[int, dict[str, int], np.ndarray]:
+    """The number of lines with a word in all files, of lines with each word of the vocabulary, and for each cell the sum over its words of theirs."""
+    shared = files.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches):
+        vocabulary, n_lines = shared.value, 0
+        known: Counter[str] = Counter()
+        cells = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            seen: Counter[str] = Counter()
+            for text in batch.column(0).to_pylist():
+                for line in lines(text):
+                    found: set[str] = set()
+                    for part in _parts(line):
+                        found.update(terms(part))
+                    n_lines += bool(found)
+                    seen.update(found)
+            for term, n in seen.items():
+                cells[cell(term)] += n
+                if term in vocabulary:
+                    known[term] += n
+        full = np.flatnonzero(cells)
+        n_terms = len(known) + 1
+        yield pa.RecordBatch.from_arrays([
+            pa.array(["", *known, *[None] * len(full)], pa.string()), pa.array([*[None] * n_terms, *full.tolist()], pa.int32()),
+            pa.array([n_lines, *known.values(), *cells[full].tolist()], pa.int64())], ["term", "cell", "n"])
+
+    sums = in_arrow(files.select(text_col), run, "term string, cell int, n bigint").groupBy("term", "cell").agg(F.sum("n").alias("n"))
+    seen, cells = {}, np.zeros(CELLS, np.int64)
+    for row in sums.collect():  # no more than the vocabulary and the cells
+        if row.term is None:
+            cells[row.cell] = row.n
+        else:
+            seen[row.term] = row.n
+    return seen.pop("", 0), seen, cells
+
+
+def weigh(every: list[tuple[str, bool, Counter[str]]], total: int, seen: dict[str, int], cells: np.ndarray, threshold: float) -> Templates:
     """Weights from the corpus, and as ``rare`` all words but the most common ones that a unit may consist of without coming close."""
     weight = {t: log((1 + total) / max(seen.get(t, 0), 1)) + 1 for t in {t for _, _, words in every for t in words}}
 
@@ -190,22 +229,38 @@ def weigh(every: list[tuple[str, bool, Counter[str]]], total: int, seen: dict[st
         vectors = tuple((license, {t: n * weight[t] / sqrt(whole) for t, n in sorted(words.items())}) for (license, words), whole in zip(notices, sums))
         return Known(vectors, frozenset(vocabulary - common))
 
-    return Templates(known([(license, words) for license, for_lines, words in every if for_lines]), known([(license, words) for license, _, words in every]), weight, total)
+    return Templates(known([(license, words) for license, for_lines, words in every if for_lines]), known([(license, words) for license, _, words in every]), weight, total, cells)
 
 
 def closest(words: Counter[str], kind: str, templates: Templates, others: dict[str, int]) -> tuple[float, str]:
     """The largest cosine of a unit's words with a template for its kind, to 12 places, and its license; of equals the first by name.
 
-    ``others`` has the numbers of lines with the words of no template; those it hasn't are taken to be in all.
+    ``others`` has the numbers of lines with the words of no template.
     """
     total, vectors = templates.total, templates.known(kind).vectors
-    own = {t: n * (templates.weight.get(t) or log((1 + total) / others.get(t, total)) + 1) for t, n in words.items()}
+    own = {t: n * (templates.weight.get(t) or log((1 + total) / others[t]) + 1) for t, n in words.items()}
     length = sqrt(sum(w * w for w in own.values()))
     cosine = lambda vector: round(sum(w * own.get(t, 0.0) for t, w in vector.items()) / length, 12)
     best = max(((cosine(vector), k) for k, (_, vector) in enumerate(vectors)), key=lambda x: (x[0], -x[1]))
     return best[0], vectors[best[1]][0]
 
 
+def may_be_close(words: Counter[str], kind: str, templates: Templates, threshold: float) -> bool:
+    """Whether the unit is close to a template for some numbers of lines that its words of no template can have."""
+    if templates.known(kind).rare.isdisjoint(words):
+        return False
+    weight, total = templates.weight, templates.total
+    shared = [t for t in words if t in weight]
+    # A cosine is at most the share that the words of templates have of the unit's length.
+    most = sum((words[t] * weight[t]) ** 2 for t in shared) * (1 / threshold**2 - 1) * (1 + 1e-9)
+    if words.total() - sum(words[t] for t in shared) > most:  # no weight is below one
+        return False
+    lines_at_most = {t: min(int(templates.cells[cell(t)]), total) for t in words if t not in weight}
+    if sum((words[t] * (log((1 + total) / n) + 1)) ** 2 for t, n in lines_at_most.items()) > most:
+        return False
+    return closest(words, kind, templates, lines_at_most)[0] >= threshold - 1e-9
+
+
 def scan(
     files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD, text_col: str = "text",
     texts: dict[str, tuple[str, ...]] = TEXTS,
@@ -218,8 +273,7 @@ def scan(
     """
     every = numbered(templates, texts)
     vocabulary = frozenset(t for _, _, words in every for t in words)
-    total, seen = document_frequencies(files, vocabulary, text_col)
-    weighed = files.sparkSession.sparkContext.broadcast(weigh(every, total, seen, threshold))
+    weighed = files.sparkSession.sparkContext.broadcast(weigh(every, *document_frequencies(files, vocabulary, text_col), threshold))
     schema = pa.schema([("row", pa.string()), ("path", pa.string()), ("kind", pa.string()), ("line", pa.int32()), ("n_terms", pa.int32()), ("size", pa.int64()),
                         ("terms", pa.list_(pa.string())), ("counts", pa.list_(pa.int32())), ("others", pa.list_(pa.string()))])
 
@@ -233,7 +287,7 @@ def scan(
                     n = words.total()
                     if kind == "text":
                         size = n
-                    if not known.known(kind).rare.isdisjoint(words) and closest(words, kind, known, {})[0] >= threshold:
+                    if may_be_close(words, kind, known, threshold):
                         hits.append(dict(row=row, path=path, kind=kind, line=number, n_terms=n, terms=list(words), counts=list(words.values()),
                                          others=[t for t in words if t not in known.weight]))
                 rows += [hit | {"size": size} for hit in hits]
