@@ -21,9 +21,24 @@ def test_suppression_equals_the_sequential_rule(spark, fold_rows):
     rows = [(i, rng.randrange(0, 400_000), f"t{0 if rng.random() < 0.4 else rng.randrange(6)}") for i in range(900)]
     rows += [(1000 + i, 100_000, "t0") for i in range(50)]  # copies at one instant
     df = spark.createDataFrame(rows, "seq long, proc_ms long, transaction_id string")
-    got = alerts.with_suppression(df, 7, fold_rows)
-    assert got.count() == len(rows)
-    assert {r.seq for r in got.where("is_sent").collect()} == greedy(rows, 7000)
+    for among in (None, df):
+        got = alerts.with_suppression(df, 7, fold_rows, among).collect()
+        assert len(got) == len(rows)
+        assert {r.seq for r in got if r.is_sent} == greedy(rows, 7000)
+
+
+def test_bounded_ids_need_neither_checkpoint_nor_join(spark):
+    rows = [(1, 0, "t", {"k": 1}), (2, 5000, "t", {}), (3, 7000, "t", None), (4, 0, None, {}), (5, 0, "u", {})]
+    df = spark.createDataFrame(rows, "seq long, proc_ms long, transaction_id string, extra map<string,int>")
+    one = alerts.with_suppression(df, 7, among=df)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    other = alerts.with_suppression(df, 7, 1, among=df)
+    assert one.columns == other.columns
+    for got in (one, other):
+        assert {r.seq: (r.is_sent, r.extra) for r in got.collect()} == {
+            1: (True, {"k": 1}), 2: (False, {}), 3: (True, None), 4: (False, {}), 5: (True, {})}
+    assert alerts.with_suppression(df.limit(0), 7, among=df.limit(0)).count() == 0
 
 
 def test_repeats_do_not_extend_the_silence(spark):

@@ -21,16 +21,40 @@ KEY = "transaction_id"
 FOLD_ROWS = 1_000
 
 
-def with_suppression(alerts: DataFrame, ttl_s: int, fold_rows: int = FOLD_ROWS) -> DataFrame:
+def with_suppression(alerts: DataFrame, ttl_s: int, fold_rows: int = FOLD_ROWS, among: DataFrame | None = None) -> DataFrame:
     """Add ``is_sent``: the first alert of an id, then the first one a full TTL after the last sent.
 
-    Suppressed repeats do not extend the silence. Alerts of one id at the same millisecond are
-    reduced to the earliest (by ``seq``, which is unique) before anything is grouped. Without a TTL
-    (zero or less) all are sent.
+    Suppressed repeats do not extend the silence. Of alerts of one id at the same millisecond the
+    earliest counts (by ``seq``, which is unique). Without a TTL (zero or less) all are sent. A null id
+    is never sent.
+
+    ``among``: rows that the alerts are some of and that are cheap to count by id, such as those that
+    were scored. If no id has more than ``fold_rows`` of them, one shuffle by id does all. Otherwise,
+    and without them, the alerts are checkpointed first, as they have to be counted.
     """
     ttl_ms = ttl_s * 1000
     if ttl_ms <= 0:
         return alerts.withColumn("is_sent", F.lit(True))
+    marked = _fold_rows(alerts, ttl_ms) if _is_bounded(among, fold_rows) else _with_any_ids(alerts, ttl_ms, fold_rows)
+    return marked.select(*alerts.columns, "is_sent")
+
+
+def _is_bounded(among: DataFrame | None, fold_rows: int) -> bool:
+    if among is None:
+        return False
+    largest = among.groupBy(KEY).count().agg(F.max("count")).first()[0]
+    return largest is None or largest <= fold_rows
+
+
+def _fold_rows(alerts: DataFrame, ttl_ms: int) -> DataFrame:
+    """Each id's rows, a bounded number, side by side with those sent of them."""
+    each = alerts.groupBy(KEY).agg(_sent(ttl_ms)["seq"].alias("_sent"), F.collect_list(F.struct(*alerts.columns)).alias("_rows"))
+    rows = each.select("_sent", F.inline("_rows"))
+    return rows.withColumn("is_sent", F.col(KEY).isNotNull() & F.array_contains("_sent", F.col("seq")))
+
+
+def _with_any_ids(alerts: DataFrame, ttl_ms: int, fold_rows: int) -> DataFrame:
+    """The same with ids of any number of rows: only distinct times are gathered, and of long ids not these either."""
     # The alerts are read three times below; they are few, what they were computed from is not.
     use_checkpoints(alerts.sparkSession)
     alerts = alerts.checkpoint()
@@ -55,18 +79,20 @@ def with_suppression(alerts: DataFrame, ttl_s: int, fold_rows: int = FOLD_ROWS)
     )
 
 
-def _fold(times: DataFrame, ttl_ms: int) -> DataFrame:
-    """Greedy choice per id over its sorted times; every array has a checked size."""
-    element = F.struct("proc_ms", "seq")
-    kept = F.aggregate(
-        F.array_sort(F.collect_list(element)),
+def _sent(ttl_ms: int) -> Column:
+    """Greedy choice over a group's sorted times; every array has a checked size."""
+    return F.aggregate(
+        F.array_sort(F.collect_list(F.struct("proc_ms", "seq"))),
         F.array().cast("array<struct<proc_ms:bigint,seq:bigint>>"),
         lambda sent, at: F.when(
             (F.size(sent) == 0) | (at["proc_ms"] >= F.element_at(sent, -1)["proc_ms"] + ttl_ms),
             F.concat(sent, F.array(at)),
         ).otherwise(sent),
     )
-    return times.groupBy(KEY).agg(kept.alias("_sent")).select(KEY, F.inline("_sent"))
+
+
+def _fold(times: DataFrame, ttl_ms: int) -> DataFrame:
+    return times.groupBy(KEY).agg(_sent(ttl_ms).alias("_sent")).select(KEY, F.inline("_sent"))
 
 
 def _follow(times: DataFrame, ttl_ms: int, longest_ms: int) -> DataFrame:
@@ -116,10 +142,10 @@ def flagged_events(decisions: DataFrame, created_at_ms: Column | None = None) ->
     })
 
 
-def alert_events(decisions: DataFrame, params: Params) -> DataFrame:
-    """Alerts that go out: flagged, not suppressed, as events."""
+def alert_events(decisions: DataFrame, params: Params, among: DataFrame | None = None) -> DataFrame:
+    """Alerts that go out: flagged, not suppressed, as events; ``among``: the rows that were scored."""
     return (
-        with_suppression(flagged_events(decisions), params.alert_ttl_s)
+        with_suppression(flagged_events(decisions), params.alert_ttl_s, among=among)
         .where("is_sent").drop("is_sent")
         .withColumn("idempotency_key", F.concat(F.lit(IDEMPOTENCY_PREFIX), F.col(KEY)))
     )

@@ -800,9 +800,12 @@ def q_alert_delivery_counts(spark, sf_dir):
     return rollups.alert_status_counts(marked.join(failed, "key", "left"))
 
 
+def complete_rows(spark, sf_dir):
+    return complete_transactions(spark, sf_dir).where(F.col("event_type") != "error").drop("reason", "risk_score")
+
+
 def complete_decisions(spark, sf_dir):
-    df = complete_transactions(spark, sf_dir).where(F.col("event_type") != "error").drop("reason", "risk_score")
-    return decide.score_transactions(df, P)
+    return decide.score_transactions(complete_rows(spark, sf_dir), P)
 
 
 @query(recursive(ALERTS_SQL + sent_sql(P.alert_ttl_s * 1000)) + """
@@ -811,7 +814,7 @@ SELECT transaction_id, user_id, merchant_id, amount, currency, 'TransactionFlagg
   concat('fraud:alert:processed:', transaction_id) AS idempotency_key, 'v1.0.0' AS orchestration_version
 FROM marked WHERE is_sent""")
 def q_alerts(spark, sf_dir):
-    return alerts.alert_events(complete_decisions(spark, sf_dir), P).select(
+    return alerts.alert_events(complete_decisions(spark, sf_dir), P, among=complete_rows(spark, sf_dir)).select(
         "transaction_id", "user_id", "merchant_id", "amount", "currency", "type", "timestamp_ns",
         rounded("risk_score").alias("risk_score"), "idempotency_key", "orchestration_version")
 
@@ -1122,7 +1125,7 @@ SELECT transaction_id AS key, {envelope_sql("proc_ms * 1000000", "spark:alerts",
   envelope_mac_sql("proc_ms * 1000000", "spark:alerts", FLAGGED_SQL))} AS value
 FROM told""")
 def q_alert_records(spark, sf_dir):
-    return alerts.alert_records(alerts.alert_events(complete_decisions(spark, sf_dir), P), P)
+    return alerts.alert_records(alerts.alert_events(complete_decisions(spark, sf_dir), P, among=complete_rows(spark, sf_dir)), P)
 
 
 # --- event log -----------------------------------------------------------------------------
