@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tollgate.operators import alerts, decide, eventlog, history, ingest, rollups, state
+from tollgate.operators.outbox import Outbox
 from tollgate.operators.storedlog import StoredLog, VersionConflict
 from tollgate.plans.fixtures import FIXTURE_PARAMS, raw_messages
 from tollgate.sources import messages as sources
@@ -406,6 +407,41 @@ def test_heads_are_stored_now_and_then(spark, tmp_path, monkeypatch):
     assert sorted(p.name for p in (tmp_path / "log" / "heads").iterdir()) == ["upto=6", "upto=9"]
 
 
+def test_an_append_opens_what_came_after_the_last_heads(spark, tmp_path, monkeypatch):
+    from tollgate.operators import storedlog
+
+    monkeypatch.setattr(storedlog, "HEADS_EVERY", 3)
+    log = StoredLog(spark, f"{tmp_path}/log")
+    for k in range(8):
+        assert log.append(log_batch(spark, [(f"e{k}", "u", "{}", k)]), "A", k) == k + 1 == log.latest()
+    assert [log.append(log_batch(spark, []), "A", k) for k in (0, 3, 7)] == [1, 4, 8]  # known from the index, and from files
+    assert [v[2:] for v in versions(log)] == [(n, n) for n in range(1, 9)]
+    assert [r.version for r in log.read(2, 5).orderBy("commit").collect()] == [3, 4, 5]
+    assert sorted((r.number, r.batch_id) for r in log.commits(4).collect()) == [(n, n - 1) for n in range(5, 9)]
+    tables = lambda frame: sorted({f.split("/log/")[1].rsplit("/", 1)[0] for f in frame.inputFiles()})
+    assert tables(log.commits()) == ["commits", "index/upto=6"] and len(log.commits(6).inputFiles()) == 2
+    late = {r.attempt for r in log.commits(6).collect()}
+    assert {t.split("/")[1] for t in tables(log.heads(8)) if t.startswith("data")} == {f"attempt={a}" for a in late}
+    assert sorted(p.name for p in (tmp_path / "log" / "index").iterdir()) == ["upto=3", "upto=6"]
+    by_name = versions(log)
+    monkeypatch.setattr(storedlog, "NAMED", 1)
+    assert versions(log) == by_name and len(log.read(2, 5).collect()) == 3
+
+
+def test_batches_without_rows_are_commits_too(spark, tmp_path, monkeypatch):
+    from tollgate.operators import storedlog
+
+    monkeypatch.setattr(storedlog, "HEADS_EVERY", 2)
+    log = StoredLog(spark, f"{tmp_path}/log")
+    none, one = log_batch(spark, []), log_batch(spark, [("a1", "u", "{}", 1)])
+    assert [log.append(none, "A", 0), log.append(none, "A", 1)] == [1, 2]
+    assert log.read() is None and log.heads(2) is None and log.by_payload("$.merchantId", "m") is None
+    behind, blank = log.prepare(one, "B", 0), log.prepare(none, "C", 0)
+    assert log.append(none, "A", 2) == 3 and log.commit(behind, one) == 4 and log.commit(blank, none) == 5
+    assert log.append(none, "A", 3) == 6 and log.append(one, "A", 4) == 7
+    assert versions(log) == [("a1", "u", 1, 4), ("a1", "u", 2, 7)]
+
+
 def test_search_by_field_skips_row_groups(spark, tmp_path):
     log = StoredLog(spark, f"{tmp_path}/log")
     for k in range(6):
@@ -654,6 +690,45 @@ def test_alerts_through_an_outbox(spark, finished, tmp_path):
     assert sorted((r.key, r.attempts) for r in pipeline.outbox.status().collect()) == [(k, tries + 3 if k in odd else 1) for k in keys]
 
 
+def test_a_delivery_reads_open_batches_only(spark, tmp_path):
+    outbox = Outbox(spark, f"{tmp_path}/outbox")
+    records = lambda *keys: spark.createDataFrame([(k, f"v{k}") for k in keys], "key string, value string")
+    tries = lambda: {(r.batch, r.key): (r.attempts, r.is_confirmed) for r in outbox.status().collect()}
+    refuse = lambda bad: lambda keys, values: ["refused" if k in bad else None for k in keys]
+    assert outbox.status().count() == 0 and outbox.pending().count() == 0
+    outbox.deliver(refuse(""))  # nothing to send
+    outbox.add(records("a", "b", "b"), "q-0")
+    outbox.add(records("b", "c"), "q-1")
+    outbox.deliver(refuse("c"))
+    assert tries() == {("q-0", "a"): (1, True), ("q-0", "b"): (1, True), ("q-1", "b"): (1, True), ("q-1", "c"): (1, False)}
+    assert outbox.open_batches() == ["q-1"]
+    assert {f.split("/outbox/")[1].split("/")[1] for f in outbox.pending().inputFiles()} == {"batch=q-1"}
+    (tmp_path / "outbox" / "open" / "q-2").touch()  # a crash before its records were stored
+    outbox.add(records("a", "b"), "q-0")  # a retry of what was confirmed
+    assert outbox.open_batches() == ["q-0", "q-1"]
+    outbox.deliver(refuse(""))
+    assert tries() == {("q-0", "a"): (1, True), ("q-0", "b"): (1, True), ("q-1", "b"): (1, True), ("q-1", "c"): (2, True)}
+    assert outbox.open_batches() == [] and outbox.pending().count() == 0
+    outbox.add(records(), "q-3")
+    outbox.deliver(refuse(""))
+    assert outbox.open_batches() == []
+    with pytest.raises(ValueError):
+        outbox.add(records("a"), "../q")
+
+
+def test_changes_that_no_retry_needs_are_removed(spark, tmp_path):
+    spark.createDataFrame([(0, 2)], "effective_from long, velocity_threshold int").write.parquet(f"{tmp_path}/changes")
+    pipeline = Pipeline(spark, str(tmp_path), FIXTURE_PARAMS)
+    kept = spark.conf.get("spark.sql.streaming.minBatchesToRetain")
+    spark.conf.set("spark.sql.streaming.minBatchesToRetain", "2")
+    try:
+        for number in (0, 1, 2, 3, 3):
+            assert pipeline._changes_of(f"{tmp_path}/changes", number).count() == 1
+    finally:
+        spark.conf.set("spark.sql.streaming.minBatchesToRetain", kept)
+    assert sorted(p.name for p in (tmp_path / "changes_used").iterdir()) == ["batch=2", "batch=3"]
+
+
 def test_kafka_options():
     source = sources.kafka_source_options("b:9092", "transactions-validated")
     assert source["startingOffsets"] == "latest" and int(source["maxOffsetsPerTrigger"]) > 0

@@ -9,6 +9,10 @@ tried; otherwise its rows are numbered anew, or, if the caller said so, the appe
     data/attempt=<id>/created_date=<day>/...   rows, in order of aggregate and version within files
     commits/<number>                           one line of JSON: number, attempt, writer, batch
     heads/upto=<number>/...                    versions of all aggregates, every so many commits
+    index/upto=<number>/...                    all commits up to then, as a table
+
+An append lists and opens the commits and attempts since the last stored heads and index, however
+many there were before.
 """
 
 from __future__ import annotations
@@ -17,17 +21,21 @@ import json
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tollgate.operators import eventlog
+from tollgate.session import remove_folder
 
 COMMIT = "number bigint, attempt string, writer string, batch_id bigint"
-# So many commits apart are the stored heads, and so many of them are kept.
+# So many commits apart are the stored heads and indexes, and so many of them are kept.
 HEADS_EVERY = 20
 HEADS_KEPT = 2
+# The folders of so many commits are opened by name; to read more, all folders are listed.
+NAMED = 200
 ATTEMPTS = 100
 # Payload fields that can be searched by an index, and the columns that hold them.
 INDEXED = {
@@ -98,46 +106,69 @@ class StoredLog:
     # --- reading ---
 
     def latest(self) -> int:
-        """The number of the last commit, 0 if there is none."""
-        return max((int(n) for n in self._names("commits") if n.isdigit()), default=0)
-
-    def commits(self) -> DataFrame:
-        if not self.latest():
-            return self.spark.createDataFrame([], COMMIT)
-        return self.spark.read.schema(COMMIT).json(f"{self.path}/commits")
+        """The number of the last commit, 0 if there is none: from the last index on, the numbers that follow are tried."""
+        number = max(self._stored("index"), default=0)
+        while True:
+            at, files = self._folder(self._commit_file(number + 1))
+            if not files.exists(at):
+                return number
+            number += 1
+
+    def commits(self, after: int = 0, upto: int | None = None) -> DataFrame:
+        """The commits of these numbers: up to an index from its table, the others from their files."""
+        upto = self.latest() if upto is None else upto
+        known = max((n for n in self._stored("index") if n <= upto), default=0)
+        found = self.spark.createDataFrame([], COMMIT)
+        if known > after:
+            found = self.spark.read.schema(COMMIT).parquet(f"{self.path}/index/upto={known}").where(F.col("number") > after)
+        later = [self._commit_file(n) for n in range(max(known, after) + 1, upto + 1)]
+        return found.unionByName(self.spark.read.schema(COMMIT).json(later)) if later else found
 
     def read(self, after: int = 0, upto: int | None = None) -> DataFrame | None:
-        """The committed rows, with their ``commit``, or those of some commits; None while nothing was ever written.
+        """The committed rows, with their ``commit``, or those of some commits; None if nothing was written by these.
 
-        The attempts that count prune the folders of the others.
+        The attempts that count prune the folders of the others; those of few commits are opened by name.
         """
-        if not self.latest():
+        upto = self.latest() if upto is None else upto
+        if upto <= after:
             return None
-        chosen = self.commits().where(F.col("number") > after)
-        if upto is not None:
-            chosen = chosen.where(F.col("number") <= upto)
-        rows = self.spark.read.parquet(f"{self.path}/data")
-        return rows.join(chosen.select("attempt", F.col("number").alias("commit")), "attempt").drop("attempt")
+        data, chosen = f"{self.path}/data", self.commits(after, upto).select("attempt", F.col("number").alias("commit"))
+        folders = [data]
+        if upto - after <= NAMED:
+            named = [f"{data}/attempt={row.attempt}" for row in chosen.collect()]
+            folders = [folder for folder in named if not self._is_blank(folder)]
+        if not folders:
+            return None
+        rows = self.spark.read.option("basePath", data).parquet(*folders)
+        return rows.join(chosen, "attempt").drop("attempt")
 
     def heads(self, upto: int) -> DataFrame | None:
         """``aggregate_id``, ``version`` as of a commit: the last stored heads, and what was committed after them."""
-        if not upto:
-            return None
-        known = max((n for n in self._stored_heads() if n <= upto), default=0)
-        later = self.read(known, upto).select(*eventlog.AGGREGATE, "version")
-        if known:
-            later = later.unionByName(self.spark.read.parquet(f"{self.path}/heads/upto={known}"))
-        return eventlog.heads(later)
+        known = max((n for n in self._stored("heads") if n <= upto), default=0)
+        parts = [self.spark.read.parquet(f"{self.path}/heads/upto={known}")] if known else []
+        later = self.read(known, upto)
+        if later is not None:
+            parts.append(later.select(*eventlog.AGGREGATE, "version"))
+        return eventlog.heads(reduce(DataFrame.unionByName, parts)) if parts else None
 
-    def _stored_heads(self) -> list[int]:
-        numbers = [int(n.removeprefix("upto=")) for n in self._names("heads") if n.startswith("upto=")]
-        return [n for n in numbers if "_SUCCESS" in self._names(f"heads/upto={n}")]
+    def _commit_file(self, number: int) -> str:
+        return f"{self.path}/commits/{number:012d}"
+
+    def _is_blank(self, folder: str) -> bool:
+        """Whether an attempt had no rows; a lost one is not blank, reading it fails."""
+        at, files = self._folder(folder)
+        return files.exists(at) and not any(f.isDirectory() for f in files.listStatus(at))
+
+    def _stored(self, table: str) -> list[int]:
+        numbers = [int(n.removeprefix("upto=")) for n in self._names(table) if n.startswith("upto=")]
+        return [n for n in numbers if "_SUCCESS" in self._names(f"{table}/upto={n}")]
 
     # --- writing ---
 
     def prepare(self, batch: DataFrame, writer: str, batch_id: int) -> Attempt:
         """Number the rows on top of what is committed now, and write them; they don't count yet."""
-        return self._written(batch, Attempt(uuid.uuid4().hex, self.latest(), writer, batch_id))
+        # Of digits alone a name would be read back as a number.
+        return self._written(batch, Attempt(f"a{uuid.uuid4().hex}", self.latest(), writer, batch_id))
 
     def _written(self, batch: DataFrame, attempt: Attempt) -> Attempt:
         numbered = eventlog.with_versions(batch, self.heads(attempt.base))
@@ -162,9 +193,7 @@ class StoredLog:
                     self._store_heads(number)
                 return number
             newest = self.latest()
-            others = self.read(attempt.base, newest).select(*eventlog.AGGREGATE, "version")
-            own = self.spark.read.parquet(f"{self.path}/data/attempt={attempt.name}").select(*eventlog.AGGREGATE, "version")
-            taken = eventlog.version_conflicts(own.unionByName(others)).select(*eventlog.AGGREGATE).distinct().limit(5).collect()
+            taken = self._taken(attempt, newest)
             if not taken:  # other aggregates: the numbers still hold
                 attempt = Attempt(attempt.name, newest, attempt.writer, attempt.batch_id)
             elif on_conflict == "fail":
@@ -175,9 +204,17 @@ class StoredLog:
                 attempt = self.prepare(batch, attempt.writer, attempt.batch_id)
         raise RuntimeError(f"no commit in {ATTEMPTS} attempts")
 
+    def _taken(self, attempt: Attempt, newest: int) -> list:
+        """Some aggregates of which the attempt has a version that a commit after its base has too."""
+        others, folder = self.read(attempt.base, newest), f"{self.path}/data/attempt={attempt.name}"
+        if others is None or self._is_blank(folder):
+            return []
+        versions = [df.select(*eventlog.AGGREGATE, "version") for df in (self.spark.read.parquet(folder), others)]
+        return eventlog.version_conflicts(reduce(DataFrame.unionByName, versions)).select(*eventlog.AGGREGATE).distinct().limit(5).collect()
+
     def _claimed(self, number: int, attempt: Attempt) -> bool:
         line = {"number": number, "attempt": attempt.name, "writer": attempt.writer, "batch_id": attempt.batch_id}
-        return self._create(f"{self.path}/commits/{number:012d}", json.dumps(line))
+        return self._create(self._commit_file(number), json.dumps(line))
 
     def append(self, batch: DataFrame, writer: str, batch_id: int, on_conflict: str = "renumber") -> int:
         """Number, write and commit the rows of a writer's batch once, whatever is retried; its commit number."""
@@ -187,20 +224,26 @@ class StoredLog:
         return self.commit(self.prepare(batch, writer, batch_id), batch, on_conflict)
 
     def _store_heads(self, number: int) -> None:
-        self.heads(number).write.mode("overwrite").parquet(f"{self.path}/heads/upto={number}")
-        for old in sorted(self._stored_heads())[:-HEADS_KEPT]:
-            at, files = self._folder(f"{self.path}/heads/upto={old}")
-            files.delete(at, True)
+        """Heads and index as of a commit; those before stay a while, for writers that have begun to read them."""
+        heads = self.heads(number)
+        if heads is not None:
+            heads.write.mode("overwrite").parquet(f"{self.path}/heads/upto={number}")
+        self.commits(upto=number).coalesce(1).sortWithinPartitions("writer", "batch_id").write.mode("overwrite").parquet(f"{self.path}/index/upto={number}")
+        for table in ("heads", "index"):
+            for old in sorted(self._stored(table))[:-HEADS_KEPT]:
+                remove_folder(self.spark, f"{self.path}/{table}/upto={old}")
 
     # --- searching ---
 
-    def by_payload(self, field: str, value: str) -> DataFrame:
-        """Committed events whose payload has a text field of this value.
+    def by_payload(self, field: str, value: str) -> DataFrame | None:
+        """Committed events whose payload has a text field of this value; None while nothing was written.
 
         A field with an index is compared in its own column, whose Bloom filters let the scan skip
         row groups; any other is read from every payload.
         """
         rows = self.read()
+        if rows is None:
+            return None
         if field in self.indexed:
             return rows.where(F.col(f"field_{self.indexed[field]}") == value)
         return eventlog.by_payload(rows, field, value)

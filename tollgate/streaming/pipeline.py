@@ -24,7 +24,7 @@ from tollgate.operators.rules import RuleSet, SpendRule, default_rules
 from tollgate.operators.state import arrival_seq
 from tollgate.operators.storedlog import StoredLog
 from tollgate.params import Params
-from tollgate.session import tune
+from tollgate.session import remove_folder, tune
 from tollgate.sources.messages import stream_kafka, stream_records
 from tollgate.streaming.processors import STATE_COLUMNS, AlertSuppression, UserState
 
@@ -182,7 +182,7 @@ class Pipeline:
 
         Thresholds, blacklist and critical rules change without a restart; the length of the window is
         the job's. The changes that a micro-batch found are kept under its number, so a retry scores
-        with the same, whatever has been added since. Each micro-batch has its own directory, which a
+        with the same, whatever has been added since, as long as Spark can retry it. Each micro-batch has its own directory, which a
         retry overwrites.
         """
         rules = history.rules_in_force(self.params)
@@ -205,6 +205,9 @@ class Pipeline:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{kept}/_SUCCESS")
         if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
             self.spark.read.parquet(changes).coalesce(1).write.mode("overwrite").parquet(kept)
+            # No batch comes again of which Spark has dropped the log.
+            old = batch_id - int(self.spark.conf.get("spark.sql.streaming.minBatchesToRetain"))
+            remove_folder(self.spark, f"{self.path('changes_used')}/batch={old}")
         return self.spark.read.parquet(kept)
 
     def _ticks(self) -> DataFrame:
@@ -258,7 +261,7 @@ class Pipeline:
         sent = self.alert_events(self._follow("decisions", schema))
 
         def deliver(batch: DataFrame, batch_id: int) -> None:
-            self.outbox.add(alerts.alert_records(batch, self.params), str(batch_id))
+            self.outbox.add(alerts.alert_records(batch, self.params), f"{self.writer('outbox')}-{batch_id}")
             self.outbox.deliver(send)
 
         return sent.writeStream.foreachBatch(deliver).option("checkpointLocation", self.checkpoint("outbox"))
