@@ -951,17 +951,21 @@ def q_csv_set(spark, sf_dir):
 
 # --- dead letters --------------------------------------------------------------------------
 
-@query(RAW_SQL + "SELECT key, error_type, proc_ms AS timestamp_ms, true AS has_payload FROM raw WHERE error_type IS NOT NULL")
+@query(RAW_SQL + """SELECT key, error_type, proc_ms AS timestamp_ms, transaction_id, 'error,originalPayload,timestamp' AS fields
+FROM raw WHERE error_type IS NOT NULL""")
 def q_dlq_records(spark, sf_dir):
-    bad = ingest.rejected(ingested(spark, sf_dir))
-    letters = deadletter.dead_letters(bad)
+    """All but the key is read back from the records' text, the transaction from the payload in it, whether that can be parsed or not."""
+    records = deadletter.dead_letters(ingest.rejected(ingested(spark, sf_dir))).select("key", "value")
+    error, payload = F.get_json_object("value", "$.error"), F.get_json_object("value", "$.originalPayload")
     kind = (
-        F.when(F.col("error").startswith("Value is not"), "SyntaxError")
-        .when(F.col("error").startswith("Envelope validation failed: "), "EnvelopeValidationError")
-        .when(F.col("error").startswith("Schema validation failed: "), "SchemaValidationError")
+        F.when(error.startswith("Value is not"), "SyntaxError")
+        .when(error.startswith("Envelope validation failed: "), "EnvelopeValidationError")
+        .when(error.startswith("Schema validation failed: "), "SchemaValidationError")
         .otherwise("SecurityViolationError"))
-    return letters.select("key", kind.alias("error_type"), "timestamp_ms", F.coalesce(
-        F.get_json_object("value", "$.originalPayload") == F.col("original_payload"), F.lit(False)).alias("has_payload"))
+    return records.select(
+        "key", kind.alias("error_type"), F.get_json_object("value", "$.timestamp").cast("bigint").alias("timestamp_ms"),
+        F.regexp_extract(payload, r'"transactionId":\s*"([^"]+)"', 1).alias("transaction_id"),
+        F.array_join(F.array_sort(F.json_object_keys("value")), ",").alias("fields"))
 
 
 @query(RAW_SQL + """SELECT concat_ws(':', CAST(offset_ AS VARCHAR), error_type) AS key, error_type,
