@@ -248,3 +248,18 @@ def test_log_integrity(spark):
     assert eventlog.quarantine(broken, KEY).count() == 1 and eventlog.quarantine(log, KEY).count() == 0
     with pytest.raises(SparkRuntimeException, match="signature is not the event"):
         eventlog.load_verified(broken, "u1", KEY).collect()
+
+
+def test_positions_do_not_make_the_texts(spark, tmp_path):
+    from tollgate.plans.queries import QUERIES
+
+    rows = [(i, 1_704_067_200 + i, i % 5, "error" if i % 9 == 0 else "view", 1.5, '{"k": 3}') for i in range(400)]
+    events = spark.createDataFrame(rows, "event_id long, s long, user_id long, event_type string, value double, props string")
+    events = events.withColumn("ts", F.timestamp_seconds("s").cast("timestamp_ntz")).drop("s")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    found = QUERIES["q_batch_key_groups"](spark, str(tmp_path))
+    assert "sha2(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = found.collect()
+    assert len(got) == 420
+    assert sorted(r.position for r in got if r.key == "anonymous") == list(range(1, 11))
+    assert sorted(r.position for r in got if r.key == "tx-20") == [1, 2]

@@ -83,12 +83,15 @@ def find_split(
     if largest <= group_rows:
         return Split(tuple(keys))
 
-    # At most total / group_rows <= MAX_PIECES keys can be larger than group_rows.
+    # At most total / group_rows <= MAX_PIECES keys can be larger than group_rows. Held as rows, so that
+    # all keys are counted only once more, and what follows reads only the rows of these.
     large = sizes.where(F.col("_rows") > group_rows)
+    large = df.sparkSession.createDataFrame(large.collect(), large.schema)
     cuts = {tuple(row[k] for k in keys): [(at, FIRST) for at in row["_cuts"]]
             for row in _cut_points(df, large, keys, order, largest, group_rows).collect()}
     if tie is not None:
-        crowds = df.groupBy(*keys, order).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > group_rows)
+        of_large = df.join(F.broadcast(large.select(*keys)), list(keys), "left_semi")
+        crowds = of_large.groupBy(*keys, order).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > group_rows)
         fullest = crowds.agg(F.max("_rows")).first()[0]
         if fullest:
             for row in _cut_points(df, crowds, [*keys, order], tie, fullest, group_rows).collect():

@@ -21,6 +21,7 @@ from tollgate.plans.fixtures import (
     RAW_SQL,
     TXN_SQL,
     complete_transactions,
+    delivered,
     raw_messages,
     transactions,
 )
@@ -893,7 +894,8 @@ def q_filter_by_type(spark, sf_dir):
 @query(RAW_SQL + """SELECT offset_ AS "offset", coalesce(key, 'anonymous') AS key,
   row_number() OVER (PARTITION BY coalesce(key, 'anonymous') ORDER BY proc_ms, partition_, offset_) AS position FROM raw""")
 def q_batch_key_groups(spark, sf_dir):
-    return ingest.in_key_order(raw_messages(spark, sf_dir)).select("offset", "key", "position")
+    messages = delivered(complete_transactions(spark, sf_dir))  # without the texts, which no position depends on
+    return ingest.in_key_order(messages).select("offset", "key", "position")
 
 
 COERCED = """
