@@ -263,3 +263,10 @@ def test_positions_do_not_make_the_texts(spark, tmp_path):
     assert len(got) == 420
     assert sorted(r.position for r in got if r.key == "anonymous") == list(range(1, 11))
     assert sorted(r.position for r in got if r.key == "tx-20") == [1, 2]
+
+
+def test_outcomes_do_not_carry_the_message(spark):
+    df = spark.createDataFrame([], "key string, value string, topic string, partition int, offset long, timestamp timestamp")
+    found = ingest.ingest(df.repartition(2, "offset"), KEY).select("offset", "error_type")
+    kept = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate inline" in line]
+    assert kept and not any("value, value#" in line or "topic, topic#" in line for line in kept)

@@ -67,17 +67,21 @@ def with_number_text(df: DataFrame, numbers: dict[str, str]) -> DataFrame:
     )
 
 
-# Number members of a transaction.
-NUMBER_MEMBERS = ("latitude", "longitude", "riskScore")
+def json_text(members: Column, numbers: dict[str, str] | None = None) -> Column:
+    """The JSON text of a struct; nulls are left out.
 
+    ``numbers`` names members that are given as text, with the column of that text; their quotes are
+    taken off. A quoted name with a colon cannot stand inside a string, where quotes are escaped.
+    """
+    text = F.to_json(members)
+    for name, column in (numbers or {}).items():
+        value = F.coalesce(F.col(column), F.lit(""))
+        text = F.replace(text, F.concat(F.lit(f'"{name}":"'), value, F.lit('"')), F.concat(F.lit(f'"{name}":'), value))
+    return text
 
-def with_json_text(df: DataFrame, output: str, members: Column) -> DataFrame:
-    """Add the JSON text of a struct as a JavaScript producer writes it; nulls are left out.
 
-    Members named in ``NUMBER_MEMBERS`` must be given as text; their quotes are taken off here.
-    That pattern cannot match inside a string, where quotes are escaped.
-    """
-    pattern = rf'"({"|".join(NUMBER_MEMBERS)})":"([^"]*)"'
+def with_js_escapes(df: DataFrame, output: str, json: Column) -> DataFrame:
+    """Add JSON text with its escapes as a JavaScript producer writes them."""
     text = F.col("_text")
     # Control characters: the writer uses upper-case hex, JavaScript lower-case. Escaped
     # backslashes are set aside meanwhile (as NUL, which cannot occur in the text), so that
@@ -87,7 +91,12 @@ def with_json_text(df: DataFrame, output: str, members: Column) -> DataFrame:
         lowered = F.replace(lowered, F.lit(f"\\u{code:04X}"), F.lit(f"\\u{code:04x}"))
     lowered = F.replace(lowered, F.lit("\0"), F.lit("\\\\"))
     return (
-        df.withColumn("_text", F.regexp_replace(F.to_json(members), pattern, '"$1":$2'))
+        df.withColumn("_text", json)
         .withColumn(output, F.when(F.contains(text, F.lit("\\u00")), lowered).otherwise(text))
         .drop("_text")
     )
+
+
+def with_json_text(df: DataFrame, output: str, members: Column, numbers: dict[str, str] | None = None) -> DataFrame:
+    """Add the JSON text of a struct as a JavaScript producer writes it; see ``json_text``."""
+    return with_js_escapes(df, output, json_text(members, numbers))

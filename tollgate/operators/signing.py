@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tollgate.functions import crypto
-from tollgate.functions.text import with_json_text, with_number_text
+from tollgate.functions.text import json_text, with_js_escapes, with_json_text, with_number_text
 from tollgate.params import Params
 
 # Fixed value: version written into new envelopes.
@@ -14,6 +14,8 @@ SCHEMA_VERSION = "v1.0"
 
 
 _NUMBERS = {"latitude": "_latitude", "longitude": "_longitude", "risk_score": "_risk_score"}
+# The members that hold them.
+_NUMBER_MEMBERS = {"latitude": "_latitude", "longitude": "_longitude", "riskScore": "_risk_score"}
 
 
 def _variant_fields() -> dict[str, Column]:
@@ -55,7 +57,7 @@ def with_canonical_payload(df: DataFrame, output: str) -> DataFrame:
         userId="user_id",
         validatorId=extra["validatorId"],
     )
-    return with_json_text(with_number_text(df, _NUMBERS), output, members).drop(*_NUMBERS.values())
+    return with_json_text(with_number_text(df, _NUMBERS), output, members, _NUMBER_MEMBERS).drop(*_NUMBERS.values())
 
 
 def with_canonical_metadata(df: DataFrame, output: str) -> DataFrame:
@@ -134,14 +136,10 @@ def with_wire_payload(df: DataFrame, output: str, quote_integers: Column | None
             timestamp=integer("timestamp_ns"),
         )
 
-    numbered = with_number_text(df, _NUMBERS)
-    if quote_integers is None:
-        done = with_json_text(numbered, output, members(True))
-    else:
-        both = with_json_text(with_json_text(numbered, "_wire_quoted", members(True)), "_wire_plain", members(False))
-        done = both.withColumn(output, F.when(quote_integers, F.col("_wire_quoted")).otherwise(F.col("_wire_plain")))
-        done = done.drop("_wire_quoted", "_wire_plain")
-    return done.drop(*_NUMBERS.values())
+    text = json_text(members(True), _NUMBER_MEMBERS)
+    if quote_integers is not None:
+        text = F.when(quote_integers, text).otherwise(json_text(members(False), _NUMBER_MEMBERS))
+    return with_js_escapes(with_number_text(df, _NUMBERS), output, text).drop(*_NUMBERS.values())
 
 
 def with_wire_envelope(df: DataFrame, output: str, payload: str | None = None) -> DataFrame:
