@@ -377,6 +377,26 @@ def test_two_writers_never_take_a_version_twice(spark, tmp_path):
     assert eventlog.version_conflicts(log.read()).count() == 0
 
 
+def test_a_writer_numbers_what_it_has_written_anew(spark, tmp_path):
+    log = StoredLog(spark, f"{tmp_path}/log")
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(part):
+        for row in part:
+            made.add(1)
+            yield row
+
+    one, two = log_batch(spark, [("a1", "u", "{}", 1)]), log_batch(spark, [("b1", "u", '{"merchantId":"m-1"}', 1), ("b2", "w", "{}", 2)])
+    slow = spark.createDataFrame(two.rdd.mapPartitions(counted), two.schema)
+    ahead, behind = log.prepare(one, "A", 0), log.prepare(slow, "B", 0)
+    log.commit(ahead, one)
+    before = made.value
+    assert log.commit(behind, slow) == 2 and made.value == before  # the batch is not made again
+    assert versions(log) == [("a1", "u", 1, 1), ("b1", "u", 2, 2), ("b2", "w", 1, 2)]
+    assert [r.event_id for r in log.by_payload("$.merchantId", "m-1").collect()] == ["b1"]
+    assert len(list((tmp_path / "log" / "data").glob("attempt=*"))) == 2
+
+
 def test_a_retried_batch_is_appended_once(spark, tmp_path):
     log = StoredLog(spark, f"{tmp_path}/log")
     batch = log_batch(spark, [("a1", "u", "{}", 1)])

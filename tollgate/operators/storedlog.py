@@ -199,9 +199,9 @@ class StoredLog:
             elif on_conflict == "fail":
                 raise VersionConflict([row.aggregate_id for row in taken])
             else:
-                at, files = self._folder(f"{self.path}/data/attempt={attempt.name}")
-                files.delete(at, True)  # never counted
-                attempt = self.prepare(batch, attempt.writer, attempt.batch_id)
+                stale = f"{self.path}/data/attempt={attempt.name}"
+                attempt = self.prepare(self._rows_of(stale, batch), attempt.writer, attempt.batch_id)
+                remove_folder(self.spark, stale)  # never counted
         raise RuntimeError(f"no commit in {ATTEMPTS} attempts")
 
     def _taken(self, attempt: Attempt, newest: int) -> list:
@@ -212,6 +212,11 @@ class StoredLog:
         versions = [df.select(*eventlog.AGGREGATE, "version") for df in (self.spark.read.parquet(folder), others)]
         return eventlog.version_conflicts(reduce(DataFrame.unionByName, versions)).select(*eventlog.AGGREGATE).distinct().limit(5).collect()
 
+    def _rows_of(self, folder: str, batch: DataFrame) -> DataFrame:
+        """The rows an attempt has written, as they were before they got versions: signing them again costs more than reading them."""
+        stored = self.spark.read.parquet(folder)
+        return stored.select(*[F.col(f.name).cast(f.dataType) for f in batch.schema])
+
     def _claimed(self, number: int, attempt: Attempt) -> bool:
         line = {"number": number, "attempt": attempt.name, "writer": attempt.writer, "batch_id": attempt.batch_id}
         return self._create(self._commit_file(number), json.dumps(line))
